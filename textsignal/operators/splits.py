@@ -39,7 +39,7 @@ def date_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: flo
         guard = F.when(n < 5, F.raise_error(F.lit("too few unique dates for a chronological split")))
     elif rule == "floor_cumulative":
         train_end = F.floor(n.cast("double") * F.lit(train))
-        val_end = F.floor(n.cast("double") * F.lit(train + val))
+        val_end = F.floor(n.cast("double") * F.lit(round(train + val, 10)))
         guard = F.lit(None)
     else:
         raise ValueError(f"unknown rule {rule!r}")
@@ -63,7 +63,7 @@ def row_balanced_splits(df: DataFrame, date: str = "date", train: float = 0.70,
     total = F.sum("n_rows").over(Window.partitionBy())
     t = per_date.select(date, "n_rows", before.alias("rows_before"), total.alias("n_total"))
     ntr = F.floor(F.col("n_total").cast("double") * F.lit(train))
-    nva = F.floor(F.col("n_total").cast("double") * F.lit(train + val))
+    nva = F.floor(F.col("n_total").cast("double") * F.lit(round(train + val, 10)))
     return t.select(date, "n_rows", "rows_before",
                     F.when(F.col("rows_before") < ntr, "train")
                     .when(F.col("rows_before") < nva, "validation").otherwise("test").alias("split"))
@@ -76,7 +76,7 @@ def row_splits(df: DataFrame, order: list[str], train: float = 0.70, val: float
     n = F.count(F.lit(1)).over(Window.partitionBy())
     r = F.row_number().over(w)
     return df.select("*", F.when(r <= F.floor(n * F.lit(train)), "train")
-                     .when(r <= F.floor(n * F.lit(train + val)), "validation")
+                     .when(r <= F.floor(n * F.lit(round(train + val, 10))), "validation")
                      .otherwise("test").alias("split"))
 
 
@@ -98,7 +98,8 @@ def walk_forward_folds(df: DataFrame, date: str = "date", min_train: int = 60, t
     n_folds = F.floor((F.col("n_dates") - F.lit(min_train) - 1) / F.lit(step)) + 1
     # each date belongs to train of every fold whose cut >= rank, and to test of at most
     # ceil(test_size/step) folds; enumerate the folds that touch the date.
-    folds = F.sequence(F.lit(0), F.greatest(n_folds - 1, F.lit(-1)))
+    folds = F.when(n_folds > 0, F.sequence(F.lit(0), (n_folds - 1).cast("int"))).otherwise(
+        F.array().cast("array<int>"))
     x = d.select(date, "date_rank", F.explode(folds).alias("fold"))
     cut = F.lit(min_train) + F.col("fold") * F.lit(step)
     r = F.col("date_rank")

@@ -45,18 +45,28 @@ def confusion_sql(src: str, by: str, y: str = "y_true", pred: str = "y_pred", w:
     zero = "CAST(0 AS DOUBLE)" if w else "0"
 
     def s(cond):
-        return f"sum(CASE WHEN {cond} THEN {one} ELSE {zero} END)"
+        agg = f"sum(CASE WHEN {cond} THEN {one} ELSE {zero} END)"
+        return agg if w else f"CAST({agg} AS BIGINT)"
     return (f"SELECT {by}, {s(f'{y} = 0 AND {pred} = 0')} AS tn, {s(f'{y} = 0 AND {pred} = 1')} AS fp, "
             f"{s(f'{y} = 1 AND {pred} = 0')} AS fn, {s(f'{y} = 1 AND {pred} = 1')} AS tp "
             f"FROM {src} GROUP BY {by}")
 
 
-def metrics_cols(prefix: str = "") -> str:
-    p = prefix
-    return (f"{ratio0(f'{p}tp + {p}tn', f'{p}tn + {p}fp + {p}fn + {p}tp')} AS accuracy, "
-            f"{ba(p + 'tn', p + 'fp', p + 'fn', p + 'tp')} AS balanced_accuracy, "
-            f"{ratio0(f'{p}tp', f'{p}tp + {p}fp')} AS precision, {ratio0(f'{p}tp', f'{p}tp + {p}fn')} AS recall, "
-            f"{ratio0(f'2 * {p}tp', f'2 * {p}tp + {p}fp + {p}fn')} AS f1")
+def metric_exprs(p: str = "") -> list[tuple[str, str]]:
+    return [("accuracy", ratio0(f"{p}tp + {p}tn", f"{p}tn + {p}fp + {p}fn + {p}tp")),
+            ("balanced_accuracy", ba(p + "tn", p + "fp", p + "fn", p + "tp")),
+            ("precision", ratio0(f"{p}tp", f"{p}tp + {p}fp")),
+            ("recall", ratio0(f"{p}tp", f"{p}tp + {p}fn")),
+            ("f1", ratio0(f"2 * {p}tp", f"2 * {p}tp + {p}fp + {p}fn"))]
+
+
+def rnd(expr: str, digits: int = 6) -> str:
+    sc = repr(float(10 ** digits))
+    return f"(round(CAST({expr} AS DOUBLE) * {sc}) / {sc} + 0.0)"
+
+
+def metrics_cols(p: str = "", names: tuple[str, ...] | None = None) -> str:
+    return ", ".join(f"{rnd(e)} AS {n}" for n, e in metric_exprs(p) if names is None or n in names)
 
 
 def auc_sql(src: str, by: str, y: str = "y_true", score: str = "y_proba", w: str | None = None) -> str:
@@ -76,3 +86,17 @@ GROUP BY {byc}"""
 def round_cols(cols: list[str], digits: int = 6) -> str:
     sc = repr(float(10 ** digits))
     return ", ".join(f"(round(CAST({c} AS DOUBLE) * {sc}) / {sc} + 0.0) AS {c}" for c in cols)
+
+
+def c1_sql(src: str, date: str = "date", train: float = 0.7, val: float = 0.15) -> str:
+    """C1 split table (date, date_rank, split) over the distinct dates of ``src``."""
+    return f"""
+  SELECT {date}, date_rank,
+         CASE WHEN date_rank <= n_train THEN 'train'
+              WHEN date_rank <= n_train + n_val THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, CASE WHEN nt + nv >= n_dates THEN greatest(1, n_dates - 2) ELSE nt END AS n_train,
+               CASE WHEN nt + nv >= n_dates THEN 1 ELSE nv END AS n_val
+        FROM (SELECT *, greatest(1, floor(n_dates * CAST({train!r} AS DOUBLE))) AS nt,
+                     greatest(1, floor(n_dates * CAST({val!r} AS DOUBLE))) AS nv
+              FROM (SELECT {date}, row_number() OVER (ORDER BY {date}) AS date_rank, count(*) OVER () AS n_dates
+                    FROM (SELECT DISTINCT {date} FROM {src}) d) d2) d3) d4"""
