@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def _ranked_dates(df: DataFrame, date: str) -> DataFrame:
     d = df.select(date).where(F.col(date).isNotNull()).distinct()
     w = Window.orderBy(date)
-    return d.select(date, F.row_number().over(w).alias("date_rank"),
+    return d.select(date, F.row_number().over(w).cast("long").alias("date_rank"),
                     F.count(F.lit(1)).over(Window.partitionBy()).alias("n_dates"))
 
 
@@ -100,7 +100,7 @@ def walk_forward_folds(df: DataFrame, date: str = "date", min_train: int = 60, t
     # ceil(test_size/step) folds; enumerate the folds that touch the date.
     folds = F.when(n_folds > 0, F.sequence(F.lit(0), (n_folds - 1).cast("int"))).otherwise(
         F.array().cast("array<int>"))
-    x = d.select(date, "date_rank", F.explode(folds).alias("fold"))
+    x = d.select(date, "date_rank", F.explode(folds).cast("long").alias("fold"))
     cut = F.lit(min_train) + F.col("fold") * F.lit(step)
     r = F.col("date_rank")
     return (x.select(date, "fold", F.when(r <= cut, "train")

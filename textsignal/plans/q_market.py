@@ -13,7 +13,7 @@ from textsignal.plans.views_sql import with_views
 BAR_COLS = ["open", "high", "low", "close", "adj_close", "volume"]
 
 register("daily_bars", with_views(
-    f"SELECT asset, date, {round_cols(BAR_COLS)} FROM bars", "bars"))(
+    f"SELECT asset, date, {round_cols(BAR_COLS[:-1])}, volume FROM bars", "bars"))(
     lambda spark, d: fx.bars(spark, d))
 
 register("daily_bars_long", with_views(

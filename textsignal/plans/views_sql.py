@@ -50,7 +50,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
          substr(text, 1, 80) AS title, text AS body, source AS asset_raw, lang
   FROM documents"""),
     "events_norm": (("news",), f"""
-  SELECT doc_id, event_time, CAST(event_time AS DATE) AS event_date, text, length(text) AS text_len,
+  SELECT doc_id, event_time, CAST(event_time AS DATE) AS event_date, text, CAST(length(text) AS INTEGER) AS text_len,
          asset_raw, {_tag_sql("text || ' ' || asset_raw")} AS asset_list
   FROM (SELECT doc_id, event_time,
                regexp_replace(concat_ws(' ', coalesce(title, ''), coalesce(body, '')), {STRIP}, '', 'g') AS text,
