@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsignal.functions.columns import col_, threshold_grid
+from textsignal.functions.columns import col_, indexed_explode, threshold_grid
 
 
 def confusion(preds: DataFrame, by: Sequence[str], y: str = "y_true", pred: str = "y_pred",
@@ -110,7 +110,7 @@ def tune_threshold(preds: DataFrame, by: Sequence[str], y: str = "y_true", score
     by = list(by)
     s = (preds.groupBy(*by, F.col(score).alias("s"))
          .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
-    g = s.select(*by, "s", "pos", "neg", F.posexplode(threshold_grid(start, stop, n)).alias("i", "tau"))
+    g = s.select(*by, "s", "pos", "neg", indexed_explode(threshold_grid(start, stop, n), "i", "tau"))
     cm = (g.groupBy(*by, "i", "tau")
           .agg(F.sum(F.when(F.col("s") >= F.col("tau"), F.col("pos")).otherwise(0)).alias("tp"),
                F.sum(F.when(F.col("s") < F.col("tau"), F.col("pos")).otherwise(0)).alias("fn"),
@@ -177,8 +177,9 @@ def class_report(preds: DataFrame, by: Sequence[str], y: str = "y_true", pred: s
 
 def date_weights(preds: DataFrame, by: Sequence[str], date: str = "date") -> DataFrame:
     """Row weight 1/n_d, n_d = rows of the group on that date (so each date weighs 1)."""
-    w = Window.partitionBy(*by, date)
-    return preds.withColumn("date_weight", 1.0 / F.count(F.lit(1)).over(w))
+    keys = list(by) + [date]
+    n = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))   # partial aggregate, no hot-date window
+    return preds.join(n, keys).withColumn("date_weight", 1.0 / F.col("_nd")).drop("_nd")
 
 
 def deltas(metrics: DataFrame, keys: Sequence[str], model: str = "model", base: str = "market_full",

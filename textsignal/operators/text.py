@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textsignal.functions.columns import col_, tokens, word_pattern
+from textsignal.functions.columns import col_, indexed_explode, tokens, word_pattern
 
 # The default crypto lexicon (asset -> keywords) of the reference study.
 CRYPTO_LEXICON = {
@@ -94,7 +94,7 @@ def dated_lines(df: DataFrame, text_col: str, cashtag: str | Column | None = Non
                 keep: Sequence[str] = ()) -> DataFrame:
     """Text block -> one row per ``YYYY-MM-DD: text`` line (optionally only lines with the
     cashtag), with the line position.  Map-only: explode + regexp_extract."""
-    lines = df.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    lines = df.select(*keep, indexed_explode(F.split(F.col(text_col), "\n"), "line_no", "line"))
     s = pystrip(F.col("line"))
     x = lines.select(*keep, "line_no", F.regexp_extract(s, DATED_LINE, 1).alias("_d"),
                      F.regexp_extract(s, DATED_LINE, 2).alias("text"))
@@ -127,25 +127,31 @@ def parse_records(df: DataFrame, text_col: str = "text") -> DataFrame:
     State rule: table rows count only before the first dated text line; a ``context:``
     line always resets the header, a bare ``date,`` line sets it only if none is set yet
     (so the final header is the last ``context:`` line, else the first bare one).
+    Arrays are staged in separate projections so every line is split and classified once.
     """
+    cols = df.columns
     lines = F.filter(F.transform(F.split(pystrip(F.col(text_col)), "\n"), lambda l: pystrip(l)),
                      lambda l: l != F.lit(""))
-    is_text = lambda l: l.rlike(DATED_TEXT_STRICT)
-    first_text = F.array_position(F.transform(lines, is_text), True)
-    ctx = F.element_at(F.filter(lines, lambda l: F.lower(l).startswith("context:")), -1)
-    bare = F.element_at(F.filter(lines, lambda l: F.lower(l).startswith("date,")), 1)
-    ctx_header = F.transform(F.split(pystrip(F.regexp_extract(ctx, r"^[^:]*:(.*)$", 1)), ","),
+    s1 = df.select(*cols, lines.alias("_lines"))
+    kinds = F.transform("_lines", lambda l, i: F.struct(
+        i.alias("i"), l.alias("l"), l.rlike(DATED_TEXT_STRICT).alias("is_text"), l.rlike(TABLE_ROW).alias("is_row"),
+        F.lower(l).startswith("context:").alias("is_ctx"), F.lower(l).startswith("date,").alias("is_bare")))
+    s2 = s1.select(*cols, kinds.alias("_k"))
+    first_text = F.array_position(F.transform("_k", lambda e: e["is_text"]), True)
+    ctx = F.try_element_at(F.filter("_k", lambda e: e["is_ctx"]), F.lit(-1))["l"]
+    bare = F.try_element_at(F.filter("_k", lambda e: e["is_bare"]), F.lit(1))["l"]
+    s3 = s2.select(*cols, "_k", first_text.alias("_ft"), ctx.alias("_ctx"), bare.alias("_bare"))
+    ctx_header = F.transform(F.split(pystrip(F.regexp_extract("_ctx", r"^[^:]*:(.*)$", 1)), ","),
                              lambda x: pystrip(x))
-    bare_header = F.transform(F.split(bare, ","), lambda x: pystrip(x))
-    header = F.when(ctx.isNotNull(), ctx_header).when(bare.isNotNull(), bare_header).otherwise(
+    bare_header = F.transform(F.split("_bare", ","), lambda x: pystrip(x))
+    header = F.when(F.col("_ctx").isNotNull(), ctx_header).when(F.col("_bare").isNotNull(), bare_header).otherwise(
         F.array().cast("array<string>"))
-    idx = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
-    table = F.transform(F.filter(idx, lambda e: ((first_text == 0) | (e["i"] < first_text - 1))
-                                 & e["l"].rlike(TABLE_ROW)), lambda e: e["l"])
-    texts = F.transform(F.filter(lines, is_text),
-                        lambda l: F.struct(pystrip(F.regexp_extract(l, r"^([^:]*):", 1)).alias("date"),
-                                           pystrip(F.regexp_extract(l, r"^[^:]*:(.*)$", 1)).alias("text")))
-    return df.select("*", header.alias("header"), table.alias("table_lines"), texts.alias("texts"))
+    ft = F.col("_ft")
+    table = F.transform(F.filter("_k", lambda e: ((ft == 0) | (e["i"] < ft - 1)) & e["is_row"]), lambda e: e["l"])
+    texts = F.transform(F.filter("_k", lambda e: e["is_text"]),
+                        lambda e: F.struct(pystrip(F.regexp_extract(e["l"], r"^([^:]*):", 1)).alias("date"),
+                                           pystrip(F.regexp_extract(e["l"], r"^[^:]*:(.*)$", 1)).alias("text")))
+    return s3.select(*cols, header.alias("header"), table.alias("table_lines"), texts.alias("texts"))
 
 
 def valid_rows(parsed: DataFrame, decision: str = "decision_date", max_days: int = 10) -> DataFrame:
@@ -154,29 +160,35 @@ def valid_rows(parsed: DataFrame, decision: str = "decision_date", max_days: int
 
     Adds ``rows`` (ARRAY<STRUCT<date, nums>>), ``numeric_names`` and ``n_numeric``.
     """
+    cols = parsed.columns
     h = F.col("header")
-    named = F.when((F.size(h) > 0) & (F.lower(F.element_at(h, 1)) == "date"), F.slice(h, 2, 100000))
-    parts = lambda l: F.transform(F.split(l, ","), lambda x: pystrip(x))
-    cand = F.transform(F.col("table_lines"), lambda l, i: F.struct(
-        i.alias("i"),
-        F.try_to_date(F.element_at(parts(l), 1), "yyyy-MM-dd").alias("date"),
-        F.transform(F.slice(parts(l), 2, 100000), lambda x: x.try_cast("double")).alias("nums"),
-        F.size(parts(l)).alias("arity")))
-    ok = F.filter(cand, lambda e: (e["arity"] >= 2) & e["date"].isNotNull() & (e["date"] <= F.col(decision))
+    named = F.when((F.size(h) > 0) & (F.lower(F.try_element_at(h, F.lit(1))) == "date"), F.slice(h, 2, 100000))
+    parts = F.transform("table_lines", lambda l, i: F.struct(
+        i.alias("i"), F.transform(F.split(l, ","), lambda x: pystrip(x)).alias("p")))
+    s1 = parsed.select(*cols, named.alias("_named"), parts.alias("_parts"))
+    cand = F.transform("_parts", lambda e: F.struct(
+        F.try_to_date(F.try_element_at(e["p"], F.lit(1)), "yyyy-MM-dd").alias("date"), e["i"].alias("i"),
+        F.transform(F.slice(e["p"], 2, 100000), lambda x: x.try_cast("double")).alias("nums"),
+        F.size(e["p"]).alias("arity")))
+    s2 = s1.select(*cols, "_named", cand.alias("_cand"))
+    ok = F.filter("_cand", lambda e: (e["arity"] >= 2) & e["date"].isNotNull() & (e["date"] <= F.col(decision))
                   & F.forall(e["nums"], lambda v: v.isNotNull()))
+    s3 = s2.select(*cols, "_named", ok.alias("_ok"))
     # width when no header: the first parsed row fixes it (reference fallback)
-    width = F.coalesce(F.size(named), F.size(F.element_at(ok, 1)["nums"]))
-    names = F.coalesce(named, F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))),
-                                          lambda i: F.concat(F.lit("numeric_"), i.cast("string"))))
-    kept = F.filter(ok, lambda e: F.size(e["nums"]) == width)
-    ordered = F.array_sort(kept, lambda a, b: F.when(a["date"] < b["date"], -1).when(a["date"] > b["date"], 1)
-                           .when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0))
-    n = F.size(ordered)
-    last = F.when(n <= max_days, ordered).otherwise(F.slice(ordered, n - max_days + 1, max_days))
+    width = F.coalesce(F.when(F.col("_named").isNotNull(), F.size("_named")),
+                       F.when(F.size("_ok") > 0, F.size(F.try_element_at("_ok", F.lit(1))["nums"])))
+    s4 = s3.select(*cols, "_named", "_ok", width.alias("_w"))
+    kept = F.filter("_ok", lambda e: F.size(e["nums"]) == F.col("_w"))
+    ordered = F.array_sort(kept)   # struct order: (date, line index) -> stable date sort
+    s5 = s4.select(*cols, "_named", "_w", ordered.alias("_o"))
+    n = F.size("_o")
+    last = F.when(n <= max_days, F.col("_o")).otherwise(F.slice("_o", n - max_days + 1, max_days))
     rows = F.transform(last, lambda e: F.struct(e["date"].alias("date"), e["nums"].alias("nums")))
-    return parsed.select("*", rows.alias("rows"),
-                         F.when(width > 0, names).otherwise(F.array().cast("array<string>")).alias("numeric_names"),
-                         F.coalesce(width, F.lit(0)).alias("n_numeric"))
+    names = F.coalesce(F.col("_named"), F.transform(F.sequence(F.lit(0), F.greatest(F.col("_w") - 1, F.lit(0))),
+                                                    lambda i: F.concat(F.lit("numeric_"), i.cast("string"))))
+    return s5.select(*cols, rows.alias("rows"),
+                     F.when(F.col("_w") > 0, names).otherwise(F.array().cast("array<string>")).alias("numeric_names"),
+                     F.coalesce(F.col("_w"), F.lit(0)).alias("n_numeric"))
 
 
 # ---------------------------------------------------------------- X9 / X10 / X11

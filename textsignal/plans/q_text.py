@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textsignal.functions.columns import word_pattern
+from textsignal.functions.columns import indexed_explode, word_pattern
 from textsignal.operators import align, text
 from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
@@ -194,7 +194,7 @@ SELECT asset, date, CAST(dim AS INTEGER) AS dim, {rnd('value')} AS value, n_text
 def daily_embedding_mean(spark, d):
     """A4 + F12: element-wise daily mean embedding and count per (asset, day), long form."""
     g = _dvec(spark, d)
-    return g.select("asset", "date", "n_texts", F.posexplode("mean_vector").alias("dim", "value"))
+    return g.select("asset", "date", "n_texts", indexed_explode("mean_vector", "dim", "value"))
 
 
 @register("window_embedding_mean", with_views(f"""
@@ -213,7 +213,7 @@ def window_embedding_mean(spark, d):
     """A5: mean of daily mean vectors over [t-10, t-1] per bar; zero vector when no text."""
     b = fx.bars(spark, d).select("asset", "date")
     w = align.window_vector_mean(b, _dvec(spark, d), EMB_DIM, 10, 1)
-    return w.select("asset", "date", "window_texts", F.posexplode("window_vector").alias("dim", "value"))
+    return w.select("asset", "date", "window_texts", indexed_explode("window_vector", "dim", "value"))
 
 
 @register("embedding_norm", with_views(f"""
@@ -241,7 +241,7 @@ def sequence_window(spark, d):
     b = align.join_same_day(fx.bars(spark, d).select("asset", "date", "close"),
                             _a3(spark, d).select("asset", "date", "text_count"))
     seq = align.sequence_window(b, ["close", "text_count"], 10)
-    x = seq.select("asset", "date", F.posexplode("sequence").alias("step", "s"))
+    x = seq.select("asset", "date", indexed_explode("sequence", "step", "s"))
     return x.select("asset", "date", "step", "s.step_date", "s.close", "s.text_count",
                     F.col("s.step_date").isNull().alias("is_pad"))
 
@@ -315,3 +315,110 @@ def decision_date(spark, d):
     return fr.select("asset", "date", text.decision_date(F.col("query")).alias("decision_date"),
                      text.ticker_filter(F.col("query"), F.col("asset")).alias("ticker_match"),
                      F.contains(F.lower("query"), F.concat(F.lit("$"), F.col("asset"))).alias("cashtag_match"))
+
+
+# ------------------------------------------------------------------ X3, X4, X5 (instruction records)
+_TXT = r"'^\d{4}-\d{2}-\d{2}:\s'"
+_ROW = r"'^\d{4}-\d{2}-\d{2},'"
+_STRIPF = "lambda x: regexp_replace(x, " + STRIP + ", '', 'g')"
+_REC = {
+    "recl": f"""
+  SELECT asset, date, CAST(pos AS INTEGER) AS pos, l FROM (
+    SELECT asset, date, generate_subscripts(arr, 1) AS pos, unnest(arr) AS l FROM (
+      SELECT asset, date, list_filter(list_transform(string_split(regexp_replace(text, {STRIP}, '', 'g'), chr(10)),
+                                                     {_STRIPF}), lambda x: x <> '') AS arr
+      FROM flare_raw) a) b""",
+    "recf": f"""
+  SELECT asset, date, min(pos) FILTER (WHERE regexp_matches(l, {_TXT})) AS first_text FROM recl GROUP BY 1, 2""",
+    "rec": f"""
+  SELECT r.asset, r.date,
+         arg_max(l, pos) FILTER (WHERE starts_with(lower(l), 'context:')) AS ctx,
+         arg_min(l, pos) FILTER (WHERE starts_with(lower(l), 'date,')) AS bare,
+         count(*) FILTER (WHERE regexp_matches(l, {_ROW}) AND (f.first_text IS NULL OR r.pos < f.first_text))
+           AS n_table_lines,
+         count(*) FILTER (WHERE regexp_matches(l, {_TXT})) AS n_texts,
+         count(DISTINCT regexp_replace(regexp_extract(l, '^([^:]*):', 1), {STRIP}, '', 'g'))
+           FILTER (WHERE regexp_matches(l, {_TXT})) AS n_text_dates
+  FROM recl r JOIN recf f ON r.asset = f.asset AND r.date = f.date GROUP BY 1, 2""",
+    "rech": f"""
+  SELECT *, CASE WHEN ctx IS NOT NULL
+                 THEN list_transform(string_split(regexp_replace(regexp_extract(ctx, '^[^:]*:(.*)$', 1), {STRIP}, '', 'g'),
+                                                  ','), {_STRIPF})
+                 WHEN bare IS NOT NULL THEN list_transform(string_split(bare, ','), {_STRIPF})
+                 ELSE [] END AS header
+  FROM rec""",
+    "trows": f"""
+  SELECT asset, date, pos, CAST(try_strptime(parts[1], '%Y-%m-%d') AS DATE) AS row_date,
+         list_transform(parts[2:], lambda x: TRY_CAST(x AS DOUBLE)) AS nums, len(parts) AS arity
+  FROM (SELECT r.asset, r.date, r.pos, list_transform(string_split(l, ','), {_STRIPF}) AS parts
+        FROM recl r JOIN recf f ON r.asset = f.asset AND r.date = f.date
+        WHERE regexp_matches(l, {_ROW}) AND (f.first_text IS NULL OR r.pos < f.first_text)) r""",
+    "okw": """
+  SELECT *, coalesce(CASE WHEN len(header) > 0 AND lower(header[1]) = 'date' THEN len(header) - 1 END,
+                     first_value(len(nums)) OVER (PARTITION BY asset, date ORDER BY pos)) AS width
+  FROM (SELECT t.*, h.header FROM trows t JOIN rech h ON t.asset = h.asset AND t.date = h.date
+        WHERE arity >= 2 AND row_date IS NOT NULL AND row_date <= t.date
+          AND len(list_filter(nums, lambda v: v IS NULL)) = 0) o""",
+    "kept": """
+  SELECT *, row_number() OVER (PARTITION BY asset, date ORDER BY row_date DESC, pos DESC) AS rd,
+         count(*) OVER (PARTITION BY asset, date) AS m
+  FROM okw WHERE len(nums) = width""",
+}
+
+
+def _parsed(spark, d):
+    fr = fx.flare_raw(spark, d).withColumn("decision_date", text.decision_date(F.col("query")))
+    return text.valid_rows(text.parse_records(fr, "text"), "decision_date", 10)
+
+
+@register("record_parse", with_views("""
+SELECT asset, date, array_to_string(header, '|') AS header_str, CAST(len(header) AS INTEGER) AS n_header,
+       CAST(n_table_lines AS INTEGER) AS n_table_lines, CAST(n_texts AS INTEGER) AS n_texts,
+       CAST(n_text_dates AS INTEGER) AS n_text_dates
+FROM rech""", "flare_raw", extra=_REC))
+def record_parse(spark, d):
+    """Header / table rows / dated texts of each instruction record (state rule in-row)."""
+    p = text.parse_records(fx.flare_raw(spark, d), "text")
+    return p.select("asset", "date", F.array_join("header", "|").alias("header_str"),
+                    F.size("header").alias("n_header"), F.size("table_lines").alias("n_table_lines"),
+                    F.size("texts").alias("n_texts"),
+                    F.size(F.array_distinct(F.transform("texts", lambda t: t["date"]))).alias("n_text_dates"))
+
+
+@register("record_rows_valid", with_views(f"""
+SELECT asset, date, CAST(least(m, 10) - rd AS INTEGER) AS step, row_date, CAST(len(nums) AS INTEGER) AS n_nums,
+       {', '.join(f"{rnd(f'nums[{k + 1}]')} AS num_{k}" for k in range(6))}
+FROM kept WHERE rd <= 10""", "flare_raw", extra=_REC))
+def record_rows_valid(spark, d):
+    """Valid table rows (date <= decision date, all numbers parse, arity = header), last 10."""
+    x = _parsed(spark, d).select("asset", "date", indexed_explode("rows", "step", "r"))
+    return x.select("asset", "date", "step", F.col("r.date").alias("row_date"),
+                    F.size("r.nums").alias("n_nums"),
+                    *[F.try_element_at("r.nums", F.lit(k + 1)).alias(f"num_{k}") for k in range(6)])
+
+
+@register("record_skip_counts", with_views("""
+SELECT reason, count(*) AS n FROM (
+  SELECT CASE WHEN NOT has_price THEN 'no_price' WHEN n_numeric = 0 THEN 'no_features'
+              WHEN header_str <> first_header THEN 'inconsistent_header' ELSE 'kept' END AS reason
+  FROM (SELECT *, (SELECT arg_min(header_str, (date, asset)) FROM rs x WHERE x.has_price AND x.n_numeric > 0)
+                    AS first_header FROM rs) y) z
+GROUP BY reason""", "flare_raw", "bars", extra={**_REC, "rs": """
+  SELECT h.asset, h.date, array_to_string(h.header, '|') AS header_str,
+         coalesce(CASE WHEN len(h.header) > 0 AND lower(h.header[1]) = 'date' THEN len(h.header) - 1 END,
+                  (SELECT max(width) FROM okw o WHERE o.asset = h.asset AND o.date = h.date), 0) AS n_numeric,
+         EXISTS (SELECT 1 FROM bars b WHERE b.asset = h.asset AND b.date = h.date) AS has_price
+  FROM rech h"""}))
+def record_skip_counts(spark, d):
+    """X5 + J8: records skipped for no price row (anti-join), no numeric features, or a header that
+    differs from the first usable record's header; the rest are kept."""
+    p = _parsed(spark, d).select("asset", "date", "decision_date", F.array_join("header", "|").alias("header_str"),
+                                 "n_numeric")
+    bars = fx.bars(spark, d).select("asset", F.col("date").alias("decision_date"), F.lit(True).alias("has_price"))
+    r = p.join(bars, ["asset", "decision_date"], "left").withColumn("has_price", F.coalesce("has_price", F.lit(False)))
+    usable = r.where(F.col("has_price") & (F.col("n_numeric") > 0))
+    first = usable.agg(F.min_by("header_str", F.struct("decision_date", "asset")).alias("first_header"))
+    r = r.withColumn("_k", F.lit(1)).join(F.broadcast(first.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+    reason = (F.when(~F.col("has_price"), "no_price").when(F.col("n_numeric") == 0, "no_features")
+              .when(F.col("header_str") != F.col("first_header"), "inconsistent_header").otherwise("kept"))
+    return r.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
