@@ -61,13 +61,13 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.normalize_events(news(spark, sf_dir), "event_time", ["title", "body"], "asset_raw",
-                                 NEWS_LEXICON, keep=["doc_id"])
+                                 NEWS_LEXICON, keep=["doc_id", "lang"])
 
 
 def news_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (doc, asset) of the tagged news (explode of the asset list)."""
     e = events_norm(spark, sf_dir)
-    return e.select("doc_id", "event_time", "event_date", "text", "text_len",
+    return e.select("doc_id", "lang", "event_time", "event_date", "text", "text_len",
                     F.explode("asset_list").alias("asset"))
 
 

@@ -50,15 +50,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
          substr(text, 1, 80) AS title, text AS body, source AS asset_raw, lang
   FROM documents"""),
     "events_norm": (("news",), f"""
-  SELECT doc_id, event_time, CAST(event_time AS DATE) AS event_date, text, CAST(length(text) AS INTEGER) AS text_len,
-         asset_raw, {_tag_sql("text || ' ' || asset_raw")} AS asset_list
-  FROM (SELECT doc_id, event_time,
+  SELECT doc_id, lang, event_time, CAST(event_time AS DATE) AS event_date, text,
+         CAST(length(text) AS INTEGER) AS text_len, asset_raw, {_tag_sql("text || ' ' || asset_raw")} AS asset_list
+  FROM (SELECT doc_id, lang, event_time,
                regexp_replace(concat_ws(' ', coalesce(title, ''), coalesce(body, '')), {STRIP}, '', 'g') AS text,
                coalesce(asset_raw, '') AS asset_raw
         FROM news) t
   WHERE event_time IS NOT NULL AND length(text) > 10"""),
     "news_by_asset": (("events_norm",), """
-  SELECT doc_id, event_time, event_date, text, text_len, unnest(asset_list) AS asset FROM events_norm"""),
+  SELECT doc_id, lang, event_time, event_date, text, text_len, unnest(asset_list) AS asset FROM events_norm"""),
     "flare_rows": (("bars",), f"""
   SELECT asset, date,
          array_to_string(list(printf('%s,%.2f,%.2f,%.2f,%.2f,%.2f,%d', CAST(date AS VARCHAR), open, high, low,
