@@ -21,7 +21,7 @@ def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str], name: s
 
 
 def exact_quantile(long: DataFrame, by: Sequence[str], q: float = 0.5, value: str = "x",
-                   accuracy: int = 10000) -> DataFrame:
+                   accuracy: int = 10000, small_n: int = 100_000) -> DataFrame:
     """Exact ``q``-quantile with linear interpolation (numpy/pandas), NULLs ignored, without
     gathering a whole group in one task.
 
@@ -29,6 +29,8 @@ def exact_quantile(long: DataFrame, by: Sequence[str], q: float = 0.5, value: st
     ``percentile_approx`` at ``q -/+ 3/accuracy`` — its rank error is at most n/accuracy, so
     the exact order statistics lie inside.  Pass 2: count values below ``lo`` and collect only
     the values inside the bracket (about 6n/accuracy per group), then pick the exact ranks.
+    Groups of at most ``small_n`` values (where the sketch's rank discretisation matters) are
+    solved exactly from their sorted values — bounded by ``small_n``.
     """
     by = list(by)
     x = F.col(value)
@@ -41,12 +43,19 @@ def exact_quantile(long: DataFrame, by: Sequence[str], q: float = 0.5, value: st
     lo = F.lit(float("-inf")) if lo_q <= 0.0 else F.col("_b")[0]
     hi = F.lit(float("inf")) if hi_q >= 1.0 else F.col("_b")[1]
     s2 = j.groupBy(*by).agg(F.first("_n").alias("n"), F.count_if(x < lo).alias("below"),
-                            F.sort_array(F.collect_list(F.when((x >= lo) & (x <= hi), x))).alias("vals"))
+                            F.sort_array(F.collect_list(F.when((x >= lo) & (x <= hi), x))).alias("vals"),
+                            F.sort_array(F.collect_list(F.when(F.col("_n") <= small_n, x))).alias("allv"))
     pos = F.lit(q) * (F.col("n") - 1)
     k = F.floor(pos)
     frac = pos - k
-    v0 = F.element_at("vals", (k - F.col("below") + 1).cast("int"))
-    v1 = F.element_at("vals", (F.least(k + 1, F.col("n") - 1) - F.col("below") + 1).cast("int"))
+    k1 = F.least(k + 1, F.col("n") - 1)
+    b0 = F.try_element_at("vals", (k - F.col("below") + 1).cast("int"))
+    b1 = F.try_element_at("vals", (k1 - F.col("below") + 1).cast("int"))
+    ok = (F.col("below") <= k) & ((k1 - F.col("below") + 1) <= F.size("vals"))
+    a0 = F.try_element_at("allv", (k + 1).cast("int"))
+    a1 = F.try_element_at("allv", (k1 + 1).cast("int"))
+    v0 = F.when(F.col("n") <= small_n, a0).when(ok, b0)
+    v1 = F.when(F.col("n") <= small_n, a1).when(ok, b1)
     return s2.select(*by, "n", F.when(F.col("n") > 0, v0 + (v1 - v0) * frac).alias("quantile"))
 
 
