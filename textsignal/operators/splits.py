@@ -100,7 +100,7 @@ def walk_forward_folds(df: DataFrame, date: str = "date", min_train: int = 60, t
     # ceil(test_size/step) folds; enumerate the folds that touch the date.
     folds = F.when(n_folds > 0, F.sequence(F.lit(0), (n_folds - 1).cast("int"))).otherwise(
         F.array().cast("array<int>"))
-    x = d.select(date, "date_rank", F.explode(folds).cast("long").alias("fold"))
+    x = d.select(date, "date_rank", F.explode(folds).alias("fold")).withColumn("fold", F.col("fold").cast("long"))
     cut = F.lit(min_train) + F.col("fold") * F.lit(step)
     r = F.col("date_rank")
     return (x.select(date, "fold", F.when(r <= cut, "train")

@@ -317,12 +317,12 @@ _T50 = "SELECT *, CAST(y_proba >= 0.5 AS INTEGER) AS y_pred FROM preds WHERE spl
 SELECT model, label, {round_cols(['precision', 'recall', 'f1'])}, support FROM (
   SELECT model, label, precision, recall, f1, support FROM per
   UNION ALL
-  SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per GROUP BY model
+  SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per GROUP BY model
   UNION ALL
   SELECT model, 'weighted avg',
          coalesce(sum(precision * support) / nullif(sum(support), 0), 0),
          coalesce(sum(recall * support) / nullif(sum(support), 0), 0),
-         coalesce(sum(f1 * support) / nullif(sum(support), 0), 0), sum(support) FROM per GROUP BY model) u""",
+         coalesce(sum(f1 * support) / nullif(sum(support), 0), 0), CAST(sum(support) AS BIGINT) FROM per GROUP BY model) u""",
                                      "preds", extra={
     "t50": _T50, "cm": confusion_sql("t50", "model"),
     "per": """

@@ -21,7 +21,7 @@ def _features(spark, d):
 
 @register("dickey_fuller", with_views(f"""
 SELECT asset, n, {round_cols(['slope', 'intercept', 't_stat'])}, t_stat < -2.86 AS stationary FROM (
-  SELECT asset, regr_count(dy, ylag) AS n, regr_slope(dy, ylag) AS slope, regr_intercept(dy, ylag) AS intercept,
+  SELECT asset, CAST(regr_count(dy, ylag) AS BIGINT) AS n, regr_slope(dy, ylag) AS slope, regr_intercept(dy, ylag) AS intercept,
          regr_slope(dy, ylag) / sqrt((regr_syy(dy, ylag) - regr_sxy(dy, ylag) * regr_sxy(dy, ylag) / regr_sxx(dy, ylag))
                                      / CAST(regr_count(dy, ylag) - 2 AS DOUBLE) / regr_sxx(dy, ylag)) AS t_stat
   FROM (SELECT asset, close - lag(close, 1) OVER w AS dy, lag(close, 1) OVER w AS ylag
