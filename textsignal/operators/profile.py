@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textsignal.functions.schema import ASSET_HINTS, DATE_HINTS, TEXT_HINTS, candidate_columns
-from textsignal.operators.text import asset_match
+from textsignal.operators.text import _asset_conditions
 
 
 def profile_table(df: DataFrame, table: str, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -39,7 +39,7 @@ def profile_table(df: DataFrame, table: str, lexicon: Mapping[str, Sequence[str]
     combo = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols + asset_cols[:1]]
     if combo:
         txt = F.concat_ws(" ", *combo)
-        aggs += [F.count_if(asset_match(txt, ws)).alias(f"m{j}") for j, ws in enumerate(lexicon.values())]
+        aggs += [F.count_if(c).alias(f"m{j}") for j, c in enumerate(_asset_conditions(txt, lexicon))]
     row = df.agg(*aggs)
     dates = [F.struct(F.coalesce(F.try_divide(F.col(f"d{i}_ok"), F.col(f"d{i}_nn")), F.lit(0.0)).alias("rate"),
                       F.lit(-i).alias("neg_ord"), F.lit(c).alias("name"), F.col(f"d{i}_min").alias("dmin"),

@@ -10,6 +10,8 @@ and scores Arrow batches.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textsignal.functions.columns import col_, indexed_explode, tokens, word_pattern
+from textsignal.functions.columns import WORD_CHAR, col_, indexed_explode, tokens, word_pattern
 
 # The default crypto lexicon (asset -> keywords) of the reference study.
 CRYPTO_LEXICON = {
@@ -50,16 +52,45 @@ def asset_match(text: Column, words: Sequence[str]) -> Column:
     return F.lower(text).rlike(word_pattern(words))
 
 
+def _is_word(w: str) -> bool:
+    return all(ch.isalnum() or ch == "_" for ch in w)
+
+
+def keyword_hits(text: Column, words: Sequence[str]) -> Column:
+    """Distinct single-word keywords found in the lower-cased text, in ONE regex pass
+    (whole-token matches: not preceded / followed by a letter, digit or underscore)."""
+    alt = "|".join(re.escape(w.lower()) for w in sorted(set(words), key=len, reverse=True))
+    pat = rf"(?<![{WORD_CHAR}])({alt})(?![{WORD_CHAR}])"
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pat), 1))
+
+
+def _asset_conditions(text: Column, lexicon: Mapping[str, Sequence[str]]) -> list[Column]:
+    """One boolean per asset.  Single-word keywords are looked up in the one-pass hit list
+    (two whole-token matches cannot overlap); multi-word phrases keep their own regex so that
+    overlapping phrase matches are not lost."""
+    singles = sorted({w.lower() for ws in lexicon.values() for w in ws if _is_word(w)})
+    hits = keyword_hits(text, singles) if singles else None
+    conds = []
+    for ws in lexicon.values():
+        one = [w.lower() for w in ws if _is_word(w)]
+        multi = [w for w in ws if not _is_word(w)]
+        c = F.arrays_overlap(hits, F.array(*[F.lit(w) for w in one])) if one else F.lit(False)
+        if multi:
+            c = c | asset_match(text, multi)
+        conds.append(c)
+    return conds
+
+
 def tag_assets(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
-    """Multi-label asset list, lexicon order, one native regex per asset."""
-    return F.array_compact(F.array(*[F.when(asset_match(text, ws), F.lit(a)) for a, ws in lexicon.items()]))
+    """Multi-label asset list in lexicon order (portable word boundaries, T8)."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(a)) for a, c in zip(lexicon, _asset_conditions(text, lexicon))]))
 
 
 def asset_mentions(df: DataFrame, text_cols: Sequence[str], lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
     """Rows mentioning each asset, in a single pass (one conditional count per asset)."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols])
-    aggs = [F.count_if(asset_match(text, ws)).alias(f"m{i}") for i, ws in enumerate(lexicon.values())]
-    wide = df.agg(*aggs)
+    hits = df.select(F.array(*[c.alias(f"c{i}") for i, c in enumerate(_asset_conditions(text, lexicon))]).alias("h"))
+    wide = hits.agg(*[F.count_if(F.col("h")[i]).alias(f"m{i}") for i in range(len(lexicon))])
     pairs = F.array(*[F.struct(F.lit(a).alias("asset"), F.col(f"m{i}").alias("mentions"))
                       for i, a in enumerate(lexicon)])
     return wide.select(F.explode(pairs).alias("p")).select("p.asset", "p.mentions")
