@@ -18,6 +18,10 @@ from textsignal.functions.columns import hash_uniform
 from textsignal.operators.metrics import balanced_accuracy_expr, confusion, roc_auc
 
 
+def _parallelism(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
+
+
 def paired_table(preds: DataFrame, base: str, other: str, keys: Sequence[str] = ("asset",), date: str = "date",
                  model: str = "model", y: str = "y_true", score: str = "y_proba") -> DataFrame:
     """One row per (keys, date): truth, base and other scores, date index 0..n-1 and n."""
@@ -58,8 +62,12 @@ def paired_bootstrap(pairs: DataFrame, keys: Sequence[str] = ("asset",), n_boot:
     (keys, metric): point, boot_mean, 2.5 % / 97.5 % percentiles, share > 0, n_boot."""
     keys = list(keys)
     n = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    draws = (n.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-             .select(*keys, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")))
+    # replicates are spread over every core before the draws are generated and hashed; the
+    # later aggregates and windows on (keys, b, ...) reuse this partitioning (no more exchanges
+    # when the small pair table is broadcast by AQE)
+    reps = (n.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+            .repartition(_parallelism(pairs), *keys, "b"))
+    draws = reps.select(*keys, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     draws = draws.select(*keys, "b", F.pmod(hash_uniform(F.lit(str(seed)), *keys, "b", "j"), F.col("n")).alias("idx"))
     mult = draws.groupBy(*keys, "b", "idx").agg(F.count(F.lit(1)).alias("m"))
     x = mult.join(pairs, keys + ["idx"])
@@ -94,8 +102,9 @@ def permutation_test(pairs: DataFrame, keys: Sequence[str] = ("asset",), n_perm:
     Shuffle r maps the date of rank k to the date whose md5(seed, key, r, date) ranks k;
     ranking runs per (key, r), i.e. over one asset's test dates."""
     keys = list(keys)
-    perms = pairs.select(*keys, "date", F.col("pb").alias("pb_src"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("r"))
+    perms = (pairs.select(*keys, "date", F.col("pb").alias("pb_src"),
+                          F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("r"))
+             .repartition(_parallelism(pairs), *keys, "r"))   # hash + rank spread over all cores
     h = hash_uniform(F.lit(str(seed)), *keys, "r", F.col("date").cast("string"))
     w = Window.partitionBy(*keys, "r").orderBy(h, "date")
     ranked = perms.select(*keys, "r", "pb_src", (F.row_number().over(w) - 1).cast("long").alias("idx"))

@@ -42,9 +42,19 @@ DATED_TEXT_STRICT = r"^\d{4}-\d{2}-\d{2}:\s"            # X3 text line
 TABLE_ROW = r"^\d{4}-\d{2}-\d{2},"                      # X3 table row
 
 
+WHITESPACE = " \t\n\x0b\x0c\r"   # the regex class \s: space, tab, LF, VT, FF, CR
+
+
 def pystrip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """``str.strip()`` over the ASCII whitespace class (not only spaces, unlike ``trim``);
+    a character-set trim, no regex."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def compact(arr: Column, elem_type: str = "string") -> Column:
+    """Drop NULL elements without a lambda (``array_compact`` is a ``filter`` HOF, which turns
+    whole-stage codegen and common-subexpression elimination off for the projection)."""
+    return F.array_except(arr, F.array(F.lit(None).cast(elem_type)))
 
 
 # ---------------------------------------------------------------- X6 / X7 / X8
@@ -83,7 +93,7 @@ def _asset_conditions(text: Column, lexicon: Mapping[str, Sequence[str]]) -> lis
 
 def tag_assets(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """Multi-label asset list in lexicon order (portable word boundaries, T8)."""
-    return F.array_compact(F.array(*[F.when(c, F.lit(a)) for a, c in zip(lexicon, _asset_conditions(text, lexicon))]))
+    return compact(F.array(*[F.when(c, F.lit(a)) for a, c in zip(lexicon, _asset_conditions(text, lexicon))]))
 
 
 def asset_mentions(df: DataFrame, text_cols: Sequence[str], lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -113,11 +123,11 @@ def normalize_events(df: DataFrame, date_col: str, text_cols: Sequence[str], ass
         ts = F.try_to_timestamp(F.col(date_col).cast("string")).cast("timestamp_ntz")
     text = pystrip(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols]))
     raw = F.coalesce(F.col(asset_col).cast("string"), F.lit("")) if asset_col else F.lit("")
-    out = df.select(*keep, ts.alias("event_time"), text.alias("text"), raw.alias("asset_raw"))
-    return (out.select(*keep, "event_time", F.to_date("event_time").alias("event_date"), "text",
-                       F.length("text").alias("text_len"), "asset_raw",
-                       tag_assets(F.concat_ws(" ", "text", "asset_raw"), lexicon).alias("asset_list"))
-            .where(F.col("event_time").isNotNull() & (F.col("text_len") > min_len)))
+    out = (df.select(*keep, ts.alias("event_time"), text.alias("text"), raw.alias("asset_raw"))
+           .where(F.col("event_time").isNotNull() & (F.length("text") > min_len)))
+    return out.select(*keep, "event_time", F.to_date("event_time").alias("event_date"), "text",
+                      F.length("text").alias("text_len"), "asset_raw",
+                      tag_assets(F.concat_ws(" ", "text", "asset_raw"), lexicon).alias("asset_list"))
 
 
 # ---------------------------------------------------------------- X1 / X2

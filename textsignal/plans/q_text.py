@@ -10,7 +10,7 @@ from textsignal.operators import align, text
 from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import rnd, round_cols
-from textsignal.plans.views_sql import STRIP, with_views
+from textsignal.plans.views_sql import WS, with_views
 
 WC = r"\p{L}\p{N}_"
 LEX = text.DEFAULT_SENTIMENT
@@ -276,7 +276,7 @@ _LINES = f"""
          regexp_extract(s, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}):\\s*(.*)$', 1) AS d,
          regexp_extract(s, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}):\\s*(.*)$', 2) AS text
   FROM (SELECT asset, date, generate_subscripts(ls, 1) - 1 AS line_no,
-               regexp_replace(unnest(ls), {STRIP}, '', 'g') AS s
+               trim(unnest(ls), {WS}) AS s
         FROM (SELECT asset, date, string_split(text, chr(10)) AS ls FROM flare_raw) a) b"""
 _DL = """
   SELECT asset, date, line_no, CAST(try_strptime(d, '%Y-%m-%d') AS DATE) AS text_date, text
@@ -320,12 +320,12 @@ def decision_date(spark, d):
 # ------------------------------------------------------------------ X3, X4, X5 (instruction records)
 _TXT = r"'^\d{4}-\d{2}-\d{2}:\s'"
 _ROW = r"'^\d{4}-\d{2}-\d{2},'"
-_STRIPF = "lambda x: regexp_replace(x, " + STRIP + ", '', 'g')"
+_STRIPF = "lambda x: trim(x, " + WS + ")"
 _REC = {
     "recl": f"""
   SELECT asset, date, CAST(pos AS INTEGER) AS pos, l FROM (
     SELECT asset, date, generate_subscripts(arr, 1) AS pos, unnest(arr) AS l FROM (
-      SELECT asset, date, list_filter(list_transform(string_split(regexp_replace(text, {STRIP}, '', 'g'), chr(10)),
+      SELECT asset, date, list_filter(list_transform(string_split(trim(text, {WS}), chr(10)),
                                                      {_STRIPF}), lambda x: x <> '') AS arr
       FROM flare_raw) a) b""",
     "recf": f"""
@@ -337,12 +337,12 @@ _REC = {
          count(*) FILTER (WHERE regexp_matches(l, {_ROW}) AND (f.first_text IS NULL OR r.pos < f.first_text))
            AS n_table_lines,
          count(*) FILTER (WHERE regexp_matches(l, {_TXT})) AS n_texts,
-         count(DISTINCT regexp_replace(regexp_extract(l, '^([^:]*):', 1), {STRIP}, '', 'g'))
+         count(DISTINCT trim(regexp_extract(l, '^([^:]*):', 1), {WS}))
            FILTER (WHERE regexp_matches(l, {_TXT})) AS n_text_dates
   FROM recl r JOIN recf f ON r.asset = f.asset AND r.date = f.date GROUP BY 1, 2""",
     "rech": f"""
   SELECT *, CASE WHEN ctx IS NOT NULL
-                 THEN list_transform(string_split(regexp_replace(regexp_extract(ctx, '^[^:]*:(.*)$', 1), {STRIP}, '', 'g'),
+                 THEN list_transform(string_split(trim(regexp_extract(ctx, '^[^:]*:(.*)$', 1), {WS}),
                                                   ','), {_STRIPF})
                  WHEN bare IS NOT NULL THEN list_transform(string_split(bare, ','), {_STRIPF})
                  ELSE [] END AS header

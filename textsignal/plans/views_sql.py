@@ -11,7 +11,7 @@ from textsignal.plans.fixtures import NEWS_LEXICON
 from textsignal.functions.columns import word_pattern
 
 NL = "chr(10)"
-STRIP = r"'^\s+|\s+$'"
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _tag_sql(text: str) -> str:
@@ -53,7 +53,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT doc_id, lang, event_time, CAST(event_time AS DATE) AS event_date, text,
          CAST(length(text) AS INTEGER) AS text_len, asset_raw, {_tag_sql("text || ' ' || asset_raw")} AS asset_list
   FROM (SELECT doc_id, lang, event_time,
-               regexp_replace(concat_ws(' ', coalesce(title, ''), coalesce(body, '')), {STRIP}, '', 'g') AS text,
+               trim(concat_ws(' ', coalesce(title, ''), coalesce(body, '')), {WS}) AS text,
                coalesce(asset_raw, '') AS asset_raw
         FROM news) t
   WHERE event_time IS NOT NULL AND length(text) > 10"""),
@@ -71,7 +71,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
          string_agg(line, {NL} ORDER BY event_date, doc_id, line) AS news
   FROM (SELECT asset, doc_id, event_date, unnest(range(0, 3)) AS k,
                CAST(event_date AS VARCHAR) || ': $' || asset || ' ' ||
-               regexp_replace(split_part(text, {NL}, 1), {STRIP}, '', 'g') AS line
+               trim(split_part(text, {NL}, 1), {WS}) AS line
         FROM news_by_asset) t
   GROUP BY 1, 2"""),
     "flare_raw": (("flare_rows", "flare_news"), f"""
