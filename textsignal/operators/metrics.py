@@ -222,3 +222,37 @@ def forecast_errors(df: DataFrame, by: Sequence[str], actual: str, pred: str) ->
     e = F.col(actual) - F.col(pred)
     return df.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                                F.count(e).alias("n"))
+
+
+def bounded_group_metrics(preds: DataFrame, by: Sequence[str], y: str = "y", score: str = "s",
+                          weight: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """Confusion, accuracy, balanced accuracy and exact AUC per group in ONE aggregation, for
+    groups whose *distinct scores* are bounded (e.g. one asset's test dates in a bootstrap
+    replicate): reduce to (group, score) masses, collect that bounded sorted list per group and
+    fold it once with ``aggregate`` (cumulative negatives give the AUC, the threshold gives the
+    confusion counts).  Partitioning on a prefix of ``by`` is reused (no extra exchange)."""
+    by = list(by)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    d = (preds.groupBy(*by, F.col(score).cast("double").alias("_s"))
+         .agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("p"),
+              F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("n")))
+    g = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), "p", "n"))).alias("l"))
+    z = F.lit(0.0)
+    init = F.struct(z.alias("cn"), z.alias("a"), z.alias("P"), z.alias("N"), z.alias("tp"), z.alias("fp"))
+    t = F.lit(threshold)
+
+    def step(acc, e):
+        hit = e["s"] >= t
+        return F.struct((acc["cn"] + e["n"]).alias("cn"), (acc["a"] + e["p"] * (acc["cn"] + 0.5 * e["n"])).alias("a"),
+                        (acc["P"] + e["p"]).alias("P"), (acc["N"] + e["n"]).alias("N"),
+                        (acc["tp"] + F.when(hit, e["p"]).otherwise(0.0)).alias("tp"),
+                        (acc["fp"] + F.when(hit, e["n"]).otherwise(0.0)).alias("fp"))
+    r = g.select(*by, F.aggregate("l", init, step).alias("_agg"))
+    tp, fp = F.col("_agg.tp"), F.col("_agg.fp")
+    fn, tn = F.col("_agg.P") - tp, F.col("_agg.N") - fp
+    out = r.select(*by, tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
+                   F.when((F.col("_agg.P") > 0) & (F.col("_agg.N") > 0),
+                          F.col("_agg.a") / (F.col("_agg.P") * F.col("_agg.N"))).alias("roc_auc"))
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    return out.select(*by, "tn", "fp", "fn", "tp", (F.col("tp") + F.col("tn")) / n, balanced_accuracy_expr(), "roc_auc") \
+        .toDF(*by, "tn", "fp", "fn", "tp", "accuracy", "balanced_accuracy", "roc_auc")

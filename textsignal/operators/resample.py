@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsignal.functions.columns import hash_uniform
-from textsignal.operators.metrics import balanced_accuracy_expr, confusion, roc_auc
+from textsignal.operators.metrics import bounded_group_metrics
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -34,13 +34,9 @@ def paired_table(preds: DataFrame, base: str, other: str, keys: Sequence[str] =
 
 
 def _metrics(long: DataFrame, by: list[str], threshold: float, weight: str | None) -> DataFrame:
-    x = long.withColumn("y_pred", (F.col("s") >= threshold).cast("int"))
-    cm = confusion(x, by, "y", "y_pred", weight)
-    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    m = cm.select(*by, ((F.col("tp") + F.col("tn")).cast("double") / n.cast("double")).alias("accuracy"),
-                  balanced_accuracy_expr().alias("balanced_accuracy"))
-    auc = roc_auc(x, by, "y", "s", weight, n_buckets=1)
-    return m.join(auc, by, "left")
+    """Per (keys, replicate, model): one bounded aggregation (group = one asset's test dates)."""
+    return bounded_group_metrics(long, by, "y", "s", weight, threshold).select(
+        *by, "accuracy", "balanced_accuracy", "roc_auc")
 
 
 def _long(t: DataFrame, keys: list[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -50,10 +46,14 @@ def _long(t: DataFrame, keys: list[str], extra: Sequence[str] = ()) -> DataFrame
 
 
 def _deltas(m: DataFrame, by: list[str]) -> DataFrame:
+    """other - base per key, as a conditional aggregate (one pass, partitioning reused)."""
     cols = ["accuracy", "balanced_accuracy", "roc_auc"]
-    a = m.where("which = 'base'").select(*by, *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = m.where("which = 'other'").select(*by, *[F.col(c).alias(f"b_{c}") for c in cols])
-    return a.join(b, by).select(*by, *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"delta_{c}") for c in cols])
+    aggs = []
+    for c in cols:
+        aggs += [F.max(F.when(F.col("which") == "base", F.col(c))).alias(f"a_{c}"),
+                 F.max(F.when(F.col("which") == "other", F.col(c))).alias(f"b_{c}")]
+    g = m.groupBy(*by).agg(*aggs)
+    return g.select(*by, *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"delta_{c}") for c in cols])
 
 
 def paired_bootstrap(pairs: DataFrame, keys: Sequence[str] = ("asset",), n_boot: int = 5000, seed: int = 42,

@@ -9,13 +9,16 @@ from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import auc_sql, confusion_sql, round_cols
 from textsignal.plans.views_sql import hash_sql, with_views
+from textsignal.session import materialize
 
 N_BOOT, N_PERM, SEED = 5000, 2000, 42
 
 
 def _pairs(spark, d):
+    """Test pairs (one row per asset and test date) — reused by the replicate and point
+    branches, so the lineage (lineitem -> bars -> target -> split -> scores) is cut once."""
     p = fx.preds(spark, d).where("split = 'test'")
-    return resample.paired_table(p, "market_full", "text", ["asset"])
+    return materialize(resample.paired_table(p, "market_full", "text", ["asset"]))
 
 
 _PAIRS = """

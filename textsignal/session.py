@@ -50,3 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="textsignal-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of a small intermediate that several branches reuse: a reliable
+    ``checkpoint`` into the session's shared checkpoint folder (survives executor loss;
+    never ``localCheckpoint``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
