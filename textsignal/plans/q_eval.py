@@ -454,20 +454,31 @@ FROM cm JOIN auc a ON cm.model = a.model AND cm.asset = a.asset""", "bars", extr
 def flagship_evaluation(spark, d):
     """Minimum end-to-end slice: events -> daily bars (A20) -> next-day target (W1) -> rolling
     return feature (W3/W5) -> chronological date split (C1) -> momentum rule, previous
-    direction (M11) and majority (M10) -> confusion, accuracy, BA, F1, exact AUC per asset."""
+    direction (M11) and majority (M10) -> confusion, accuracy, BA, F1, exact AUC per asset.
+
+    One pass: the previous label is a lag in the same window stage, the train majority is a
+    2-row-per-asset aggregate joined back, the three models are exploded into one long frame,
+    and metrics are one bounded aggregation per (model, asset) (groups = test dates)."""
     b = market.add_returns_rolling(fx.bars(spark, d), ks=(5,))
     y = targets.direction_target(b, 1)
+    w = Window.partitionBy("asset").orderBy("date")
     rows = splits.split_by_date(y, "date").select(
-        "asset", "date", "split", F.col("y").alias("y_true"), F.col("rolling_mean_return_5").alias("rm5"))
-    mom = rows.where("split = 'test'").select(
-        F.lit("momentum").alias("model"), "asset", "y_true",
-        (F.coalesce("rm5", F.lit(0.0)) > 0).cast("int").alias("y_pred"),
-        F.coalesce("rm5", F.lit(0.0)).alias("y_proba"))
-    prev = metrics.previous_direction_baseline(rows.drop("rm5"), ["asset"]).select(
-        F.lit("previous_direction").alias("model"), "asset", "y_true", "y_pred", "y_proba")
-    maj = metrics.majority_baseline(rows.drop("rm5"), ["asset"]).select(
-        F.lit("majority").alias("model"), "asset", "y_true", "y_pred", "y_proba")
-    allm = mom.unionByName(prev).unionByName(maj)
-    ev = metrics.evaluate(allm, ["model", "asset"], n_buckets=16)
+        "asset", "date", "split", F.col("y").alias("y_true"), F.col("rolling_mean_return_5").alias("rm5"),
+        F.lag("y", 1).over(w).alias("prev"))
+    maj = metrics.majority_class(rows.where("split = 'train'"), ["asset"])
+    rm5 = F.coalesce("rm5", F.lit(0.0))
+    models = F.array(
+        F.struct(F.lit("momentum").alias("model"), (rm5 > 0).cast("int").alias("y_pred"), rm5.alias("y_proba")),
+        F.struct(F.lit("previous_direction").alias("model"), F.col("prev").cast("int").alias("y_pred"),
+                 F.col("prev").cast("double").alias("y_proba")),
+        F.struct(F.lit("majority").alias("model"), F.col("majority_class").alias("y_pred"),
+                 F.col("majority_class").cast("double").alias("y_proba")))
+    allm = (rows.where("split = 'test'").join(maj, "asset")
+            .select("asset", "y_true", F.explode(models).alias("m"))
+            .select("m.model", "asset", "y_true", "m.y_pred", "m.y_proba")
+            .where(F.col("y_pred").isNotNull()))
+    cm = metrics.classification_metrics(metrics.confusion(allm, ["model", "asset"]))
+    auc = metrics.roc_auc(allm, ["model", "asset"], n_buckets=1)
+    ev = cm.join(auc, ["model", "asset"])
     return ev.select("model", "asset", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
                      *CM, "accuracy", "balanced_accuracy", "f1", "roc_auc")
