@@ -53,7 +53,7 @@ def class_weight_col(df: DataFrame, y: str = "y", split: str = "split") -> DataF
 
 def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y", split: str = "split",
                      c_grid: Sequence[float] = C_GRID, keys: Sequence[str] = ("asset", "date"),
-                     max_iter: int = 100) -> tuple[DataFrame, DataFrame]:
+                     max_iter: int = 100, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
     """M6 + M8 + M9: for each C fit an L2 logistic regression with balanced weights (sklearn
     objective: regParam = 1 / (C * n_train), no internal standardisation), tune the threshold
     on validation, keep the C with the best validation balanced accuracy (first wins ties),
@@ -75,7 +75,12 @@ def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y
     allv = vals[0]
     for v in vals[1:]:
         allv = allv.unionByName(v)
-    tuned = metrics.tune_threshold(allv, ["ci"])
+    if threshold is None:
+        tuned = metrics.tune_threshold(allv, ["ci"])
+    else:   # M7: fixed threshold, validation BA still reported
+        v = allv.withColumn("y_pred", (F.col("y_proba") >= threshold).cast("int"))
+        tuned = metrics.classification_metrics(metrics.confusion(v, ["ci"])).select(
+            "ci", F.lit(threshold).alias("threshold"), F.col("balanced_accuracy").alias("val_balanced_accuracy"))
     w = Window.orderBy(F.col("val_balanced_accuracy").desc(), F.col("ci"))
     best = tuned.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").first()
     ci, tau = best["ci"], best["threshold"]
@@ -83,10 +88,11 @@ def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y
             .select(*keys, F.col(y).alias("y_true"), vector_to_array("probability")[1].alias("y_proba"))
             .withColumn("y_pred", (F.col("y_proba") >= tau).cast("int"))
             .withColumn("feature_group", F.lit(group)))
+    history = list(models[ci].summary.objectiveHistory)
     sel = data.sparkSession.createDataFrame(
-        [(group, float(c_grid[ci]), float(tau), float(best["val_balanced_accuracy"]), len(cols))],
+        [(group, float(c_grid[ci]), float(tau), float(best["val_balanced_accuracy"]), len(cols), history)],
         "feature_group string, selected_C double, selected_threshold double, val_balanced_accuracy double, "
-        "n_features int")
+        "n_features int, objective_history array<double>")
     data.unpersist()
     return test, sel
 

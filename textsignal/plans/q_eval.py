@@ -482,3 +482,63 @@ def flagship_evaluation(spark, d):
     ev = cm.join(auc, ["model", "asset"])
     return ev.select("model", "asset", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
                      *CM, "accuracy", "balanced_accuracy", "f1", "roc_auc")
+
+
+# ------------------------------------------------------------------ A14, A18, E9, M3
+@register("class_counts", with_views("""
+SELECT split, y, count(*) AS n_rows, count(DISTINCT date) AS n_dates FROM labelled GROUP BY split, y""", "labelled"))
+def class_counts(spark, d):
+    """A14 + A18: class counts and distinct dates per split."""
+    return _lab(spark, d).groupBy("split", "y").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                   F.countDistinct("date").alias("n_dates"))
+
+
+@register("metrics_report", with_views(f"""
+SELECT cm.model, cm.asset, {', '.join(CM)}, {', '.join(f"{rnd(e, 3)} AS {n}" for n, e in metric_exprs())}
+FROM cm""", "preds", extra={"t50": _T50, "cm": confusion_sql("t50", "model, asset")}))
+def metrics_report(spark, d):
+    """The test metric table at threshold 0.5 rounded to 3 decimals (half away from zero on
+    the binary value, identical in every engine, T22)."""
+    from textsignal.functions.columns import round_half_away
+    cm = metrics.classification_metrics(metrics.confusion(_test_at_half(spark, d), ["model", "asset"]))
+    return cm.select("model", "asset", *CM, *[round_half_away(F.col(c), 3).alias(c) for c in MCOLS])
+
+
+_SEQ_FEATS = ["close", "volume"]
+
+
+def _lags(c: str) -> str:
+    return "[" + ", ".join([f"lag({c}, {k}) OVER w" for k in range(9, 0, -1)] + [c]) + "]"
+
+
+@register("sequence_standardize", with_views(f"""
+SELECT split, feature, {rnd('avg(z)')} AS z_mean, {rnd('stddev_pop(z)')} AS z_std, count(*) AS n
+FROM (SELECT s.split, s.feature, (s.v - st.m) / CASE WHEN st.sd > 0 THEN st.sd ELSE 1.0 END AS z
+      FROM steps s JOIN (SELECT feature, avg(v) AS m, stddev_pop(v) AS sd FROM steps WHERE split = 'train'
+                         GROUP BY feature) st ON s.feature = st.feature) x
+GROUP BY split, feature""", "labelled", "bars_long", extra={
+    "seqs": f"""SELECT b.asset, b.date, l.split, {_lags('b.close')} AS cs, {_lags('CAST(b.volume AS DOUBLE)')} AS vs
+                FROM bars_long b LEFT JOIN labelled l ON b.asset = l.asset AND b.date = l.date
+                WINDOW w AS (PARTITION BY b.asset ORDER BY b.date)""",
+    "steps": """SELECT split, 'close' AS feature, coalesce(cs[i], 0.0) AS v FROM seqs, range(1, 11) r(i)
+                WHERE split IS NOT NULL
+                UNION ALL
+                SELECT split, 'volume', coalesce(vs[i], 0.0) FROM seqs, range(1, 11) r(i) WHERE split IS NOT NULL"""}))
+def sequence_standardize(spark, d):
+    """M3: standardise the numeric part of the 10-row sequences with mean/std fitted over
+    (train rows x steps), padding steps included; summary of z per split and feature."""
+    from textsignal.operators import align
+    from textsignal.functions.columns import indexed_explode
+    seq = align.sequence_window(fx.bars_long(spark, d), _SEQ_FEATS, 10)
+    lab = _lab(spark, d).select("asset", "date", "split")
+    rows = seq.join(lab, ["asset", "date"]).select(
+        "split", F.transform("sequence", lambda e: F.array(*[e[f] for f in _SEQ_FEATS])).alias("steps"))
+    long = rows.select("split", F.explode("steps").alias("nums")).select(
+        "split", indexed_explode("nums", "j", "v"))
+    long = long.select("split", F.when(F.col("j") == 0, "close").otherwise("volume").alias("feature"), "v")
+    st = (long.where("split = 'train'").groupBy("feature")
+          .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd")))
+    z = long.join(st, "feature").select(
+        "split", "feature", ((F.col("v") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
+    return z.groupBy("split", "feature").agg(F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"),
+                                             F.count(F.lit(1)).alias("n"))

@@ -39,6 +39,7 @@ def logreg_ablation(spark, d):
     df, man = _features(spark, d)
     res = models.ablation(df, man, GROUPS)
     return res.select("feature_group", "n_features", "selected_C", "selected_threshold", "val_balanced_accuracy",
+                      F.size("objective_history").alias("iterations"),
                       "tn", "fp", "fn", "tp", "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc")
 
 
@@ -80,3 +81,23 @@ def rf_prices(spark, d):
     df, man = _features(spark, d)
     p = models.random_forest(df, man["prices_raw"])
     return metrics.evaluate(p, ["asset"], n_buckets=64)
+
+
+@register("logreg_fixed_c")
+def logreg_fixed_c(spark, d):
+    """M7: C = 1 and threshold 0.5 (no tuning) on the market_full group; test metrics."""
+    df, man = _features(spark, d)
+    test, sel = models.fit_logreg_group(df.cache(), man["market_full"], "market_full", c_grid=(1.0,), threshold=0.5)
+    return metrics.evaluate(test, ["feature_group"], n_buckets=64).join(sel.drop("objective_history"), "feature_group")
+
+
+@register("training_curve")
+def training_curve(spark, d):
+    """Objective per iteration of the selected market_full fit and the best iteration."""
+    df, man = _features(spark, d)
+    _, sel = models.fit_logreg_group(df.cache(), man["market_full"], "market_full", c_grid=(1.0,), threshold=0.5)
+    from textsignal.functions.columns import indexed_explode
+    h = sel.select("feature_group", indexed_explode("objective_history", "iteration", "objective"))
+    from pyspark.sql import Window
+    best = F.min("objective").over(Window.partitionBy("feature_group"))
+    return h.select("*", (F.col("objective") == best).alias("is_best"))

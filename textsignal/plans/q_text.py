@@ -422,3 +422,74 @@ def record_skip_counts(spark, d):
     reason = (F.when(~F.col("has_price"), "no_price").when(F.col("n_numeric") == 0, "no_features")
               .when(F.col("header_str") != F.col("first_header"), "inconsistent_header").otherwise("kept"))
     return r.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ A15, J9 + T14, X12
+@register("nonzero_sentiment", with_views("""
+SELECT asset, count(*) AS n_texts, count(*) FILTER (WHERE score <> 0) AS n_nonzero FROM scored_by_asset GROUP BY asset""",
+                                          "events_norm", extra=_SC))
+def nonzero_sentiment(spark, d):
+    """Texts with a non-zero sentiment score per asset."""
+    s = align.explode_assets(_scored(spark, d))
+    return s.groupBy("asset").agg(F.count(F.lit(1)).alias("n_texts"),
+                                  F.count_if(F.col("sentiment.score") != 0).alias("n_nonzero"))
+
+
+@register("record_texts", with_views("""
+SELECT h.asset, h.date, coalesce(u.used_text_count, 0) AS used_text_count,
+       coalesce(u.n_steps_with_text, 0) AS n_steps_with_text
+FROM rech h LEFT JOIN (
+  SELECT asset, date, CAST(sum(k) AS INTEGER) AS used_text_count, CAST(count(*) FILTER (WHERE k > 0) AS INTEGER)
+           AS n_steps_with_text
+  FROM (SELECT r.asset, r.date, r.row_date, count(t.l) AS k
+        FROM (SELECT * FROM kept WHERE rd <= 10) r
+        LEFT JOIN (SELECT asset, date, trim(regexp_extract(l, '^([^:]*):', 1), """ + WS + """) AS tdate, l
+                   FROM recl WHERE regexp_matches(l, """ + _TXT + """)) t
+          ON t.asset = r.asset AND t.date = r.date AND t.tdate = CAST(r.row_date AS VARCHAR)
+             AND r.row_date <= r.date - INTERVAL 1 DAY
+        GROUP BY 1, 2, 3) x
+  GROUP BY 1, 2) u ON h.asset = u.asset AND h.date = u.date""", "flare_raw", extra=_REC))
+def record_texts(spark, d):
+    """J9 + T14: per record, texts attached to the kept table rows of the same date, only when
+    the row date is at least one day before the decision date (text lag 1); texts of dates
+    without a table row are dropped (the reference behaviour), counted here."""
+    p = _parsed(spark, d)
+    cut = F.date_sub("decision_date", 1)
+    used = F.transform("rows", lambda r: F.when(r["date"] <= cut, F.size(F.filter(
+        "texts", lambda t: t["date"] == r["date"].cast("string")))).otherwise(0))
+    x = p.select("asset", "date", used.alias("u"))
+    return x.select("asset", "date", F.aggregate("u", F.lit(0), lambda a, v: a + v).alias("used_text_count"),
+                    F.size(F.filter("u", lambda v: v > 0)).alias("n_steps_with_text"))
+
+
+def hashing_encoder(dim: int = EMB_DIM):
+    """Deterministic stand-in text encoder (feature hashing of word tokens, L2-normalised), used
+    to exercise the batched inference path without model weights.  A real model factory plugs
+    into ``text.embed_text`` the same way."""
+    import re as _re
+    import zlib
+
+    import numpy as np
+    tok = _re.compile(r"\\w+", _re.UNICODE)
+
+    def encode(texts):
+        out = []
+        for t in texts:
+            v = np.zeros(dim)
+            for w in tok.findall(t.lower()):
+                v[zlib.crc32(w.encode("utf-8")) % dim] += 1.0
+            n = np.linalg.norm(v)
+            out.append(v / n if n > 0 else v)
+        return out
+    return encode
+
+
+@register("embed_texts")
+def embed_texts(spark, d):
+    """Batched text embedding (iterator pandas_udf, encoder loaded once per task, batches
+    of 16, blank text -> zero vector) over every normalised news text; norm and non-zero dims."""
+    e = text.embed_text(fx.events_norm(spark, d).select("doc_id", "text"), "text", lambda: hashing_encoder(EMB_DIM),
+                        EMB_DIM, batch_size=16)
+    from textsignal.functions.columns import l2_norm
+    return e.select("doc_id", l2_norm("embedding").alias("embedding_norm"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero_dims"))
