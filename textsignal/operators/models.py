@@ -65,7 +65,7 @@ def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y
     models = {}
     for i, c in enumerate(c_grid):
         lr = LogisticRegression(featuresCol="features", labelCol=y, weightCol="w", regParam=1.0 / (c * n_train),
-                                elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
+                                elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-5)
         m = lr.fit(train)
         models[i] = m
         v = (m.transform(data.where(F.col(split) == "validation"))
@@ -98,18 +98,61 @@ def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y
 
 
 def ablation(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str], y: str = "y",
-             split: str = "split", c_grid: Sequence[float] = C_GRID) -> DataFrame:
-    """The same classifier over many feature groups (empty groups skipped), metrics per group."""
-    rows = None
-    df = df.cache()   # one feature frame for every group and C (SURVEY §4)
+             split: str = "split", c_grid: Sequence[float] = C_GRID, max_iter: int = 100,
+             parallelism: int = 8, keys: Sequence[str] = ("asset", "date")) -> DataFrame:
+    """M12 (+ M6, M8, M9): the same classifier over many feature groups; empty groups skipped.
+
+    * train-only impute/scale statistics are fitted once for the union of all group columns
+      (per-column statistics do not depend on the group);
+    * every (group, C) fit is submitted concurrently (like ``CrossValidator(parallelism=...)``)
+      on one cached frame;
+    * thresholds are tuned for all (group, C) in one job, the best C per group is picked by a
+      window (validation BA desc, first C wins ties), and all groups are evaluated in one job.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    groups = [g for g in groups if manifest.get(g)]
+    cols = list(dict.fromkeys(c for g in groups for c in manifest[g]))
+    base = class_weight_col(standardized_features(df, cols, split, "_all"), y, split)
     for g in groups:
-        cols = list(manifest.get(g, []))
-        if not cols:
-            continue
-        test, sel = fit_logreg_group(df, cols, g, y, split, c_grid)
-        ev = metrics.evaluate(test, ["feature_group"], n_buckets=64).join(sel, "feature_group")
-        rows = ev if rows is None else rows.unionByName(ev)
-    return rows
+        base = VectorAssembler(inputCols=list(manifest[g]), outputCol=f"f_{g}").transform(base)
+    data = base.drop("_all").cache()
+    train = data.where(F.col(split) == "train")
+    n_train = train.count()
+    tasks = [(g, i, c) for g in groups for i, c in enumerate(c_grid)]
+
+    def fit(t):
+        g, i, c = t
+        lr = LogisticRegression(featuresCol=f"f_{g}", labelCol=y, weightCol="w", regParam=1.0 / (c * n_train),
+                                elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-5)
+        return t, lr.fit(train)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        fitted = dict(ex.map(fit, tasks))
+    val = data.where(F.col(split) == "validation")
+    vals = [m.transform(val).select(F.lit(g).alias("feature_group"), F.lit(i).alias("ci"), F.col(y).alias("y_true"),
+                                    vector_to_array("probability")[1].alias("y_proba"))
+            for (g, i, _), m in fitted.items()]
+    allv = vals[0]
+    for v in vals[1:]:
+        allv = allv.unionByName(v)
+    tuned = metrics.tune_threshold(allv, ["feature_group", "ci"])
+    w = Window.partitionBy("feature_group").orderBy(F.col("val_balanced_accuracy").desc(), F.col("ci"))
+    best = {r["feature_group"]: r for r in
+            tuned.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").collect()}   # one row per group
+    test = data.where(F.col(split) == "test")
+    preds, sel_rows = None, []
+    for g in groups:
+        b = best[g]
+        m = fitted[(g, b["ci"], c_grid[b["ci"]])]
+        p = (m.transform(test).select(*keys, F.lit(g).alias("feature_group"), F.col(y).alias("y_true"),
+                                      vector_to_array("probability")[1].alias("y_proba"))
+             .withColumn("y_pred", (F.col("y_proba") >= b["threshold"]).cast("int")))
+        preds = p if preds is None else preds.unionByName(p)
+        sel_rows.append((g, float(c_grid[b["ci"]]), float(b["threshold"]), float(b["val_balanced_accuracy"]),
+                         len(manifest[g]), list(m.summary.objectiveHistory)))
+    sel = data.sparkSession.createDataFrame(
+        sel_rows, "feature_group string, selected_C double, selected_threshold double, "
+                  "val_balanced_accuracy double, n_features int, objective_history array<double>")
+    return metrics.evaluate(preds, ["feature_group"], n_buckets=64).join(sel, "feature_group")
 
 
 def pca_embeddings(df: DataFrame, vec: str, k: int, split: str = "split") -> tuple[DataFrame, float, int]:
