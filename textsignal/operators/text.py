@@ -242,16 +242,24 @@ DEFAULT_SENTIMENT = {
 }
 
 
+def _count_words(lower_text: Column, words: Sequence[str]) -> Column:
+    alt = "|".join(re.escape(w.lower()) for w in words)
+    return F.regexp_count(lower_text, F.lit(rf"(?<![{WORD_CHAR}])(?:{alt})(?![{WORD_CHAR}])"))
+
+
 def lexicon_scores(text: Column, lexicon: Mapping[str, Sequence[str]] = DEFAULT_SENTIMENT) -> Column:
     """X9/X10/X11 native default: word-list shares over the *whole* text as one struct:
     n_words, p_pos, p_neg, p_neu, p_unc, score = p_pos - p_neg, abs_score, label.
-    Blank text -> zeros and label 'neutral'."""
-    tk = tokens(text)
-    n = F.size(tk)
+    Blank text -> zeros and label 'neutral'.
+
+    Words are maximal runs of letters/digits/underscore; each share is the number of whole-word
+    matches of the list over the number of words, counted with ``regexp_count`` (no token
+    array, no lambda: the projection stays in whole-stage codegen)."""
+    lt = F.lower(F.coalesce(text, F.lit("")))
+    n = F.regexp_count(lt, F.lit(f"[{WORD_CHAR}]+")).cast("int")
 
     def share(words):
-        cnt = F.size(F.filter(tk, lambda t: t.isin(*words)))
-        return F.when(n > 0, cnt / n).otherwise(F.lit(0.0))
+        return F.when(n > 0, _count_words(lt, words) / n).otherwise(F.lit(0.0))
     p_pos, p_neg, p_unc = share(lexicon["positive"]), share(lexicon["negative"]), share(lexicon["uncertain"])
     score = p_pos - p_neg
     return F.struct(n.alias("n_words"), p_pos.alias("p_pos"), p_neg.alias("p_neg"),
