@@ -104,6 +104,11 @@ def indexed_explode(arr: str | Column, index: str = "pos", value: str = "value")
     return F.inline(F.transform(col_(arr), lambda x, i: F.struct(i.alias(index), x.alias(value))))
 
 
+def explode_computed(arr: str | Column, name: str) -> Column:
+    """``explode`` replacement for a *computed* array (see ``indexed_explode``)."""
+    return F.inline(F.transform(col_(arr), lambda x: F.struct(x.alias(name))))
+
+
 def round_half_away(x: Column, digits: int = 6) -> Column:
     """Round the *binary* value scaled by 10^digits to an integer, half away from zero.
 

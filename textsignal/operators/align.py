@@ -16,11 +16,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsignal.functions.columns import explode_computed
+
 
 def explode_assets(events: DataFrame, asset_list: str = "asset_list") -> DataFrame:
     """P12 for all assets at once: one row per (event, asset)."""
     others = [c for c in events.columns if c != asset_list]
-    return events.select(*others, F.explode(asset_list).alias("asset"))
+    return events.select(*others, explode_computed(asset_list, "asset"))
 
 
 def daily_text(events_by_asset: DataFrame, date: str = "event_date") -> DataFrame:

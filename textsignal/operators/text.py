@@ -256,11 +256,16 @@ def lexicon_scores(text: Column, lexicon: Mapping[str, Sequence[str]] = DEFAULT_
     matches of the list over the number of words, counted with ``regexp_count`` (no token
     array, no lambda: the projection stays in whole-stage codegen)."""
     lt = F.lower(F.coalesce(text, F.lit("")))
-    n = F.regexp_count(lt, F.lit(f"[{WORD_CHAR}]+")).cast("int")
+    return _shares(F.regexp_count(lt, F.lit(f"[{WORD_CHAR}]+")).cast("int"), _count_words(lt, lexicon["positive"]),
+                   _count_words(lt, lexicon["negative"]), _count_words(lt, lexicon["uncertain"]))
 
-    def share(words):
-        return F.when(n > 0, _count_words(lt, words) / n).otherwise(F.lit(0.0))
-    p_pos, p_neg, p_unc = share(lexicon["positive"]), share(lexicon["negative"]), share(lexicon["uncertain"])
+
+def _shares(n, npos, nneg, nunc) -> Column:
+    n, npos, nneg, nunc = (col_(c) for c in (n, npos, nneg, nunc))
+
+    def share(c):
+        return F.when(n > 0, c / n).otherwise(F.lit(0.0))
+    p_pos, p_neg, p_unc = share(npos), share(nneg), share(nunc)
     score = p_pos - p_neg
     return F.struct(n.alias("n_words"), p_pos.alias("p_pos"), p_neg.alias("p_neg"),
                     F.when(n > 0, 1.0 - p_pos - p_neg).otherwise(F.lit(0.0)).alias("p_neu"),
@@ -277,7 +282,14 @@ def score_text(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pd.S
     batches).  Blank texts and scorer failures give 0.0 (reference rule).
     """
     if scorer is None:
-        return df.withColumn("sentiment", lexicon_scores(F.col(text_col), lexicon))
+        # counts first (one regex pass each), shares in a second projection: the struct below
+        # references every count several times and must not re-run the regexes
+        lt = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        counts = df.select("*", F.regexp_count(lt, F.lit(f"[{WORD_CHAR}]+")).cast("int").alias("_nw"),
+                           _count_words(lt, lexicon["positive"]).alias("_np"),
+                           _count_words(lt, lexicon["negative"]).alias("_nn"),
+                           _count_words(lt, lexicon["uncertain"]).alias("_nu"))
+        return counts.select(*df.columns, _shares("_nw", "_np", "_nn", "_nu").alias("sentiment"))
     schema = "p_pos double, p_neg double, p_neu double"
 
     @F.pandas_udf(schema)

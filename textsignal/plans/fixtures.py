@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textsignal.functions.columns import hash_uniform, safe_div
+from textsignal.functions.columns import explode_computed, hash_uniform, safe_div
 from textsignal.operators import market, splits, targets, text
 from textsignal.sources.tables import load
 
@@ -68,7 +68,7 @@ def news_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (doc, asset) of the tagged news (explode of the asset list)."""
     e = events_norm(spark, sf_dir)
     return e.select("doc_id", "lang", "event_time", "event_date", "text", "text_len",
-                    F.explode("asset_list").alias("asset"))
+                    explode_computed("asset_list", "asset"))
 
 
 def flare_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

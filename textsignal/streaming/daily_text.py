@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textsignal.functions.columns import explode_computed
 from textsignal.operators.text import normalize_events
 
 
@@ -23,7 +24,7 @@ def daily_text_stream(spark: SparkSession, path: str, schema: StructType, date_c
     raw = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
     ev = normalize_events(raw, date_col, text_cols, asset_col, lexicon)
     ev = ev.withColumn("event_ts", F.col("event_time").cast("timestamp"))
-    by_asset = ev.select("event_ts", "text_len", F.explode("asset_list").alias("asset"))
+    by_asset = ev.select("event_ts", "text_len", explode_computed("asset_list", "asset"))
     return (by_asset.withWatermark("event_ts", watermark)
             .groupBy("asset", F.window("event_ts", "1 day"))
             .agg(F.count(F.lit(1)).alias("text_count"), F.avg("text_len").alias("avg_text_len"),
