@@ -12,6 +12,7 @@ from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import (W, auc_sql, c1_sql, confusion_sql, gated, log_ratio, metric_exprs,
                                       metrics_cols, rnd, round_cols)
 from textsignal.plans.views_sql import with_views
+from textsignal.session import materialize
 from textsignal.sources.tables import load
 
 MCOLS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1"]
@@ -179,7 +180,8 @@ _MF_LONG = {"inc": _inc_sql("bars_long"), "mf": _mf_sql(),
 def _mf_long(spark, d):
     mf, man = market.market_full(fx.bars_long(spark, d))
     lab = _lab(spark, d).select("asset", "date", "split")
-    return prep.to_long(mf.join(lab, ["asset", "date"]), ["asset", "date", "split"], man["market_full"])
+    # the long frame feeds the quantile's two passes and the moments: cut its lineage once
+    return materialize(prep.to_long(mf.join(lab, ["asset", "date"]), ["asset", "date", "split"], man["market_full"]))
 
 
 @register("train_median_impute", with_views(f"""
