@@ -493,3 +493,15 @@ def embed_texts(spark, d):
     from textsignal.functions.columns import l2_norm
     return e.select("doc_id", l2_norm("embedding").alias("embedding_norm"),
                     F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero_dims"))
+
+
+@register("lost_text_days", with_views("""
+SELECT s.asset, count(*) AS lost_text_days
+FROM (SELECT asset, CAST(date + INTERVAL 1 DAY AS DATE) AS date FROM ds) s
+WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.asset = s.asset AND b.date = s.date)
+GROUP BY s.asset""", "bars", "events_norm", extra={**_SC, "ds": _DS}))
+def lost_text_days(spark, d):
+    """T13 audit for J2: text days whose next calendar day has no bar (their sentiment is lost)."""
+    b = fx.bars(spark, d).select("asset", "date")
+    ds = _daily_sent(spark, d).select("asset", "date")
+    return align.lost_text_days(b, ds, 1)
