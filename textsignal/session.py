@@ -56,5 +56,9 @@ def materialize(df):
     """Cut the lineage of a small intermediate that several branches reuse: a reliable
     ``checkpoint`` into the session's shared checkpoint folder (survives executor loss;
     never ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
+    try:
+        ensure_checkpoint_dir(df.sparkSession)
+    except RuntimeError:   # a cluster without a shared checkpoint folder: keep lineage, persist
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint(eager=True)
