@@ -70,14 +70,24 @@ def row_balanced_splits(df: DataFrame, date: str = "date", train: float = 0.70,
 
 
 def row_splits(df: DataFrame, order: list[str], train: float = 0.70, val: float = 0.15) -> DataFrame:
-    """C3 (legacy): first 70 % / next 15 % of *rows*; dates can leak across splits.
-    Kept only as the negative case of the leak audit (a global row order is one task)."""
-    w = Window.orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = F.row_number().over(w)
-    return df.select("*", F.when(r <= F.floor(n * F.lit(train)), "train")
-                     .when(r <= F.floor(n * F.lit(round(train + val, 10))), "validation")
-                     .otherwise("test").alias("split"))
+    """C3 (legacy): first 70 % / next 15 % of rows in ``order`` (first key = the date); dates can
+    leak across splits — kept only as the negative case of the leak audit.
+
+    The global row number is rebuilt without a global sort: rows before each date come from a
+    running sum over the per-date counts (the small date table), plus the rank inside the date
+    (bounded by the rows of one date, e.g. the assets of a daily bar table)."""
+    date, rest = order[0], order[1:]
+    per = df.groupBy(date).agg(F.count(F.lit(1)).alias("_nd"))
+    wd = Window.orderBy(date)
+    per = per.select(date, F.coalesce(F.sum("_nd").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
+                                      F.lit(0)).alias("_before"),
+                     F.sum("_nd").over(Window.partitionBy()).alias("_n"))
+    inner = Window.partitionBy(date).orderBy(*rest) if rest else Window.partitionBy(date).orderBy(date)
+    x = df.join(per, date).withColumn("_r", F.col("_before") + F.row_number().over(inner))
+    n, r = F.col("_n"), F.col("_r")
+    return x.select(*df.columns, F.when(r <= F.floor(n * F.lit(train)), "train")
+                    .when(r <= F.floor(n * F.lit(round(train + val, 10))), "validation")
+                    .otherwise("test").alias("split"))
 
 
 def tail_split(df: DataFrame, n: int = 30, asset: str = "asset", date: str = "date") -> DataFrame:
