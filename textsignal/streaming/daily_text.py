@@ -23,10 +23,16 @@ def daily_text_stream(spark: SparkSession, path: str, schema: StructType, date_c
     """Streaming DataFrame of (asset, window start date, text_count, avg_text_len, max_text_len)."""
     raw = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
     ev = normalize_events(raw, date_col, text_cols, asset_col, lexicon)
-    ev = ev.withColumn("event_ts", F.col("event_time").cast("timestamp"))
+    # watermarks need a zoned TIMESTAMP: map the wall-clock NTZ time to the same instant in UTC with
+    # zone-free arithmetic, so day windows equal calendar days whatever the session time zone
+    t = F.col("event_time")
+    secs = (F.unix_date(F.to_date(t)).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+            + F.second(t))
+    ev = ev.withColumn("event_ts", F.timestamp_seconds(secs))
     by_asset = ev.select("event_ts", "text_len", explode_computed("asset_list", "asset"))
     return (by_asset.withWatermark("event_ts", watermark)
             .groupBy("asset", F.window("event_ts", "1 day"))
             .agg(F.count(F.lit(1)).alias("text_count"), F.avg("text_len").alias("avg_text_len"),
                  F.max("text_len").alias("max_text_len"))
-            .select("asset", F.to_date("window.start").alias("date"), "text_count", "avg_text_len", "max_text_len"))
+            .select("asset", F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
+                    .alias("date"), "text_count", "avg_text_len", "max_text_len"))
