@@ -59,7 +59,7 @@ def roc_auc(preds: DataFrame, by: Sequence[str], y: str = "y_true", score: str =
     """Exact ROC-AUC with ties counted 1/2, NULL when a class is missing.
 
     1. reduce to distinct (group, score) with positive/negative mass (partial agg);
-    2. bucket scores by rank inside their group's [min, max] range;
+    2. bucket scores with a fixed monotone map (atan), so bucket order = score order;
     3. prefix-sum negatives per bucket (bounded by ``n_buckets`` rows per group);
     4. inside a bucket, a window adds the negatives of lower scores.
     ``n_buckets=1`` is the plain window for groups known to be small.
@@ -71,11 +71,10 @@ def roc_auc(preds: DataFrame, by: Sequence[str], y: str = "y_true", score: str =
          .agg(F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0)).alias("p"),
               F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0.0)).alias("n")))
     if n_buckets > 1:
-        rng = d.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-        width = F.col("hi") - F.col("lo")
-        b = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("lo")) / width * n_buckets),
-                                      F.lit(n_buckets - 1))).otherwise(0)
-        d = d.join(rng, by).select(*by, "s", "p", "n", b.cast("int").alias("bucket"))
+        # a fixed monotone map of the score (no per-group min/max pass): bucket order = score order
+        u = F.atan(F.col("s")) / F.lit(3.141592653589793) + F.lit(0.5)
+        b = F.least(F.greatest(F.floor(u * n_buckets), F.lit(0)), F.lit(n_buckets - 1))
+        d = d.select(*by, "s", "p", "n", b.cast("int").alias("bucket"))
         bt = d.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"))
         wb = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         bt = bt.select(*by, "bucket", F.coalesce(F.sum("bn").over(wb), F.lit(0.0)).alias("n_before"))

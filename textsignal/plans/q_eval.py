@@ -20,7 +20,14 @@ CM = ["tn", "fp", "fn", "tp"]
 
 
 def _lab(spark, d):
-    return fx.labelled_bars_long(spark, d)
+    """Labelled long bars (target + date split), materialized once per query: several branches
+    (train statistics, test rows, dates) reuse it."""
+    return materialize(fx.labelled_bars_long(spark, d))
+
+
+def _preds(spark, d):
+    """The prediction fixture, materialized once per query (confusion, AUC and tuning reuse it)."""
+    return materialize(fx.preds(spark, d))
 
 
 # ------------------------------------------------------------------ splits
@@ -277,7 +284,7 @@ SELECT model, asset, {round_cols(['threshold', 'val_balanced_accuracy'])} FROM t
                                          extra={"tuned": _TUNE}))
 def threshold_tuning(spark, d):
     """M8: best validation balanced accuracy over the 91-value grid; lowest threshold on ties."""
-    p = fx.preds(spark, d).where("split = 'validation'")
+    p = _preds(spark, d).where("split = 'validation'")
     return metrics.tune_threshold(p, ["model", "asset"])
 
 
@@ -290,7 +297,7 @@ FROM cm JOIN tuned t ON cm.model = t.model AND cm.asset = t.asset""", "preds", e
     "cm": confusion_sql("tp_", "model, asset")}))
 def confusion_metrics(spark, d):
     """E1 + E2 on test at the validation-tuned threshold, per (model, asset)."""
-    p = fx.preds(spark, d)
+    p = _preds(spark, d)
     tuned = metrics.tune_threshold(p.where("split = 'validation'"), ["model", "asset"])
     test = p.where("split = 'test'").join(tuned, ["model", "asset"]).withColumn(
         "y_pred", (F.col("y_proba") >= F.col("threshold")).cast("int"))
@@ -304,11 +311,11 @@ SELECT model, asset, split, {rnd('roc_auc')} AS roc_auc FROM ({auc_sql('preds',
                                       "preds"))
 def roc_auc_exact(spark, d):
     """Exact ROC-AUC (ties 1/2) per (model, asset, split), bucketed prefix sums."""
-    return metrics.roc_auc(fx.preds(spark, d), ["model", "asset", "split"], n_buckets=64)
+    return metrics.roc_auc(_preds(spark, d), ["model", "asset", "split"], n_buckets=64)
 
 
 def _test_at_half(spark, d):
-    return fx.preds(spark, d).where("split = 'test'").withColumn(
+    return _preds(spark, d).where("split = 'test'").withColumn(
         "y_pred", (F.col("y_proba") >= 0.5).cast("int"))
 
 
