@@ -78,23 +78,27 @@ def coverage(events_by_asset: DataFrame, keys: Sequence[str] = ("table_name", "a
         F.percentile(F.col("n").cast("double"), 0.5).alias("median_events_per_active_date"))
 
 
-def top_assets(events_by_asset: DataFrame, order: Mapping[str, int], n: int = 6,
-               table: str = "table_name") -> DataFrame:
-    """K5: the n most mentioned assets per table; lexicon position breaks ties."""
-    c = events_by_asset.groupBy(table, "asset").agg(F.count(F.lit(1)).alias("n_events"))
+def daily_counts(events_by_asset: DataFrame, table: str = "table_name", date: str = "event_date") -> DataFrame:
+    """(table, asset, date, text_count): the small per-day table every candidate step reads."""
+    return events_by_asset.groupBy(table, "asset", F.col(date).alias("date")).agg(
+        F.count(F.lit(1)).alias("text_count"))
+
+
+def top_assets(daily: DataFrame, order: Mapping[str, int], n: int = 6, table: str = "table_name") -> DataFrame:
+    """K5: the n most mentioned assets per table from the per-day counts; lexicon position
+    breaks ties."""
+    c = daily.groupBy(table, "asset").agg(F.sum("text_count").alias("n_events"))
     pos = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])[F.col("asset")]
     w = Window.partitionBy(table).orderBy(F.col("n_events").desc(), pos)
     return c.select("*", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= n)
 
 
-def candidates(bars: DataFrame, events_by_asset: DataFrame, picks: DataFrame, horizons: Sequence[int] = (1, 3, 7),
+def candidates(bars: DataFrame, daily: DataFrame, picks: DataFrame, horizons: Sequence[int] = (1, 3, 7),
                pad_before: int = 30, pad_after: int = 30, table: str = "table_name") -> DataFrame:
     """A11 + A12 + S11: every (table, asset, horizon) candidate in one job.
 
     Bars are clipped to ``[min_text - pad_before, max_text + max(h) + pad_after)``; text
     counts join on the same day (T19: the research step uses lag 0); targets use h rows."""
-    daily = events_by_asset.groupBy(table, "asset", F.col("event_date").alias("date")).agg(
-        F.count(F.lit(1)).alias("text_count"))
     daily = daily.join(picks.select(table, "asset"), [table, "asset"])
     rng = daily.groupBy(table, "asset").agg(F.min("date").alias("lo"), F.max("date").alias("hi"),
                                             F.count(F.lit(1)).alias("news_dates"))

@@ -471,9 +471,10 @@ def flagship_evaluation(spark, d):
     b = market.add_returns_rolling(fx.bars(spark, d), ks=(5,))
     y = targets.direction_target(b, 1)
     w = Window.partitionBy("asset").orderBy("date")
-    rows = splits.split_by_date(y, "date").select(
+    # daily rows are tiny next to the ticks: one tick scan, then every branch reads this
+    rows = materialize(splits.split_by_date(y, "date").select(
         "asset", "date", "split", F.col("y").alias("y_true"), F.col("rolling_mean_return_5").alias("rm5"),
-        F.lag("y", 1).over(w).alias("prev"))
+        F.lag("y", 1).over(w).alias("prev")))
     maj = metrics.majority_class(rows.where("split = 'train'"), ["asset"])
     rm5 = F.coalesce("rm5", F.lit(0.0))
     models = F.array(

@@ -12,6 +12,7 @@ from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import rnd, round_cols
 from textsignal.plans.views_sql import with_views
+from textsignal.session import materialize
 from textsignal.sources.tables import load
 
 LEX_POS = {a: i for i, a in enumerate(fx.NEWS_LEXICON)}
@@ -44,7 +45,7 @@ _PICKS = f"""
 @register("top_assets", with_views("SELECT * FROM picks", "news_by_asset", extra={"picks": _PICKS}))
 def top_assets(spark, d):
     """K5: six most mentioned assets per table (lexicon order breaks ties)."""
-    return profile.top_assets(_eba(spark, d), LEX_POS, 6)
+    return profile.top_assets(profile.daily_counts(_eba(spark, d)), LEX_POS, 6)
 
 
 _CAND = {
@@ -87,9 +88,11 @@ _CSEL = f"{', '.join(_CCOLS)}, {round_cols(['positive_share', 'target_balance_sc
 
 
 def _cands(spark, d):
-    eba = _eba(spark, d)
-    picks = profile.top_assets(eba, LEX_POS, 6)
-    return profile.candidates(fx.bars(spark, d), eba, picks, (1, 3, 7), 30, 30)
+    # the per-day counts are small (tables x assets x days): materialize once, every step reads them
+    daily = materialize(profile.daily_counts(_eba(spark, d)))
+    picks = profile.top_assets(daily, LEX_POS, 6)
+    bars = materialize(fx.bars(spark, d))
+    return profile.candidates(bars, daily, picks, (1, 3, 7), 30, 30)
 
 
 @register("candidate_overlap", with_views(f"SELECT {_CSEL} FROM cand", "bars", "news_by_asset", extra=_CAND))
