@@ -186,9 +186,10 @@ _MF_LONG = {"inc": _inc_sql("bars_long"), "mf": _mf_sql(),
 
 def _mf_long(spark, d):
     mf, man = market.market_full(fx.bars_long(spark, d))
-    lab = _lab(spark, d).select("asset", "date", "split")
+    # target and date split straight on the feature frame: one bars aggregation, no join back
+    lab = splits.split_by_date(targets.direction_target(mf, 1), "date")
     # the long frame feeds the quantile's two passes and the moments: cut its lineage once
-    return materialize(prep.to_long(mf.join(lab, ["asset", "date"]), ["asset", "date", "split"], man["market_full"]))
+    return materialize(prep.to_long(lab, ["asset", "date", "split"], man["market_full"]))
 
 
 @register("train_median_impute", with_views(f"""

@@ -15,8 +15,8 @@ GROUPS = ["prices_raw", "returns_rolling", "volume_rolling", "market_full"]
 
 def _features(spark, d):
     mf, man = market.market_full(fx.bars_long(spark, d))
-    lab = fx.labelled_bars_long(spark, d).select("asset", "date", "y", "split")
-    return mf.join(lab, ["asset", "date"]), man
+    # target + date split on the feature frame itself (one bars aggregation, no join back)
+    return splits.split_by_date(targets.direction_target(mf, 1), "date"), man
 
 
 @register("dickey_fuller", with_views(f"""
