@@ -183,8 +183,9 @@ def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": part["n_bytes"],
                                     "n_tokens": count_texts(part["text"].tolist(), path)})
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    # ids travel as strings: pandas would turn integers with nulls into floats
+    own = docs.select(F.col(doc_id).cast("string").alias("doc_id"), text_or_empty(text).alias("text"))
     own = own.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    out = own.mapInPandas(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = own.mapInPandas(count, "doc_id string, n_bytes long, n_tokens long")
+    out = out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

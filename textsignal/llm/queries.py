@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textsignal.llm import op1_mixing, op4_token_counts, op7_sentencepiece, op8_quality
+from textsignal.llm import (op1_mixing, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
+                            op7_sentencepiece, op8_quality, op9_ann)
 from textsignal.llm.common import documents
+from textsignal.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,12 +26,30 @@ def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the fixed patterns and the spans that the CRF adds."""
+    return op3_pii.personal_data(documents(spark, sf_dir))
+
+
 @query
 def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the compiled transducer."""
     return op4_token_counts.token_counts(documents(spark, sf_dir))
 
 
+@query
+def op5_suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated 200-byte strings."""
+    return op5_suffix_dedup.dedup(documents(spark, sf_dir))
+
+
+@query
+def op6_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document in the exact shingle join."""
+    return op6_jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 @query
 def op7_sentencepiece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-scored pieces of every document, decoded again."""
@@ -42,6 +62,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.quality_report(documents(spark, sf_dir))
 
 
+@query
+def op9_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found for every embedding whose id is divisible by 50."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return op9_ann.search(vectors, vectors.filter(f"vec_id % {op9_ann.EVERY} = 0"))
+
+
 _t = op1_mixing.TEMPERATURE
 ORACLE["op1_mixing_sources"] = f"""
 WITH size AS (SELECT source, sum(coalesce(octet_length(encode(text)), 0))::DOUBLE AS size FROM documents GROUP BY source),
