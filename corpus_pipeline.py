@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textsignal.llm import op1_mixing, op7_sentencepiece, op8_quality
+from textsignal.llm import op1_mixing, op6_jaccard_join, op7_sentencepiece, op8_quality, op10_secrets
 from textsignal.llm.common import documents, stash
 
 
@@ -14,6 +14,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_quality.filter_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of each component stays."""
+    return op6_jaccard_join.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: secrets are masked in the texts; every document stays."""
+    return op10_secrets.redact(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the kept documents replicated and shuffled to tempered source weights."""
     return op1_mixing.mix(docs).select(*docs.columns)
@@ -24,7 +34,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op7_sentencepiece.encode(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing sources", mixing), ("sentencepiece", encoding)]
+STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("secret scans", secrets),
+          ("mixing sources", mixing), ("sentencepiece", encoding)]
 
 #: Later stages use a trained forest and a piece automaton, which SQL can't express; tests compare a brute-force version.
 ORACLE_SQL = None

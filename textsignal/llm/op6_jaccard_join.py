@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from textsignal.llm.common import buckets, stash, text_or_empty
+from textsignal.llm.common import WORD, buckets, stash, text_or_empty
 from textsignal.llm.components import components
 from textsignal.llm.textarrays import blocks, mixed, shingle_sets
 
@@ -228,27 +228,39 @@ def unit_links(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return stash(first.union(linked(distances(rest, sets))), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, unit (of its text), n_shingles, component (a unit)."""
     units = units_of(docs, doc_id, text)
     counted = stash(census(units), "jaccard-census")
     frequent = counted.filter("s is not null").groupBy("s").agg(F.sum("n").alias("n"))
     label = components(unit_links(units, frequent)).select(F.col("node").alias("unit"), "component")
     d = counted.filter("unit is not null").select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "unit", "n_shingles")
-    d = d.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    return d.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    d = classes(docs, doc_id, text)
     least = d.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return d.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each component: the one that names it; of repeated rows and null ids
-    one row.  Documents without shingles are linked with nothing and all stay."""
-    report = jaccard_components(docs, doc_id, text)
-    keep = report.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    blank = docs.filter(~text_or_empty(text).rlike(r"[^\x20\x09-\x0D]"))
-    named = docs.filter(text_or_empty(text).rlike(r"[^\x20\x09-\x0D]"))
-    ids = keep.filter("n_shingles > 0").select(F.col("component_id").alias("kept_id")).distinct()
-    some = named.join(ids, named[doc_id].eqNullSafe(ids["kept_id"]), "left_semi")
-    return some.dropDuplicates([doc_id]).unionByName(blank)
+    """The documents with one row of each component: the one with the least id (null last).  Documents
+    without shingles are linked with nothing and all stay."""
+    d = classes(docs, doc_id, text).filter("n_shingles > 0")
+    rows = d.groupBy("component", "unit", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    best = rows.groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "copies")).alias("x"))
+    chosen = stash(best.select(F.col("x.doc_id").alias("jj_id"), F.col("x.unit").alias("jj_unit"),
+                               F.col("x.copies").alias("jj_copies")), "jaccard-chosen")
+    t = text_or_empty(text)
+    keyed = docs.withColumn("jj_own", F.xxhash64(t))
+    blank = docs.filter(~t.rlike(WORD))
+    same = (F.col("jj_own") == F.col("jj_unit")) & F.col(doc_id).eqNullSafe(F.col("jj_id"))
+    one = keyed.join(chosen.filter("jj_copies = 1"), same, "left_semi").select(*docs.columns)
+    again = keyed.join(chosen.filter("jj_copies > 1"), same, "left_semi").dropDuplicates(
+        ["jj_own", doc_id]).select(*docs.columns)      # repeated rows
+    return one.union(again).union(blank)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textsignal.llm import (op1_mixing, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
+from textsignal.llm import (op10_secrets, op1_mixing, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
                             op7_sentencepiece, op8_quality, op9_ann)
 from textsignal.llm.common import documents
 from textsignal.sources.tables import load
@@ -69,6 +69,12 @@ def op9_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_ann.search(vectors, vectors.filter(f"vec_id % {op9_ann.EVERY} = 0"))
 
 
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document, as the forest judges them."""
+    return op10_secrets.secret_report(documents(spark, sf_dir))
+
+
 _t = op1_mixing.TEMPERATURE
 ORACLE["op1_mixing_sources"] = f"""
 WITH size AS (SELECT source, sum(coalesce(octet_length(encode(text)), 0))::DOUBLE AS size FROM documents GROUP BY source),
