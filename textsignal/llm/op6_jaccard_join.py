@@ -10,10 +10,11 @@ replicate everything everywhere.  The first pivots are therefore single shingles
 that any document within TAU must meet: the first ``size - ceil(3/4 size) + 1``.  A document is
 replicated to the regions of its window and nowhere else.  Regions with the same members are one.
 
-Inside a region the first member is the pivot, and the distances of all members to it are computed
-exactly.  Members within TAU of it are joined.  The rest is joined recursively: only members that
-no chain of found links joins yet, and only pairs that the triangle inequality leaves,
-``|d(x, p) - d(y, p)| <= TAU``, are compared exactly.  Links inside one found component can't change
+Inside a region the first member is the pivot.  Sketches (counters of shingles by leading bits) bound the
+symmetric difference from below, so they settle most pairs without their sets; for the others the
+distance to the pivot is computed exactly, and members within TAU of it are joined.  The rest is joined
+recursively: only members that no chain of found links joins yet, and only pairs that the triangle
+inequality leaves, ``|d(x, p) - d(y, p)| <= TAU``, and the sketches allow, are compared exactly.  Links inside one found component can't change
 any component and are not sought.  Components come from alternating star steps.
 
 Order.  Any order gives the same links.  It comes from a mergeable count over all documents: each task
@@ -43,7 +44,9 @@ WORDS = 5              # fixed by the contract
 TAU = 0.25             # distance of a similarity of 0.75 (fixed by the contract)
 HOT_IN_TASK = 3
 HOT_LIST = 1 << 18
-ENTRY = np.dtype([("s", "<u8"), ("unit", "<i8"), ("size", "<u4")])
+SKETCH = 256           # counters of a set's sketch
+PAIRED = 48            # up to this many members a region's pairs are checked by place
+ENTRY = np.dtype([("s", "<u8"), ("unit", "<i8"), ("size", "<u4"), ("place", "<u2")])
 
 
 def units_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -53,27 +56,36 @@ def units_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def census(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, unit, n_shingles) of all documents and (s, n) of the shingles frequent in a task."""
+    """Rows (doc_id, unit, n_shingles, sketch) of all documents and (s, n) of the shingles frequent in a
+    task.  A sketch counts a set's shingles by their leading bits (up to 255 each); a task sends that of
+    equal texts once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         kept, often = [], defaultdict(int)
         for b in batches:
             texts, units = b["text"].tolist(), b["unit"].to_numpy()
-            sizes = np.zeros(len(b), np.int64)
+            sizes, sketches = np.zeros(len(b), np.int64), [None] * len(b)
             for lo, hi in blocks(texts):
                 sets = shingle_sets(texts[lo:hi], WORDS)
                 sizes[lo:hi] = [len(s) for s in sets]
                 fresh = [i for i in range(hi - lo) if units[lo + i] not in seen and not seen.add(units[lo + i])]
                 kept += [sets[i] for i in fresh]
+                for i in fresh:
+                    sketches[lo + i] = sketch(sets[i])
                 if sum(map(len, kept)) > 4_000_000:
                     _count(kept, often)
                     kept = []
-            yield pd.DataFrame({"doc_id": b["doc_id"], "unit": units, "n_shingles": sizes}).assign(s=None, n=None)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "unit": units, "n_shingles": sizes, "sketch": sketches}).assign(s=None, n=None)
         _count(kept, often)
         if often:
-            yield pd.DataFrame({"doc_id": None, "unit": None, "n_shingles": None, "s": list(often), "n": list(often.values())})
+            yield pd.DataFrame({"doc_id": None, "unit": None, "n_shingles": None, "sketch": None, "s": list(often), "n": list(often.values())})
 
-    return docs.mapInPandas(run, "doc_id string, unit long, n_shingles long, s long, n long")
+    return docs.mapInPandas(run, "doc_id string, unit long, n_shingles long, sketch binary, s long, n long")
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _count(sets: list[np.ndarray], often: dict[int, int]) -> None:
@@ -118,6 +130,7 @@ def entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
                         w = window(s, sent.value)
                         e = np.empty(len(w), ENTRY)
                         e["s"], e["unit"], e["size"] = w, units[i], len(s)
+                        e["place"] = np.minimum(np.arange(len(w)), 65535)
                         ready.append(e)
                 if sum(map(len, ready)) > 2_000_000:
                     yield packed(ready, n)
@@ -152,6 +165,12 @@ def regions(bucket: pd.DataFrame) -> pd.DataFrame:
         return empty
     keep = np.repeat(many, sizes)
     e, sizes = e[keep], sizes[many]
+    viable = in_reach(e, sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)[viable]
+    e, sizes = e[viable], np.bincount(group, minlength=len(sizes))
+    sizes = sizes[sizes > 0]
+    if not len(e):
+        return empty
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     name = np.add.reduceat(mixed(e["unit"].view(np.uint64)), first) + sizes.astype(np.uint64)
     _, one = np.unique(name, return_index=True)
@@ -164,6 +183,37 @@ def regions(bucket: pd.DataFrame) -> pd.DataFrame:
                          "pivot_size": e["size"][pivot][rows].astype(np.int64)})
 
 
+def in_reach(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Members that have a partner in their region for which this could be the first common shingle: what
+    follows in both sets must suffice for the overlap ``3/7 (a + b)`` that a similarity of 3/4 needs.
+    A pair that fails here is found in the region of its first common shingle, or is no link."""
+    out = np.ones(len(e), bool)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for m in np.unique(sizes[sizes <= PAIRED]):
+        starts = first[sizes == m]
+        for lo in range(0, len(starts), max(1, (1 << 20) // int(m * m))):
+            at = starts[lo:lo + max(1, (1 << 20) // int(m * m)), None] + np.arange(m)
+            size = e["size"][at].astype(np.int64)
+            rest = size - e["place"][at]
+            need = 3 * (size[:, :, None] + size[:, None, :])
+            pair = (7 * np.minimum(rest[:, :, None], rest[:, None, :]) >= need) & ~np.eye(m, dtype=bool)
+            out[at] = pair.any(axis=2)
+    return out
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link.  The counters' differences add up to at most the
+    symmetric difference, which is at most ``(a + b) / 7`` at a similarity of 3/4."""
+    side = lambda c: sketches.select(F.col("unit").alias(c), F.col("sketch").alias(f"k{c}"), F.col("n_shingles").alias(f"n{c}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            k = [np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("ka", "kb")]
+            yield x.loc[7 * np.abs(k[0] - k[1]).sum(axis=1) <= (x["na"] + x["nb"]).to_numpy(), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(unit, shingles) of the wanted units, read again from their texts."""
     some = docs.select("unit", "text").join(wanted, "unit", "left_semi").dropDuplicates(["unit"])
@@ -190,9 +240,10 @@ def linked(d: DataFrame) -> DataFrame:
     return d.filter(100 * F.col("common") >= 75 * F.col("both")).select("a", "b")
 
 
-def unit_links(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def unit_links(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """(a, b): links between different texts that together join all that are linked."""
     n = buckets(docs)
+    frequent = counted.filter("s is not null").groupBy("s").agg(F.sum("n").alias("n"))
     top = frequent.orderBy(F.desc("n"), "s").limit(HOT_LIST).toPandas()     # bounded by HOT_LIST
     hot = np.zeros(len(top), [("s", "<u8"), ("rank", "<i8")])
     hot["s"], hot["rank"] = top["s"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
@@ -200,40 +251,40 @@ def unit_links(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     found = entries(docs, hot, n).groupBy("bucket").applyInPandas(
         regions, "region long, unit long, size long, pivot long, pivot_size long")
     members = stash(found.dropDuplicates(["region", "unit"]), "jaccard-regions")
-    sets = stash(sets_of(docs, members.select("unit").distinct()), "jaccard-sets")
-
-    # a member that can't be within 2 TAU of the pivot by size alone needs no exact distance to it
-    near = (F.col("unit") != F.col("pivot")) & (
-        F.least("size", "pivot_size") >= (1 - 2 * TAU) * F.greatest("size", "pivot_size"))
-    spokes = members.filter(near).select(F.col("pivot").alias("a"), F.col("unit").alias("b")).distinct()
-    to_pivot = stash(distances(spokes, sets), "jaccard-spokes")
+    sketches = counted.filter("sketch is not null").select("unit", "sketch", "n_shingles").dropDuplicates(["unit"])
+    sketches = stash(sketches.join(members.select("unit").distinct(), "unit", "left_semi"), "jaccard-sketches")
+
+    close = lambda a, b: 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+    spokes = members.filter((F.col("unit") != F.col("pivot")) & close("size", "pivot_size")).select(
+        F.col("pivot").alias("a"), F.col("unit").alias("b")).distinct()
+    spokes = stash(possible(spokes, sketches), "jaccard-spokes")
+    sets = stash(sets_of(docs, spokes.select(F.col("a").alias("unit")).union(spokes.select("b")).distinct()), "jaccard-sets")
+    to_pivot = stash(distances(spokes, sets), "jaccard-distances")
     first = linked(to_pivot)
 
     # the rest: members of regions that still hold several components
     label = components(first).select(F.col("node").alias("unit"), "component")
     m = members.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     d = to_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("unit"), (1 - F.col("common") / F.col("both")).alias("d"))
-    open_regions = m.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    m = m.join(open_regions.select("region"), "region", "left_semi").filter("unit != pivot").join(d, ["pivot", "unit"], "left")
-    # unknown: more than 2 TAU from the pivot
-    m = stash(m.select("region", "unit", "size", "component", F.coalesce("d", F.lit(1.0)).alias("d"), F.col("d").isNull().alias("far")),
-              "jaccard-open")
-    x, y = m.toDF("region", "a", "sa", "ca", "da", "fa"), m.toDF("region", "b", "sb", "cb", "db", "fb")
-    slack = F.lit(TAU + 1e-9)
-    triangle = F.when(F.col("fa") & F.col("fb"), F.lit(True)).when(F.col("fa"), F.col("db") + slack >= 2 * TAU).when(
-        F.col("fb"), F.col("da") + slack >= 2 * TAU).otherwise(F.abs(F.col("da") - F.col("db")) <= slack)
+    others = m.filter("unit != pivot")
+    open_regions = others.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    m = others.join(open_regions.select("region"), "region", "left_semi").join(d, ["pivot", "unit"], "left")
+    m = stash(m.select("region", "unit", "size", "component", "d"), "jaccard-open")
+    x, y = m.toDF("region", "a", "sa", "ca", "da"), m.toDF("region", "b", "sb", "cb", "db")
+    triangle = F.coalesce(F.abs(F.col("da") - F.col("db")) <= TAU + 1e-9, F.lit(True))   # both known
     rest = x.join(y, "region").filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (4 * F.least("sa", "sb") >= 3 * F.greatest("sa", "sb")) & triangle).select("a", "b").distinct()
-    return stash(first.union(linked(distances(rest, sets))), "jaccard-links")
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close("sa", "sb") & triangle).select("a", "b").distinct()
+    rest = stash(possible(rest, sketches), "jaccard-rest")
+    wanted = rest.select(F.col("a").alias("unit")).union(rest.select("b")).distinct()
+    more = sets_of(docs, wanted.join(sets.select("unit"), "unit", "left_anti"))
+    return stash(first.union(linked(distances(rest, sets.union(more)))), "jaccard-links")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, unit (of its text), n_shingles, component (a unit)."""
     units = units_of(docs, doc_id, text)
     counted = stash(census(units), "jaccard-census")
-    frequent = counted.filter("s is not null").groupBy("s").agg(F.sum("n").alias("n"))
-    label = components(unit_links(units, frequent)).select(F.col("node").alias("unit"), "component")
+    label = components(unit_links(units, counted)).select(F.col("node").alias("unit"), "component")
     d = counted.filter("unit is not null").select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "unit", "n_shingles")
     return d.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textsignal.llm import (op10_secrets, op1_mixing, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
+from textsignal.llm import (op10_secrets, op1_mixing, op2_lm_scoring, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
                             op7_sentencepiece, op8_quality, op9_ann)
 from textsignal.llm.common import documents
 from textsignal.sources.tables import load
@@ -26,6 +26,12 @@ def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op2_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention-model and baseline scores of every document."""
+    return op2_lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: the fixed patterns and the spans that the CRF adds."""
