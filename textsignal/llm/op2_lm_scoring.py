@@ -5,13 +5,16 @@ lower-cased (A-Z); their words and one end each are the tokens of the baseline.
 
 Model.  The words, each behind a space, are spelt in subword ids: the first SUBWORDS entries of a public
 byte-level BPE vocabulary, and one id for the end.  An id's *value* is its distribution of next ids, with
-one table for the id right before the target and one for those up to REACH ids before it; the tables are
-counted over all training texts.  The last id is the query; it attends to the ids of its context, itself
-included, and to a sink whose value is the overall distribution of ids:
+one table for the id right before the target and one for those up to REACH ids before it; the phrases of
+the last two and three ids have values as well (the most frequent PHRASES of each length, smoothed by the
+shorter one).  The values are counted over all training texts.  The last id is the query; it attends to
+the ids of its context, itself included, to the two phrases, and to a sink whose value is the overall
+distribution of ids:
 
     p(next) = sum over context j of attention(last, j) * value_j(next)
 
-with attention the softmax of ``query . key + bias of the distance``.  Queries, keys and biases are trained
+with attention the softmax of ``query . key + bias of the distance`` (of a phrase: a bias by how often it
+was seen).  Queries, keys and biases are trained
 in numpy by gradient steps on the log-likelihood.  Every group of documents trains on its own training
 texts (tables from one half, targets from every STRIDE-th place of the other), from the same
 start; the groups' parameters are averaged by their number of targets.  So what is learnt covers all
@@ -19,8 +22,9 @@ documents, and grows with them.  Contexts are windows that overlap by all but on
 text's start; each token is scored once, in batches.
 
 Work.  Documents are dealt to groups by a hash.  A group sends its vocabulary with training counts,
-packed by word hash; the summed counts come back to the groups that asked, so no task ever holds the whole
-vocabulary.  The tables (bounded by SUBWORDS squared) are added up in rounds of FAN groups and broadcast.
+packed by word hash (and phrases seen at least LEAST times, packed likewise); the summed word counts come back to the groups that asked, so no task ever holds the whole
+vocabulary.  The tables (bounded by SUBWORDS squared) are added up in rounds of FAN groups; they and the
+phrases (bounded by PHRASES) are broadcast.
 
 Defined results: null and empty texts have one token, the end; a null id is training; ``base_score``
 and ``score`` are log10 probabilities; without training documents counts are 0 and the tables uniform;
@@ -49,6 +53,10 @@ STEPS_OF = 8192             # targets of a gradient step
 RATE, SEED = 0.1, 7
 PRIOR = (4.0, 40.0)         # weight of the overall distribution in the two tables
 FAN = 16                    # groups that are added up at a time
+LEAST = {2: 2, 3: 3}        # a group sends the phrases and next ids that it saw this often, by phrase length
+PHRASES = 1 << 20           # that are kept of each length
+DISCOUNT = 0.75             # what smoothing takes from each count of a phrase
+LEVELS = 16                 # of the bias of a phrase
 SIZE = SUBWORDS + 1
 
 
@@ -110,61 +118,136 @@ def values(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(tables).astype(np.float32), overall.astype(np.float32)
 
 
+def phrase_counts(ids: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of (phrase, next id) inside texts, and their counts."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keys = ids[:len(ids) - length].astype(np.int64)
+    for k in range(1, length + 1):
+        keys = keys * SIZE + ids[k:len(ids) - length + k]
+    return np.unique(keys[text[length:] == text[:len(text) - length]], return_counts=True)
+
+
+def joined_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
+class Places:
+    """A hash table from 64-bit keys to their places, probed in numpy rounds."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.mask = keys, (1 << (2 * len(keys) + 8).bit_length()) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self.start(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def start(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys; -1 where there is none."""
+        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self.start(keys)
+        while len(left):
+            s = self.slots[at]
+            hit = s >= 0
+            hit[hit] = self.keys[s[hit]] == keys[left[hit]]
+            out[left[hit]] = s[hit]
+            on = (s >= 0) & ~hit
+            left, at = left[on], (at[on] + 1) & self.mask
+        return out
+
+
+class Phrases:
+    """Values of the phrases of one length: counts of the next ids, their sum and number by phrase."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.pairs, self.counts = Places(keys), counts.astype(np.float32)
+        phrase, at = np.unique(keys // SIZE, return_inverse=True)
+        self.phrases = Places(phrase)
+        self.total = np.append(np.bincount(at, counts, minlength=len(phrase)), 0).astype(np.float32)
+        self.kinds = np.append(np.bincount(at, minlength=len(phrase)), 0).astype(np.float32)
+
+    def value(self, phrase: np.ndarray, target: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Smoothed probability of the targets, and the level of the phrases (0: never seen)."""
+        at = self.phrases.find(phrase)
+        total, kinds, pair = self.total[at], self.kinds[at], np.full(len(at), -1, np.int32)
+        seen = np.flatnonzero(at >= 0)
+        pair[seen] = self.pairs.find(phrase[seen] * SIZE + target[seen])
+        own = np.where(pair >= 0, self.counts[pair] - DISCOUNT, 0) if len(self.counts) else np.zeros(len(at))
+        value = np.where(total > 0, (own + DISCOUNT * kinds * lower) / np.maximum(total, 1), lower)
+        return value, np.minimum(np.log2(total + 1).astype(np.int64), LEVELS - 1)
+
+
 def start_parameters() -> dict[str, np.ndarray]:
     random = np.random.default_rng(SEED)
     near = np.zeros(REACH)
     near[0] = 2.0
+    level = np.minimum(np.arange(LEVELS), 6.0) / 2
     return {"query": 0.1 * random.standard_normal((SIZE, WIDTH)), "key": 0.1 * random.standard_normal((SIZE, WIDTH)),
-            "bias": near, "sink": np.zeros(SIZE)}
+            "bias": near, "sink": np.zeros(SIZE), "level2": level + 1, "level3": level + 2}
 
 
 def attend(logits: np.ndarray, exists: np.ndarray) -> np.ndarray:
-    """Softmax over the sink (first) and the context places that exist."""
+    """Softmax over the sink (first), the context places that exist and the phrases that do."""
     logits[:, 1:][~exists] = -np.inf
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def mixture(p: dict[str, np.ndarray], table: np.ndarray, overall: np.ndarray, ids: np.ndarray, first: np.ndarray,
-            places: np.ndarray, scores: np.ndarray | None = None):
-    """Attention, values of the targets, and the context of each place."""
-    context, exists = contexts(ids, first, places)
+def mixture(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray, places: np.ndarray,
+            scores: np.ndarray | None = None):
+    """Attention, values of the targets, context of each place, what of it exists, levels of the phrases."""
+    table, overall, books = model
+    context, there = contexts(ids, first, places)
     last, target = context[:, 0], ids[places]
-    logits = np.empty((len(places), REACH + 1), np.float32)
+    exists = np.concatenate([there, there[:, 1:3]], axis=1)
+    logits = np.empty((len(places), REACH + 3), np.float32)
     logits[:, 0] = p["sink"][last]
     if scores is None:
-        logits[:, 1:] = np.einsum("md,mld->ml", p["query"][last], p["key"][context]) + p["bias"]
+        logits[:, 1:REACH + 1] = np.einsum("md,mld->ml", p["query"][last], p["key"][context]) + p["bias"]
     else:
-        logits[:, 1:] = scores[last[:, None], context] + p["bias"].astype(np.float32)
+        logits[:, 1:REACH + 1] = scores[last[:, None], context] + p["bias"].astype(np.float32)
     value = np.empty_like(logits)
     value[:, 0] = overall[target]
     value[:, 1] = table[0][last, target]
-    value[:, 2:] = table[1][context[:, 1:], target[:, None]]
-    return attend(logits, exists), value, context, exists
-
-
-def train(ids: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
-    """Parameters after one pass over a group's training texts, and the number of targets."""
+    value[:, 2:REACH + 1] = table[1][context[:, 1:], target[:, None]]
+    phrase, levels = last.astype(np.int64), []
+    for k in (2, 3):
+        phrase = phrase + context[:, k - 1].astype(np.int64) * SIZE ** (k - 1)
+        value[:, REACH + k - 1], level = books[k].value(phrase, target, value[:, 1 if k == 2 else REACH + 1])
+        logits[:, REACH + k - 1] = p[f"level{k}"][level]
+        levels.append(level)
+    return attend(logits, exists), value, context, exists, levels
+
+
+def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters after one pass over a group's training texts, and the number of targets.  The values come
+    from the texts before ``half`` (``counts``: their phrases), the targets from the others."""
     p = start_parameters()
-    half = (len(first) - 1) // 2
     if half < 1:
         return p, 0
     cut = first[half]
-    table, overall = values(pair_counts(ids[:cut], first[:half + 1]))
-    places = np.arange(cut, len(ids), STRIDE)
-    places = np.random.default_rng(SEED).permutation(places)
+    model = (*values(pair_counts(ids[:cut], first[:half + 1])),
+             {k: Phrases(*(x[n >= LEAST[k]] for x in (keys, n))) for k, (keys, n) in counts.items()})
+    places = np.random.default_rng(SEED).permutation(np.arange(cut, len(ids), STRIDE))
     power = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     for lo in range(0, len(places), STEPS_OF):
         some = np.sort(places[lo:lo + STEPS_OF])
-        a, v, context, exists = mixture(p, table, overall, ids, first, some)
+        a, v, context, exists, levels = mixture(p, model, ids, first, some)
         prob = (a * v).sum(axis=1, keepdims=True)
         up = a * (v - prob) / prob / len(some)             # gradient of the mean log-likelihood in the logits
         up[:, 1:][~exists] = 0
-        last, g = context[:, 0], {k: np.zeros_like(x) for k, x in p.items()}
-        g["bias"] = up[:, 1:].sum(axis=0)
+        near, last, g = up[:, 1:REACH + 1], context[:, 0], {}
+        g["bias"] = near.sum(axis=0)
         g["sink"] = np.bincount(last, up[:, 0], minlength=SIZE)
+        for k, level in zip((2, 3), levels):
+            g[f"level{k}"] = np.bincount(level, up[:, REACH + k - 1], minlength=LEVELS)
         # sums by (query id, key id) turn the gradients of queries and keys into two matrix products
-        pair = np.bincount((last[:, None].astype(np.int64) * SIZE + context).ravel(), up[:, 1:].ravel(),
+        pair = np.bincount((last[:, None].astype(np.int64) * SIZE + context).ravel(), near.ravel(),
                            minlength=SIZE * SIZE).reshape(SIZE, SIZE)
         g["query"], g["key"] = pair @ p["key"], pair.T @ p["query"]
         for k in p:
@@ -173,13 +256,12 @@ def train(ids: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], in
     return p, len(places)
 
 
-def score_ids(p: dict[str, np.ndarray], table: np.ndarray, overall: np.ndarray, ids: np.ndarray, first: np.ndarray,
-              scores: np.ndarray) -> np.ndarray:
+def score_ids(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
     logs = np.empty(len(ids))
     for lo in range(0, len(ids), 1 << 15):
         places = np.arange(lo, min(lo + (1 << 15), len(ids)))
-        a, v, _, _ = mixture(p, table, overall, ids, first, places, scores)
+        a, v, *_ = mixture(p, model, ids, first, places, scores)
         logs[places] = np.log10((a * v).sum(axis=1).astype(np.float64))
     return np.add.reduceat(logs, first[:-1])
 
@@ -226,14 +308,36 @@ def learn_group(n: int, path: str):
         total, parameters, targets = np.zeros((3, SIZE * SIZE), np.int64), start_parameters(), 0
         if own:
             ids, first = ids_of(own, path)
-            total = pair_counts(ids, first)
-            parameters, targets = train(ids, first)
+            total, half = pair_counts(ids, first), len(own) // 2
+            cut = first[half]
+            halves = {k: [phrase_counts(ids[:cut], first[:half + 1], k), phrase_counts(ids[cut:], first[half:] - cut, k)]
+                      for k in LEAST}
+            parameters, targets = train(ids, first, half, {k: x[0] for k, x in halves.items()})
+            for k, parts in halves.items():
+                keys, seen = joined_counts(parts)
+                keys, seen = keys[seen >= LEAST[k]], seen[seen >= LEAST[k]]
+                to = (mixed((keys // SIZE).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+                for b in np.unique(to).tolist():
+                    out.append((k, b, keys[to == b].tobytes(), seen[to == b].astype(np.uint32).tobytes()))
         out.append((1, 0, squeeze(total, parameters, targets), b""))
         return pd.DataFrame(out, columns=["kind", "bucket", "a", "b"]).assign(g=group["g"].iloc[0])
 
     return run
 
 
+def add_phrases(n: int):
+    """Summed counts of a bucket's phrases of one length, the most frequent of them (all buckets together
+    keep PHRASES)."""
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        keys, seen = joined_counts([(np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32))
+                                    for a, b in zip(bucket["a"], bucket["b"])])
+        best = np.sort(np.lexsort((keys, -seen))[:PHRASES // n])
+        return pd.DataFrame({"kind": bucket["kind"].iloc[:1].to_numpy(), "a": [keys[best].tobytes()],
+                             "b": [seen[best].astype(np.uint32).tobytes()]})
+
+    return run
+
+
 def add_counts(bucket: pd.DataFrame) -> pd.DataFrame:
     """Summed training counts of a bucket's words, sent back to each group in its own order; a row of
     group -1 has the number of words seen in training and of their tokens."""
@@ -253,6 +357,16 @@ def add_models(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": [int(group["g"].min()) // FAN], "a": [zlib.compress(counts.tobytes() + flat.tobytes(), 1)]})
 
 
+_books: list = []
+
+
+def books(phrases: dict) -> dict[int, Phrases]:
+    """The phrases' hash tables, built once per worker and broadcast."""
+    if not _books or _books[0] is not phrases:
+        _books[:] = [phrases, {k: Phrases(*x) for k, x in phrases.items()}]
+    return _books[1]
+
+
 def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords."""
     path, n = path or default_ranks(), buckets(docs)
@@ -271,13 +385,19 @@ def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         left = -(-left // FAN)
     model = models.first()                                   # bounded by the size of the tables
     counts, flat = loosen(model["a"]) if model else (np.zeros((3, SIZE * SIZE), np.int64), np.zeros(1))
+    kept = learnt.filter("kind > 1").groupBy("kind", "bucket").applyInPandas(
+        add_phrases(n), "kind int, a binary, b binary").collect()            # bounded by PHRASES
+    phrases = {k: joined_counts([(np.zeros(0, np.int64), np.zeros(0, np.uint32)),
+                                 *[(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.uint32)) for r in kept if r["kind"] == k]])
+               for k in LEAST}
     words, tokens = counted.filter("g = -1").agg(F.sum("v"), F.sum("n")).first()
     ends = int(counts[2, SUBWORDS])                          # training documents
     v, total = (words or 0) + (ends > 0), (tokens or 0) + ends
-    sent = docs.sparkSession.sparkContext.broadcast((averaged(flat), *values(counts)))
+    sent = docs.sparkSession.sparkContext.broadcast((averaged(flat), *values(counts), phrases))
 
     def run(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        p, table, overall = sent.value
+        p, table, overall, phrases = sent.value
+        model = (table, overall, books(phrases))
         pairs = (p["query"] @ p["key"].T).astype(np.float32)
         words = np.concatenate([np.frombuffer(a, np.uint64) for a in known["a"]] or [np.zeros(0, np.uint64)])
         count = np.concatenate([np.frombuffer(b, np.int64) for b in known["b"]] or [np.zeros(0, np.int64)])
@@ -294,7 +414,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
             out.append(pd.DataFrame({
                 "n_tokens": np.diff(first) + 1, "n_known": run_known[first[1:]] - run_known[first[:-1]] + (ends > 0),
                 "base_score": [float(logs[at[i:j]].sum()) + end for i, j in zip(first[:-1], first[1:])],
-                "score": score_ids(p, table, overall, ids, places, pairs), "n_subwords": np.diff(places)}))
+                "score": score_ids(p, model, ids, places, pairs), "n_subwords": np.diff(places)}))
         scored = pd.concat(out, ignore_index=True) if out else pd.DataFrame(
             columns=["n_tokens", "n_known", "base_score", "score", "n_subwords"])
         return scored.assign(doc_id=group["doc_id"].to_numpy(), held_out=group["held_out"].to_numpy(), train_tokens=total)
