@@ -1,0 +1,362 @@
+"""Each operator against a plain version on a small table with nulls, blanks, ties, repeats and long texts."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from textsignal.llm import (op10_secrets, op1_mixing, op2_lm_scoring, op3_pii, op4_token_counts, op5_suffix_dedup,
+                            op6_jaccard_join, op7_sentencepiece, op8_quality, op9_ann)
+from textsignal.llm.pieces import default_model
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                       T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+                       T.StructField("n_chars", T.LongType()), T.StructField("unit", T.StringType()),
+                       T.StructField("rate", T.DoubleType())])     # the last two clash with internal names
+BIG = 9007199254740993      # an id that a float can't hold
+
+
+def corpus():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["th", "er", "on", "la", "é", "ß", "qu", "is"]) for _ in range(r.randint(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    base = prose(120)
+    words = base.split()
+    near = words[:60] + ["changed"] + words[61:]
+    passage = prose(70)
+    texts = [base, base, base.upper(), " ".join(near), " ".join(words[:-10]), " ".join(words + ["more"] * 3), passage + " " + prose(50),
+             prose(40) + " " + passage, "a b c", "a b c", "A  b\nc", "a b", "", None, " \n\t ", None, prose(3000), "x" * 5000,
+             "the line\n" * 30, "one\n\none\ntwo\none", "word " * 400, "## $$ %% " * 40, prose(25),
+             "mail bob@example.com or 10.0.0.1 call +1 (443) 555-0101 card 4111 1111 1111 1111.", 'token = "c80fd45a66f8564ae70609f7b2a26100e64e830e" ok',
+             "▁ literal ￿ mark <s> </s> \x00 日本 🙂", base, base + "\n" + base]
+    texts += [prose(r.randint(1, 200)) for _ in range(40)]
+    rows = [(i, t, ["en", "fr", None][i % 3], ["hot", "hot", "b", None][i % 4], len(t or ""), "u", 1.0) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[16], (None, base, "en", "hot", 1, "u", None), (None, None, None, None, None, None, None),
+             (BIG, prose(30), "en", "hot", 1, "u", 1.0), (BIG + 1, passage, "en", "b", 1, None, 1.0)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def pairs():
+    return [(r[0], r[1]) for r in corpus()]
+
+
+def listed(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def words(text):
+    return brute.WORD.findall(text or "")
+
+
+def test_mixing(docs, empty):
+    out = op1_mixing.mix(docs).collect()
+    rates = {r.mix_source: r for r in op1_mixing.rates(docs).collect()}
+    size = Counter()
+    for r in corpus():
+        size["null" if r[3] is None else "=" + r[3]] += len((r[1] or "").encode())
+    total = sum(v ** op1_mixing.TEMPERATURE for v in size.values())
+    expected = Counter()
+    for r in corpus():
+        source = "null" if r[3] is None else "=" + r[3]
+        rate = sum(size.values()) * size[source] ** op1_mixing.TEMPERATURE / total / size[source]
+        assert math.isclose(rate, rates[source].rate, rel_tol=1e-9)
+        name = "null" if r[0] is None else str(r[0])
+        u = int(hashlib.md5(f"{op1_mixing.SEED}|{name}|{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        expected[r[0], r[1]] += k
+    assert Counter((r.doc_id, r.text) for r in out) == +expected
+    assert set(docs.columns) <= set(op1_mixing.mix(docs).columns)
+    salted = op1_mixing.mix(docs, broadcast_sources=0)
+    assert listed(salted.select("doc_id", "mix_position")) == listed(op1_mixing.mix(docs).select("doc_id", "mix_position"))
+    assert op1_mixing.mix(empty).count() == 0
+    only = op1_mixing.mix(docs, weights={"b": 1.0}).select("source").distinct().collect()
+    assert [r.source for r in only] == ["b"]
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.7, 3.0, 40.0, 900.0])
+def test_poisson_inversion_has_its_mean(spark, rate):
+    d = spark.range(4000).select(op1_mixing.distribution(F.lit(rate)).alias("cdf"), op1_mixing.unit(F.lit(1), F.col("id")).alias("u"))
+    k = [r[0] for r in d.select(F.size(F.filter("cdf", lambda c: c <= F.col("u")))).collect()]
+    assert abs(np.mean(k) - rate) < 4 * math.sqrt(rate / 4000) + 1e-3
+    assert abs(np.var(k) - rate) < 0.15 * rate + 0.02
+
+
+def test_lm_baseline_and_probability(docs, empty):
+    out = op2_lm_scoring.lm_scores(docs).collect()
+    rows = pairs()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: brute.WORD.findall(brute.lower(t or "")) + [None]
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted(((i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n,
+                    round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows), key=repr)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out), key=repr)
+    assert got == want
+    assert all(r.score < 0 for r in out)
+    assert op2_lm_scoring.lm_scores(empty).count() == 0
+
+
+def test_lm_values_are_distributions():
+    r = np.random.default_rng(0)
+    ids = r.integers(0, 40, 3000).astype(np.int32)
+    first = np.arange(0, 3001, 100)
+    counts = {k: op2_lm_scoring.phrase_counts(ids, first, k) for k in (2, 3)}
+    p, n = op2_lm_scoring.train(ids, first, 15, counts)
+    assert n > 0
+    model = (*op2_lm_scoring.values(op2_lm_scoring.pair_counts(ids, first)), {k: op2_lm_scoring.Phrases(*x) for k, x in counts.items()})
+    total = np.zeros(3)
+    for y in range(op2_lm_scoring.SIZE):     # the same three contexts with every possible next id
+        own = ids.copy()
+        own[[5, 101, 250]] = y
+        a, value, *_ = op2_lm_scoring.mixture(p, model, own, first, np.array([5, 101, 250]))
+        total += (a * value).sum(axis=1)
+    assert np.allclose(total, 1, atol=1e-4)
+
+
+def luhn(digits):
+    twice = lambda d: d * 2 - 9 * (d > 4)
+    return sum(int(c) if k % 2 == 0 else twice(int(c)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")),
+                    "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out, key=lambda s: (s[0], list(PATTERNS).index(s[1])))
+
+
+def test_pii(docs, empty):
+    r = random.Random(5)
+    parts = ["1", "2", "4111111111111111", "@", "a", "a.b", ".", " ", "-", "+", "(", ")", "+1 (443) 555-0101", "b@c.de", "1.2.3.4", "9",
+             "255.", "0", "é", "\n", "%"]
+    for _ in range(3000):
+        t = "".join(r.choices(parts, k=r.randint(0, 14)))
+        assert op3_pii.base_spans(t) == base(t), t
+    out = {(x.doc_id, x.base_sha256): x for x in op3_pii.personal_data(docs).collect()}
+    for i, t in pairs():
+        spans = ",".join(f"{k}:{s}:{e}" for s, k, e in base(t or ""))
+        x = out[i, hashlib.sha256(spans.encode()).hexdigest()]
+        assert set(filter(None, spans.split(","))) <= set(x.spans.split(","))
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s[1] == k for s in base(t or "")) for k in PATTERNS]
+    assert op3_pii.personal_data(empty).count() == 0
+
+
+def test_crf_adds_spans_and_leaves_numbers_alone():
+    crf = op3_pii.Crf(op3_pii.labelled_rows())
+    texts = ["please call 443-555-0182 or (212) 555-9911 today", "the 4463820019283746 of 2024-05-06 at 10:30, version 3.1.4"]
+    (_, added), (none, more) = op3_pii.find(texts, crf)
+    assert [texts[0][s:e] for s, _, e in added] == ["443-555-0182", "(212) 555-9911"]
+    assert not none and not more
+    rows = op3_pii.labelled_rows()
+    whole = crf.decode([[w for w, _ in r] for r in rows])       # batched Viterbi equals each sentence alone
+    assert all((crf.decode([[w for w, _ in r]])[0] == y).all() for r, y in zip(rows, whole))
+
+
+def test_token_counts(docs, empty):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    want = sorted(((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t in pairs()), key=repr)
+    assert listed(op4_token_counts.token_counts(docs)) == want
+    assert op4_token_counts.token_counts(empty).count() == 0
+    r = random.Random(3)
+    parts = ["a", "b", "the", "  ", " ", "   ", "\n", "\t", "▁", "é", "x", "1", "ing", "tion", "in", "<s>", "</s>", "<0x0A>", "日本", "\x00",
+             "----", "....", "'s", " " * 20, "🙂", "A", "ER", "_", "²."]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(3000)] + ["a" * 5000, "the" * 3000, " " * 5000, "-" * 9999]
+    assert op4_token_counts.count_texts(texts, default_model()).tolist() == [len(x) for x in sp.encode(texts)]
+
+
+def test_prefix_scan_composes_maps():
+    r = random.Random(1)
+    maps = [{s: (r.randrange(3), r.randrange(5)) for s in range(3)} for _ in range(13)]
+    for m, prefix in enumerate(op4_token_counts.prefix_scan(maps)):
+        state, n = 1, 0
+        for one in maps[:m + 1]:
+            state, more = one[state]
+            n += more
+        assert prefix[1] == (state, n)
+
+
+def test_suffix_dedup(docs, empty):
+    assert listed(op5_suffix_dedup.dedup(docs)) == sorted(brute.repeated_bytes(pairs()), key=repr)
+    assert op5_suffix_dedup.dedup(empty).count() == 0
+
+
+def test_suffix_dedup_beyond_the_shard_limit(docs, monkeypatch):
+    monkeypatch.setattr(op5_suffix_dedup, "SHARD_LIMIT", 1)
+    assert listed(op5_suffix_dedup.dedup(docs)) == sorted(brute.repeated_bytes(pairs()), key=repr)
+
+
+def test_suffix_array():
+    from textsignal.llm.suffixes import permuted_common_prefixes, suffix_array
+    r = random.Random(1)
+    for _ in range(200):
+        s = [r.choice([1, 2, 3]) for _ in range(r.randint(1, 60))] + [0]
+        order = sorted(range(len(s)), key=lambda i: s[i:])
+        sa = suffix_array(np.array(s), 5)
+        assert sa.tolist() == order
+        common = permuted_common_prefixes(np.array(s), sa, 8)
+        for x, y in zip(order[1:], order):
+            k = 0
+            while k < 8 and max(x, y) + k < len(s) and s[x + k] == s[y + k]:
+                k += 1
+            assert common[x] == k
+
+
+def test_jaccard(docs, empty):
+    assert listed(op6_jaccard_join.jaccard_components(docs)) == sorted(brute.jaccard_components(pairs()), key=repr)
+    assert op6_jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_around_the_threshold(spark):
+    r = random.Random(9)
+    word = lambda: "w%d" % r.randrange(10 ** 6)
+    rows, passage = [], [word() for _ in range(40)]
+    for _ in range(30):
+        w = [word() for _ in range(r.randint(5, 90))]
+        for _ in range(r.randint(1, 5)):
+            x = list(w)
+            for _ in range(r.randint(0, 4)):
+                x[r.randrange(len(x))] = word()
+            x = x[:len(x) - r.randint(0, len(x) // 5)]
+            if r.random() < 0.4:
+                x = passage + x
+            rows.append((len(rows), " ".join(x)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert listed(op6_jaccard_join.jaccard_components(d)) == sorted(brute.jaccard_components(rows), key=repr)
+
+
+def test_jaccard_keeps_one_of_each(docs):
+    out = op6_jaccard_join.one_of_each(docs)
+    rows = pairs()
+    part = {}
+    for (i, t), (_, n, c) in zip(rows, brute.jaccard_components(rows)):
+        if n:
+            part.setdefault(c, []).append(i)
+    blanks = sum(1 for _, t in rows if not words(t))
+    got = out.select("doc_id", "text").collect()
+    assert sorted(r.doc_id for r in got if words(r.text)) == sorted(part)
+    assert sum(1 for r in got if not words(r.text)) == blanks
+    assert out.columns == docs.columns
+
+
+def test_sentencepiece(docs, empty):
+    out = op7_sentencepiece.encode(docs)
+    assert all(r.round_trip for r in out.collect())
+    assert {(r.doc_id, r.decoded) for r in op7_sentencepiece.decode(out).collect()} == {(i, t or "") for i, t in pairs()}
+    assert op7_sentencepiece.encode(empty).count() == 0
+
+
+def test_sentencepiece_is_the_best_segmentation():
+    e = op7_sentencepiece.encoder(default_model())
+    v, r = e.v, random.Random(2)
+    for _ in range(400):
+        text = "".join(r.choice(["a", "t", "he", "in", " ", "  ", ".", "s", "tion", "é", "日", "\n"]) for _ in range(r.randint(1, 7)))
+        marked = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [None] * len(marked)
+        for j in range(1, len(marked) + 1):
+            ends = [best[i] + v.scores[marked[i:j]] for i in range(j) if marked[i:j] in v.scores]
+            best[j] = max(ends) if ends else best[j - 1] + e.unknown
+        assert e.encode(text)[1] == best[-1], text
+
+
+def test_quality(docs, empty):
+    def row(i, t):
+        t = t or ""
+        w = words(t)
+        lines = [x for x in t.split("\n") if words(x)]
+        grams = Counter(tuple(w[k:k + 8]) for k in range(len(w) - 7))
+        cover = set()
+        for k in range(len(w) - 7):
+            if grams[tuple(w[k:k + 8])] > 1:
+                cover |= set(range(k, k + 8))
+        return (i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover),
+                len(w) < 20 or 100 * len(cover) > 30 * len(w))
+
+    out = op8_quality.quality_report(docs)
+    assert listed(out.drop("kept")) == sorted((row(i, t) for i, t in pairs()), key=repr)
+    assert out.filter("base_failed and kept").count() == 0
+    assert op8_quality.quality_report(empty).count() == 0
+    kept = op8_quality.filter_documents(docs)
+    assert kept.columns == docs.columns
+    assert listed(kept.select("doc_id")) == listed(out.filter("kept").select("doc_id"))
+
+
+def test_quality_fences_follow_the_group(spark):
+    r = random.Random(0)
+    line = lambda n, size: " ".join("".join(r.choice("abcde") for _ in range(size)) for _ in range(n))
+    rows = [(i, line(60, 5), "en", "short") for i in range(60)] + [(100 + i, line(60, 14), "de", "long") for i in range(60)]
+    rows += [(500, line(60, 14), "en", "short"), (501, line(60, 5), "de", "long")]
+    out = op8_quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {x.doc_id for x in out.filter("not kept").collect()} == {500, 501}
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((400, 16)).astype(np.float32)
+    x[50:80] = x[0]                                           # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())]
+    rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (1150, [None] + [1.0] * 15), (None, x[1].tolist()), (1200, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for q in op9_ann.search(d, d.filter("vec_id % 50 = 0"), block=100, query_block=3).collect():
+        got.setdefault(q.query_id, {})[q.rank] = (q.vec_id, q.score)
+    assert set(got) == set(range(0, 400, 50))
+    y = x.astype(np.float64)
+    hit = 0
+    for q in got:
+        s = (y * y[q]).sum(axis=1) / (np.sqrt((y * y).sum(axis=1)) * np.sqrt((y[q] ** 2).sum()))
+        order = [i for i in np.lexsort((np.arange(400), -np.round(s, 12))) if i != q][:5]
+        hit += len(set(order) & {v for v, _ in got[q].values()})
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        assert all(abs(s[v] - c) < 1e-12 for v, c in got[q].values())
+    assert hit / (5 * len(got)) >= 0.9
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert op9_ann.search(none, none).count() == 0
+
+
+def test_secrets(docs, empty):
+    rows = op10_secrets.labelled_findings()
+    random.Random(1).shuffle(rows)
+    cut = 2 * len(rows) // 3
+    forest = op10_secrets.trained(rows[:cut])
+    x = np.array([op10_secrets.features(t, s, e) for t, s, e, _ in rows[cut:]], float)
+    assert ((forest.predict(x) >= 0.5) == np.array([bool(y) for *_, y in rows[cut:]])).mean() > 0.95
+    out = op10_secrets.secret_report(docs)
+    assert out.count() == len(pairs())
+    assert {r.doc_id for r in out.filter("n_secrets > 0").collect()} == {24}
+    assert op10_secrets.secret_report(empty).count() == 0
+    clean = op10_secrets.redact(docs)
+    assert clean.columns == docs.columns
+    want = [(i, 'token = "[SECRET]" ok' if i == 24 else t) for i, t in pairs()]
+    assert listed(clean.select("doc_id", "text")) == sorted(want, key=repr)
+    assert clean.filter("doc_id = 24").first().n_chars == len('token = "[SECRET]" ok')
