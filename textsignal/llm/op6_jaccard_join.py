@@ -11,15 +11,17 @@ that any document within TAU must meet: the first ``size - ceil(3/4 size) + 1``.
 replicated to the regions of its window and nowhere else.  Regions with the same members are one.
 
 Inside a region the first member is the pivot.  Sketches (counters of shingles by leading bits) bound the
-symmetric difference from below, so they settle most pairs without their sets; for the others the
-distance to the pivot is computed exactly, and members within TAU of it are joined.  The rest is joined
-recursively: only members that no chain of found links joins yet, and only pairs that the triangle
-inequality leaves, ``|d(x, p) - d(y, p)| <= TAU``, and the sketches allow, are compared exactly.  Links inside one found component can't change
+distance from below, so they settle most pairs without their sets; for the others the distance to
+the pivot is computed exactly.  Members within TAU of it form its cell and are joined; regions that hold
+several components are joined again around STARS drawn pivots.  The others seek
+partners among themselves, and the boundary ones (up to 2 TAU from the pivot) in the cell as well:
+only members that no chain of found links joins yet, and only pairs that the triangle inequality leaves,
+``|d(x, p) - d(y, p)| <= TAU``, and the sketches allow, are compared exactly.  Links inside one found component can't change
 any component and are not sought.  Components come from alternating star steps.
 
-Order.  Any order gives the same links.  It comes from a mergeable count over all documents: each task
-reports the shingles that it sees at least HOT_IN_TASK times; of their sums the largest HOT_LIST (a
-fixed bound, 8 bytes each) go last, so that a passage shared by many documents opens no large region.
+Order.  Any order gives the same links.  It comes from counts over all documents of the shingles' leading
+32 bits, which tasks send packed and summed up; the HOT_LIST largest counts (a fixed bound) from FREQUENT
+on go last, by count, so that a passage shared by many documents opens no large region.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing, not
 even each other; a text of fewer than five words has the whole sequence as its shingle; repeated rows and
@@ -29,7 +31,6 @@ table gives an empty result.  Shingles and texts are identified by 64-bit hashes
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +43,12 @@ from textsignal.llm.textarrays import blocks, mixed, shingle_sets
 
 WORDS = 5              # fixed by the contract
 TAU = 0.25             # distance of a similarity of 0.75 (fixed by the contract)
-HOT_IN_TASK = 3
-HOT_LIST = 1 << 18
+STARS = 2              # further pivots of a region before its remaining pairs are looked at
+FREQUENT = 4
+HOT_LIST = 1 << 20
 SKETCH = 256           # counters of a set's sketch
 PAIRED = 48            # up to this many members a region's pairs are checked by place
+MORE = np.dtype([("key", "<u4"), ("n", "<u2")])
 ENTRY = np.dtype([("s", "<u8"), ("unit", "<i8"), ("size", "<u4"), ("place", "<u2")])
 
 
@@ -55,13 +58,13 @@ def units_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(t).alias("unit"), t.alias("text"))
 
 
-def census(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, unit, n_shingles, sketch) of all documents and (s, n) of the shingles frequent in a
-    task.  A sketch counts a set's shingles by their leading bits (up to 255 each); a task sends that of
-    equal texts once."""
+def census(docs: DataFrame, n: int) -> DataFrame:
+    """Rows (doc_id, unit, n_shingles, sketch) of all documents, and packed shingle counts for ``n``
+    buckets.  A sketch counts a set's shingles by their leading bits (up to 255 each); a task sends that
+    of equal texts once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        kept, often = [], defaultdict(int)
+        kept: list[np.ndarray] = []
         for b in batches:
             texts, units = b["text"].tolist(), b["unit"].to_numpy()
             sizes, sketches = np.zeros(len(b), np.int64), [None] * len(b)
@@ -73,14 +76,13 @@ def census(docs: DataFrame) -> DataFrame:
                 for i in fresh:
                     sketches[lo + i] = sketch(sets[i])
                 if sum(map(len, kept)) > 4_000_000:
-                    _count(kept, often)
+                    yield _counts(kept, n)
                     kept = []
-            yield pd.DataFrame({"doc_id": b["doc_id"], "unit": units, "n_shingles": sizes, "sketch": sketches}).assign(s=None, n=None)
-        _count(kept, often)
-        if often:
-            yield pd.DataFrame({"doc_id": None, "unit": None, "n_shingles": None, "sketch": None, "s": list(often), "n": list(often.values())})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "unit": units, "n_shingles": sizes, "sketch": sketches}).assign(bucket=None, steps=None, more=None)
+        if kept:
+            yield _counts(kept, n)
 
-    return docs.mapInPandas(run, "doc_id string, unit long, n_shingles long, sketch binary, s long, n long")
+    return docs.mapInPandas(run, "doc_id string, unit long, n_shingles long, sketch binary, bucket int, steps binary, more binary")
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -88,33 +90,68 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _count(sets: list[np.ndarray], often: dict[int, int]) -> None:
-    if sets:
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        many = counts >= HOT_IN_TASK
-        for v, n in zip(values[many].view(np.int64).tolist(), counts[many].tolist()):
-            often[v] += n
+FAR = 65535            # a step that leads to no key
+
+
+def _counts(sets: list[np.ndarray], n: int) -> pd.DataFrame:
+    """The leading 32 bits of the shingles of some sets, by bucket (a range of them): the sorted distinct
+    keys as 16-bit steps, and the keys seen more than once with their further counts."""
+    keys, counts = np.unique(np.concatenate(sets) >> np.uint64(32), return_counts=True)
+    edges = np.searchsorted(keys, (np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n))
+    rows = []
+    for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if j > i:
+            step = np.diff(keys[i:j].astype(np.int64), prepend=(b << 32) // n)
+            far, rest = np.divmod(step, FAR)
+            out = np.full(len(step) + int(far.sum()), FAR, np.uint16)
+            out[np.cumsum(far + 1) - 1] = rest
+            many = counts[i:j] > 1
+            more = np.empty(int(many.sum()), MORE)
+            more["key"], more["n"] = keys[i:j][many], np.minimum(counts[i:j][many] - 1, 65535)
+            rows.append((b, out.tobytes(), more.tobytes()))
+    none = {c: None for c in ("doc_id", "unit", "n_shingles", "sketch")}
+    return pd.DataFrame(rows, columns=["bucket", "steps", "more"]).assign(**none)
+
+
+def frequent_keys(n: int):
+    """A bucket's summed counts: the largest from FREQUENT on (all buckets together keep HOT_LIST)."""
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        b = int(bucket["bucket"].iloc[0])
+        parts = []
+        for raw in bucket["steps"]:
+            step = np.frombuffer(raw, np.uint16).astype(np.int64)
+            parts.append(((b << 32) // n + np.cumsum(step))[step != FAR])
+        more = np.frombuffer(b"".join(bucket["more"]), MORE)
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        counts = counts + np.bincount(np.searchsorted(keys, more["key"]), more["n"], minlength=len(keys)).astype(np.int64)
+        best = np.lexsort((keys, -counts))[:HOT_LIST // n]
+        best = best[counts[best] >= FREQUENT]
+        return pd.DataFrame({"key": keys[best], "n": counts[best]})
+
+    return run
 
 
 def prefix_length(size: int) -> int:
     return size - (3 * size + 3) // 4 + 1
 
 
-def window(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The prefix of a sorted set: rare shingles by hash, then the frequent ones (``hot`` has them sorted,
-    with their rank) from the least frequent."""
+def window(shingles: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The prefix of a sorted set: rare shingles by hash, then the frequent ones (``hot`` has their sorted
+    keys and counts) from the least frequent."""
     n = prefix_length(len(shingles))
-    if len(hot):
-        at = np.searchsorted(hot["s"], shingles)
-        at[at == len(hot)] = 0
-        found = hot["s"][at] == shingles
+    keys, counts = hot
+    if len(keys):
+        lead = (shingles >> np.uint64(32)).astype(np.uint32)
+        at = np.searchsorted(keys, lead)
+        at[at == len(keys)] = 0
+        found = keys[at] == lead
         if found.any():
-            late = shingles[found][np.argsort(hot["rank"][at[found]], kind="stable")]
+            late = shingles[found][np.argsort(counts[at[found]], kind="stable")]
             return np.concatenate([shingles[~found], late])[:n]
     return shingles[:n]
 
 
-def entries(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
+def entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n: int) -> DataFrame:
     """Packed (shingle, unit, size) entries of all windows, dealt to ``n`` buckets by shingle."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -201,17 +238,19 @@ def in_reach(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a link.  The counters' differences add up to at most the
-    symmetric difference, which is at most ``(a + b) / 7`` at a similarity of 3/4."""
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, low, possible): a lower bound of each pair's distance from the sketches, and whether it allows
+    a link.  The counters' differences add up to at most the symmetric difference ``x``, and the distance
+    is ``2 x / (a + b + x)``."""
     side = lambda c: sketches.select(F.col("unit").alias(c), F.col("sketch").alias(f"k{c}"), F.col("n_shingles").alias(f"n{c}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            k = [np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("ka", "kb")]
-            yield x.loc[7 * np.abs(k[0] - k[1]).sum(axis=1) <= (x["na"] + x["nb"]).to_numpy(), ["a", "b"]]
+        for p in batches:
+            k = [np.frombuffer(b"".join(p[c]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("ka", "kb")]
+            x, both = np.abs(k[0] - k[1]).sum(axis=1).astype(np.int64), (p["na"] + p["nb"]).to_numpy()
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "low": 2 * x / (both + x), "possible": 7 * x <= both})
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long, low double, possible boolean")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -240,50 +279,89 @@ def linked(d: DataFrame) -> DataFrame:
     return d.filter(100 * F.col("common") >= 75 * F.col("both")).select("a", "b")
 
 
+def close(a, b):
+    """Sizes that allow a similarity of 3/4."""
+    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+
+
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    label = components(links).select(F.col("node").alias("unit"), "component")
+    return members.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+
+
+def still_open(m: DataFrame) -> DataFrame:
+    """Regions whose members belong to several components."""
+    return m.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
+        "lo < hi").select("region")
+
+
+def lacking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Units of the pairs whose sets have not been read yet."""
+    wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
+    return wanted.join(sets.select("unit"), "unit", "left_anti")
+
+
 def unit_links(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """(a, b): links between different texts that together join all that are linked."""
     n = buckets(docs)
-    frequent = counted.filter("s is not null").groupBy("s").agg(F.sum("n").alias("n"))
-    top = frequent.orderBy(F.desc("n"), "s").limit(HOT_LIST).toPandas()     # bounded by HOT_LIST
-    hot = np.zeros(len(top), [("s", "<u8"), ("rank", "<i8")])
-    hot["s"], hot["rank"] = top["s"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    hot.sort(order="s")
+    top = counted.filter("bucket is not null").select("bucket", "steps", "more").groupBy("bucket").applyInPandas(
+        frequent_keys(n), "key long, n long").toPandas().sort_values("key")                 # bounded by HOT_LIST
+    hot = top["key"].to_numpy(np.int64).astype(np.uint32), top["n"].to_numpy(np.int64)
     found = entries(docs, hot, n).groupBy("bucket").applyInPandas(
         regions, "region long, unit long, size long, pivot long, pivot_size long")
     members = stash(found.dropDuplicates(["region", "unit"]), "jaccard-regions")
     sketches = counted.filter("sketch is not null").select("unit", "sketch", "n_shingles").dropDuplicates(["unit"])
     sketches = stash(sketches.join(members.select("unit").distinct(), "unit", "left_semi"), "jaccard-sketches")
 
-    close = lambda a, b: 4 * F.least(a, b) >= 3 * F.greatest(a, b)
-    spokes = members.filter((F.col("unit") != F.col("pivot")) & close("size", "pivot_size")).select(
-        F.col("pivot").alias("a"), F.col("unit").alias("b")).distinct()
-    spokes = stash(possible(spokes, sketches), "jaccard-spokes")
-    sets = stash(sets_of(docs, spokes.select(F.col("a").alias("unit")).union(spokes.select("b")).distinct()), "jaccard-sets")
-    to_pivot = stash(distances(spokes, sets), "jaccard-distances")
+    others = members.filter("unit != pivot")
+    spokes = others.filter(close("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("unit").alias("b")).distinct()
+    spokes = stash(bounded(spokes, sketches), "jaccard-spokes")
+    near = spokes.filter("possible").select("a", "b")
+    sets = stash(sets_of(docs, near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()), "jaccard-sets")
+    to_pivot = stash(distances(near, sets), "jaccard-distances")
     first = linked(to_pivot)
 
-    # the rest: members of regions that still hold several components
-    label = components(first).select(F.col("node").alias("unit"), "component")
-    m = members.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    d = to_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("unit"), (1 - F.col("common") / F.col("both")).alias("d"))
-    others = m.filter("unit != pivot")
-    open_regions = others.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    m = others.join(open_regions.select("region"), "region", "left_semi").join(d, ["pivot", "unit"], "left")
-    m = stash(m.select("region", "unit", "size", "component", "d"), "jaccard-open")
-    x, y = m.toDF("region", "a", "sa", "ca", "da"), m.toDF("region", "b", "sb", "cb", "db")
-    triangle = F.coalesce(F.abs(F.col("da") - F.col("db")) <= TAU + 1e-9, F.lit(True))   # both known
-    rest = x.join(y, "region").filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close("sa", "sb") & triangle).select("a", "b").distinct()
-    rest = stash(possible(rest, sketches), "jaccard-rest")
-    wanted = rest.select(F.col("a").alias("unit")).union(rest.select("b")).distinct()
-    more = sets_of(docs, wanted.join(sets.select("unit"), "unit", "left_anti"))
-    return stash(first.union(linked(distances(rest, sets.union(more)))), "jaccard-links")
+    # more pivots, one drawn in each region that still holds several components: a large group of near copies
+    # soon is one component, at as many comparisons as it has members
+    links = first
+    for star in range(STARS):
+        m = labelled(members, links)
+        drawn = still_open(m).join(m, "region").groupBy("region").agg(F.min_by(
+            F.struct("unit", "size", "component"), F.xxhash64("unit", "region", F.lit(star))).alias("p"))
+        drawn = m.join(drawn, "region").filter((F.col("component") != F.col("p.component")) & close("size", F.col("p.size")))
+        pairs = drawn.select(F.least("unit", "p.unit").alias("a"), F.greatest("unit", "p.unit").alias("b")).distinct()
+        pairs = stash(bounded(pairs, sketches).filter("possible").select("a", "b"), "jaccard-star")
+        sets = sets.union(stash(sets_of(docs, lacking(pairs, sets)), "jaccard-sets"))
+        links = stash(links.union(linked(distances(pairs, sets))), "jaccard-star-links")
+
+    # the rest: members of regions that still hold several components, with bounds of their distance to
+    # the first pivot (both the distance itself where it is known)
+    m = labelled(others, links)
+    known = spokes.join(to_pivot.select("a", "b", (1 - F.col("common") / F.col("both")).alias("d")), ["a", "b"], "left")
+    known = known.select(F.col("a").alias("pivot"), F.col("b").alias("unit"), "low", "d")
+    by_size = 1 - F.least("size", "pivot_size") / F.greatest("size", "pivot_size")
+    m = m.join(still_open(m), "region", "left_semi").join(known, ["pivot", "unit"], "left").select(
+        "region", "unit", "size", "component", F.coalesce("d", "low", by_size).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"))
+    m = stash(m, "jaccard-open")
+    slack = F.lit(TAU + 1e-9)
+    # members within TAU of the pivot are one component: only the others seek partners, among themselves
+    # and, if the triangle inequality lets them reach so far, among those
+    outer, inner = m.filter(F.col("hi") > TAU), m.filter(F.col("hi") <= TAU)
+    x = outer.toDF("region", "a", "sa", "ca", "la", "ha")
+    y = lambda d: d.toDF("region", "b", "sb", "cb", "lb", "hb")
+    allowed = ((F.col("ca") != F.col("cb")) & close("sa", "sb")
+               & (F.col("la") - F.col("hb") <= slack) & (F.col("lb") - F.col("ha") <= slack))
+    rest = x.join(y(outer), "region").filter((F.col("a") < F.col("b")) & allowed).select("a", "b").union(
+        x.filter(F.col("la") <= 2 * TAU + 1e-9).join(y(inner), "region").filter(allowed).select("a", "b")).distinct()
+    rest = stash(bounded(rest, sketches).filter("possible").select("a", "b"), "jaccard-rest")
+    sets = sets.union(sets_of(docs, lacking(rest, sets)))
+    return stash(links.union(linked(distances(rest, sets))), "jaccard-links")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, unit (of its text), n_shingles, component (a unit)."""
     units = units_of(docs, doc_id, text)
-    counted = stash(census(units), "jaccard-census")
+    counted = stash(census(units, buckets(units)), "jaccard-census")
     label = components(unit_links(units, counted)).select(F.col("node").alias("unit"), "component")
     d = counted.filter("unit is not null").select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "unit", "n_shingles")
