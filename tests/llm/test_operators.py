@@ -125,7 +125,7 @@ def test_lm_values_are_distributions():
     counts = {k: op2_lm_scoring.phrase_counts(ids, first, k) for k in (2, 3)}
     p, n = op2_lm_scoring.train(ids, first, 15, counts)
     assert n > 0
-    model = (*op2_lm_scoring.values(op2_lm_scoring.pair_counts(ids, first)), {k: op2_lm_scoring.Phrases(*x) for k, x in counts.items()})
+    model = (*op2_lm_scoring.values(op2_lm_scoring.pair_counts(ids, first)), {k: op2_lm_scoring.Phrases(k, *x) for k, x in counts.items()})
     total = np.zeros(3)
     for y in range(op2_lm_scoring.SIZE):     # the same three contexts with every possible next id
         own = ids.copy()

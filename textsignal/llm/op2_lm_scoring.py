@@ -42,13 +42,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from textsignal.llm.common import buckets, stash, text_or_empty
-from textsignal.llm.textarrays import blocks, mixed, word_hashes
+from textsignal.llm.textarrays import blocks, mixed, word_hashes, word_spans
 
 MODULUS, HELD = 7, 2        # fixed by the contract
 SUBWORDS = 512
-REACH = 8                   # ids of context
+REACH = 4                   # ids of context
 WIDTH = 16                  # of queries and keys
-STRIDE = 8                  # every so many places is a training target
+STRIDE = 16                 # every so many places is a training target
 STEPS_OF = 8192             # targets of a gradient step
 RATE, SEED = 0.1, 7
 PRIOR = (4.0, 40.0)         # weight of the overall distribution in the two tables
@@ -75,18 +75,23 @@ def subwords(path: str):
 
 
 def ids_of(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The subword ids of all texts, each with its end, and the texts' first places (and the total)."""
+    """The subword ids of all texts, each with its end, and the texts' first places (and the total).  Words
+    are spelt independently, so a block's distinct words are spelt once, in one call."""
     encoding = subwords(path)
-    parts = []
-    for t in texts:
-        words = t.encode().lower().split()       # bytes split at the same six characters as the words
-        if words:
-            parts.append(encoding.encode_to_numpy((b" " + b" ".join(words)).decode()).astype(np.int32))
-        else:
-            parts.append(np.zeros(0, np.int32))
-        parts.append(np.array([SUBWORDS], np.int32))
-    sizes = np.array([len(p) + 1 for p in parts[::2]])
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+    spaced = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(SUBWORDS)])
+    out, sizes = [], []
+    for lo, hi in blocks(texts):
+        hashes, first, raw, starts, ends = word_spans(texts[lo:hi])
+        words, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+        spelt = b"".join([b" " + raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist())]).decode()
+        flat = np.append(encoding.encode_to_numpy(spelt).astype(np.int32), np.int32(SUBWORDS))
+        begin = np.append(np.flatnonzero(spaced[flat[:-1]]), [len(flat) - 1, len(flat)])   # the last is the end
+        order = np.insert(word, first[1:], len(words))
+        length = np.diff(begin)[order]
+        upto = np.cumsum(length)
+        out.append(flat[np.repeat(begin[order] - (upto - length), length) + np.arange(upto[-1])])
+        sizes.append(np.diff(upto[first[1:] + np.arange(hi - lo)], prepend=0))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,16 +169,21 @@ class Places:
 class Phrases:
     """Values of the phrases of one length: counts of the next ids, their sum and number by phrase."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, length: int, keys: np.ndarray, counts: np.ndarray):
         self.pairs, self.counts = Places(keys), counts.astype(np.float32)
         phrase, at = np.unique(keys // SIZE, return_inverse=True)
-        self.phrases = Places(phrase)
+        # where the phrase is two ids, their product is small enough for a plain table of places
+        if length > 2:
+            self.phrases = Places(phrase)
+        else:
+            self.phrases = np.full(SIZE ** 2, -1, np.int32)
+            self.phrases[phrase] = np.arange(len(phrase))
         self.total = np.append(np.bincount(at, counts, minlength=len(phrase)), 0).astype(np.float32)
         self.kinds = np.append(np.bincount(at, minlength=len(phrase)), 0).astype(np.float32)
 
     def value(self, phrase: np.ndarray, target: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smoothed probability of the targets, and the level of the phrases (0: never seen)."""
-        at = self.phrases.find(phrase)
+        at = self.phrases.find(phrase) if isinstance(self.phrases, Places) else self.phrases[phrase]
         total, kinds, pair = self.total[at], self.kinds[at], np.full(len(at), -1, np.int32)
         seen = np.flatnonzero(at >= 0)
         pair[seen] = self.pairs.find(phrase[seen] * SIZE + target[seen])
@@ -210,11 +220,11 @@ def mixture(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.n
     if scores is None:
         logits[:, 1:REACH + 1] = np.einsum("md,mld->ml", p["query"][last], p["key"][context]) + p["bias"]
     else:
-        logits[:, 1:REACH + 1] = scores[last[:, None], context] + p["bias"].astype(np.float32)
+        logits[:, 1:REACH + 1] = scores.ravel().take(last[:, None] * SIZE + context) + p["bias"].astype(np.float32)
     value = np.empty_like(logits)
     value[:, 0] = overall[target]
-    value[:, 1] = table[0][last, target]
-    value[:, 2:REACH + 1] = table[1][context[:, 1:], target[:, None]]
+    value[:, 1] = table[0].ravel().take(last * SIZE + target)
+    value[:, 2:REACH + 1] = table[1].ravel().take(context[:, 1:] * SIZE + target[:, None])
     phrase, levels = last.astype(np.int64), []
     for k in (2, 3):
         phrase = phrase + context[:, k - 1].astype(np.int64) * SIZE ** (k - 1)
@@ -232,7 +242,7 @@ def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict) -> tuple[
         return p, 0
     cut = first[half]
     model = (*values(pair_counts(ids[:cut], first[:half + 1])),
-             {k: Phrases(*(x[n >= LEAST[k]] for x in (keys, n))) for k, (keys, n) in counts.items()})
+             {k: Phrases(k, *(x[n >= LEAST[k]] for x in (keys, n))) for k, (keys, n) in counts.items()})
     places = np.random.default_rng(SEED).permutation(np.arange(cut, len(ids), STRIDE))
     power = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     for lo in range(0, len(places), STEPS_OF):
@@ -363,7 +373,7 @@ _books: list = []
 def books(phrases: dict) -> dict[int, Phrases]:
     """The phrases' hash tables, built once per worker and broadcast."""
     if not _books or _books[0] is not phrases:
-        _books[:] = [phrases, {k: Phrases(*x) for k, x in phrases.items()}]
+        _books[:] = [phrases, {k: Phrases(k, *x) for k, x in phrases.items()}]
     return _books[1]
 
 

@@ -29,8 +29,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z only) words of all texts in order, and each text's first
     position in them (one more entry at the end)."""
+    return word_spans(texts)[:2]
+
+
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """``word_hashes``, and the lower-cased bytes of all texts with the words' starts and ends in them."""
     raw = [t.encode().lower() for t in texts]
-    data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    joined = b" " + b" ".join(raw) + b" "
+    data = np.frombuffer(joined, np.uint8)
     gap = SPACE[data]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
@@ -38,7 +44,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     run = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])])
     hashes = mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     edges = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    return hashes, np.searchsorted(starts, edges + 1)
+    return hashes, np.searchsorted(starts, edges + 1), joined, starts, ends
 
 
 def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
