@@ -37,7 +37,7 @@ def test_streaming_daily_text_matches_batch(spark):
     src = os.path.join(root, "in")
     news = fx.news(spark, SF_SMALL)
     news.write.parquet(src)
-    q = (daily_text_stream(spark, src, news.schema, "event_time", ["title", "body"], "asset_raw", fx.NEWS_LEXICON,
+    q = (daily_text_stream(spark, src, news.schema, "event_time", ["body"], "asset_raw", fx.NEWS_LEXICON,
                            watermark="0 seconds")
          .writeStream.outputMode("complete").format("memory").queryName("daily_stream").start())
     q.processAllAvailable()

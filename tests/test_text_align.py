@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsignal.operators import align, resample, text
+from textsignal.plans import fixtures as fx
 
 
 def test_word_boundary_accented_letters(spark):
@@ -44,7 +45,7 @@ def test_parse_record_state_rule(spark):
 
 def test_lexicon_scores_whole_text(spark):
     df = spark.createDataFrame([("and for was",), ("",), ("Worthless, worthless and",)], "t string")
-    r = df.select(text.lexicon_scores(F.col("t")).alias("s")).collect()
+    r = df.select(text.lexicon_scores(F.col("t"), fx.SENTIMENT_LEXICON).alias("s")).collect()
     assert r[0].s.p_pos == pytest.approx(2 / 3) and r[0].s.label == "positive"
     assert r[1].s.score == 0.0 and r[1].s.label == "neutral"
     assert r[2].s.p_neg == pytest.approx(2 / 3) and r[2].s.label == "negative"

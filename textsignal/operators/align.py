@@ -104,12 +104,19 @@ def window_vector_mean(bars: DataFrame, daily_vec: DataFrame, dim: int, first: i
         "mean_vector", "window_text_count")
 
 
+def join_date_features(rows: DataFrame, features: DataFrame, date: str) -> DataFrame:
+    """Rows LEFT JOIN per-date features; the feature table has one row per calendar day and is
+    broadcast, so the rows don't move."""
+    return rows.join(F.broadcast(features.withColumnRenamed("date", date)), date, "left")
+
+
 def text_meta(rows: DataFrame, date: str, vec: str | None = "embedding") -> DataFrame:
     """A6 + F11 (+ T15): embedding_norm per row, rows_per_date = rows of the *table* on the date,
-    has_text = 1.  Per-date counts are a partial aggregate joined back (no window over a hot date)."""
+    has_text = 1.  Per-date counts are a partial aggregate; the table has one row per calendar day, so it
+    is broadcast and the rows stay where they are (no exchange on a hot date)."""
     from textsignal.functions.columns import l2_norm
     counts = rows.groupBy(date).agg(F.count(F.lit(1)).alias("rows_per_date"))
-    out = rows.join(counts, date)
+    out = rows.join(F.broadcast(counts), date)
     if vec:
         out = out.withColumn("embedding_norm", l2_norm(vec))
     return out.withColumn("has_text", F.lit(1))

@@ -8,11 +8,13 @@ statistics are gated to full windows (T3) so they equal pandas ``rolling(k)``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsignal.functions.schema import normalize_name
 from textsignal.functions.columns import col_, log_ratio, safe_div, safe_ln
 
 RETURN_KS = (2, 5, 10)
@@ -153,11 +155,32 @@ def clip_date_range(bars: DataFrame, texts: DataFrame, pad_before_days: int = 30
                     text_date: str = "date", asset: str = "asset") -> DataFrame:
     """Keep bars in ``[min_text - before, max_text + after)`` per asset (end exclusive).
 
-    The per-asset range is a 1-row-per-asset aggregate joined back on ``asset``;
-    the date predicate then prunes the bar scan.
+    The per-asset range is a 1-row-per-asset aggregate joined back on ``asset``; the date predicate
+    filters the daily bars, after their aggregation (it doesn't reach the tick scan).
     """
     rng = texts.groupBy(asset).agg(F.min(text_date).alias("_lo"), F.max(text_date).alias("_hi"))
     return (bars.join(rng, asset)
             .where((F.col("date") >= F.date_sub("_lo", pad_before_days))
                    & (F.col("date") < F.date_add("_hi", pad_after_days)))
             .drop("_lo", "_hi"))
+
+
+#: Vendor header names (normalised) and the names that the operators use.
+BAR_NAMES = {"adjclose": "adj_close", "adj-close": "adj_close", "datetime": "date", "begin": "date", "timestamp": "date",
+             "index": "date"}
+
+
+def ingest_bars(raw: DataFrame, asset: str | None = None) -> DataFrame:
+    """Vendor bars to the library's columns.  Two-level headers such as ``('Close', 'AAPL')`` keep
+    their first level; names are stripped, lower-cased and underscored, then renamed by BAR_NAMES; the
+    date is floored to the day; ``asset`` becomes the key column of a table that lacks one."""
+    names = []
+    for c in raw.columns:
+        level = re.match(r"""^\(\s*['"]([^'"]*)['"]""", c)
+        name = normalize_name(level[1] if level else c)
+        names.append(BAR_NAMES.get(name, name))
+    df = raw.toDF(*names)
+    df = df.withColumn("date", F.to_date("date"))
+    if asset is not None and "asset" not in names:
+        df = df.withColumn("asset", F.lit(asset))
+    return df

@@ -55,35 +55,31 @@ def classification_metrics(cm: DataFrame) -> DataFrame:
 
 
 def roc_auc(preds: DataFrame, by: Sequence[str], y: str = "y_true", score: str = "y_proba",
-            weight: str | None = None, n_buckets: int = 1024) -> DataFrame:
-    """Exact ROC-AUC with ties counted 1/2, NULL when a class is missing.
+            weight: str | None = None, n_buckets: int = 256) -> DataFrame:
+    """Exact ROC-AUC with ties counted 1/2, NULL when a class is missing.  Rows without a score or a
+    label take no part, as in the confusion counts.
 
     1. reduce to distinct (group, score) with positive/negative mass (partial agg);
-    2. bucket scores with a fixed monotone map (atan), so bucket order = score order;
+    2. bucket scores by equal parts of [0, 1] (others go to the first or last), so bucket order = score order;
     3. prefix-sum negatives per bucket (bounded by ``n_buckets`` rows per group);
     4. inside a bucket, a window adds the negatives of lower scores.
-    ``n_buckets=1`` is the plain window for groups known to be small.
     """
     by = list(by)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     d = (preds.select(*by, F.col(score).cast("double").alias("s"), F.col(y).alias("_y"), w.alias("_w"))
+         .where(F.col("s").isNotNull() & F.col("_y").isNotNull())
          .groupBy(*by, "s")
          .agg(F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0)).alias("p"),
               F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0.0)).alias("n")))
-    if n_buckets > 1:
-        # a fixed monotone map of the score (no per-group min/max pass): bucket order = score order
-        u = F.atan(F.col("s")) / F.lit(3.141592653589793) + F.lit(0.5)
-        b = F.least(F.greatest(F.floor(u * n_buckets), F.lit(0)), F.lit(n_buckets - 1))
-        d = d.select(*by, "s", "p", "n", b.cast("int").alias("bucket"))
-        bt = d.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"))
-        wb = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        bt = bt.select(*by, "bucket", F.coalesce(F.sum("bn").over(wb), F.lit(0.0)).alias("n_before"))
-        d = d.join(bt, by + ["bucket"])
-        ws = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        below = F.col("n_before") + F.coalesce(F.sum("n").over(ws), F.lit(0.0))
-    else:
-        ws = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("n").over(ws), F.lit(0.0))
+    # a fixed monotone map of the score (no per-group min/max pass): bucket order = score order
+    b = F.least(F.greatest(F.floor(F.col("s") * n_buckets), F.lit(0)), F.lit(n_buckets - 1))
+    d = d.select(*by, "s", "p", "n", b.cast("int").alias("bucket"))
+    bt = d.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"))
+    wb = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*by, "bucket", F.coalesce(F.sum("bn").over(wb), F.lit(0.0)).alias("n_before"))
+    d = d.join(bt, by + ["bucket"])
+    ws = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("n_before") + F.coalesce(F.sum("n").over(ws), F.lit(0.0))
     contrib = d.select(*by, "p", "n", (F.col("p") * (below + 0.5 * F.col("n"))).alias("c"))
     g = contrib.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum("c").alias("C"))
     return g.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -91,7 +87,7 @@ def roc_auc(preds: DataFrame, by: Sequence[str], y: str = "y_true", score: str =
 
 
 def evaluate(preds: DataFrame, by: Sequence[str], y: str = "y_true", pred: str = "y_pred",
-             score: str = "y_proba", weight: str | None = None, n_buckets: int = 1024) -> DataFrame:
+             score: str = "y_proba", weight: str | None = None, n_buckets: int = 256) -> DataFrame:
     """E1 + E2 + E3 in one result row per group."""
     by = list(by)
     m = classification_metrics(confusion(preds, by, y, pred, weight))
@@ -177,8 +173,9 @@ def class_report(preds: DataFrame, by: Sequence[str], y: str = "y_true", pred: s
 def date_weights(preds: DataFrame, by: Sequence[str], date: str = "date") -> DataFrame:
     """Row weight 1/n_d, n_d = rows of the group on that date (so each date weighs 1)."""
     keys = list(by) + [date]
-    n = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))   # partial aggregate, no hot-date window
-    return preds.join(n, keys).withColumn("date_weight", 1.0 / F.col("_nd")).drop("_nd")
+    # partial aggregate, no hot-date window; one row per group and calendar day, so it is broadcast
+    n = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))
+    return preds.join(F.broadcast(n), keys).withColumn("date_weight", 1.0 / F.col("_nd")).drop("_nd")
 
 
 def deltas(metrics: DataFrame, keys: Sequence[str], model: str = "model", base: str = "market_full",
@@ -255,3 +252,8 @@ def bounded_group_metrics(preds: DataFrame, by: Sequence[str], y: str = "y", sco
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return out.select(*by, "tn", "fp", "fn", "tp", (F.col("tp") + F.col("tn")) / n, balanced_accuracy_expr(), "roc_auc") \
         .toDF(*by, "tn", "fp", "fn", "tp", "accuracy", "balanced_accuracy", "roc_auc")
+
+
+def filter_groups(df: DataFrame, pattern: str, group: str = "feature_group") -> DataFrame:
+    """The rows of the groups whose name matches a regular expression."""
+    return df.where(F.col(group).rlike(pattern))

@@ -15,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsignal.functions.columns import indexed_explode
+from textsignal.functions.columns import finite_or_null, indexed_explode
+from textsignal.session import materialize
 from textsignal.operators import metrics, prep
 
 C_GRID = (0.01, 0.1, 1.0, 10.0)
@@ -30,13 +32,13 @@ def standardized_features(df: DataFrame, cols: Sequence[str], split: str = "spli
     """M1 + M2 + P16: train-only median imputation and population-std scaling, assembled into a
     vector.  Statistics come from the distributed exact median / moments (one row per feature)."""
     keys = [c for c in df.columns if c not in set(cols)]
+    df = df.select(*keys, *[finite_or_null(F.col(c).cast("double")).alias(c) for c in cols])
     long = prep.to_long(df.where(F.col(split) == "train").select(*cols, F.lit(0).alias("_k")), ["_k"], cols)
-    st = {r["feature"]: r for r in prep.fit_stats(long.where(~F.isnan("x") | F.col("x").isNull())).collect()}
+    st = {r["feature"]: r for r in prep.fit_stats(long).collect()}
     exprs = []
     for c in cols:
         s = st.get(c)
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
+        x = F.col(c)
         if s is None or s["median"] is None:
             exprs.append(F.lit(0.0).alias(c))
             continue
@@ -93,14 +95,22 @@ def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y
         [(group, float(c_grid[ci]), float(tau), float(best["val_balanced_accuracy"]), len(cols), history)],
         "feature_group string, selected_C double, selected_threshold double, val_balanced_accuracy double, "
         "n_features int, objective_history array<double>")
+    test = materialize(test)      # before its input is let go
     data.unpersist()
     return test, sel
 
 
-def ablation(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str], y: str = "y",
-             split: str = "split", c_grid: Sequence[float] = C_GRID, max_iter: int = 100,
-             parallelism: int = 8, keys: Sequence[str] = ("asset", "date")) -> DataFrame:
-    """M12 (+ M6, M8, M9): the same classifier over many feature groups; empty groups skipped.
+def ablation(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str], **kw) -> DataFrame:
+    """One row of test metrics per feature group, with the selected C and threshold."""
+    preds, sel = ablation_predictions(df, manifest, groups, **kw)
+    return metrics.evaluate(preds, ["feature_group"]).join(F.broadcast(sel), "feature_group")
+
+
+def ablation_predictions(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str], y: str = "y",
+                         split: str = "split", c_grid: Sequence[float] = C_GRID, max_iter: int = 100,
+                         parallelism: int = 8, keys: Sequence[str] = ("asset", "date")) -> tuple[DataFrame, DataFrame]:
+    """M12 (+ M6, M8, M9): the same classifier over many feature groups; empty groups skipped.  Returns the
+    test predictions (keys, feature_group, y_true, y_proba, y_pred) and the selection rows.
 
     * train-only impute/scale statistics are fitted once for the union of all group columns
       (per-column statistics do not depend on the group);
@@ -152,20 +162,33 @@ def ablation(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Seque
     sel = data.sparkSession.createDataFrame(
         sel_rows, "feature_group string, selected_C double, selected_threshold double, "
                   "val_balanced_accuracy double, n_features int, objective_history array<double>")
-    return metrics.evaluate(preds, ["feature_group"], n_buckets=64).join(sel, "feature_group")
+    preds = materialize(preds)    # before its input is let go
+    data.unpersist()
+    return preds, sel
 
 
 def pca_embeddings(df: DataFrame, vec: str, k: int, split: str = "split") -> tuple[DataFrame, float, int]:
     """M4: train-only standardisation of the vector dims, then PCA to min(k, d, n_train - 1).
-    Spark's PCA does not centre, so the input is centred on the train mean first (T11)."""
-    d = len(df.select(vec).first()[0])
-    cols = [f"e{i}" for i in range(d)]
-    wide = df.select("*", *[F.col(vec)[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    x = standardized_features(wide, cols, split, "std_vec")
-    n_train = x.where(F.col(split) == "train").count()
-    kk = max(1, min(k, d, n_train - 1))
-    model = PCA(k=kk, inputCol="std_vec", outputCol="pca").fit(x.where(F.col(split) == "train"))
-    out = model.transform(x).select(*[c for c in df.columns if c != vec], vector_to_array("pca").alias("pca"))
+
+    Means and population deviations come from one ``Summarizer`` pass over the vectors (nothing is
+    unpivoted).  Spark's PCA does not centre, so the input is centred first; the sign of a component is
+    chosen so that its largest loading is positive (T11).  Components are nested: the first 16 of a
+    64-component fit are the 16-component fit."""
+    v = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    train = F.col(split) == "train"
+    s = v.where(train).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).select("s.*").first()
+    n_train, mean = s["count"], s["mean"].toArray()
+    scale = np.sqrt(s["variance"].toArray() * (n_train - 1) / max(n_train, 1))
+    scale[scale == 0] = 1.0
+    lit = lambda a: F.array(*[F.lit(float(x)) for x in a])
+    centred = F.zip_with(F.col(vec).cast("array<double>"), lit(mean), lambda x, m: F.coalesce(x - m, F.lit(0.0)))
+    x = v.drop("_v").withColumn("std_vec", array_to_vector(F.zip_with(centred, lit(scale), lambda x, d: x / d)))
+    kk = max(1, min(k, len(mean), n_train - 1))
+    model = PCA(k=kk, inputCol="std_vec", outputCol="pca").fit(x.where(train))
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(kk)])
+    turned = F.zip_with(vector_to_array("pca"), lit(signs), lambda z, g: z * g)
+    out = model.transform(x).select(*[c for c in df.columns if c != vec], turned.alias("pca"))
     return out, float(np.sum(model.explainedVariance.toArray())), kk
 
 
@@ -188,11 +211,12 @@ def direct_forecast(series: DataFrame, steps: int = 30, asset: str = "asset", da
                     value: str = "close", exog: str | None = None) -> DataFrame:
     """M15 (re-aimed SARIMAX): direct multi-step linear autoregression on first differences.
 
-    For each step k the target is diff[t+k] and the features are diff[t], diff[t-1], diff[t-7]
-    (+ the exogenous value known at t).  Rows (asset, k) are built with ``lead``/``lag`` and
-    explode; each (asset, k) least-squares fit runs in ``applyInPandas`` (a group is one
-    asset's daily history).  The last ``steps`` rows of each asset are held out; the level is
-    rebuilt as last train level + cumulative predicted differences (W12)."""
+    For each step k the target is diff[t+k] and the features are diff[t], diff[t-1], diff[t-7] and, if
+    given, the exogenous value known at t.  Each (asset, k) fit is least squares by its normal
+    equations: Spark sums the products of all training rows (partial aggregates), and one small system per
+    (asset, k) is solved afterwards.  The last ``steps`` rows of each asset are held out; the level is
+    rebuilt as last train level + cumulative predicted differences (W12); ``level_naive`` stays at the
+    last train level (E8)."""
     w = Window.partitionBy(asset).orderBy(date)
     base = series.select(asset, date, value, *([exog] if exog else [])).withColumn(
         "diff", F.col(value) - F.lag(value, 1).over(w))
@@ -202,29 +226,38 @@ def direct_forecast(series: DataFrame, steps: int = 30, asset: str = "asset", da
     origin = base.where(F.col("rn") == steps + 1).select(asset, F.col(value).alias("origin_level"))
     feats = ["diff", "d1", "d7"] + ([exog] if exog else [])
     j = base.select(asset, *feats, "rn", indexed_explode("leads", "k0", "target"))
-    j = j.select(asset, *feats, "target", (F.col("k0") + 1).alias("k"),
-                 ((F.col("rn") - F.col("k0") - 1) > steps).alias("train"), (F.col("rn") == steps + 1).alias("is_origin"))
-    j = j.where(F.col("train") | F.col("is_origin"))
-    schema = f"{asset} string, k int, n_train long, pred double, actual double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = pdf[pdf["train"]].dropna(subset=feats + ["target"])
-        og = pdf[pdf["is_origin"]]
-        pred = np.nan
-        if len(tr) > len(feats) and len(og):
-            X = np.column_stack([np.ones(len(tr))] + [tr[f].to_numpy(float) for f in feats])
-            beta, *_ = np.linalg.lstsq(X, tr["target"].to_numpy(float), rcond=None)
-            xo = np.concatenate([[1.0], og[feats].fillna(0.0).to_numpy(float)[0]])
-            pred = float(xo @ beta)
-        actual = float(og["target"].iloc[0]) if len(og) else np.nan
-        return pd.DataFrame({asset: [pdf[asset].iloc[0]], "k": [int(pdf["k"].iloc[0])], "n_train": [len(tr)],
-                             "pred": [pred], "actual": [actual]})
-    res = j.groupBy(asset, "k").applyInPandas(fit, schema)
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in feats]]
+    whole = F.col("target").isNotNull()
+    for f in feats:
+        whole = whole & F.col(f).isNotNull()
+    fit = whole & ((F.col("rn") - F.col("k0") - 1) > steps)
+    at_origin = F.col("rn") == steps + 1
+    p = len(x)
+    sums = j.groupBy(asset, (F.col("k0") + 1).alias("k")).agg(
+        F.count_if(fit).alias("n_train"),
+        F.array(*[F.sum(F.when(fit, x[a] * x[b])) for a in range(p) for b in range(p)]).alias("xx"),
+        F.array(*[F.sum(F.when(fit, x[a] * F.col("target"))) for a in range(p)]).alias("xy"),
+        F.array(*[F.max(F.when(at_origin, F.coalesce(c, F.lit(0.0)))) for c in x]).alias("xo"),
+        F.max(F.when(at_origin, F.col("target"))).alias("actual"))
+
+    @F.pandas_udf("double")
+    def solved(n: pd.Series, xx: pd.Series, xy: pd.Series, xo: pd.Series) -> pd.Series:
+        out = np.full(len(n), np.nan)
+        for i, (rows, a, b, o) in enumerate(zip(n, xx, xy, xo)):
+            if rows >= p and all(v is not None and np.isfinite(v) for v in o):
+                a, b = np.asarray(a, float).reshape(p, p), np.asarray(b, float)
+                unit = 1 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))     # well scaled
+                beta = unit * np.linalg.lstsq(a * np.outer(unit, unit), unit * b, rcond=None)[0]
+                out[i] = float(np.asarray(o, float) @ beta)
+        return pd.Series(out)
+
+    res = sums.select(asset, "k", "n_train", solved("n_train", "xx", "xy", "xo").alias("pred"), "actual")
     cum = Window.partitionBy(asset).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return (res.join(origin, asset)
             .select(asset, "k", "n_train", "pred", "actual",
                     (F.col("origin_level") + F.sum("pred").over(cum)).alias("level_pred"),
-                    (F.col("origin_level") + F.sum("actual").over(cum)).alias("level_actual")))
+                    (F.col("origin_level") + F.sum("actual").over(cum)).alias("level_actual"),
+                    F.col("origin_level").alias("level_naive")))
 
 
 def window_mlp(df: DataFrame, cols: Sequence[str], y: str = "y", split: str = "split", hidden: int = 16,

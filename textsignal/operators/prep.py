@@ -21,42 +21,39 @@ def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str], name: s
 
 
 def exact_quantile(long: DataFrame, by: Sequence[str], q: float = 0.5, value: str = "x",
-                   accuracy: int = 10000, small_n: int = 100_000) -> DataFrame:
-    """Exact ``q``-quantile with linear interpolation (numpy/pandas), NULLs ignored, without
-    gathering a whole group in one task.
-
-    Pass 1 (partial aggregates): n and an approximate bracket ``[lo, hi]`` from
-    ``percentile_approx`` at ``q -/+ 3/accuracy`` — its rank error is at most n/accuracy, so
-    the exact order statistics lie inside.  Pass 2: count values below ``lo`` and collect only
-    the values inside the bracket (about 6n/accuracy per group), then pick the exact ranks.
-    Groups of at most ``small_n`` values (where the sketch's rank discretisation matters) are
-    solved exactly from their sorted values — bounded by ``small_n``.
-    """
+                   accuracy: int = 10000) -> DataFrame:
+    """Exact ``q``-quantile with linear interpolation (numpy/pandas), NULLs ignored, by one path for
+    every group size and without gathering a group's values.
+
+    Pass 1 (partial aggregates): n and an approximate bracket from ``percentile_approx`` at
+    ``q -/+ 3/accuracy``; its rank error is at most n/accuracy, so the exact order statistics lie
+    inside, or right beside it.  Pass 2 counts the *distinct* values inside the bracket, all values below
+    as one row (with their largest) and all above as one (with their smallest), so ties are one row.  A
+    running sum over those, about 6n/accuracy rows at most, picks the two ranks.  A rank that is not
+    found is an error, never a NULL.  ``by`` groups (features) are few: their one-row tables are broadcast."""
     by = list(by)
     x = F.col(value)
     d = 3.0 / accuracy
     lo_q, hi_q = max(0.0, q - d), min(1.0, q + d)
-    valid = long.where(x.isNotNull() & ~F.isnan(x))
-    s1 = valid.groupBy(*by).agg(F.count(x).alias("_n"),
-                                F.percentile_approx(x, [lo_q, hi_q], accuracy).alias("_b"))
-    j = valid.join(s1, by)
-    lo = F.lit(float("-inf")) if lo_q <= 0.0 else F.col("_b")[0]
-    hi = F.lit(float("inf")) if hi_q >= 1.0 else F.col("_b")[1]
-    s2 = j.groupBy(*by).agg(F.first("_n").alias("n"), F.count_if(x < lo).alias("below"),
-                            F.sort_array(F.collect_list(F.when((x >= lo) & (x <= hi), x))).alias("vals"),
-                            F.sort_array(F.collect_list(F.when(F.col("_n") <= small_n, x))).alias("allv"))
+    valid = long.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+    bracket = valid.groupBy(*by).agg(F.count("_x").alias("n"), F.percentile_approx("_x", [lo_q, hi_q], accuracy).alias("_b"))
+    j = valid.join(F.broadcast(bracket), by)
+    zone = F.when(F.col("_x") < F.col("_b")[0], 0).when(F.col("_x") <= F.col("_b")[1], 1).otherwise(2)
+    seen = j.groupBy(*by, "n", zone.alias("_z"), F.when(zone == 1, F.col("_x")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_x").alias("_max"), F.min("_x").alias("_min"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_z", "_v"))
+    seen = seen.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
     pos = F.lit(q) * (F.col("n") - 1)
-    k = F.floor(pos)
-    frac = pos - k
-    k1 = F.least(k + 1, F.col("n") - 1)
-    b0 = F.try_element_at("vals", (k - F.col("below") + 1).cast("int"))
-    b1 = F.try_element_at("vals", (k1 - F.col("below") + 1).cast("int"))
-    ok = (F.col("below") <= k) & ((k1 - F.col("below") + 1) <= F.size("vals"))
-    a0 = F.try_element_at("allv", (k + 1).cast("int"))
-    a1 = F.try_element_at("allv", (k1 + 1).cast("int"))
-    v0 = F.when(F.col("n") <= small_n, a0).when(ok, b0)
-    v1 = F.when(F.col("n") <= small_n, a1).when(ok, b1)
-    return s2.select(*by, "n", F.when(F.col("n") > 0, v0 + (v1 - v0) * frac).alias("quantile"))
+
+    def at(rank):
+        return F.max(F.when((F.col("_z") == 1) & (F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_v"))
+                     .when((F.col("_z") == 0) & (rank == F.col("_upto") - 1), F.col("_max"))
+                     .when((F.col("_z") == 2) & (rank == F.col("_from")), F.col("_min")))
+
+    picked = seen.groupBy(*by, "n").agg(at(F.floor(pos)).alias("_v0"), at(F.ceil(pos)).alias("_v1"))
+    found = F.when(F.col("_v0").isNull() | F.col("_v1").isNull(), F.raise_error(F.lit("quantile rank outside its bracket")))
+    return picked.select(*by, "n", F.coalesce(found.cast("double"), F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (
+        pos - F.floor(pos))).alias("quantile"))
 
 
 def fit_stats(train_long: DataFrame, feature: str = "feature", value: str = "x") -> DataFrame:
@@ -65,17 +62,17 @@ def fit_stats(train_long: DataFrame, feature: str = "feature", value: str = "x")
     sklearn semantics (T6): the scaler sees the *imputed* train column, std is the
     population std and a zero std scales by 1."""
     med = exact_quantile(train_long, [feature], 0.5, value).select(feature, F.col("quantile").alias("median"))
-    imp = train_long.join(med, feature).select(feature, F.coalesce(F.col(value), F.col("median")).alias("_v"))
+    imp = train_long.join(F.broadcast(med), feature).select(feature, F.coalesce(F.col(value), F.col("median")).alias("_v"))
     mom = imp.groupBy(feature).agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"),
                                    F.count(F.lit(1)).alias("n_train"))
-    return med.join(mom, feature).select(
+    return F.broadcast(med).join(F.broadcast(mom), feature).select(
         feature, "median", "mean", "std",
         F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)).alias("scale"), "n_train")
 
 
 def impute_standardize(long: DataFrame, stats: DataFrame, feature: str = "feature", value: str = "x") -> DataFrame:
     """Apply M1 + M2: z = (coalesce(x, median) - mean) / scale."""
-    j = long.join(stats.select(feature, "median", "mean", "scale"), feature)
+    j = long.join(F.broadcast(stats.select(feature, "median", "mean", "scale")), feature)
     return j.select(*[c for c in long.columns if c != value],
                     F.coalesce(F.col(value), F.col("median")).alias("imputed"),
                     ((F.coalesce(F.col(value), F.col("median")) - F.col("mean")) / F.col("scale")).alias("z"))

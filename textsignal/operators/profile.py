@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textsignal.functions.schema import ASSET_HINTS, DATE_HINTS, TEXT_HINTS, candidate_columns
+from textsignal.operators.prep import exact_quantile
 from textsignal.operators.text import _asset_conditions
 
 
@@ -147,3 +148,10 @@ def shortlist(cands: DataFrame, min_dates: int = 30, min_news: int = 100, n: int
                      F.max(ok.cast("int")).over(Window.partitionBy()).alias("_any"))
     keep = F.when(F.col("_any") == 1, F.col("passes") & (F.col("_r_ok") <= n)).otherwise(F.col("_r_all") <= fallback)
     return x.where(keep).drop("_r_all", "_r_ok", "_any")
+
+
+def text_lengths(df: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
+    """Non-null texts, mean and exact median length per group."""
+    x = df.select(*by, F.length(text).cast("double").alias("x"))
+    means = x.groupBy(*by).agg(F.count("x").alias("non_null"), F.avg("x").alias("mean_len"))
+    return means.join(exact_quantile(x, by).select(*by, F.col("quantile").alias("median_len")), list(by), "left")

@@ -49,8 +49,9 @@ def date_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: flo
 
 
 def split_by_date(df: DataFrame, date: str = "date", **kw) -> DataFrame:
-    """Attach the date split to every row (J10: equi-join on date to the small date table)."""
-    return df.join(date_splits(df, date, **kw).select(date, "split"), date)
+    """Attach the date split to every row (J10).  The date table has one row per calendar day, so it is
+    broadcast and no fact row moves."""
+    return df.join(F.broadcast(date_splits(df, date, **kw).select(date, "split")), date)
 
 
 def row_balanced_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -83,7 +84,7 @@ def row_splits(df: DataFrame, order: list[str], train: float = 0.70, val: float
                                       F.lit(0)).alias("_before"),
                      F.sum("_nd").over(Window.partitionBy()).alias("_n"))
     inner = Window.partitionBy(date).orderBy(*rest) if rest else Window.partitionBy(date).orderBy(date)
-    x = df.join(per, date).withColumn("_r", F.col("_before") + F.row_number().over(inner))
+    x = df.join(F.broadcast(per), date).withColumn("_r", F.col("_before") + F.row_number().over(inner))
     n, r = F.col("_n"), F.col("_r")
     return x.select(*df.columns, F.when(r <= F.floor(n * F.lit(train)), "train")
                     .when(r <= F.floor(n * F.lit(round(train + val, 10))), "validation")
@@ -163,3 +164,26 @@ def leak_checklist(rows: DataFrame, feature_dates: DataFrame | None = None, date
         out = out.unionByName(p)
     return out.select("rule", F.col("v").cast("long").alias("violations"),
                       (F.col("v") == 0).alias("ok"))
+
+
+def split_audit(rows: DataFrame, target_date: str, asset: str = "asset", date: str = "date", split: str = "split") -> DataFrame:
+    """One row per decision: (asset, decision_date, target_date, split, crosses), where ``crosses`` tells
+    that the target's date lies in another split than the decision."""
+    days = F.broadcast(rows.select(F.col(date).alias(target_date), F.col(split).alias("_target_split")).distinct())
+    return rows.join(days, target_date, "left").select(
+        asset, F.col(date).alias("decision_date"), target_date, split,
+        F.coalesce(F.col("_target_split") != F.col(split), F.lit(False)).alias("crosses"))
+
+
+def purge(rows: DataFrame, days: int, date: str = "date", split: str = "split") -> DataFrame:
+    """Drop the train (validation) rows whose label may reach into validation (test): those at most
+    ``days`` calendar days before its first date.  ``days=0`` keeps all rows."""
+    if days <= 0:
+        return rows
+    first = {s: F.min(F.when(F.col(split) == s, F.col(date))) for s in ("validation", "test")}
+    bounds = rows.agg(*[x.alias(s) for s, x in first.items()]).first()       # two dates
+    late = F.lit(False)
+    for own, following in (("train", "validation"), ("validation", "test")):
+        if bounds[following] is not None:
+            late = late | ((F.col(split) == own) & (F.date_add(date, days) >= F.lit(bounds[following])))
+    return rows.where(~late)

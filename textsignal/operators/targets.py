@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsignal.functions.columns import finite_or_null
+
 
 def _future(df: DataFrame, h: int, price: str, asset: str, date: str, calendar: bool):
     if not calendar:
@@ -51,3 +53,23 @@ def previous_direction(df: DataFrame, horizon: int = 1, y: str = "y", asset: str
     lag_rows = horizon if lag_rows is None else lag_rows
     w = Window.partitionBy(asset).orderBy(date)
     return df.withColumn("previous_direction", F.lag(y, lag_rows).over(w))
+
+
+def coerce_dates(df: DataFrame, date: str) -> DataFrame:
+    """Lenient dates; rows whose date can't be read are dropped."""
+    return df.withColumn(date, F.try_to_timestamp(F.col(date).cast("string")).cast("date")).where(F.col(date).isNotNull())
+
+
+def ensure_target(df: DataFrame, y: str) -> DataFrame:
+    """Rows with a valid (finite) target, as an integer."""
+    return df.withColumn(y, finite_or_null(F.col(y).try_cast("double"))).where(F.col(y).isNotNull()).withColumn(
+        y, F.col(y).cast("int"))
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in a total order over ``order`` and then all columns.  A ``min_by``
+    over structs is a partial aggregate, so a hot key is reduced in every task."""
+    rest = [c for c in df.columns if c not in keys]
+    total = [*order, *[c for c in rest if c not in order]]
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*total)).alias("_first"))
+    return g.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])

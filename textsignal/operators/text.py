@@ -203,13 +203,13 @@ def valid_rows(parsed: DataFrame, decision: str = "decision_date", max_days: int
     """
     cols = parsed.columns
     h = F.col("header")
-    named = F.when((F.size(h) > 0) & (F.lower(F.try_element_at(h, F.lit(1))) == "date"), F.slice(h, 2, 100000))
+    named = F.when((F.size(h) > 0) & (F.lower(F.try_element_at(h, F.lit(1))) == "date"), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))))
     parts = F.transform("table_lines", lambda l, i: F.struct(
         i.alias("i"), F.transform(F.split(l, ","), lambda x: pystrip(x)).alias("p")))
     s1 = parsed.select(*cols, named.alias("_named"), parts.alias("_parts"))
     cand = F.transform("_parts", lambda e: F.struct(
         F.try_to_date(F.try_element_at(e["p"], F.lit(1)), "yyyy-MM-dd").alias("date"), e["i"].alias("i"),
-        F.transform(F.slice(e["p"], 2, 100000), lambda x: x.try_cast("double")).alias("nums"),
+        F.transform(F.slice(e["p"], 2, F.greatest(F.size(e["p"]) - 1, F.lit(0))), lambda x: x.try_cast("double")).alias("nums"),
         F.size(e["p"]).alias("arity")))
     s2 = s1.select(*cols, "_named", cand.alias("_cand"))
     ok = F.filter("_cand", lambda e: (e["arity"] >= 2) & e["date"].isNotNull() & (e["date"] <= F.col(decision))
@@ -233,21 +233,12 @@ def valid_rows(parsed: DataFrame, decision: str = "decision_date", max_days: int
 
 
 # ---------------------------------------------------------------- X9 / X10 / X11
-# Default lexicon of the native scorer (fixture tokens; pass a finance
-# word list on real data).
-DEFAULT_SENTIMENT = {
-    "positive": ["and", "for"],
-    "negative": ["was", "worthless"],
-    "uncertain": ["that", "than"],
-}
-
-
 def _count_words(lower_text: Column, words: Sequence[str]) -> Column:
     alt = "|".join(re.escape(w.lower()) for w in words)
     return F.regexp_count(lower_text, F.lit(rf"(?<![{WORD_CHAR}])(?:{alt})(?![{WORD_CHAR}])"))
 
 
-def lexicon_scores(text: Column, lexicon: Mapping[str, Sequence[str]] = DEFAULT_SENTIMENT) -> Column:
+def lexicon_scores(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """X9/X10/X11 native default: word-list shares over the *whole* text as one struct:
     n_words, p_pos, p_neg, p_neu, p_unc, score = p_pos - p_neg, abs_score, label.
     Blank text -> zeros and label 'neutral'.
@@ -273,42 +264,62 @@ def _shares(n, npos, nneg, nunc) -> Column:
                     F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral").alias("label"))
 
 
-def score_text(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pd.Series], pd.DataFrame]] | None = None,
-               lexicon: Mapping[str, Sequence[str]] = DEFAULT_SENTIMENT) -> DataFrame:
-    """Sentiment per text.  Default: native lexicon struct (no Python).
+def _scored(fn, texts: pd.Series) -> pd.DataFrame:
+    """Scores of a batch.  A batch that fails is retried in halves, down to the texts that fail by
+    themselves: only they score 0 and are marked."""
+    try:
+        out = fn(texts).reset_index(drop=True)
+        return out.assign(p_unc=out["p_unc"] if "p_unc" in out else 0.0, failed=False)
+    except Exception:  # noqa: BLE001 - a user's scorer may raise anything
+        if len(texts) == 1:
+            return pd.DataFrame({"p_pos": [0.0], "p_neg": [0.0], "p_neu": [1.0], "p_unc": [0.0], "failed": [True]})
+    half = len(texts) // 2
+    return pd.concat([_scored(fn, texts.iloc[:half]), _scored(fn, texts.iloc[half:])], ignore_index=True)
+
 
-    ``scorer`` is a *factory* returning ``f(texts: pd.Series) -> DataFrame[p_pos, p_neg, p_neu]``;
-    it is called once per task inside an iterator ``pandas_udf`` (model loaded once, Arrow
-    batches).  Blank texts and scorer failures give 0.0 (reference rule).
+def score_text(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pd.Series], pd.DataFrame]] | None = None,
+               lexicon: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Sentiment per text as a struct ``sentiment``, with the same fields on both paths, and a column
+    ``scorer_failed``.
+
+    ``lexicon`` (word lists ``positive``, ``negative``, ``uncertain``): native shares, no Python.
+    ``scorer`` is a *factory* returning ``f(texts: pd.Series) -> DataFrame[p_pos, p_neg, p_neu]`` (and
+    ``p_unc``, else 0); it is called once per task inside an iterator ``pandas_udf`` (model loaded once,
+    Arrow batches).  Blank texts score 0; so does a text on which the scorer fails, which is counted.
     """
+    if (scorer is None) == (lexicon is None):
+        raise ValueError("give a lexicon or a scorer")
+    lt = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    n_words = F.regexp_count(lt, F.lit(f"[{WORD_CHAR}]+")).cast("int")
     if scorer is None:
         # counts first (one regex pass each), shares in a second projection: the struct below
         # references every count several times and must not re-run the regexes
-        lt = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-        counts = df.select("*", F.regexp_count(lt, F.lit(f"[{WORD_CHAR}]+")).cast("int").alias("_nw"),
+        counts = df.select("*", n_words.alias("_nw"),
                            _count_words(lt, lexicon["positive"]).alias("_np"),
                            _count_words(lt, lexicon["negative"]).alias("_nn"),
                            _count_words(lt, lexicon["uncertain"]).alias("_nu"))
-        return counts.select(*df.columns, _shares("_nw", "_np", "_nn", "_nu").alias("sentiment"))
-    schema = "p_pos double, p_neg double, p_neu double"
+        return counts.select(*df.columns, _shares("_nw", "_np", "_nn", "_nu").alias("sentiment"),
+                             F.lit(False).alias("scorer_failed"))
+    fields = ["p_pos", "p_neg", "p_neu", "p_unc", "failed"]
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("p_pos double, p_neg double, p_neu double, p_unc double, failed boolean")
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = scorer()
         for s in batches:
-            blank = s.fillna("").str.strip() == ""
-            try:
-                out = fn(s.fillna("")).reset_index(drop=True)
-            except Exception:  # reference: a failed call scores 0
-                out = pd.DataFrame({"p_pos": [0.0] * len(s), "p_neg": [0.0] * len(s), "p_neu": [1.0] * len(s)})
-            out.loc[blank.values, ["p_pos", "p_neg"]] = 0.0
-            yield out[["p_pos", "p_neg", "p_neu"]]
-    p = _score(F.col(text_col))
-    score = p["p_pos"] - p["p_neg"]
-    return df.withColumn("sentiment", F.struct(
-        p["p_pos"].alias("p_pos"), p["p_neg"].alias("p_neg"), p["p_neu"].alias("p_neu"),
-        score.alias("score"), F.abs(score).alias("abs_score"),
-        F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral").alias("label")))
+            blank = (s.fillna("").str.strip() == "").to_numpy()
+            out = _scored(fn, s.fillna("")) if len(s) else pd.DataFrame(columns=fields)
+            out.loc[blank, ["p_pos", "p_neg", "p_neu", "p_unc"]] = 0.0
+            out.loc[blank, "failed"] = False
+            yield out[fields].astype({"failed": bool})
+
+    d = df.withColumn("_p", _score(F.col(text_col))).withColumn("_nw", n_words)
+    score = F.col("_p.p_pos") - F.col("_p.p_neg")
+    return d.select(*df.columns, F.struct(
+        F.col("_nw").alias("n_words"), F.col("_p.p_pos").alias("p_pos"), F.col("_p.p_neg").alias("p_neg"),
+        F.col("_p.p_neu").alias("p_neu"), F.col("_p.p_unc").alias("p_unc"), score.alias("score"),
+        F.abs(score).alias("abs_score"),
+        F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral").alias("label")).alias("sentiment"),
+        F.col("_p.failed").alias("scorer_failed"))
 
 
 def embed_text(df: DataFrame, text_col: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]],
@@ -333,6 +344,22 @@ def embed_text(df: DataFrame, text_col: str, encoder: Callable[[], Callable[[lis
     return df.withColumn(out_col, _embed(F.col(text_col)))
 
 
+def hash_embed(df: DataFrame, key: str, text_col: str, dim: int) -> DataFrame:
+    """X12 native: (key, n_tokens, embedding), the L2-normalised counts of a text's word tokens in ``dim``
+    md5 buckets.  Tokens are counted per (key, bucket) with partial aggregates, so a text of any length
+    becomes at most ``dim`` rows; a text without tokens has the zero vector."""
+    tokens = df.select(F.col(key), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"[{WORD_CHAR}]+"), F.lit(0))).alias("t"))
+    bucket = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dim
+    counts = tokens.groupBy(key, bucket.cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    norm = F.sqrt(F.sum(F.col("c").cast("double") * F.col("c")))
+    v = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), norm.alias("l2"),
+                                F.sum("c").alias("n_tokens"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                       lambda i: F.coalesce(F.try_element_at("m", i) / F.col("l2"), F.lit(0.0)))
+    return df.select(key).join(v, key, "left").select(key, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+                                                      each.alias("embedding"))
+
+
 def new_texts(texts: DataFrame, store: DataFrame, key: str = "text_hash", text_col: str = "text") -> DataFrame:
     """Texts whose hash is not yet in the embedding store (left anti-join), so only
     new texts reach the inference stage; results are appended to the store by the caller."""
@@ -340,7 +367,27 @@ def new_texts(texts: DataFrame, store: DataFrame, key: str = "text_hash", text_c
     return t.join(store.select(key).distinct(), key, "left_anti")
 
 
+def update_store(texts: DataFrame, store: DataFrame, embed: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
+    """The store with the vectors of the texts that it lacks.  ``embed`` gets one row per new text
+    (text_hash, text) and returns (text_hash, embedding)."""
+    fresh = new_texts(texts.select(text_col), store, "text_hash", text_col).dropDuplicates(["text_hash"])
+    return store.select("text_hash", "embedding").unionByName(embed(fresh).select("text_hash", "embedding"))
+
+
 # ---------------------------------------------------------------- X13
+def same_day_chunks(df: DataFrame, keys: Sequence[str], order: str, text_col: str = "text", size: int = 20_000) -> DataFrame:
+    """X13 in bounded rows: the texts of a key in ``order``, as numbered chunks of about ``size`` characters
+    (a text is never cut, so a chunk is at most that plus one text).  The chunks joined by a space are
+    ``same_day_text``; an encoder scores chunks and combines them."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length(text_col) + 1).over(w), F.lit(0))
+    d = df.select(*keys, order, text_col, F.floor(before / size).cast("int").alias("chunk_no"))
+    g = d.groupBy(*keys, "chunk_no").agg(F.array_sort(F.collect_list(F.struct(
+        F.col(order).alias("o"), F.col(text_col).alias("t")))).alias("_l"))
+    return g.select(*keys, "chunk_no", F.size("_l").alias("n_texts"),
+                    F.array_join(F.transform("_l", lambda e: e["t"]), " ").alias("chunk_text"))
+
+
 def same_day_text(df: DataFrame, keys: Sequence[str], order: str, text_col: str = "text") -> DataFrame:
     """All texts of a key (e.g. asset, date) joined by a space in ``order``."""
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),

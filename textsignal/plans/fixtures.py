@@ -29,6 +29,11 @@ NEWS_LEXICON = {
     "signup": ["was"],
     "view": ["worthless"],
 }
+SENTIMENT_LEXICON = {
+    "positive": ["and", "for"],
+    "negative": ["was", "worthless"],
+    "uncertain": ["that", "than"],
+}
 LINEITEM_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
                   "l_quantity", "l_discount", "l_tax"]
 NEWS_BASE = "2024-01-01 00:00:00"
@@ -55,12 +60,11 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     minutes = ((F.col("doc_id") * NEWS_MINUTES_MUL) % NEWS_MINUTES_MOD).cast("int")
     ts = F.timestamp_add("MINUTE", minutes, F.lit(NEWS_BASE).cast("timestamp_ntz"))
-    return d.select("doc_id", ts.alias("event_time"), F.substring("text", 1, 80).alias("title"),
-                    F.col("text").alias("body"), F.col("source").alias("asset_raw"), "lang")
+    return d.select("doc_id", ts.alias("event_time"), F.col("text").alias("body"), F.col("source").alias("asset_raw"), "lang")
 
 
 def events_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.normalize_events(news(spark, sf_dir), "event_time", ["title", "body"], "asset_raw",
+    return text.normalize_events(news(spark, sf_dir), "event_time", ["body"], "asset_raw",
                                  NEWS_LEXICON, keep=["doc_id", "lang"])
 
 
@@ -75,7 +79,7 @@ def flare_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction records: one per (asset, date) of ``bars``.
 
     query = 'Will $<asset> rise at <date>'; text = 'context: <header>' + the last 15 bar rows
-    (CSV) + one 'YYYY-MM-DD: $<asset> <first line>' per tagged news of the last 3 days.
+    (CSV) + one 'YYYY-MM-DD: $<asset> <line>' per non-blank line of the tagged news of the last 3 days.
     """
     b = bars(spark, sf_dir)
     w = Window.partitionBy("asset").orderBy("date")
@@ -84,14 +88,16 @@ def flare_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = b.select("asset", "date", F.array_join(F.collect_list(row).over(w.rowsBetween(-(FLARE_ROWS - 1), 0)),
                                                     "\n").alias("rows"))
     nb = news_by_asset(spark, sf_dir)
-    first = text.pystrip(F.element_at(F.split("text", "\n"), 1))
-    line = F.concat(F.col("event_date").cast("string"), F.lit(": $"), F.col("asset"), F.lit(" "), first)
+    nb = nb.select("asset", "doc_id", "event_date", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    nb = nb.withColumn("raw", text.pystrip(F.col("raw"))).where(F.col("raw") != "")
+    line = F.concat(F.col("event_date").cast("string"), F.lit(": $"), F.col("asset"), F.lit(" "), F.col("raw"))
     # each news day feeds the records of that day and the next FLARE_TEXT_DAYS-1 days
-    lines = nb.select("asset", "doc_id", "event_date", line.alias("line"),
+    lines = nb.select("asset", "doc_id", "line_no", "event_date", line.alias("line"),
                       F.explode(F.sequence(F.lit(0), F.lit(FLARE_TEXT_DAYS - 1))).alias("k"))
-    lines = lines.select("asset", F.date_add("event_date", F.col("k")).alias("date"), "event_date", "doc_id", "line")
+    lines = lines.select("asset", F.date_add("event_date", F.col("k")).alias("date"), "event_date", "doc_id",
+                         "line_no", "line")
     texts = (lines.groupBy("asset", "date")
-             .agg(F.array_sort(F.collect_list(F.struct("event_date", "doc_id", "line"))).alias("l"))
+             .agg(F.array_sort(F.collect_list(F.struct("event_date", "doc_id", "line_no", "line"))).alias("l"))
              .select("asset", "date", F.array_join(F.transform("l", lambda e: e["line"]), "\n").alias("news")))
     header = "context: date,open,high,low,close,adj-close,volume"
     rec = table.join(texts, ["asset", "date"], "left")

@@ -138,16 +138,22 @@ SELECT rule, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
   FROM labelled l JOIN (SELECT asset, date, lead(date, 1) OVER (PARTITION BY asset ORDER BY date) AS target_date
                         FROM bars_long) t ON l.asset = t.asset AND l.date = t.date
   UNION ALL
+  SELECT 'feature_after_decision', count(*) FILTER (WHERE feature_date > date)
+  FROM (SELECT date, max(date) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS feature_date
+        FROM bars_long) f
+  UNION ALL
   SELECT 'splits_chronological',
          CASE WHEN max(date) FILTER (WHERE split = 'train') >= min(date) FILTER (WHERE split <> 'train')
               THEN 1 ELSE 0 END
   FROM labelled) r""", "labelled", "bars_long"))
 def leak_checklist(spark, d):
-    """Leak rules as violation counts."""
+    """Leak rules as violation counts; the feature dates are the last dates in the frame of the
+    20-row rolling features."""
     w = Window.partitionBy("asset").orderBy("date")
+    used = fx.bars_long(spark, d).select("date", F.max("date").over(w.rowsBetween(-19, 0)).alias("feature_date"))
     td = fx.bars_long(spark, d).select("asset", "date", F.lead("date", 1).over(w).alias("target_date"))
     rows = _lab(spark, d).join(td, ["asset", "date"])
-    return splits.leak_checklist(rows, target_date="target_date")
+    return splits.leak_checklist(rows, used, target_date="target_date")
 
 
 # ------------------------------------------------------------------ prep
@@ -188,8 +194,10 @@ def _mf_long(spark, d):
     mf, man = market.market_full(fx.bars_long(spark, d))
     # target and date split straight on the feature frame: one bars aggregation, no join back
     lab = splits.split_by_date(targets.direction_target(mf, 1), "date")
-    # the long frame feeds the quantile's two passes and the moments: cut its lineage once
-    return materialize(prep.to_long(lab, ["asset", "date", "split"], man["market_full"]))
+    # the wide frame feeds the quantile's two passes and the moments: cut its lineage once; the long
+    # form is only ever pre-aggregated in the tasks that make it
+    wide = materialize(lab.select("asset", "date", "split", *man["market_full"]))
+    return prep.to_long(wide, ["asset", "date", "split"], man["market_full"])
 
 
 @register("train_median_impute", with_views(f"""
@@ -312,7 +320,7 @@ SELECT model, asset, split, {rnd('roc_auc')} AS roc_auc FROM ({auc_sql('preds',
                                       "preds"))
 def roc_auc_exact(spark, d):
     """Exact ROC-AUC (ties 1/2) per (model, asset, split), bucketed prefix sums."""
-    return metrics.roc_auc(_preds(spark, d), ["model", "asset", "split"], n_buckets=64)
+    return metrics.roc_auc(_preds(spark, d), ["model", "asset", "split"])
 
 
 def _test_at_half(spark, d):
@@ -489,7 +497,7 @@ def flagship_evaluation(spark, d):
             .select("m.model", "asset", "y_true", "m.y_pred", "m.y_proba")
             .where(F.col("y_pred").isNotNull()))
     cm = metrics.classification_metrics(metrics.confusion(allm, ["model", "asset"]))
-    auc = metrics.roc_auc(allm, ["model", "asset"], n_buckets=1)
+    auc = metrics.roc_auc(allm, ["model", "asset"])
     ev = cm.join(auc, ["model", "asset"])
     return ev.select("model", "asset", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"),
                      *CM, "accuracy", "balanced_accuracy", "f1", "roc_auc")

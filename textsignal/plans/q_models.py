@@ -9,6 +9,7 @@ from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import round_cols
 from textsignal.plans.views_sql import with_views
+from textsignal.session import materialize
 
 GROUPS = ["prices_raw", "returns_rolling", "volume_rolling", "market_full"]
 
@@ -35,7 +36,7 @@ def dickey_fuller(spark, d):
 @register("logreg_ablation")
 def logreg_ablation(spark, d):
     """M6 + M8 + M9 + M12 + E1-E3: L2 logistic regression per market feature group, C and
-    threshold tuned on validation, metrics on test; plus majority and previous-direction rows."""
+    threshold tuned on validation, metrics on test."""
     df, man = _features(spark, d)
     res = models.ablation(df, man, GROUPS)
     return res.select("feature_group", "n_features", "selected_C", "selected_threshold", "val_balanced_accuracy",
@@ -45,22 +46,27 @@ def logreg_ablation(spark, d):
 
 @register("pca_embeddings")
 def pca_embeddings(spark, d):
-    """M4: train-only standardised PCA of the text embeddings for k = 16, 32 (explained variance)."""
+    """M4: train-only standardised PCA of the text embeddings.  Per split and component count (16, 32, 64):
+    the variance of the projection per input dimension (on train: the explained share), and the mean
+    product of the first two components (on train: 0)."""
     te = fx.text_emb(spark, d)
     te = splits.split_by_date(te.withColumnRenamed("event_date", "date"), "date")
-    out = []
-    for k in (16, 32):
-        proj, ev, kk = models.pca_embeddings(te, "embedding", k)
-        out.append((k, kk, ev, proj.count()))
-    return spark.createDataFrame(out, "k_requested int, k_actual int, explained_variance double, n_rows long")
+    proj, ev, kk = models.pca_embeddings(te.withColumn("dim", F.size("embedding")), "embedding", 64)
+    energy = lambda k: F.aggregate(F.slice("pca", 1, k), F.lit(0.0), lambda a, x: a + x * x) / F.col("dim")
+    return proj.groupBy("split").agg(
+        F.lit(kk).alias("k_actual"), F.lit(ev).alias("explained_variance"), F.count(F.lit(1)).alias("n_rows"),
+        *[F.avg(energy(k)).alias(f"variance_{k}") for k in (16, 32, 64)],
+        F.avg(F.get("pca", F.lit(0)) * F.get("pca", F.lit(1))).alias("cross_1_2"))
 
 
 @register("arx_forecast")
 def arx_forecast(spark, d):
-    """M15 + W12 + E8: direct 30-step forecast of differences per asset with the text count known at
-    the origin as regressor; levels rebuilt by cumulative sums."""
+    """M15 + W12 + E8: direct 30-step forecast of differences per asset, with the volume known at the origin
+    as regressor (the long bars and the texts share no dates) and without; levels rebuilt by cumulative
+    sums, beside the naive level."""
     b = fx.bars_long(spark, d)
-    return models.direct_forecast(b, 30)
+    plain = models.direct_forecast(b, 30).select("asset", "k", F.col("level_pred").alias("level_plain"))
+    return models.direct_forecast(b, 30, exog="volume").join(plain, ["asset", "k"])
 
 
 @register("mlp_window")
@@ -72,7 +78,7 @@ def mlp_window(spark, d):
     df = seq.join(lab, ["asset", "date"])
     cols = [c for c in seq.columns if c not in ("asset", "date")]
     p = models.window_mlp(df, cols)
-    return metrics.evaluate(p, ["asset"], n_buckets=64)
+    return metrics.evaluate(p, ["asset"])
 
 
 @register("rf_prices")
@@ -80,7 +86,7 @@ def rf_prices(spark, d):
     """Random forest on the raw price group; test metrics per asset."""
     df, man = _features(spark, d)
     p = models.random_forest(df, man["prices_raw"])
-    return metrics.evaluate(p, ["asset"], n_buckets=64)
+    return metrics.evaluate(p, ["asset"])
 
 
 @register("logreg_fixed_c")
@@ -88,7 +94,7 @@ def logreg_fixed_c(spark, d):
     """M7: C = 1 and threshold 0.5 (no tuning) on the market_full group; test metrics."""
     df, man = _features(spark, d)
     test, sel = models.fit_logreg_group(df.cache(), man["market_full"], "market_full", c_grid=(1.0,), threshold=0.5)
-    return metrics.evaluate(test, ["feature_group"], n_buckets=64).join(sel.drop("objective_history"), "feature_group")
+    return metrics.evaluate(test, ["feature_group"]).join(sel.drop("objective_history"), "feature_group")
 
 
 @register("training_curve")
@@ -101,3 +107,63 @@ def training_curve(spark, d):
     from pyspark.sql import Window
     best = F.min("objective").over(Window.partitionBy("feature_group"))
     return h.select("*", (F.col("objective") == best).alias("is_best"))
+
+
+TEXT_META = ["text_count", "avg_text_len", "max_text_len", "has_text"]
+PCA_SIZES = (16, 32, 64)
+
+
+def _text_groups(spark, d):
+    """The labelled event bars with daily text features, mean vectors and their train-fitted components, and
+    the manifest of the feature groups."""
+    mf, man = market.market_full(fx.bars(spark, d))
+    rows = splits.split_by_date(targets.direction_target(mf, 1), "date")
+    rows = align.join_same_day(rows, align.daily_text(fx.news_by_asset(spark, d)))
+    by_asset = align.explode_assets(fx.text_emb(spark, d)).withColumnRenamed("event_date", "date")
+    vectors = align.daily_vector_mean(by_asset, ["asset", "date"])
+    dim = vectors.agg(F.max(F.size("mean_vector"))).first()[0]
+    rows = rows.join(vectors.drop("n_texts"), ["asset", "date"], "left").withColumn(
+        "mean_vector", F.coalesce("mean_vector", F.array_repeat(F.lit(0.0), dim)))
+    rows = materialize(rows)
+    proj, _, kk = models.pca_embeddings(rows.withColumn("vector", F.col("mean_vector")), "vector", max(PCA_SIZES))
+    emb, pca = [f"emb_{i}" for i in range(dim)], [f"pca_{i}" for i in range(kk)]
+    frame = proj.select("*", *[F.col("mean_vector")[i].alias(c) for i, c in enumerate(emb)],
+                        *[F.col("pca")[i].alias(c) for i, c in enumerate(pca)]).drop("mean_vector", "pca")
+    base = list(man["market_full"])
+    groups = {"market_full": base, "text_meta": TEXT_META, "market_full_text_meta": base + TEXT_META, "finbert_full": emb}
+    for k in PCA_SIZES:
+        groups[f"finbert_pca_{k}"] = pca[:k]
+        groups[f"market_full_finbert_pca_{k}"] = base + pca[:k]
+        groups[f"market_full_finbert_pca_{k}_text_meta"] = base + pca[:k] + TEXT_META
+    return frame, groups
+
+
+def _text_predictions(spark, d):
+    frame, groups = _text_groups(spark, d)
+    preds, sel = models.ablation_predictions(frame, groups, list(groups), c_grid=(0.1, 1.0), max_iter=20)
+    rows = frame.select("asset", "date", "split", F.col("y").alias("y_true"))
+    cols = ["asset", "date", "feature_group", "y_true", "y_proba", "y_pred"]
+    for name, b in (("majority", metrics.majority_baseline(rows, ["asset"])),
+                    ("previous_direction", metrics.previous_direction_baseline(rows, ["asset"]))):
+        preds = preds.select(cols).unionByName(b.withColumn("feature_group", F.lit(name)).select(cols))
+    return preds, sel
+
+
+@register("predictions")
+def predictions(spark, d):
+    """D10 + U2 + J4: test predictions of every fitted feature group and of both baselines."""
+    return _text_predictions(spark, d)[0]
+
+
+@register("text_ablation")
+def text_ablation(spark, d):
+    """M12 with text (M4, M6, M8, M9, J5, E1-E3, E5): test metrics per feature group (market, text meta,
+    embedding means, their components, and unions) and baseline, and the deltas to the market group."""
+    preds, sel = _text_predictions(spark, d)
+    ev = materialize(metrics.evaluate(preds, ["feature_group"]))
+    market_ba = ev.where("feature_group = 'market_full'").select("balanced_accuracy", "roc_auc").first()
+    return ev.join(F.broadcast(sel.drop("objective_history")), "feature_group", "left").select(
+        "feature_group", "n_features", "selected_C", "selected_threshold", "val_balanced_accuracy", "tn", "fp", "fn", "tp",
+        "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc",
+        (F.col("balanced_accuracy") - F.lit(market_ba["balanced_accuracy"])).alias("delta_balanced_accuracy"),
+        (F.col("roc_auc") - F.lit(market_ba["roc_auc"])).alias("delta_roc_auc"))

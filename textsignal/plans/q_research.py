@@ -162,7 +162,7 @@ def _profile_sql(name: str, src: str, cols: list[str]) -> str:
   FROM (SELECT count(*) AS rows, {best_d} AS bd, {best_t} AS bt, {ment} AS mentions FROM {src}) a"""
 
 
-_PROFILED = {"news": ["doc_id", "event_time", "title", "body", "asset_raw", "lang"],
+_PROFILED = {"news": ["doc_id", "event_time", "body", "asset_raw", "lang"],
              "conversations": ["conv_id", "turn", "role", "text"],
              "benchmark": ["item_id", "text"], "pages": ["page_id", "url", "html"]}
 _PCOLS = ["rows", "n_cols", "best_date_col", "date_min", "date_max", "best_text_col", "text_cols", "asset_cols",

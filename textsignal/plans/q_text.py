@@ -13,7 +13,7 @@ from textsignal.plans.sql_lib import rnd, round_cols
 from textsignal.plans.views_sql import WS, with_views
 
 WC = r"\p{L}\p{N}_"
-LEX = text.DEFAULT_SENTIMENT
+LEX = fx.SENTIMENT_LEXICON
 EMB_DIM = 64
 CACHE_CUTOFF = "2024-01-20"   # the embedding store holds texts dated before this day
 
@@ -34,11 +34,11 @@ def asset_tags(spark, d):
 
 @register("asset_mentions", with_views(" UNION ALL ".join(
     f"SELECT '{a}' AS asset, count(*) FILTER (WHERE regexp_matches(lower(t), '{word_pattern(ws)}')) AS mentions "
-    f"FROM (SELECT concat_ws(' ', coalesce(title, ''), coalesce(body, '')) AS t FROM news) x"
+    f"FROM (SELECT coalesce(body, '') AS t FROM news) x"
     for a, ws in fx.NEWS_LEXICON.items()), "news"))
 def asset_mentions(spark, d):
     """Number of texts mentioning each asset, one pass over the table."""
-    return text.asset_mentions(fx.news(spark, d), ["title", "body"], fx.NEWS_LEXICON)
+    return text.asset_mentions(fx.news(spark, d), ["body"], fx.NEWS_LEXICON)
 
 
 @register("normalized_events", with_views("""
@@ -73,7 +73,7 @@ _SC = {"scored0": _SCORED, "scored": _SCORED2,
 
 
 def _scored(spark, d):
-    return text.score_text(fx.events_norm(spark, d), "text")
+    return text.score_text(fx.events_norm(spark, d), "text", lexicon=LEX)
 
 
 @register("lexicon_sentiment", with_views(f"""
@@ -247,27 +247,31 @@ def sequence_window(spark, d):
 
 
 @register("same_day_text", with_views("""
-SELECT asset, event_date AS date, count(*) AS n_texts,
-       CAST(length(string_agg(text, ' ' ORDER BY doc_id)) AS INTEGER) AS day_text_len,
-       md5(string_agg(text, ' ' ORDER BY doc_id)) AS day_text_md5
-FROM news_by_asset GROUP BY 1, 2""", "news_by_asset"))
+SELECT asset, date, CAST(before // 20000 AS INTEGER) AS chunk_no, count(*) AS n_texts,
+       CAST(length(string_agg(text, ' ' ORDER BY doc_id)) AS INTEGER) AS chunk_len,
+       md5(string_agg(text, ' ' ORDER BY doc_id)) AS chunk_md5
+FROM (SELECT asset, event_date AS date, doc_id, text, coalesce(sum(length(text) + 1) OVER (
+        PARTITION BY asset, event_date ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM news_by_asset) p GROUP BY 1, 2, 3""", "news_by_asset"))
 def same_day_text(spark, d):
-    """All texts of an (asset, day) joined by a space in document order (embedding input)."""
+    """All texts of an (asset, day) in document order, as chunks of bounded size (embedding input)."""
     nb = fx.news_by_asset(spark, d).withColumnRenamed("event_date", "date")
-    j = text.same_day_text(nb, ["asset", "date"], "doc_id")
-    return j.select("asset", "date", F.col("n_texts").cast("long"), F.length("day_text").alias("day_text_len"),
-                    F.md5("day_text").alias("day_text_md5"))
+    j = text.same_day_chunks(nb, ["asset", "date"], "doc_id")
+    return j.select("asset", "date", "chunk_no", F.col("n_texts").cast("long"), F.length("chunk_text").alias("chunk_len"),
+                    F.md5("chunk_text").alias("chunk_md5"))
 
 
 @register("new_texts_only", with_views(f"""
-SELECT doc_id, event_date FROM text_emb
-WHERE sha256(CAST(doc_id AS VARCHAR)) NOT IN (SELECT sha256(CAST(doc_id AS VARCHAR)) FROM text_emb
-                                              WHERE event_date < DATE '{CACHE_CUTOFF}')""", "text_emb"))
+SELECT sha256(text) AS text_hash, min(doc_id) AS first_doc, count(*) AS n_docs FROM events_norm
+WHERE sha256(text) NOT IN (SELECT sha256(text) FROM events_norm WHERE event_date < DATE '{CACHE_CUTOFF}')
+GROUP BY 1""", "events_norm"))
 def new_texts_only(spark, d):
-    """Incremental embedding cache — texts whose hash is not in the store (left anti-join)."""
-    te = fx.text_emb(spark, d).withColumn("text_hash", F.sha2(F.col("doc_id").cast("string"), 256))
-    store = te.where(F.col("event_date") < F.lit(CACHE_CUTOFF).cast("date"))
-    return text.new_texts(te, store).select("doc_id", "event_date")
+    """Incremental embedding cache — texts whose hash is not in the store (left anti-join); a text
+    that repeats is new once."""
+    e = fx.events_norm(spark, d).withColumn("text_hash", F.sha2("text", 256))
+    store = e.where(F.col("event_date") < F.lit(CACHE_CUTOFF).cast("date"))
+    return text.new_texts(e, store).groupBy("text_hash").agg(F.min("doc_id").alias("first_doc"),
+                                                             F.count(F.lit(1)).alias("n_docs"))
 
 
 # ------------------------------------------------------------------ X1, X2, U1 (flare records)
@@ -462,37 +466,23 @@ def record_texts(spark, d):
                     F.size(F.filter("u", lambda v: v > 0)).alias("n_steps_with_text"))
 
 
-def hashing_encoder(dim: int = EMB_DIM):
-    """Deterministic stand-in text encoder (feature hashing of word tokens, L2-normalised), used
-    to exercise the batched inference path without model weights.  A real model factory plugs
-    into ``text.embed_text`` the same way."""
-    import re as _re
-    import zlib
-
-    import numpy as np
-    tok = _re.compile(r"\\w+", _re.UNICODE)
-
-    def encode(texts):
-        out = []
-        for t in texts:
-            v = np.zeros(dim)
-            for w in tok.findall(t.lower()):
-                v[zlib.crc32(w.encode("utf-8")) % dim] += 1.0
-            n = np.linalg.norm(v)
-            out.append(v / n if n > 0 else v)
-        return out
-    return encode
-
-
-@register("embed_texts")
+@register("embed_texts", with_views(f"""
+SELECT n.doc_id, coalesce(v.nonzero_dims, 0) AS nonzero_dims, CAST(coalesce(v.n, 0) AS BIGINT) AS n_tokens,
+       {rnd("coalesce(v.norm, 0)")} AS embedding_norm, {rnd("coalesce(v.checksum, 0)")} AS checksum
+FROM events_norm n LEFT JOIN (
+  SELECT doc_id, count(*) AS nonzero_dims, sum(c) AS n, sqrt(sum(c * c)) / sqrt(sum(c * c)) AS norm,
+         sum((b + 1) * c) / sqrt(sum(c * c)) AS checksum
+  FROM (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {EMB_DIM} AS b, count(*)::DOUBLE AS c
+        FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[{WC}]+')) AS t FROM events_norm) x GROUP BY 1, 2) y
+  GROUP BY doc_id) v ON v.doc_id = n.doc_id""", "events_norm"))
 def embed_texts(spark, d):
-    """Batched text embedding (iterator pandas_udf, encoder loaded once per task, batches
-    of 16, blank text -> zero vector) over every normalised news text; norm and non-zero dims."""
-    e = text.embed_text(fx.events_norm(spark, d).select("doc_id", "text"), "text", lambda: hashing_encoder(EMB_DIM),
-                        EMB_DIM, batch_size=16)
+    """Feature-hashed embedding of every normalised news text (L2-normalised token counts in EMB_DIM
+    buckets): non-zero dimensions, tokens, norm (1, or 0 without tokens) and a checksum of the vector."""
+    e = text.hash_embed(fx.events_norm(spark, d).select("doc_id", "text"), "doc_id", "text", EMB_DIM)
     from textsignal.functions.columns import l2_norm
-    return e.select("doc_id", l2_norm("embedding").alias("embedding_norm"),
-                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero_dims"))
+    check = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * x), F.lit(0.0), lambda a, x: a + x)
+    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nonzero_dims"),
+                    "n_tokens", l2_norm("embedding").alias("embedding_norm"), check.alias("checksum"))
 
 
 @register("lost_text_days", with_views("""

@@ -47,13 +47,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "news": ((), """
   SELECT doc_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 43200 AS BIGINT)) AS event_time,
-         substr(text, 1, 80) AS title, text AS body, source AS asset_raw, lang
+         text AS body, source AS asset_raw, lang
   FROM documents"""),
     "events_norm": (("news",), f"""
   SELECT doc_id, lang, event_time, CAST(event_time AS DATE) AS event_date, text,
          CAST(length(text) AS INTEGER) AS text_len, asset_raw, {_tag_sql("text || ' ' || asset_raw")} AS asset_list
   FROM (SELECT doc_id, lang, event_time,
-               trim(concat_ws(' ', coalesce(title, ''), coalesce(body, '')), {WS}) AS text,
+               trim(coalesce(body, ''), {WS}) AS text,
                coalesce(asset_raw, '') AS asset_raw
         FROM news) t
   WHERE event_time IS NOT NULL AND length(text) > 10"""),
@@ -68,11 +68,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   FROM bars"""),
     "flare_news": (("news_by_asset",), f"""
   SELECT asset, CAST(event_date + CAST(k AS INTEGER) AS DATE) AS date,
-         string_agg(line, {NL} ORDER BY event_date, doc_id, line) AS news
-  FROM (SELECT asset, doc_id, event_date, unnest(range(0, 3)) AS k,
-               CAST(event_date AS VARCHAR) || ': $' || asset || ' ' ||
-               trim(split_part(text, {NL}, 1), {WS}) AS line
-        FROM news_by_asset) t
+         string_agg(line, {NL} ORDER BY event_date, doc_id, line_no) AS news
+  FROM (SELECT asset, doc_id, event_date, line_no, unnest(range(0, 3)) AS k,
+               CAST(event_date AS VARCHAR) || ': $' || asset || ' ' || raw AS line
+        FROM (SELECT asset, doc_id, event_date, line_no, trim(l, {WS}) AS raw
+              FROM (SELECT asset, doc_id, event_date, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS l
+                    FROM (SELECT *, string_split(text, {NL}) AS ls FROM news_by_asset) a) b) c
+        WHERE raw <> '') t
   GROUP BY 1, 2"""),
     "flare_raw": (("flare_rows", "flare_news"), f"""
   SELECT r.asset, r.date, 'Will $' || r.asset || ' rise at ' || CAST(r.date AS VARCHAR) AS query,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +38,24 @@ def get_spark(cpus: int | str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per context), so that Python functions of the
+    operators import it wherever the session was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textsignal_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="textsignal-"), "textsignal.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._textsignal_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only locally."""
     sc = spark.sparkContext

@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,30 +22,36 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
              encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
     """S1 + S2: CSV with header; declared schema if given (inference only for profiling).
 
-    Encoding fallback: read as UTF-8; if a bounded sample of the first column shows U+FFFD
-    (undecodable bytes), re-read with the next encoding.  A BOM on the first header is stripped."""
-    df = None
-    for enc in encodings:
-        r = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE")
-        df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
-        first = df.columns[0] if df.columns else None
-        if first is None:
-            break
-        bad = df.select(F.col(f"`{first}`").cast("string").alias("c")).limit(1000).where(
-            F.col("c").contains("\ufffd")).limit(1).count()
-        if not bad and "\ufffd" not in "".join(df.columns):
-            break
-    cols = [c.lstrip("\ufeff") for c in df.columns]
-    return df.toDF(*cols)
+    The encoding is decided on every byte of every line (header, all columns, all rows): one aggregate
+    over the raw lines tells whether they are valid UTF-8.  If not, the next encoding is used; a
+    file that is invalid in the only encoding given is an error.  A BOM on the first header is stripped."""
+    encoding = encodings[0]
+    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        broken = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value"))).first()[0]
+        if broken and len(encodings) < 2:
+            raise ValueError(f"{path}: {broken} lines are not valid {encoding}")
+        if broken:
+            encoding = encodings[1]
+    r = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+    df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """S3: JSON lines first; if every row is corrupt, the file is one JSON document (multiLine)."""
+    """S3: JSON lines if every non-blank line is an object of its own, else one JSON document per file
+    (an array or an object over several lines); a file that is neither is an error."""
     r = spark.read.schema(schema) if schema is not None else spark.read
-    df = r.json(path)
-    if df.columns == ["_corrupt_record"]:
-        df = r.option("multiLine", True).json(path)
-    return df
+    is_object = F.json_object_keys("value").isNotNull()
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if not lines.filter(~is_object).limit(1).count():
+        return r.json(path)
+    # a document is an array, or an object that is not complete in its first line
+    head = F.regexp_extract("value", r"^\s*(\S[^\n]*)", 1)
+    array = F.startswith(head, F.lit("[")) & F.json_array_length("value").isNotNull()
+    single = F.startswith(head, F.lit("{")) & is_object & F.json_object_keys(head).isNull()
+    if spark.read.text(path, wholetext=True).filter(~(array | single)).limit(1).count():
+        raise ValueError(f"{path}: neither JSON lines nor JSON documents")
+    return r.option("multiLine", True).json(path)
 
 
 def read_table(spark: SparkSession, path: str, max_rows: int | None = None, normalize: bool = False) -> DataFrame:
@@ -85,19 +92,21 @@ def read_many(spark: SparkSession, paths: Iterable[str]) -> tuple[dict[str, Data
             df.schema  # noqa: B018 - forces the metadata read
             ok[p] = df
         except Exception as e:  # noqa: BLE001
-            errors.append(Row(file=p, error=repr(e)[:500]))
+            errors.append(Row(file=p, error=repr(e)))
     err = spark.createDataFrame(errors, "file string, error string")
     return ok, err
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Union of the split files that exist, with a ``split`` literal column; missing skipped."""
+    """Union of the split files that exist, with a ``split`` literal column.  Only a path that does
+    not exist is skipped; a split that can't be read is an error."""
     frames = []
     for split, path in paths.items():
         try:
             frames.append(read_table(spark, path).withColumn("split", F.lit(split)))
-        except Exception:  # noqa: BLE001 - a missing split is skipped
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if not frames:
         raise ValueError("no split could be read")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
