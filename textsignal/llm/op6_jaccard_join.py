@@ -126,7 +126,7 @@ def frequent_keys(n: int):
         counts = counts + np.bincount(np.searchsorted(keys, more["key"]), more["n"], minlength=len(keys)).astype(np.int64)
         best = np.lexsort((keys, -counts))[:HOT_LIST // n]
         best = best[counts[best] >= FREQUENT]
-        return pd.DataFrame({"key": keys[best], "n": counts[best]})
+        return pd.DataFrame({"keys": [keys[best].astype(np.uint32).tobytes()], "counts": [counts[best].tobytes()]})
 
     return run
 
@@ -305,8 +305,10 @@ def unit_links(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """(a, b): links between different texts that together join all that are linked."""
     n = buckets(docs)
     top = counted.filter("bucket is not null").select("bucket", "steps", "more").groupBy("bucket").applyInPandas(
-        frequent_keys(n), "key long, n long").toPandas().sort_values("key")                 # bounded by HOT_LIST
-    hot = top["key"].to_numpy(np.int64).astype(np.uint32), top["n"].to_numpy(np.int64)
+        frequent_keys(n), "keys binary, counts binary").collect()                 # packed, bounded by HOT_LIST
+    keys = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["keys"], np.uint32) for r in top]])
+    counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in top]])
+    hot = keys[np.argsort(keys)], counts[np.argsort(keys)]
     found = entries(docs, hot, n).groupBy("bucket").applyInPandas(
         regions, "region long, unit long, size long, pivot long, pivot_size long")
     members = stash(found.dropDuplicates(["region", "unit"]), "jaccard-regions")
