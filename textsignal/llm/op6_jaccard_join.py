@@ -284,8 +284,8 @@ def close(a, b):
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    label = components(links).select(F.col("node").alias("unit"), "component")
+def labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    label = joined.select(F.col("node").alias("unit"), "component")
     return members.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
 
 
@@ -295,14 +295,21 @@ def still_open(m: DataFrame) -> DataFrame:
         "lo < hi").select("region")
 
 
+def grown(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: those found before enter as stars, which join the same units by fewer
+    links and in fewer rounds."""
+    stars = joined.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.union(links))
+
+
 def lacking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Units of the pairs whose sets have not been read yet."""
     wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
     return wanted.join(sets.select("unit"), "unit", "left_anti")
 
 
-def unit_links(docs: DataFrame, counted: DataFrame) -> DataFrame:
-    """(a, b): links between different texts that together join all that are linked."""
+def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(node, component) of all units that are linked with others."""
     n = buckets(docs)
     top = counted.filter("bucket is not null").select("bucket", "steps", "more").groupBy("bucket").applyInPandas(
         frequent_keys(n), "keys binary, counts binary").collect()                 # packed, bounded by HOT_LIST
@@ -321,24 +328,23 @@ def unit_links(docs: DataFrame, counted: DataFrame) -> DataFrame:
     near = spokes.filter("possible").select("a", "b")
     sets = stash(sets_of(docs, near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()), "jaccard-sets")
     to_pivot = stash(distances(near, sets), "jaccard-distances")
-    first = linked(to_pivot)
+    joined = components(linked(to_pivot))
 
     # more pivots, one drawn in each region that still holds several components: a large group of near copies
     # soon is one component, at as many comparisons as it has members
-    links = first
     for star in range(STARS):
-        m = labelled(members, links)
+        m = labelled(members, joined)
         drawn = still_open(m).join(m, "region").groupBy("region").agg(F.min_by(
             F.struct("unit", "size", "component"), F.xxhash64("unit", "region", F.lit(star))).alias("p"))
         drawn = m.join(drawn, "region").filter((F.col("component") != F.col("p.component")) & close("size", F.col("p.size")))
         pairs = drawn.select(F.least("unit", "p.unit").alias("a"), F.greatest("unit", "p.unit").alias("b")).distinct()
         pairs = stash(bounded(pairs, sketches).filter("possible").select("a", "b"), "jaccard-star")
         sets = sets.union(stash(sets_of(docs, lacking(pairs, sets)), "jaccard-sets"))
-        links = stash(links.union(linked(distances(pairs, sets))), "jaccard-star-links")
+        joined = grown(joined, linked(distances(pairs, sets)))
 
     # the rest: members of regions that still hold several components, with bounds of their distance to
     # the first pivot (both the distance itself where it is known)
-    m = labelled(others, links)
+    m = labelled(others, joined)
     known = spokes.join(to_pivot.select("a", "b", (1 - F.col("common") / F.col("both")).alias("d")), ["a", "b"], "left")
     known = known.select(F.col("a").alias("pivot"), F.col("b").alias("unit"), "low", "d")
     by_size = 1 - F.least("size", "pivot_size") / F.greatest("size", "pivot_size")
@@ -357,14 +363,14 @@ def unit_links(docs: DataFrame, counted: DataFrame) -> DataFrame:
         x.filter(F.col("la") <= 2 * TAU + 1e-9).join(y(inner), "region").filter(allowed).select("a", "b")).distinct()
     rest = stash(bounded(rest, sketches).filter("possible").select("a", "b"), "jaccard-rest")
     sets = sets.union(sets_of(docs, lacking(rest, sets)))
-    return stash(links.union(linked(distances(rest, sets))), "jaccard-links")
+    return grown(joined, linked(distances(rest, sets)))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, unit (of its text), n_shingles, component (a unit)."""
     units = units_of(docs, doc_id, text)
     counted = stash(census(units, buckets(units)), "jaccard-census")
-    label = components(unit_links(units, counted)).select(F.col("node").alias("unit"), "component")
+    label = unit_components(units, counted).select(F.col("node").alias("unit"), "component")
     d = counted.filter("unit is not null").select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "unit", "n_shingles")
     return d.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
