@@ -9,6 +9,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -360,3 +361,27 @@ def test_secrets(docs, empty):
     want = [(i, 'token = "[SECRET]" ok' if i == 24 else t) for i, t in pairs()]
     assert listed(clean.select("doc_id", "text")) == sorted(want, key=repr)
     assert clean.filter("doc_id = 24").first().n_chars == len('token = "[SECRET]" ok')
+
+
+def test_lm_phrase_counts_are_whole_over_groups():
+    path, n = op2_lm_scoring.default_ranks(), 8
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(40)) + " rare phrase" for _ in range(12)]
+    groups = [pd.DataFrame({"text": texts[g::4], "held_out": [False, False, True], "g": g}) for g in range(4)]
+    sent = pd.concat([op2_lm_scoring.learn_group(n, path)(g) for g in groups])
+    training = [t for g in groups for t, held in zip(g["text"], g["held_out"]) if not held]
+    ids, first = op2_lm_scoring.ids_of(training, path)
+    back = pd.concat([op2_lm_scoring.add_phrases(b) for _, b in sent[sent["kind"] > 1].groupby(["kind", "bucket"])])
+    for k in (2, 3):
+        whole = dict(zip(*(x.tolist() for x in op2_lm_scoring.phrase_counts(ids, first, k))))
+        for g, group in enumerate(groups):     # each group gets the whole counts of all phrases of its texts
+            book = op2_lm_scoring.known_phrases(back[back["g"] == g])[k]
+            own, _ = op2_lm_scoring.phrase_counts(*op2_lm_scoring.ids_of(group["text"].tolist(), path), k)
+            at = book.pairs.find(own)
+            assert [int(book.counts[i]) if i >= 0 else 0 for i in at] == [whole.get(x, 0) for x in own.tolist()]
+            phrase = np.unique(own // op2_lm_scoring.SIZE)
+            total = Counter()
+            for x, c in whole.items():
+                total[x // op2_lm_scoring.SIZE] += c
+            place = book.phrases.find(phrase) if k > 2 else book.phrases[phrase]
+            assert book.total[place].tolist() == [total[x] for x in phrase.tolist()]

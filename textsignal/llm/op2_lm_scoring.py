@@ -6,8 +6,8 @@ lower-cased (A-Z); their words and one end each are the tokens of the baseline.
 Model.  The words, each behind a space, are spelt in subword ids: the first SUBWORDS entries of a public
 byte-level BPE vocabulary, and one id for the end.  An id's *value* is its distribution of next ids, with
 one table for the id right before the target and one for those up to REACH ids before it; the phrases of
-the last two and three ids have values as well (the most frequent PHRASES of each length, smoothed by the
-shorter one).  The values are counted over all training texts.  The last id is the query; it attends to
+the last two and three ids have values as well (all that occur, smoothed by
+the shorter one).  The values are counted over all training texts.  The last id is the query; it attends to
 the ids of its context, itself included, to the two phrases, and to a sink whose value is the overall
 distribution of ids:
 
@@ -22,9 +22,10 @@ documents, and grows with them.  Contexts are windows that overlap by all but on
 text's start; each token is scored once, in batches.
 
 Work.  Documents are dealt to groups by a hash.  A group sends its vocabulary with training counts,
-packed by word hash (and phrases seen at least LEAST times, packed likewise); the summed word counts come back to the groups that asked, so no task ever holds the whole
-vocabulary.  The tables (bounded by SUBWORDS squared) are added up in rounds of FAN groups; they and the
-phrases (bounded by PHRASES) are broadcast.
+packed by word hash, and all phrases with next ids of its texts (those of held-out texts with count 0),
+packed by phrase; the sums over all groups come back to the groups that asked, so no task ever holds the
+whole vocabulary or all phrases, and no count depends on the grouping.  The tables (bounded by SUBWORDS
+squared) are added up in rounds of FAN groups and broadcast.
 
 Defined results: null and empty texts have one token, the end; a null id is training; ``base_score``
 and ``score`` are log10 probabilities; without training documents counts are 0 and the tables uniform;
@@ -53,8 +54,7 @@ STEPS_OF = 8192             # targets of a gradient step
 RATE, SEED = 0.1, 7
 PRIOR = (4.0, 40.0)         # weight of the overall distribution in the two tables
 FAN = 16                    # groups that are added up at a time
-LEAST = {2: 2, 3: 3}        # a group sends the phrases and next ids that it saw this often, by phrase length
-PHRASES = 1 << 20           # that are kept of each length
+LENGTHS = (2, 3)            # of the phrases, in ids
 DISCOUNT = 0.75             # what smoothing takes from each count of a phrase
 LEVELS = 16                 # of the bias of a phrase
 SIZE = SUBWORDS + 1
@@ -169,17 +169,21 @@ class Places:
 class Phrases:
     """Values of the phrases of one length: counts of the next ids, their sum and number by phrase."""
 
-    def __init__(self, length: int, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, length: int, keys: np.ndarray, counts: np.ndarray, phrases: tuple | None = None):
+        """``phrases``: ids, sums and numbers of next ids, where ``keys`` are not all pairs of the phrases."""
         self.pairs, self.counts = Places(keys), counts.astype(np.float32)
-        phrase, at = np.unique(keys // SIZE, return_inverse=True)
+        if phrases is None:
+            phrase, at = np.unique(keys // SIZE, return_inverse=True)
+            phrases = phrase, np.bincount(at, counts, minlength=len(phrase)), np.bincount(at, minlength=len(phrase))
+        phrase, total, kinds = phrases
         # where the phrase is two ids, their product is small enough for a plain table of places
         if length > 2:
             self.phrases = Places(phrase)
         else:
             self.phrases = np.full(SIZE ** 2, -1, np.int32)
             self.phrases[phrase] = np.arange(len(phrase))
-        self.total = np.append(np.bincount(at, counts, minlength=len(phrase)), 0).astype(np.float32)
-        self.kinds = np.append(np.bincount(at, minlength=len(phrase)), 0).astype(np.float32)
+        self.total = np.append(total, 0).astype(np.float32)
+        self.kinds = np.append(kinds, 0).astype(np.float32)
 
     def value(self, phrase: np.ndarray, target: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smoothed probability of the targets, and the level of the phrases (0: never seen)."""
@@ -242,7 +246,7 @@ def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict) -> tuple[
         return p, 0
     cut = first[half]
     model = (*values(pair_counts(ids[:cut], first[:half + 1])),
-             {k: Phrases(k, *(x[n >= LEAST[k]] for x in (keys, n))) for k, (keys, n) in counts.items()})
+             {k: Phrases(k, *x) for k, x in counts.items()})
     places = np.random.default_rng(SEED).permutation(np.arange(cut, len(ids), STRIDE))
     power = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     for lo in range(0, len(places), STEPS_OF):
@@ -276,6 +280,17 @@ def score_ids(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np
     return np.add.reduceat(logs, first[:-1])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit integers, by byte plane: those of small ones are nearly all zero."""
+    planes = np.ascontiguousarray(numbers.astype(np.int64)).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
 def squeeze(counts: np.ndarray, p: dict[str, np.ndarray], n: int) -> bytes:
     flat = np.concatenate([p[k].ravel() for k in sorted(p)]) * n
     return zlib.compress(counts.tobytes() + np.append(flat, float(n)).tobytes(), 1)
@@ -298,7 +313,8 @@ def averaged(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def learn_group(n: int, path: str):
-    """A group's vocabulary with training counts (kind 0, by bucket), its tables and parameters (kind 1)."""
+    """A group's vocabulary with training counts (kind 0, by bucket), its tables and parameters (kind 1), and
+    the phrases of its texts with training counts (kinds LENGTHS, by bucket)."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         texts, trains = group["text"].tolist(), ~group["held_out"].to_numpy(bool)
         hashes, is_training = [], []
@@ -321,31 +337,55 @@ def learn_group(n: int, path: str):
             total, half = pair_counts(ids, first), len(own) // 2
             cut = first[half]
             halves = {k: [phrase_counts(ids[:cut], first[:half + 1], k), phrase_counts(ids[cut:], first[half:] - cut, k)]
-                      for k in LEAST}
+                      for k in LENGTHS}
             parameters, targets = train(ids, first, half, {k: x[0] for k, x in halves.items()})
-            for k, parts in halves.items():
-                keys, seen = joined_counts(parts)
-                keys, seen = keys[seen >= LEAST[k]], seen[seen >= LEAST[k]]
-                to = (mixed((keys // SIZE).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-                for b in np.unique(to).tolist():
-                    out.append((k, b, keys[to == b].tobytes(), seen[to == b].astype(np.uint32).tobytes()))
+        asked = [t for t, x in zip(texts, trains) if not x]
+        held = ids_of(asked, path) if asked else None
+        for k in LENGTHS:
+            parts = halves[k] if own else []
+            if asked:
+                keys, _ = phrase_counts(*held, k)
+                parts = [*parts, (keys, np.zeros(len(keys), np.int64))]
+            keys, seen = joined_counts(parts)
+            to = (mixed((keys // SIZE).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            keys, seen, to = keys[order], seen[order], to[order]
+            edge = np.searchsorted(to, np.arange(n + 1))
+            out += [(k, int(b), packed(np.diff(keys[i:j], prepend=0)), packed(seen[i:j]))
+                    for b, i, j in zip(range(n), edge[:-1], edge[1:]) if j > i]
         out.append((1, 0, squeeze(total, parameters, targets), b""))
         return pd.DataFrame(out, columns=["kind", "bucket", "a", "b"]).assign(g=group["g"].iloc[0])
 
     return run
 
 
-def add_phrases(n: int):
-    """Summed counts of a bucket's phrases of one length, the most frequent of them (all buckets together
-    keep PHRASES)."""
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        keys, seen = joined_counts([(np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32))
-                                    for a, b in zip(bucket["a"], bucket["b"])])
-        best = np.sort(np.lexsort((keys, -seen))[:PHRASES // n])
-        return pd.DataFrame({"kind": bucket["kind"].iloc[:1].to_numpy(), "a": [keys[best].tobytes()],
-                             "b": [seen[best].astype(np.uint32).tobytes()]})
-
-    return run
+def add_phrases(bucket: pd.DataFrame) -> pd.DataFrame:
+    """Summed training counts of a bucket's phrases of one length, sent back to each group for its own: the
+    (phrase, next id) pairs seen, their counts, the phrases seen, their sums and numbers of next ids."""
+    sent = [np.cumsum(unpacked(a)) for a in bucket["a"]]
+    keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+    count = np.bincount(at, np.concatenate([unpacked(b) for b in bucket["b"]]), minlength=len(keys)).astype(np.int64)
+    phrase, of = np.unique(keys // SIZE, return_inverse=True)
+    total = np.bincount(of, count, minlength=len(phrase)).astype(np.int64)
+    kinds = np.bincount(of, count > 0, minlength=len(phrase)).astype(np.int64)
+    edge, rows = np.concatenate([[0], np.cumsum([len(x) for x in sent])]), []
+    for g, i, j in zip(bucket["g"].tolist(), edge[:-1], edge[1:]):
+        pair, own = at[i:j][count[at[i:j]] > 0], np.unique(of[at[i:j]])
+        own = own[total[own] > 0]
+        rows.append((g, int(bucket["kind"].iloc[0]), packed(np.diff(keys[pair], prepend=0)), packed(count[pair]),
+                     packed(np.diff(phrase[own], prepend=0)), packed(total[own]), packed(kinds[own])))
+    return pd.DataFrame(rows, columns=["g", "kind", "a", "b", "c", "d", "e"])
+
+
+def known_phrases(known: pd.DataFrame) -> dict[int, Phrases]:
+    """The phrases that came back to a group."""
+    none, out = np.zeros(0, np.int64), {}
+    for k in LENGTHS:
+        rows = known[known["kind"] == k]
+        keys, phrase = (np.concatenate([none, *[np.cumsum(unpacked(x)) for x in rows[c]]]) for c in "ac")
+        count, total, kinds = (np.concatenate([none, *map(unpacked, rows[c])]) for c in "bde")
+        out[k] = Phrases(k, keys, count, (phrase, total, kinds))
+    return out
 
 
 def add_counts(bucket: pd.DataFrame) -> pd.DataFrame:
@@ -367,16 +407,6 @@ def add_models(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": [int(group["g"].min()) // FAN], "a": [zlib.compress(counts.tobytes() + flat.tobytes(), 1)]})
 
 
-_books: list = []
-
-
-def books(phrases: dict) -> dict[int, Phrases]:
-    """The phrases' hash tables, built once per worker and broadcast."""
-    if not _books or _books[0] is not phrases:
-        _books[:] = [phrases, {k: Phrases(k, *x) for k, x in phrases.items()}]
-    return _books[1]
-
-
 def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords."""
     path, n = path or default_ranks(), buckets(docs)
@@ -395,19 +425,17 @@ def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         left = -(-left // FAN)
     model = models.first()                                   # bounded by the size of the tables
     counts, flat = loosen(model["a"]) if model else (np.zeros((3, SIZE * SIZE), np.int64), np.zeros(1))
-    kept = learnt.filter("kind > 1").groupBy("kind", "bucket").applyInPandas(
-        add_phrases(n), "kind int, a binary, b binary").collect()            # bounded by PHRASES
-    phrases = {k: joined_counts([(np.zeros(0, np.int64), np.zeros(0, np.uint32)),
-                                 *[(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.uint32)) for r in kept if r["kind"] == k]])
-               for k in LEAST}
+    phrases = learnt.filter("kind > 1").groupBy("kind", "bucket").applyInPandas(
+        add_phrases, "g int, kind int, a binary, b binary, c binary, d binary, e binary")
     words, tokens = counted.filter("g = -1").agg(F.sum("v"), F.sum("n")).first()
     ends = int(counts[2, SUBWORDS])                          # training documents
     v, total = (words or 0) + (ends > 0), (tokens or 0) + ends
-    sent = docs.sparkSession.sparkContext.broadcast((averaged(flat), *values(counts), phrases))
+    sent = docs.sparkSession.sparkContext.broadcast((averaged(flat), *values(counts)))
 
     def run(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        p, table, overall, phrases = sent.value
-        model = (table, overall, books(phrases))
+        p, table, overall = sent.value
+        model = (table, overall, known_phrases(known))
+        known = known[known["kind"] == 0]
         pairs = (p["query"] @ p["key"].T).astype(np.float32)
         words = np.concatenate([np.frombuffer(a, np.uint64) for a in known["a"]] or [np.zeros(0, np.uint64)])
         count = np.concatenate([np.frombuffer(b, np.int64) for b in known["b"]] or [np.zeros(0, np.int64)])
@@ -429,7 +457,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
             columns=["n_tokens", "n_known", "base_score", "score", "n_subwords"])
         return scored.assign(doc_id=group["doc_id"].to_numpy(), held_out=group["held_out"].to_numpy(), train_tokens=total)
 
-    own = counted.filter("g >= 0").select("g", "a", "b")
+    own = counted.filter("g >= 0").select("g", F.lit(0).alias("kind"), "a", "b").unionByName(phrases, allowMissingColumns=True)
     out = d.groupBy("g").cogroup(own.groupBy("g")).applyInPandas(
         run, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
              "score double, n_subwords long")
