@@ -385,3 +385,26 @@ def test_lm_phrase_counts_are_whole_over_groups():
                 total[x // op2_lm_scoring.SIZE] += c
             place = book.phrases.find(phrase) if k > 2 else book.phrases[phrase]
             assert book.total[place].tolist() == [total[x] for x in phrase.tolist()]
+
+
+def test_lm_trains_on_all_places_of_all_training_texts(monkeypatch):
+    path, n = op2_lm_scoring.default_ranks(), 8
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(r.randint(1, 60))) for _ in range(21)]
+    seen, learn = [], op2_lm_scoring.mixture
+
+    def watched(p, model, ids, first, places, scores=None):
+        seen.append(len(places))
+        return learn(p, model, ids, first, places, scores)
+
+    monkeypatch.setattr(op2_lm_scoring, "mixture", watched)
+    group = pd.DataFrame({"text": texts, "held_out": [i % 7 == 2 for i in range(21)], "g": 0})
+    places = len(op2_lm_scoring.ids_of([t for i, t in enumerate(texts) if i % 7 != 2], path)[0])
+
+    def targets(frame):
+        out = op2_lm_scoring.learn_group(n, path)(frame)
+        return op2_lm_scoring.loosen(out[out["kind"] == 1]["a"].iloc[0])[1]
+
+    flat = targets(group)
+    assert flat[-1] == sum(seen) == places
+    assert (flat == targets(group.sample(frac=1, random_state=3))).all()     # whatever order the rows arrive in

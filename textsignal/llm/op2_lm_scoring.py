@@ -16,9 +16,9 @@ distribution of ids:
 with attention the softmax of ``query . key + bias of the distance`` (of a phrase: a bias by how often it
 was seen).  Queries, keys and biases are trained
 in numpy by gradient steps on the log-likelihood.  Every group of documents trains on its own training
-texts (tables from one half, targets from every STRIDE-th place of the other), from the same
-start; the groups' parameters are averaged by their number of targets.  So what is learnt covers all
-documents, and grows with them.  Contexts are windows that overlap by all but one place, masked at the
+texts, from the same start: they are halved by a hash of the text, and each half's places are all targets
+under tables of the other half; the groups' parameters are averaged by their number of targets.  So every
+place of every training text is a target, save in a group of a single one, which has no other half.  Contexts are windows that overlap by all but one place, masked at the
 text's start; each token is scored once, in batches.
 
 Work.  Documents are dealt to groups by a hash.  A group sends its vocabulary with training counts,
@@ -47,9 +47,8 @@ from textsignal.llm.textarrays import blocks, mixed, word_hashes, word_spans
 
 MODULUS, HELD = 7, 2        # fixed by the contract
 SUBWORDS = 512
-REACH = 4                   # ids of context
+REACH = 8                   # ids of context
 WIDTH = 16                  # of queries and keys
-STRIDE = 16                 # every so many places is a training target
 STEPS_OF = 8192             # targets of a gradient step
 RATE, SEED = 0.1, 7
 PRIOR = (4.0, 40.0)         # weight of the overall distribution in the two tables
@@ -238,20 +237,28 @@ def mixture(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.n
     return attend(logits, exists), value, context, exists, levels
 
 
-def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict) -> tuple[dict[str, np.ndarray], int]:
-    """Parameters after one pass over a group's training texts, and the number of targets.  The values come
-    from the texts before ``half`` (``counts``: their phrases), the targets from the others."""
+def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict, others: dict | None = None) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters after one pass over a group's training texts, and the number of targets: all places of the
+    texts before ``half`` under the values of the others, and the other way round (``counts`` and ``others``:
+    the phrases of the two halves; those of the others are counted where they are not given)."""
     p = start_parameters()
-    if half < 1:
+    if not 0 < half < len(first) - 1:
         return p, 0
-    cut = first[half]
-    model = (*values(pair_counts(ids[:cut], first[:half + 1])),
-             {k: Phrases(k, *x) for k, x in counts.items()})
-    places = np.random.default_rng(SEED).permutation(np.arange(cut, len(ids), STRIDE))
-    power = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+    cut, power = first[half], {k: np.full_like(v, 1e-6) for k, v in p.items()}
+    sides = (ids[:cut], first[:half + 1]), (ids[cut:], first[half:] - cut)
+    others = others or {k: phrase_counts(*sides[1], k) for k in counts}
+    for (of, begin), (to, starts), phrases in ((*sides, counts), (*sides[::-1], others)):
+        model = (*values(pair_counts(of, begin)), {k: Phrases(k, *x) for k, x in phrases.items()})
+        learn(p, power, model, to, starts)
+    return p, len(ids)
+
+
+def learn(p: dict[str, np.ndarray], power: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray) -> None:
+    """Gradient steps over all places, in random order."""
+    places = np.random.default_rng(SEED).permutation(len(ids))
     for lo in range(0, len(places), STEPS_OF):
         some = np.sort(places[lo:lo + STEPS_OF])
-        a, v, context, exists, levels = mixture(p, model, ids, first, some)
+        a, v, context, exists, levels = mixture(p, model, ids, first, some, (p["query"] @ p["key"].T).astype(np.float32))
         prob = (a * v).sum(axis=1, keepdims=True)
         up = a * (v - prob) / prob / len(some)             # gradient of the mean log-likelihood in the logits
         up[:, 1:][~exists] = 0
@@ -267,7 +274,6 @@ def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict) -> tuple[
         for k in p:
             power[k] += g[k] ** 2
             p[k] += RATE * g[k] / np.sqrt(power[k])
-    return p, len(places)
 
 
 def score_ids(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -330,7 +336,8 @@ def learn_group(n: int, path: str):
         edge = np.searchsorted(to, np.arange(n + 1))
         out = [(0, int(b), words[i:j].tobytes(), counts[i:j].tobytes())
                for b, i, j in zip(range(n), edge[:-1], edge[1:]) if j > i]
-        own = [t for t, x in zip(texts, trains) if x]
+        # halves by a hash of the text, equal in size, whatever order the rows arrive in
+        own = sorted((t for t, x in zip(texts, trains) if x), key=lambda t: (zlib.crc32(t.encode()), t))
         total, parameters, targets = np.zeros((3, SIZE * SIZE), np.int64), start_parameters(), 0
         if own:
             ids, first = ids_of(own, path)
@@ -338,7 +345,7 @@ def learn_group(n: int, path: str):
             cut = first[half]
             halves = {k: [phrase_counts(ids[:cut], first[:half + 1], k), phrase_counts(ids[cut:], first[half:] - cut, k)]
                       for k in LENGTHS}
-            parameters, targets = train(ids, first, half, {k: x[0] for k, x in halves.items()})
+            parameters, targets = train(ids, first, half, *({k: x[i] for k, x in halves.items()} for i in (0, 1)))
         asked = [t for t, x in zip(texts, trains) if not x]
         held = ids_of(asked, path) if asked else None
         for k in LENGTHS:
