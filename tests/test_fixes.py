@@ -208,3 +208,38 @@ def test_every_query_has_a_twin_or_a_property_test():
               "text_ablation", "predictions"}
     own = {q for q in entry.queries() if not q.startswith("op") and q != "pipeline"}
     assert own - set(entry.oracle_sql()) <= tested
+
+
+def test_text_queries_run_the_whole_grid(spark, monkeypatch):
+    from textsignal.plans import q_models
+    r = np.random.default_rng(3)
+    x, days = r.standard_normal((90, 3)), [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(90)]
+    rows = [("A", d, "train" if i < 50 else "validation" if i < 70 else "test", int(a + r.standard_normal() > 0), *map(float, (a, b, c)))
+            for i, (d, (a, b, c)) in enumerate(zip(days, x))]
+    frame = spark.createDataFrame(rows, "asset string, date date, split string, y int, a double, b double, c double")
+    groups = {"market_full": ["a"], "text_meta": ["b", "c"]}
+    monkeypatch.setattr(q_models, "_text_groups", lambda s, d: (frame, groups))
+    fits, fit, selected = [], models.LogisticRegression, []
+    monkeypatch.setattr(models, "LogisticRegression", lambda **kw: fits.append((kw["regParam"], kw["maxIter"])) or fit(**kw))
+    both = q_models._text_predictions
+    monkeypatch.setattr(q_models, "_text_predictions", lambda s, d: selected.append(both(s, d)) or selected[-1])
+    rows = {r.feature_group: r for r in q_models.text_ablation(spark, None).collect()}
+    monkeypatch.setattr(q_models, "_text_predictions", lambda s, d: selected[0])     # one training for both queries
+    preds = q_models.predictions(spark, None).toPandas()
+    grid = sorted(models.C_GRID)
+    top = max(r for r, _ in fits)
+    fitted = [g for g, r in rows.items() if r.selected_C is not None]
+    assert sorted({round(grid[0] * top / r, 9) for r, _ in fits}) == pytest.approx(grid)     # regParam = 1 / (C n)
+    assert len(fits) == len(fitted) * len(grid) and set(fitted) == set(groups) and {r.selected_C for r in rows.values()} - {None} <= set(grid)
+    assert min(n for _, n in fits) >= 100
+    histories = {r.feature_group: len(r.objective_history) for r in selected[0][1].collect()}
+    assert max(histories.values()) < min(n for _, n in fits)     # stopped as converged, not at the limit
+    assert set(preds["feature_group"]) == set(rows) >= {"majority", "previous_direction", "market_full"}
+    assert not preds.duplicated(["asset", "date", "feature_group"]).any()
+    assert preds[preds["feature_group"].isin(fitted)].groupby("feature_group").size().nunique() == 1
+    for g, p in preds.groupby("feature_group"):
+        r, y, hit = rows[g], p["y_true"] == 1, p["y_pred"] == 1
+        assert (r.tp, r.fp, r.fn, r.tn) == ((y & hit).sum(), (~y & hit).sum(), (y & ~hit).sum(), (~y & ~hit).sum())
+        if g in fitted:
+            assert p["y_proba"].between(0, 1).all() and ((p["y_proba"] >= r.selected_threshold) == hit).all()
+        assert r.delta_balanced_accuracy == pytest.approx(r.balanced_accuracy - rows["market_full"].balanced_accuracy, nan_ok=True)

@@ -140,7 +140,7 @@ def _text_groups(spark, d):
 
 def _text_predictions(spark, d):
     frame, groups = _text_groups(spark, d)
-    preds, sel = models.ablation_predictions(frame, groups, list(groups), c_grid=(0.1, 1.0), max_iter=20)
+    preds, sel = models.ablation_predictions(frame, groups, list(groups))
     rows = frame.select("asset", "date", "split", F.col("y").alias("y_true"))
     cols = ["asset", "date", "feature_group", "y_true", "y_proba", "y_pred"]
     for name, b in (("majority", metrics.majority_baseline(rows, ["asset"])),
