@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, judged by a random forest that removes false positives.
 
-Candidates are runs of 16 or more characters of the key alphabets that hold a letter and a digit, values of
-eight or more characters behind a telling name and ``=`` or ``:``, and private-key blocks.
+Candidates are runs of 16 or more characters of the key alphabets that hold a letter and also a digit or a
+known key prefix, or stand behind a telling name (which may end in ``_id`` and the like), values of eight or more characters behind a telling name and ``=`` or ``:``, and private-key blocks.
 
 Method.  Each candidate has features: its length, its character transitions (log-likelihood under letter
 transitions of ordinary words, changes between character classes, entropy), its coverage by dictionary
@@ -38,7 +38,7 @@ TREES, DEPTH, SEED = 40, 8, 5
 PER_CONTEXT = 14        # labelled values made for each labelled context
 SHORTEST = 16
 DIGIT = re.compile(r"[0-9]")
-KEY_RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+KEY_RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
 LETTER = re.compile(r"[A-Za-z]")
 # fixed values: names that tell of a secret, and names of harmless hashes and ids
 TELLING = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth",
@@ -47,6 +47,7 @@ HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "has
             "build", "isbn", "doi", "order", "version", "file", "image", "page", "id", "ref", "http", "https", "url")
 ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]*[:=][ \t]*[\"']?"
                       r"([^\s\"',;]{8,})")
+TOLD = re.compile(r"(?i)(?:%s)s?(?:[_-][A-Za-z0-9]+)*[\"']?[ \t]*(?:[:=]{1,2}>?)?[ \t]*[\"']?$" % "|".join(TELLING))
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:.*?-----END [A-Z ]*PRIVATE KEY-----)?", re.S)
 PREFIXES = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|eyJ|AIza|glpat-)")
 # fixed values: common words for the dictionary coverage
@@ -67,20 +68,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
         found += [m.span() for m in BLOCK.finditer(text)]
     if "=" in text or ":" in text:
         found += [m.span(1) for m in ASSIGNED.finditer(text)]
-    at, done = 0, 0
-    while m := DIGIT.search(text, at):
-        lo = m.start()
-        while lo > done and KEY_RUN.match(text[lo - 1]):
-            lo -= 1
-        at = done = KEY_RUN.match(text, m.start()).end()
-        if done - lo >= SHORTEST:
-            run = text[lo:done]
-            left, right = len(run) - len(run.lstrip(".=-")), len(run) - len(run.rstrip(".-"))
-            # name=value: the value is the candidate
-            cut = run.rstrip("=").rfind("=", left)
-            left = cut + 1 if cut >= 0 else left
-            if len(run) - left - right >= SHORTEST and LETTER.search(run, left) and DIGIT.search(run, left):
-                found.append((lo + left, done - right))
+    for m in KEY_RUN.finditer(text):
+        lo, run = m.start(), m[0]
+        left, right = len(run) - len(run.lstrip(".=-")), len(run) - len(run.rstrip(".-"))
+        # name=value: the value is the candidate
+        cut = run.rstrip("=").rfind("=", left)
+        left = cut + 1 if cut >= 0 else left
+        if len(run) - left - right >= SHORTEST and LETTER.search(run, left) and (
+                DIGIT.search(run, left) or PREFIXES.search(run, left) or TOLD.search(text[max(0, lo + left - 60):lo + left])):
+            found.append((lo + left, m.end() - right))
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
@@ -162,7 +158,8 @@ def labelled_findings() -> list[tuple[str, int, int, int]]:
             "path": "/".join(words[:4]) + f"/{words[5]}{r[6]}.txt", "camel": "".join(w.title() for w in words[:4]) + str(r[7] % 10),
             "snake": "_".join(words[:4]) + f"_{r[8] % 100}", "kebab": "-".join(words[:4]) + f"-{r[9]}",
             "host": f"{words[0]}{r[1] % 9}.{words[2]}.example.com/{words[3]}", "date": f"20{r[1] % 25:02d}-0{r[2] % 9 + 1}-1{r[3] % 9}T10:{r[4] % 50 + 10}Z-build{r[5]}",
-            "long": "".join(words[:5]) + "2", "var": "process.env." + "_".join(words[:3]).upper() + "_2",
+            "long": "".join(words[:5]) + "2", "plain": "".join(words[:4]), "dashed": "-".join(words[:4]), "under": "_".join(words[:4]),
+            "letters": re.sub("[^A-Za-z]", "", b)[:32], "awsl": "AKIA" + re.sub("[2-7=]", "", base64.b32encode(r).decode())[:16], "var": "process.env." + "_".join(words[:3]).upper() + "_2",
         }[kind]
 
     table = [  # context, value kinds, is a secret
@@ -175,6 +172,9 @@ def labelled_findings() -> list[tuple[str, int, int, int]]:
         ("the file {} is", "path kebab snake", 0), ("on {} we", "date", 0), ("id {} in", "uuid kebab", 0), ("word {} end", "long camel", 0),
         ("password = {}\n", "var", 0), ("token: {} ", "var snake", 0), ("digest {} and", "hex", 0), ("the {} of", "long snake path host uuid kebab date", 0),
         ("image {} shown", "path kebab", 0), ("revision {} is", "hex", 0), ('etag = "{}" in', "hex", 0), ("and {} was", "camel snake long", 0),
+        ("use {} here", "awsl", 1), ("export AWS_ACCESS_KEY_ID={}", "awsl", 1), ("{}", "awsl", 1), ("the token_id = \"{}\" of", "letters", 1),
+        ("signing_key: {} and", "letters", 1), ("Authorization: Bearer {}", "letters", 1), ("the key {} of", "plain dashed", 0),
+        ("token: {} ", "dashed under plain", 0), ("a private {} was", "plain dashed under", 0), ("the risk {} of", "dashed under", 0),
     ]
     out = []
     for k, (context, kinds, label) in enumerate(table):
