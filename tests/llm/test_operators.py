@@ -426,3 +426,12 @@ def test_secrets_without_digits_are_found():
     prose = ["the key characteristics of internationalization", "a token misunderstanding here", "risk-management-considerations matter",
              "the private telecommunications company", "public key infrastructure-components", "the author responsibilities"]
     assert not [x for own in op10_secrets.scan(prose, op10_secrets.trained()) for x in own if x[2] >= op10_secrets.THRESHOLD]
+
+
+def test_mixing_does_not_clip_large_rates(spark):
+    d = spark.createDataFrame([(1, "x", "tiny"), (2, "y" * 99, "big")], "doc_id long, text string, source string")
+    out = op1_mixing.mix(d, weights={"tiny": 1.0, "big": 1.0}, budget=600_000.0)
+    n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["tiny"] - 300_000) < 5 * math.sqrt(300_000)      # weight x budget / size, not 100,000
+    assert abs(n["big"] - 300_000 / 99) < 5 * math.sqrt(300_000 / 99)
+    assert out.filter("source = 'tiny'").select("mix_copy").distinct().count() == n["tiny"]

@@ -4,7 +4,9 @@ Method.  A source's size is the UTF-8 bytes of its texts, counted over all rows.
 size of the mixture, by default the size of the input) and the target weights, source ``s`` has the
 mean repetition rate ``rate_s = budget * weight_s / size_s``.  Each document draws a uniform number
 from a seeded hash of its id and text and inverts the Poisson distribution of that mean: its count is
-the number of entries of the distribution function that the draw reaches.  The document is exploded
+the number of entries of the distribution function that the draw reaches.  Beyond MAX_RATE it is the sum
+of that many independent draws of equal means of at most PART_RATE (a sum of Poisson numbers is one of the
+summed mean; the DuckDB twin stops at MAX_RATE there).  The document is exploded
 by its count and every copy gets a hashed position; rows are dealt out by that position and
 sorted by it, which shuffles the mixture globally.  No row is sampled beyond what the draw decides, and
 a rerun (or a task that runs again after a lost executor) gives the same mixture.
@@ -31,6 +33,8 @@ SEED = 20240607
 TEMPERATURE = 0.7
 #: A rate above this would need a table of more entries than a row should carry.
 MAX_RATE = 100_000.0
+#: The largest mean of the draws that such a rate is the sum of.
+PART_RATE = 1_000.0
 #: The rates are broadcast below this many sources; beyond, both sides are shuffled by source and salt.
 BROADCAST_SOURCES = 10_000
 SALTS = 32
@@ -59,7 +63,7 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bu
     aim = F.lit(float(budget if budget is not None else size_total or 0))
     weight = F.col("raw") / F.lit(raw_total) if raw_total else F.lit(0.0)
     rate = F.when(F.col("size") > 0, aim * weight / F.col("size")).otherwise(F.lit(0.0))
-    return per.select("mix_source", "size", weight.alias("weight"), F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    return per.select("mix_source", "size", weight.alias("weight"), rate.alias("rate"))
 
 
 def distribution(rate: Column) -> Column:
@@ -88,7 +92,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
         source: str = "source", broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The shuffled mixture: the input's columns, ``mix_copy`` (from 0) and ``mix_position`` (a hash)."""
     table = rates(docs, weights, budget, temperature, text, source)
-    table = table.select("mix_source", "rate", distribution(F.col("rate")).alias("mix_cdf")).drop("rate")
+    parts = F.when(F.col("rate") > MAX_RATE, F.ceil(F.col("rate") / PART_RATE)).otherwise(F.lit(1)).cast("int")
+    table = table.withColumn("mix_parts", parts).select(
+        "mix_source", "mix_parts", distribution(F.col("rate") / F.col("mix_parts")).alias("mix_cdf"))
     d = docs.withColumn("mix_source", source_key(source)).withColumn(
         "mix_draw", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     if table.limit(broadcast_sources + 1).count() <= broadcast_sources:
@@ -98,8 +104,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         d = d.join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
     u = unit(F.lit(seed), F.col(doc_id), F.col("mix_draw"))
-    d = d.withColumn("mix_u", u).withColumn(
-        "mix_count", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))).drop("mix_cdf", "mix_source", "mix_u")
+    reached = lambda u: F.size(F.filter("mix_cdf", lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("mix_parts")), F.lit(0), lambda n, k: n + reached(
+        unit(F.lit(seed), F.col(doc_id), F.col("mix_draw"), F.lit("part"), k)))
+    d = d.withColumn("mix_u", u).withColumn("mix_count", reached(F.col("mix_u")) + F.when(
+        F.col("mix_parts") > 1, more).otherwise(F.lit(0))).drop("mix_cdf", "mix_parts", "mix_source", "mix_u")
     d = d.filter("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
     position = F.md5(F.concat_ws("|", F.lit("position"), F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
                                  F.col("mix_draw"), F.col("mix_copy")))
