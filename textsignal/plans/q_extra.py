@@ -112,7 +112,7 @@ FROM ({' UNION ALL '.join(f"SELECT source, asset, date, close, {h} AS horizon, l
 WHERE f IS NOT NULL GROUP BY 1, 2, 3""", "bars", "bars_long", extra={"g": """
   SELECT 'events' AS source, asset, date, close FROM bars UNION ALL SELECT 'lineitem', asset, date, close FROM bars_long"""}))
 def experiment_grid(spark, d):
-    """M13 + S15: the run log of the grid source x asset x horizon: rows, dates, status and share of rises
+    """Counts over the grid source x asset x horizon (M13 itself, experiments on it, is not built): rows, dates, status and share of rises
     of every cell, from one pass over each source."""
     cells = None
     for source, b in (("events", fx.bars(spark, d)), ("lineitem", fx.bars_long(spark, d))):
