@@ -12,9 +12,8 @@ compiled when first met and kept per Python worker (up to a bound, then compiled
 Chunks.  No piece continues from a non-space to a space, from a Latin letter to another character, nor over
 a character outside the vocabulary's alphabet (checked on the vocabulary), so a chunk that starts there has a constant state map: whatever
 state enters, it starts afresh.  Such chunks are summarised once and looked up afterwards.  A longer
-stretch is cut into pieces whose maps depend on the entry state; ``compose`` joins two maps and is
-associative, and ``prefix_scan`` joins the maps of all chunks of a batch of documents in
-logarithmically many rounds.  The documents' counts are differences of that scan.
+stretch is cut into pieces that run in order, each entered with the state the previous one left, so their
+maps have that one entry; ``prefix_scan`` then only adds up known counts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted one by one; ids may
 be null or repeat; an empty table gives an empty result.  Whole texts are counted.
