@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textsignal.llm import (op10_secrets, op1_mixing, op2_lm_scoring, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
+from textsignal.llm import (op10_secrets, op11_packing, op12_ranked_search, op13_whitening, op1_mixing, op2_lm_scoring, op3_pii, op4_token_counts, op5_suffix_dedup, op6_jaccard_join,
                             op7_sentencepiece, op8_quality, op9_ann)
 from textsignal.llm.common import documents
 from textsignal.sources.tables import load
@@ -81,6 +81,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.secret_report(documents(spark, sf_dir))
 
 
+@query
+def op11_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of at most 4096 tokens."""
+    return op11_packing.pack(documents(spark, sf_dir))
+
+
+@query
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item by impact scores."""
+    return op12_ranked_search.rank(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 whitened components of every embedding."""
+    return op13_whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
 _t = op1_mixing.TEMPERATURE
 ORACLE["op1_mixing_sources"] = f"""
 WITH size AS (SELECT source, sum(coalesce(octet_length(encode(text)), 0))::DOUBLE AS size FROM documents GROUP BY source),
@@ -135,3 +153,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE["op8_quality_rules"] = _quality_sql()
+
+_terms = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE["op12_norm_buckets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_terms} AS ts FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT rid, doc_id, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM dn),
+f AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(ts) AS term FROM dn) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, total GROUP BY term),
+item AS (SELECT item_id, unnest(list_distinct(ts)) AS term FROM (SELECT DISTINCT item_id, {_terms} AS ts FROM benchmark WHERE text IS NOT NULL)),
+scored AS (SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM item JOIN f USING (term) JOIN w USING (term), total GROUP BY item_id, rid, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid)::INTEGER AS rank, doc_id, score FROM scored
+WHERE score > 0 QUALIFY rank <= {op12_ranked_search.K}
+"""
