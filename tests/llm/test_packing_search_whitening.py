@@ -45,8 +45,9 @@ ODD = ["", "Hello, WORLD it's I'm!! 'tis don't", "<|endoftext|> a", "x<|startoft
 def test_ids_are_the_librarys():
     words, whole = op11_packing.Words(op11_packing.default_tokenizer(), room=40), library()
     r = random.Random(5)
-    alphabet = "aBcsStrevmld'  \n.,!-12é́İΣσς<|>\x00\x85 　日½"
+    alphabet = "aBcsStrevmld'  \n.,!-12éÉßŸÿĲŁſŉ×÷́İΣσς<|>\x00\x85 　日½"
     texts = ODD + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    texts += ["a" + c + "b " + c + "." for c in map(chr, range(0x80, 0x250))] + [c + "s" for c in map(chr, range(0x21, 0x180))]
     for text in texts:
         assert array("I", words.encode(text.encode())).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 

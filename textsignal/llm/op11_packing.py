@@ -11,8 +11,9 @@ short list of bin patterns with multiplicities.  The pieces are then numbered wi
 of bounded size, and piece number r of a length takes the r-th place that the plan has for it.
 
 Token ids are the library's.  White space always parts tokens in this vocabulary, so words between ASCII white space
-are looked up in a bounded cache; a new word of printable ASCII is parted by the vocabulary's own pattern and given to
-the library's merge model, any other goes through the whole library, as does a text that holds a special string.
+are looked up in a bounded cache; a new word of printable ASCII and common Latin letters is parted by the vocabulary's
+own pattern and given to the library's merge model, any other goes through the whole library, as does a text that holds
+a special string.
 
 Defined results: a null text is empty; an empty text is one piece that holds the end id alone.  Repeated rows and rows
 without an id are documents of their own.  An empty table gives an empty result.  Other columns of the input, whatever
@@ -43,9 +44,19 @@ CACHE = 600_000        # words a Python worker remembers before it starts anew
 VARIANTS = ((3, True), (3, False), (2, False), (1, False))   # ways of consuming combinations; the fewest bins win
 RANKED = 8192          # pieces of one length that are numbered in one bucket, about
 
-# The parts of an ASCII word in this vocabulary, after lower-casing.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(rb"[!-~]+")
+#: Words of printable ASCII and of Latin letters that stay single characters in every step of the vocabulary.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+# The vocabulary's parts of such a word, after lower-casing.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The characters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
+BYTES = byte_letters()
 
 
 def default_tokenizer() -> str:
@@ -70,14 +81,18 @@ class Words(dict):
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = array("I", [t.id for t in self.library.model.tokenize(part)]).tobytes()
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+            ids = self.parts[part] = array("I", [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if PRINTABLE.fullmatch(word):
-            ids = b"".join(map(self.part, PARTS.findall(word.lower().decode())))
+        text = word.decode()
+        if word.isalpha():
+            ids = self.part(text.lower())
+        elif PLAIN.fullmatch(text):
+            ids = b"".join(map(self.part, PARTS.findall(text.lower())))
         else:
-            ids = self.whole(word.decode())
+            ids = self.whole(text)
         if len(word) <= 64:          # long words are rare and would fill the memory
             self[word] = ids
         return ids
