@@ -70,6 +70,11 @@ def window_pairs(daily: DataFrame, first: int = 10, last: int = 1) -> DataFrame:
         "feature_date", F.col("date")).withColumn("date", F.date_add("date", F.col("_k"))).drop("_k")
 
 
+def feature_dates(bars: DataFrame, daily: DataFrame, first: int = 10, last: int = 1) -> DataFrame:
+    """(asset, date, feature_date): the text days that the windows of each decision date really use."""
+    return window_pairs(daily.select("asset", "date"), first, last).join(bars.select("asset", "date"), ["asset", "date"], "left_semi")
+
+
 def text_window(bars: DataFrame, daily: DataFrame, first: int = 10, last: int = 1, score: str = "mean_score",
                 count: str = "text_count") -> DataFrame:
     """J3 + A5: per bar, texts dated in [t-first, t-last] (calendar days):

@@ -165,20 +165,21 @@ def clip_date_range(bars: DataFrame, texts: DataFrame, pad_before_days: int = 30
             .drop("_lo", "_hi"))
 
 
-#: Vendor header names (normalised) and the names that the operators use.
-BAR_NAMES = {"adjclose": "adj_close", "adj-close": "adj_close", "datetime": "date", "begin": "date", "timestamp": "date",
-             "index": "date"}
+#: The library's column names and the vendor headers (normalised) that stand for them, best first.
+BAR_NAMES = {"adj_close": ["adj_close", "adjclose", "adj-close"], "date": ["date", "datetime", "begin", "timestamp", "index"]}
 
 
 def ingest_bars(raw: DataFrame, asset: str | None = None) -> DataFrame:
     """Vendor bars to the library's columns.  Two-level headers such as ``('Close', 'AAPL')`` keep
-    their first level; names are stripped, lower-cased and underscored, then renamed by BAR_NAMES; the
-    date is floored to the day; ``asset`` becomes the key column of a table that lacks one."""
-    names = []
-    for c in raw.columns:
-        level = re.match(r"""^\(\s*['"]([^'"]*)['"]""", c)
-        name = normalize_name(level[1] if level else c)
-        names.append(BAR_NAMES.get(name, name))
+    their first level; names are stripped, lower-cased and underscored.  Of the headers that stand for one of
+    BAR_NAMES the best is renamed, and the others keep their own names; the date is floored to the day;
+    ``asset`` becomes the key column of a table that lacks one."""
+    levels = [re.match(r"""^\(\s*['"]([^'"]*)['"]""", c) for c in raw.columns]
+    names = [normalize_name(level[1] if level else c) for level, c in zip(levels, raw.columns)]
+    for own, vendor in BAR_NAMES.items():
+        best = next((v for v in vendor if v in names), None)
+        if best:
+            names[names.index(best)] = own
     df = raw.toDF(*names)
     df = df.withColumn("date", F.to_date("date"))
     if asset is not None and "asset" not in names:

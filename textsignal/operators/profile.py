@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textsignal.functions.schema import ASSET_HINTS, DATE_HINTS, TEXT_HINTS, candidate_columns
+from textsignal.functions.schema import ASSET_HINTS, DATE_HINTS, SOURCE_HINTS, TEXT_HINTS, candidate_columns
 from textsignal.operators.prep import exact_quantile
 from textsignal.operators.text import _asset_conditions
 
@@ -24,12 +24,12 @@ def profile_table(df: DataFrame, table: str, lexicon: Mapping[str, Sequence[str]
 
     Columns are found by name hints on the driver (no job).  Date parse rate = share of
     non-null values that parse as timestamps; best date column = highest rate, best text
-    column = most non-null then longest mean length (first column wins ties).  Full scan,
-    not the first 5,000 rows (T16).
+    column = most non-null then longest mean length (first column wins ties).  Mentions are counted in
+    all and per asset of the lexicon (``<asset>_mentions``).  Full scan, not the first 5,000 rows (T16).
     """
     date_cols = candidate_columns(df, DATE_HINTS)
     text_cols = candidate_columns(df, TEXT_HINTS)
-    asset_cols = candidate_columns(df, ASSET_HINTS)
+    asset_cols, source_cols = candidate_columns(df, ASSET_HINTS), candidate_columns(df, SOURCE_HINTS)
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(date_cols):
         parsed = F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz")
@@ -51,6 +51,7 @@ def profile_table(df: DataFrame, table: str, lexicon: Mapping[str, Sequence[str]
         "struct<rate:double,neg_ord:int,name:string,dmin:timestamp_ntz,dmax:timestamp_ntz>")
     best_t = F.array_max(F.array(*texts)) if texts else F.lit(None).cast(
         "struct<nn:bigint,len:double,neg_ord:int,name:string>")
+    per_asset = [(F.col(f"m{j}") if combo else F.lit(0)).cast("long").alias(f"{a}_mentions") for j, a in enumerate(lexicon)]
     mentions = sum((F.col(f"m{j}") for j in range(len(lexicon))), F.lit(0)) if combo else F.lit(0).cast("long")
     rate = F.coalesce(best_d["rate"], F.lit(0.0))
     tlen = F.coalesce(best_t["len"], F.lit(0.0))
@@ -63,6 +64,7 @@ def profile_table(df: DataFrame, table: str, lexicon: Mapping[str, Sequence[str]
                       best_d["dmin"].alias("date_min"), best_d["dmax"].alias("date_max"),
                       best_t["name"].alias("best_text_col"), tlen.alias("best_text_avg_len"),
                       F.lit(", ".join(text_cols)).alias("text_cols"), F.lit(", ".join(asset_cols)).alias("asset_cols"),
+                      F.lit(", ".join(source_cols)).alias("source_cols"), *per_asset,
                       mentions.cast("long").alias("asset_mentions_total"), score.cast("double").alias("suitability_score_raw"))
 
 

@@ -8,27 +8,33 @@ table (bounded by the number of calendar days, not by rows).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsignal.operators.prefix import running_before
 
-def _ranked_dates(df: DataFrame, date: str) -> DataFrame:
-    d = df.select(date).where(F.col(date).isNotNull()).distinct()
-    w = Window.orderBy(date)
-    return d.select(date, F.row_number().over(w).cast("long").alias("date_rank"),
-                    F.count(F.lit(1)).over(Window.partitionBy()).alias("n_dates"))
+
+def _ranked_dates(df: DataFrame, date: str, by: Sequence[str] = ()) -> DataFrame:
+    d = df.select(*by, date).where(F.col(date).isNotNull()).distinct()
+    w = Window.partitionBy(*by).orderBy(date)
+    return d.select(*by, date, F.row_number().over(w).cast("long").alias("date_rank"),
+                    F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n_dates"))
 
 
 def date_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: float = 0.15,
-                rule: str = "floor_each") -> DataFrame:
-    """C1 (``floor_each``) / C2 (``floor_cumulative``): one row per distinct date with its split.
+                rule: str = "floor_each", by: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """C1 (``floor_each``) / C2 (``floor_cumulative``): one row per distinct date (of every key ``by``) with its split.
 
     floor_each:       n_train = max(1, floor(n*train)), n_val = max(1, floor(n*val)); if nothing is
-                      left for test: n_train = max(1, n-2), n_val = 1; fails when n < 5.
+                      left for test: n_train = max(1, n-2), n_val = 1; fails when n < 5, or, if not
+                      ``strict``, gives such a key no split (NULL).
     floor_cumulative: train_end = int(n*train), val_end = int(n*(train+val)).
     """
-    d = _ranked_dates(df, date)
+    d = _ranked_dates(df, date, by)
     n = F.col("n_dates")
+    none = None
     if rule == "floor_each":
         nt = F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(train)))
         nv = F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(val)))
@@ -36,7 +42,8 @@ def date_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: flo
         n_train = F.when(full, F.greatest(F.lit(1), n - 2)).otherwise(nt)
         n_val = F.when(full, F.lit(1)).otherwise(nv)
         train_end, val_end = n_train, n_train + n_val
-        guard = F.when(n < 5, F.raise_error(F.lit("too few unique dates for a chronological split")))
+        guard = F.when((n < 5) & F.lit(strict), F.raise_error(F.lit("too few unique dates for a chronological split")))
+        none = n < 5
     elif rule == "floor_cumulative":
         train_end = F.floor(n.cast("double") * F.lit(train))
         val_end = F.floor(n.cast("double") * F.lit(round(train + val, 10)))
@@ -45,7 +52,9 @@ def date_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: flo
         raise ValueError(f"unknown rule {rule!r}")
     r = F.col("date_rank")
     split = (F.when(r <= train_end, "train").when(r <= val_end, "validation").otherwise("test"))
-    return d.select(date, "date_rank", F.coalesce(guard.cast("string"), split).alias("split"))
+    if none is not None:
+        split = F.when(~none, split)
+    return d.select(*by, date, "date_rank", F.coalesce(guard.cast("string"), split).alias("split"))
 
 
 def split_by_date(df: DataFrame, date: str = "date", **kw) -> DataFrame:
@@ -54,6 +63,12 @@ def split_by_date(df: DataFrame, date: str = "date", **kw) -> DataFrame:
     return df.join(F.broadcast(date_splits(df, date, **kw).select(date, "split")), date)
 
 
+def split_by_date_within(df: DataFrame, by: Sequence[str], date: str = "date", **kw) -> DataFrame:
+    """The date split of every key ``by`` on its own dates.  The table of dates grows with the keys, so the join is left to
+    measured sizes."""
+    return df.join(date_splits(df, date, by=by, strict=False, **kw).drop("date_rank"), [*by, date])
+
+
 def row_balanced_splits(df: DataFrame, date: str = "date", train: float = 0.70, val: float = 0.15) -> DataFrame:
     """C4 + W14: a date goes to train if the rows *before* it are < int(train*N), to validation if
     < int((train+val)*N), else test.  Per-date counts are a partial aggregate; the running
@@ -70,22 +85,22 @@ def row_balanced_splits(df: DataFrame, date: str = "date", train: float = 0.70,
                     .when(F.col("rows_before") < nva, "validation").otherwise("test").alias("split"))
 
 
-def row_splits(df: DataFrame, order: list[str], train: float = 0.70, val: float = 0.15) -> DataFrame:
+def row_splits(df: DataFrame, order: list[str], train: float = 0.70, val: float = 0.15, ranges: int | None = None) -> DataFrame:
     """C3 (legacy): first 70 % / next 15 % of rows in ``order`` (first key = the date); dates can
     leak across splits — kept only as the negative case of the leak audit.
 
     The global row number is rebuilt without a global sort: rows before each date come from a
-    running sum over the per-date counts (the small date table), plus the rank inside the date
-    (bounded by the rows of one date, e.g. the assets of a daily bar table)."""
-    date, rest = order[0], order[1:]
+    running sum over the per-date counts (the small date table), plus the rank inside the date, a
+    two-level prefix sum over ranges, so that no task holds a whole date."""
+    date = order[0]
     per = df.groupBy(date).agg(F.count(F.lit(1)).alias("_nd"))
     wd = Window.orderBy(date)
-    per = per.select(date, F.coalesce(F.sum("_nd").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
-                                      F.lit(0)).alias("_before"),
+    per = per.select(F.col(date).alias("_d"), F.coalesce(F.sum("_nd").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
+                                                         F.lit(0)).alias("_before"),
                      F.sum("_nd").over(Window.partitionBy()).alias("_n"))
-    inner = Window.partitionBy(date).orderBy(*rest) if rest else Window.partitionBy(date).orderBy(date)
-    x = df.join(F.broadcast(per), date).withColumn("_r", F.col("_before") + F.row_number().over(inner))
-    n, r = F.col("_n"), F.col("_r")
+    x = running_before(df, [date], order[1:] or [date], name="_inside", ranges=ranges)
+    x = x.join(F.broadcast(per), F.col(date).eqNullSafe(F.col("_d")))
+    n, r = F.col("_n"), F.col("_before") + F.col("_inside") + 1
     return x.select(*df.columns, F.when(r <= F.floor(n * F.lit(train)), "train")
                     .when(r <= F.floor(n * F.lit(round(train + val, 10))), "validation")
                     .otherwise("test").alias("split"))

@@ -26,8 +26,10 @@ def _future(df: DataFrame, h: int, price: str, asset: str, date: str, calendar:
 
 def direction_target(bars: DataFrame, horizon: int = 1, price: str = "close", asset: str = "asset",
                      date: str = "date", calendar: bool = False, name: str = "y") -> DataFrame:
-    """y = 1{price[t+h] > price[t]}; rows without price[t+h] are dropped."""
-    df = _future(bars, horizon, price, asset, date, calendar)
+    """W1 + P8: y = 1{price[t+h] > price[t]}.  Rows without an asset, a date or a price aren't trading days: they take
+    no part, so horizons count the others; rows without price[t+h] are dropped."""
+    priced = bars.where(F.col(asset).isNotNull() & F.col(date).isNotNull() & F.col(price).isNotNull())
+    df = _future(priced, horizon, price, asset, date, calendar)
     fut = F.col(f"_future_{horizon}")
     return (df.where(fut.isNotNull())
             .withColumn(name, (fut > F.col(price)).cast("int"))
@@ -35,14 +37,16 @@ def direction_target(bars: DataFrame, horizon: int = 1, price: str = "close", as
 
 
 def multi_horizon_target(bars: DataFrame, horizons: Sequence[int] = (1, 3, 7), price: str = "close",
-                         asset: str = "asset", date: str = "date") -> DataFrame:
-    """Long form (asset, date, horizon, future_close, y), all leads in one window."""
+                         asset: str = "asset", date: str = "date", keep: Sequence[str] = ()) -> DataFrame:
+    """W2 + P8: long form (asset, date, price, keep, horizon, future_close, y), all leads in one window; rows without a
+    key or a price take no part."""
     w = Window.partitionBy(asset).orderBy(date)
-    wide = bars.select(asset, date, price, *[F.lead(price, h).over(w).alias(f"f{h}") for h in horizons])
+    priced = bars.where(F.col(asset).isNotNull() & F.col(date).isNotNull() & F.col(price).isNotNull())
+    wide = priced.select(asset, date, price, *keep, *[F.lead(price, h).over(w).alias(f"f{h}") for h in horizons])
     stack = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("future_close"))
                                 for h in horizons])).alias("s")
-    return (wide.select(asset, date, price, stack)
-            .select(asset, date, price, "s.horizon", "s.future_close")
+    return (wide.select(asset, date, price, *keep, stack)
+            .select(asset, date, price, *keep, "s.horizon", "s.future_close")
             .where(F.col("future_close").isNotNull())
             .withColumn("y", (F.col("future_close") > F.col(price)).cast("int")))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textsignal.functions.columns import WORD_CHAR, col_, indexed_explode, tokens, word_pattern
+from textsignal.operators.prefix import running_before
 
 # The default crypto lexicon (asset -> keywords) of the reference study.
 CRYPTO_LEXICON = {
@@ -375,13 +376,15 @@ def update_store(texts: DataFrame, store: DataFrame, embed: Callable[[DataFrame]
 
 
 # ---------------------------------------------------------------- X13
-def same_day_chunks(df: DataFrame, keys: Sequence[str], order: str, text_col: str = "text", size: int = 20_000) -> DataFrame:
+def same_day_chunks(df: DataFrame, keys: Sequence[str], order: str, text_col: str = "text", size: int = 20_000,
+                    ranges: int | None = None) -> DataFrame:
     """X13 in bounded rows: the texts of a key in ``order``, as numbered chunks of about ``size`` characters
     (a text is never cut, so a chunk is at most that plus one text).  The chunks joined by a space are
-    ``same_day_text``; an encoder scores chunks and combines them."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length(text_col) + 1).over(w), F.lit(0))
-    d = df.select(*keys, order, text_col, F.floor(before / size).cast("int").alias("chunk_no"))
+    ``same_day_text``; an encoder scores chunks and combines them.  The running length is a two-level prefix
+    sum, so a day that holds a third of all texts is spread over ranges."""
+    d = df.select(*keys, order, text_col)
+    d = running_before(d, keys, [order], F.length(text_col) + 1, "_before", ranges)
+    d = d.withColumn("chunk_no", F.floor(F.col("_before") / size).cast("int"))
     g = d.groupBy(*keys, "chunk_no").agg(F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), F.col(text_col).alias("t")))).alias("_l"))
     return g.select(*keys, "chunk_no", F.size("_l").alias("n_texts"),

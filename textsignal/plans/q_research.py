@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textsignal.functions.columns import word_pattern
-from textsignal.functions.schema import ASSET_HINTS, DATE_HINTS, TEXT_HINTS
+from textsignal.functions.schema import ASSET_HINTS, DATE_HINTS, SOURCE_HINTS, TEXT_HINTS
 from textsignal.operators import profile
 from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
@@ -127,7 +127,7 @@ def shortlist(spark, d):
 def _profile_sql(name: str, src: str, cols: list[str]) -> str:
     def hits(h):
         return [c for c in cols if any(x in c.lower() for x in h)]
-    dcols, tcols, acols = hits(DATE_HINTS), hits(TEXT_HINTS), hits(ASSET_HINTS)
+    dcols, tcols, acols, scols = hits(DATE_HINTS), hits(TEXT_HINTS), hits(ASSET_HINTS), hits(SOURCE_HINTS)
     parsed = "TRY_CAST(CAST({c} AS VARCHAR) AS TIMESTAMP)"
     if dcols:
         ds = ", ".join(
@@ -146,27 +146,29 @@ def _profile_sql(name: str, src: str, cols: list[str]) -> str:
     combo = tcols + acols[:1]
     if combo:
         txt = "concat_ws(' ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in combo) + ")"
-        ment = " + ".join(f"count(*) FILTER (WHERE regexp_matches(lower({txt}), '{word_pattern(ws)}'))"
-                          for ws in fx.NEWS_LEXICON.values())
+        each = {a: f"count(*) FILTER (WHERE regexp_matches(lower({txt}), '{word_pattern(ws)}'))" for a, ws in fx.NEWS_LEXICON.items()}
     else:
-        ment = "0"
+        each = {a: "0" for a in fx.NEWS_LEXICON}
+    ment = " + ".join(each.values())
     return f"""
   SELECT '{name}' AS table_name, rows, {len(cols)} AS n_cols, bd.name AS best_date_col,
          coalesce(bd.rate, {D(0)}) AS date_parse_rate, bd.dmin AS date_min, bd.dmax AS date_max,
          bt.name AS best_text_col, coalesce(bt.len, {D(0)}) AS best_text_avg_len,
-         '{', '.join(tcols)}' AS text_cols, '{', '.join(acols)}' AS asset_cols,
+         '{', '.join(tcols)}' AS text_cols, '{', '.join(acols)}' AS asset_cols, '{', '.join(scols)}' AS source_cols,
+         {', '.join(f'CAST(m_{a} AS BIGINT) AS {a}_mentions' for a in each)},
          CAST(mentions AS BIGINT) AS asset_mentions_total,
          least(rows / {D(10000)}, {D(1)}) * 25 + CASE WHEN coalesce(bd.rate, 0) > 0.8 THEN 25 ELSE 0 END
            + CASE WHEN bt.name IS NOT NULL AND coalesce(bt.len, 0) >= 15 THEN 25 ELSE 0 END
            + least(mentions / greatest(rows, 1), {D(1)}) * 25 AS suitability_score_raw
-  FROM (SELECT count(*) AS rows, {best_d} AS bd, {best_t} AS bt, {ment} AS mentions FROM {src}) a"""
+  FROM (SELECT count(*) AS rows, {best_d} AS bd, {best_t} AS bt, {ment} AS mentions,
+          {', '.join(f'{m} AS m_{a}' for a, m in each.items())} FROM {src}) a"""
 
 
 _PROFILED = {"news": ["doc_id", "event_time", "body", "asset_raw", "lang"],
              "conversations": ["conv_id", "turn", "role", "text"],
              "benchmark": ["item_id", "text"], "pages": ["page_id", "url", "html"]}
-_PCOLS = ["rows", "n_cols", "best_date_col", "date_min", "date_max", "best_text_col", "text_cols", "asset_cols",
-          "asset_mentions_total"]
+_PCOLS = ["rows", "n_cols", "best_date_col", "date_min", "date_max", "best_text_col", "text_cols", "asset_cols", "source_cols",
+          *[f"{a}_mentions" for a in fx.NEWS_LEXICON], "asset_mentions_total"]
 
 
 @register("table_profile", with_views(
