@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from textsignal.functions import schema
-from textsignal.operators import align, market, metrics, models, prep, splits, targets, text
+from textsignal.operators import align, market, metrics, models, newton, prep, splits, targets, text
 from textsignal.plans import fixtures as fx
 from textsignal.sources import files
 
@@ -89,7 +89,10 @@ def test_wide_header_keeps_all_columns(spark):
 
 def test_detectors(spark):
     df = spark.createDataFrame([(1, 2, 3)], "Timestamp int, DATE int, Date int")
-    assert schema.detect_column(df, schema.DATE_CANDIDATES) == "DATE"
+    assert schema.detect_column(df, schema.DATE_CANDIDATES) == "Date"
+    swapped = spark.createDataFrame([(1, 2)], "Date int, DATE int")
+    assert schema.detect_column(swapped, schema.DATE_CANDIDATES) == "DATE"      # the last of equal lower-case names
+    assert schema.detect_column(swapped, ["Date"]) == "Date"
     assert schema.detect_column(df, ["Date"]) == "Date"
     assert schema.detect_column(df, ["close"]) is None
     assert schema.detect_column(df, ["close"], "Date") == "Date"
@@ -205,7 +208,7 @@ def test_day_chunks_join_to_the_day(spark):
 def test_every_query_has_a_twin_or_a_property_test():
     import __spark_entry__ as entry
     tested = {"logreg_ablation", "logreg_fixed_c", "training_curve", "pca_embeddings", "arx_forecast", "mlp_window", "rf_prices",
-              "text_ablation", "predictions"}
+              "text_ablation", "predictions", "experiment_grid"}
     own = {q for q in entry.queries() if not q.startswith("op") and q != "pipeline"}
     assert own - set(entry.oracle_sql()) <= tested
 
@@ -214,26 +217,23 @@ def test_text_queries_run_the_whole_grid(spark, monkeypatch):
     from textsignal.plans import q_models
     r = np.random.default_rng(3)
     x, days = r.standard_normal((90, 3)), [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(90)]
-    rows = [("A", d, "train" if i < 50 else "validation" if i < 70 else "test", int(a + r.standard_normal() > 0), *map(float, (a, b, c)))
+    rows = [("A", d, "train" if i < 50 else "validation" if i < 70 else "test", int(a + r.standard_normal() > 0), [float(a), float(b), float(c)])
             for i, (d, (a, b, c)) in enumerate(zip(days, x))]
-    frame = spark.createDataFrame(rows, "asset string, date date, split string, y int, a double, b double, c double")
-    groups = {"market_full": ["a"], "text_meta": ["b", "c"]}
+    frame = spark.createDataFrame(rows, "asset string, date date, split string, y int, features array<double>")
+    groups = {"market_full": [0], "text_meta": [1, 2]}
     monkeypatch.setattr(q_models, "_text_groups", lambda s, d: (frame, groups))
-    fits, fit, selected = [], models.LogisticRegression, []
-    monkeypatch.setattr(models, "LogisticRegression", lambda **kw: fits.append((kw["regParam"], kw["maxIter"])) or fit(**kw))
+    runs, whole, selected = [], newton.newton, []
+    monkeypatch.setattr(newton, "newton", lambda t, c, design, dim, n: runs.append((design, n)) or whole(t, c, design, dim, n))
     both = q_models._text_predictions
     monkeypatch.setattr(q_models, "_text_predictions", lambda s, d: selected.append(both(s, d)) or selected[-1])
     rows = {r.feature_group: r for r in q_models.text_ablation(spark, None).collect()}
     monkeypatch.setattr(q_models, "_text_predictions", lambda s, d: selected[0])     # one training for both queries
     preds = q_models.predictions(spark, None).toPandas()
-    grid = sorted(models.C_GRID)
-    top = max(r for r, _ in fits)
     fitted = [g for g, r in rows.items() if r.selected_C is not None]
-    assert sorted({round(grid[0] * top / r, 9) for r, _ in fits}) == pytest.approx(grid)     # regParam = 1 / (C n)
-    assert len(fits) == len(fitted) * len(grid) and set(fitted) == set(groups) and {r.selected_C for r in rows.values()} - {None} <= set(grid)
-    assert min(n for _, n in fits) >= 100
-    histories = {r.feature_group: len(r.objective_history) for r in selected[0][1].collect()}
-    assert max(histories.values()) < min(n for _, n in fits)     # stopped as converged, not at the limit
+    (design, max_iter), = runs
+    assert design.c_grid == models.C_GRID == (0.01, 0.1, 1.0, 10.0) and max_iter >= 100 and design.names == list(groups)
+    assert set(fitted) == set(groups) and {r.selected_C for r in rows.values()} - {None} <= set(models.C_GRID)
+    assert {r.fit_status for r in selected[0][1].collect()} == {"converged"}
     assert set(preds["feature_group"]) == set(rows) >= {"majority", "previous_direction", "market_full"}
     assert not preds.duplicated(["asset", "date", "feature_group"]).any()
     assert preds[preds["feature_group"].isin(fitted)].groupby("feature_group").size().nunique() == 1

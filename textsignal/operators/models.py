@@ -1,10 +1,5 @@
-"""Spark ML side (M4, M6, M7, M9, M12–M17): train-only preprocessing, per-group logistic
-regression with validation-tuned C and threshold, PCA of embeddings, unit-root test,
-direct multi-step forecast, window MLP and random forest.
-
-The driver loops only over the small ablation grid (groups x C); every fit,
-prediction and metric is a distributed Spark job.  Fitted statistics (medians,
-means, scales: one number per feature) are the only values brought to the driver.
+"""Models (M4, M6, M7, M9, M12-M17): logistic regressions over feature groups (fitted by ``newton``), PCA of
+embeddings, unit-root test, direct multi-step forecast, window MLP and random forest.
 """
 
 from __future__ import annotations
@@ -13,7 +8,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -22,9 +17,8 @@ from pyspark.sql import functions as F
 
 from textsignal.functions.columns import finite_or_null, indexed_explode
 from textsignal.session import materialize
-from textsignal.operators import metrics, prep
-
-C_GRID = (0.01, 0.1, 1.0, 10.0)
+from textsignal.operators import metrics, newton, prep
+from textsignal.operators.newton import C_GRID
 
 
 def standardized_features(df: DataFrame, cols: Sequence[str], split: str = "split",
@@ -47,57 +41,27 @@ def standardized_features(df: DataFrame, cols: Sequence[str], split: str = "spli
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(x)
 
 
-def class_weight_col(df: DataFrame, y: str = "y", split: str = "split") -> DataFrame:
-    """M5 on train rows, attached to every row as ``w`` (1.0 outside train is unused)."""
-    cw = prep.class_weights(df.where(F.col(split) == "train"), y).select(y, F.col("weight").alias("w"))
-    return df.join(F.broadcast(cw), y, "left").na.fill(1.0, ["w"])
+def array_features(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str],
+                   keep: Sequence[str] = ("asset", "date", "split", "y")) -> tuple[DataFrame, dict[str, list[int]]]:
+    """The columns of all ``groups`` as one array column ``features``, and each group as positions in it; groups without
+    columns are skipped."""
+    groups = [g for g in groups if manifest.get(g)]
+    cols = list(dict.fromkeys(c for g in groups for c in manifest[g]))
+    at = {c: i for i, c in enumerate(cols)}
+    rows = df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
+    return rows, {g: [at[c] for c in manifest[g]] for g in groups}
 
 
 def fit_logreg_group(df: DataFrame, cols: Sequence[str], group: str, y: str = "y", split: str = "split",
                      c_grid: Sequence[float] = C_GRID, keys: Sequence[str] = ("asset", "date"),
-                     max_iter: int = 100, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """M6 + M8 + M9: for each C fit an L2 logistic regression with balanced weights (sklearn
-    objective: regParam = 1 / (C * n_train), no internal standardisation), tune the threshold
-    on validation, keep the C with the best validation balanced accuracy (first wins ties),
-    then return (test predictions, selection row)."""
-    data = class_weight_col(standardized_features(df, cols, split), y, split).cache()
-    train = data.where(F.col(split) == "train")
-    n_train = train.count()
-    vals = []
-    models = {}
-    for i, c in enumerate(c_grid):
-        lr = LogisticRegression(featuresCol="features", labelCol=y, weightCol="w", regParam=1.0 / (c * n_train),
-                                elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-5)
-        m = lr.fit(train)
-        models[i] = m
-        v = (m.transform(data.where(F.col(split) == "validation"))
-             .select(F.lit(i).alias("ci"), F.col(y).alias("y_true"),
-                     vector_to_array("probability")[1].alias("y_proba")))
-        vals.append(v)
-    allv = vals[0]
-    for v in vals[1:]:
-        allv = allv.unionByName(v)
-    if threshold is None:
-        tuned = metrics.tune_threshold(allv, ["ci"])
-    else:   # M7: fixed threshold, validation BA still reported
-        v = allv.withColumn("y_pred", (F.col("y_proba") >= threshold).cast("int"))
-        tuned = metrics.classification_metrics(metrics.confusion(v, ["ci"])).select(
-            "ci", F.lit(threshold).alias("threshold"), F.col("balanced_accuracy").alias("val_balanced_accuracy"))
-    w = Window.orderBy(F.col("val_balanced_accuracy").desc(), F.col("ci"))
-    best = tuned.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").first()
-    ci, tau = best["ci"], best["threshold"]
-    test = (models[ci].transform(data.where(F.col(split) == "test"))
-            .select(*keys, F.col(y).alias("y_true"), vector_to_array("probability")[1].alias("y_proba"))
-            .withColumn("y_pred", (F.col("y_proba") >= tau).cast("int"))
-            .withColumn("feature_group", F.lit(group)))
-    history = list(models[ci].summary.objectiveHistory)
-    sel = data.sparkSession.createDataFrame(
-        [(group, float(c_grid[ci]), float(tau), float(best["val_balanced_accuracy"]), len(cols), history)],
-        "feature_group string, selected_C double, selected_threshold double, val_balanced_accuracy double, "
-        "n_features int, objective_history array<double>")
-    test = materialize(test)      # before its input is let go
-    data.unpersist()
-    return test, sel
+                     max_iter: int = 100, threshold: float | None = None,
+                     penalise_intercept: bool = False) -> tuple[DataFrame, DataFrame]:
+    """M6-M9 for one group: (test predictions, selection row); see ``newton.fit_grid``.  ``penalise_intercept`` puts the
+    constant inside the penalised vector (M7)."""
+    rows, groups = array_features(df, {group: cols}, [group], [*keys, split, y])
+    grid = newton.fit_grid(rows, groups, y=y, split=split, keys=keys, date=keys[-1], c_grid=c_grid, max_iter=max_iter, threshold=threshold,
+                           penalise_intercept=penalise_intercept)
+    return materialize(grid.predictions()), grid.selection
 
 
 def ablation(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str], **kw) -> DataFrame:
@@ -108,63 +72,12 @@ def ablation(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Seque
 
 def ablation_predictions(df: DataFrame, manifest: Mapping[str, Sequence[str]], groups: Sequence[str], y: str = "y",
                          split: str = "split", c_grid: Sequence[float] = C_GRID, max_iter: int = 100,
-                         parallelism: int = 8, keys: Sequence[str] = ("asset", "date")) -> tuple[DataFrame, DataFrame]:
-    """M12 (+ M6, M8, M9): the same classifier over many feature groups; empty groups skipped.  Returns the
-    test predictions (keys, feature_group, y_true, y_proba, y_pred) and the selection rows.
-
-    * train-only impute/scale statistics are fitted once for the union of all group columns
-      (per-column statistics do not depend on the group);
-    * every (group, C) fit is submitted concurrently (like ``CrossValidator(parallelism=...)``)
-      on one cached frame;
-    * thresholds are tuned for all (group, C) in one job, the best C per group is picked by a
-      window (validation BA desc, first C wins ties), and all groups are evaluated in one job.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-    groups = [g for g in groups if manifest.get(g)]
-    cols = list(dict.fromkeys(c for g in groups for c in manifest[g]))
-    base = class_weight_col(standardized_features(df, cols, split, "_all"), y, split)
-    for g in groups:
-        base = VectorAssembler(inputCols=list(manifest[g]), outputCol=f"f_{g}").transform(base)
-    data = base.drop("_all").cache()
-    train = data.where(F.col(split) == "train")
-    n_train = train.count()
-    tasks = [(g, i, c) for g in groups for i, c in enumerate(c_grid)]
-
-    def fit(t):
-        g, i, c = t
-        lr = LogisticRegression(featuresCol=f"f_{g}", labelCol=y, weightCol="w", regParam=1.0 / (c * n_train),
-                                elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-5)
-        return t, lr.fit(train)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        fitted = dict(ex.map(fit, tasks))
-    val = data.where(F.col(split) == "validation")
-    vals = [m.transform(val).select(F.lit(g).alias("feature_group"), F.lit(i).alias("ci"), F.col(y).alias("y_true"),
-                                    vector_to_array("probability")[1].alias("y_proba"))
-            for (g, i, _), m in fitted.items()]
-    allv = vals[0]
-    for v in vals[1:]:
-        allv = allv.unionByName(v)
-    tuned = metrics.tune_threshold(allv, ["feature_group", "ci"])
-    w = Window.partitionBy("feature_group").orderBy(F.col("val_balanced_accuracy").desc(), F.col("ci"))
-    best = {r["feature_group"]: r for r in
-            tuned.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").collect()}   # one row per group
-    test = data.where(F.col(split) == "test")
-    preds, sel_rows = None, []
-    for g in groups:
-        b = best[g]
-        m = fitted[(g, b["ci"], c_grid[b["ci"]])]
-        p = (m.transform(test).select(*keys, F.lit(g).alias("feature_group"), F.col(y).alias("y_true"),
-                                      vector_to_array("probability")[1].alias("y_proba"))
-             .withColumn("y_pred", (F.col("y_proba") >= b["threshold"]).cast("int")))
-        preds = p if preds is None else preds.unionByName(p)
-        sel_rows.append((g, float(c_grid[b["ci"]]), float(b["threshold"]), float(b["val_balanced_accuracy"]),
-                         len(manifest[g]), list(m.summary.objectiveHistory)))
-    sel = data.sparkSession.createDataFrame(
-        sel_rows, "feature_group string, selected_C double, selected_threshold double, "
-                  "val_balanced_accuracy double, n_features int, objective_history array<double>")
-    preds = materialize(preds)    # before its input is let go
-    data.unpersist()
-    return preds, sel
+                         keys: Sequence[str] = ("asset", "date")) -> tuple[DataFrame, DataFrame]:
+    """M12 (+ M6, M8, M9): the same classifier over many feature groups, all fits in the same Newton passes; empty groups
+    skipped.  Returns the test predictions (keys, feature_group, y_true, y_proba, y_pred) and the selection rows."""
+    rows, positions = array_features(df, manifest, groups, [*keys, split, y])
+    grid = newton.fit_grid(rows, positions, y=y, split=split, keys=keys, date=keys[-1], c_grid=c_grid, max_iter=max_iter)
+    return materialize(grid.predictions()), grid.selection
 
 
 def pca_embeddings(df: DataFrame, vec: str, k: int, split: str = "split") -> tuple[DataFrame, float, int]:
@@ -208,22 +121,28 @@ def dickey_fuller(bars: DataFrame, price: str = "close", asset: str = "asset", d
 
 
 def direct_forecast(series: DataFrame, steps: int = 30, asset: str = "asset", date: str = "date",
-                    value: str = "close", exog: str | None = None) -> DataFrame:
-    """M15 (re-aimed SARIMAX): direct multi-step linear autoregression on first differences.
+                    value: str = "close", exog: str | None = None, by_test: bool = False) -> DataFrame:
+    """M15 (re-aimed SARIMAX): direct multi-step linear autoregression on first differences, or, with ``by_test``, on what the
+    unit-root test of each asset's train rows (M14) decides: stationary series are forecast in levels, the others
+    (and those too short for the test) in differences; ``differenced`` tells which.
 
-    For each step k the target is diff[t+k] and the features are diff[t], diff[t-1], diff[t-7] and, if
+    With x the series so chosen, for each step k the target is x[t+k] and the features are x[t], x[t-1], x[t-7] and, if
     given, the exogenous value known at t.  Each (asset, k) fit is least squares by its normal
     equations: Spark sums the products of all training rows (partial aggregates), and one small system per
     (asset, k) is solved afterwards.  The last ``steps`` rows of each asset are held out; the level is
-    rebuilt as last train level + cumulative predicted differences (W12); ``level_naive`` stays at the
-    last train level (E8)."""
+    rebuilt as last train level + cumulative predicted differences (W12), or is the forecast itself; ``level_naive``
+    stays at the last train level (E8)."""
     w = Window.partitionBy(asset).orderBy(date)
-    base = series.select(asset, date, value, *([exog] if exog else [])).withColumn(
-        "diff", F.col(value) - F.lag(value, 1).over(w))
+    base = series.select(asset, date, value, *([exog] if exog else []),
+                         F.row_number().over(Window.partitionBy(asset).orderBy(F.col(date).desc())).alias("rn"))
+    tested = base.where(F.col("rn") > steps)
+    decided = dickey_fuller(tested, value, asset, date).select(asset, (~F.coalesce("stationary", F.lit(False))).alias("differenced")) \
+        if by_test else tested.select(asset).distinct().withColumn("differenced", F.lit(True))
+    base = base.join(decided, asset).withColumn(
+        "diff", F.when(F.col("differenced"), F.col(value) - F.lag(value, 1).over(w)).otherwise(F.col(value).cast("double")))
     base = base.select("*", F.lag("diff", 1).over(w).alias("d1"), F.lag("diff", 7).over(w).alias("d7"),
-                       F.row_number().over(Window.partitionBy(asset).orderBy(F.col(date).desc())).alias("rn"),
                        F.array(*[F.lead("diff", k).over(w) for k in range(1, steps + 1)]).alias("leads"))
-    origin = base.where(F.col("rn") == steps + 1).select(asset, F.col(value).alias("origin_level"))
+    origin = base.where(F.col("rn") == steps + 1).select(asset, "differenced", F.col(value).alias("origin_level"))
     feats = ["diff", "d1", "d7"] + ([exog] if exog else [])
     j = base.select(asset, *feats, "rn", indexed_explode("leads", "k0", "target"))
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in feats]]
@@ -253,11 +172,12 @@ def direct_forecast(series: DataFrame, steps: int = 30, asset: str = "asset", da
 
     res = sums.select(asset, "k", "n_train", solved("n_train", "xx", "xy", "xo").alias("pred"), "actual")
     cum = Window.partitionBy(asset).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return (res.join(origin, asset)
-            .select(asset, "k", "n_train", "pred", "actual",
-                    (F.col("origin_level") + F.sum("pred").over(cum)).alias("level_pred"),
-                    (F.col("origin_level") + F.sum("actual").over(cum)).alias("level_actual"),
-                    F.col("origin_level").alias("level_naive")))
+
+    def level(c: str):
+        return F.when(F.col("differenced"), F.col("origin_level") + F.sum(c).over(cum)).otherwise(F.col(c))
+    return res.join(origin, asset).select(
+        asset, "k", "differenced", "n_train", "pred", "actual", level("pred").alias("level_pred"), level("actual").alias("level_actual"),
+        F.col("origin_level").alias("level_naive"))
 
 
 def window_mlp(df: DataFrame, cols: Sequence[str], y: str = "y", split: str = "split", hidden: int = 16,

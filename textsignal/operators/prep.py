@@ -21,7 +21,7 @@ def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str], name: s
 
 
 def exact_quantile(long: DataFrame, by: Sequence[str], q: float = 0.5, value: str = "x",
-                   accuracy: int = 10000) -> DataFrame:
+                   accuracy: int = 10000, few: bool = True) -> DataFrame:
     """Exact ``q``-quantile with linear interpolation (numpy/pandas), NULLs ignored, by one path for
     every group size and without gathering a group's values.
 
@@ -30,14 +30,15 @@ def exact_quantile(long: DataFrame, by: Sequence[str], q: float = 0.5, value: st
     inside, or right beside it.  Pass 2 counts the *distinct* values inside the bracket, all values below
     as one row (with their largest) and all above as one (with their smallest), so ties are one row.  A
     running sum over those, about 6n/accuracy rows at most, picks the two ranks.  A rank that is not
-    found is an error, never a NULL.  ``by`` groups (features) are few: their one-row tables are broadcast."""
+    found is an error, never a NULL.  The bracket has one row per group: it is broadcast where ``few`` says that
+    the groups are bounded (features), else the join is left to measured sizes."""
     by = list(by)
     x = F.col(value)
     d = 3.0 / accuracy
     lo_q, hi_q = max(0.0, q - d), min(1.0, q + d)
     valid = long.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
     bracket = valid.groupBy(*by).agg(F.count("_x").alias("n"), F.percentile_approx("_x", [lo_q, hi_q], accuracy).alias("_b"))
-    j = valid.join(F.broadcast(bracket), by)
+    j = valid.join(F.broadcast(bracket) if few else bracket, by)
     zone = F.when(F.col("_x") < F.col("_b")[0], 0).when(F.col("_x") <= F.col("_b")[1], 1).otherwise(2)
     seen = j.groupBy(*by, "n", zone.alias("_z"), F.when(zone == 1, F.col("_x")).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), F.max("_x").alias("_max"), F.min("_x").alias("_min"))

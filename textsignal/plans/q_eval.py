@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textsignal.operators import market, metrics, prep, splits, targets
+from textsignal.functions.columns import indexed_explode
+from textsignal.operators import align, market, metrics, prep, splits, targets
 from textsignal.plans import fixtures as fx
 from textsignal.plans.q_market import MARKET_FULL, _inc_sql, _returns_sql, _volume_sql
 from textsignal.plans.registry import register
@@ -139,18 +140,23 @@ SELECT rule, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
                         FROM bars_long) t ON l.asset = t.asset AND l.date = t.date
   UNION ALL
   SELECT 'feature_after_decision', count(*) FILTER (WHERE feature_date > date)
-  FROM (SELECT date, max(date) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS feature_date
-        FROM bars_long) f
+  FROM (SELECT b.date, t.date AS feature_date FROM bars b JOIN text_days t ON t.asset = b.asset AND b.date = t.date + INTERVAL 1 DAY
+        UNION ALL
+        SELECT b.date, t.date FROM text_days t, range(1, 11) r(k) JOIN bars b ON b.asset = t.asset AND b.date = t.date + CAST(r.k AS INTEGER)
+       ) f
   UNION ALL
   SELECT 'splits_chronological',
          CASE WHEN max(date) FILTER (WHERE split = 'train') >= min(date) FILTER (WHERE split <> 'train')
               THEN 1 ELSE 0 END
-  FROM labelled) r""", "labelled", "bars_long"))
+  FROM labelled) r""", "labelled", "bars_long", "bars", "news_by_asset", extra={
+    "text_days": "SELECT DISTINCT asset, event_date AS date FROM news_by_asset"}))
 def leak_checklist(spark, d):
-    """Leak rules as violation counts; the feature dates are the last dates in the frame of the
-    20-row rolling features."""
+    """Leak rules as violation counts; the feature dates are those of the texts that the decisions really use: of the
+    next-day join (J2) and of the ten-day window (J3)."""
     w = Window.partitionBy("asset").orderBy("date")
-    used = fx.bars_long(spark, d).select("date", F.max("date").over(w.rowsBetween(-19, 0)).alias("feature_date"))
+    days = fx.news_by_asset(spark, d).select("asset", F.col("event_date").alias("date")).distinct()
+    bars = fx.bars(spark, d).select("asset", "date")
+    used = align.feature_dates(bars, days, 1, 1).unionByName(align.feature_dates(bars, days, 10, 1))
     td = fx.bars_long(spark, d).select("asset", "date", F.lead("date", 1).over(w).alias("target_date"))
     rows = _lab(spark, d).join(td, ["asset", "date"])
     return splits.leak_checklist(rows, used, target_date="target_date")
@@ -546,18 +552,11 @@ GROUP BY split, feature""", "labelled", "bars_long", extra={
 def sequence_standardize(spark, d):
     """M3: standardise the numeric part of the 10-row sequences with mean/std fitted over
     (train rows x steps), padding steps included; summary of z per split and feature."""
-    from textsignal.operators import align
-    from textsignal.functions.columns import indexed_explode
     seq = align.sequence_window(fx.bars_long(spark, d), _SEQ_FEATS, 10)
     lab = _lab(spark, d).select("asset", "date", "split")
     rows = seq.join(lab, ["asset", "date"]).select(
         "split", F.transform("sequence", lambda e: F.array(*[e[f] for f in _SEQ_FEATS])).alias("steps"))
-    long = rows.select("split", F.explode("steps").alias("nums")).select(
-        "split", indexed_explode("nums", "j", "v"))
-    long = long.select("split", F.when(F.col("j") == 0, "close").otherwise("volume").alias("feature"), "v")
-    st = (long.where("split = 'train'").groupBy("feature")
-          .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd")))
-    z = long.join(st, "feature").select(
-        "split", "feature", ((F.col("v") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
-    return z.groupBy("split", "feature").agg(F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"),
-                                             F.count(F.lit(1)).alias("n"))
+    steps = rows.select("split", (F.col("split") == "train").alias("is_train"), F.explode("steps").alias("nums"))
+    z = prep.sequence_standardize(steps, "is_train").select("split", indexed_explode("nums", "j", "z"))
+    return z.groupBy("split", F.when(F.col("j") == 0, "close").otherwise("volume").alias("feature")).agg(
+        F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"), F.count(F.lit(1)).alias("n"))

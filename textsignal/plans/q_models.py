@@ -1,10 +1,10 @@
-"""Spark ML queries (rows-only checks, except the SQL-expressible unit-root test)."""
+"""Queries of the models; those that SQL can't express have property tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textsignal.operators import align, market, metrics, models, splits, targets
+from textsignal.operators import align, market, metrics, models, newton, splits, targets
 from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import round_cols
@@ -40,8 +40,7 @@ def logreg_ablation(spark, d):
     df, man = _features(spark, d)
     res = models.ablation(df, man, GROUPS)
     return res.select("feature_group", "n_features", "selected_C", "selected_threshold", "val_balanced_accuracy",
-                      F.size("objective_history").alias("iterations"),
-                      "tn", "fp", "fn", "tp", "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc")
+                      "iterations", "tn", "fp", "fn", "tp", "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc")
 
 
 @register("pca_embeddings")
@@ -61,12 +60,12 @@ def pca_embeddings(spark, d):
 
 @register("arx_forecast")
 def arx_forecast(spark, d):
-    """M15 + W12 + E8: direct 30-step forecast of differences per asset, with the volume known at the origin
+    """M14 + M15 + W12 + E8: direct 30-step forecast per asset, of levels or differences as its unit-root test decides, with the volume known at the origin
     as regressor (the long bars and the texts share no dates) and without; levels rebuilt by cumulative
     sums, beside the naive level."""
     b = fx.bars_long(spark, d)
-    plain = models.direct_forecast(b, 30).select("asset", "k", F.col("level_pred").alias("level_plain"))
-    return models.direct_forecast(b, 30, exog="volume").join(plain, ["asset", "k"])
+    plain = models.direct_forecast(b, 30, by_test=True).select("asset", "k", F.col("level_pred").alias("level_plain"))
+    return models.direct_forecast(b, 30, exog="volume", by_test=True).join(plain, ["asset", "k"])
 
 
 @register("mlp_window")
@@ -91,22 +90,19 @@ def rf_prices(spark, d):
 
 @register("logreg_fixed_c")
 def logreg_fixed_c(spark, d):
-    """M7: C = 1 and threshold 0.5 (no tuning) on the market_full group; test metrics."""
+    """M7: C = 1 and threshold 0.5 (no tuning) on the market_full group, the intercept inside the penalty; test metrics."""
     df, man = _features(spark, d)
-    test, sel = models.fit_logreg_group(df.cache(), man["market_full"], "market_full", c_grid=(1.0,), threshold=0.5)
-    return metrics.evaluate(test, ["feature_group"]).join(sel.drop("objective_history"), "feature_group")
+    test, sel = models.fit_logreg_group(df, man["market_full"], "market_full", c_grid=(1.0,), threshold=0.5, penalise_intercept=True)
+    return metrics.evaluate(test, ["feature_group"]).join(F.broadcast(sel.drop("fit_status", "gradient")), "feature_group")
 
 
 @register("training_curve")
 def training_curve(spark, d):
-    """Objective per iteration of the selected market_full fit and the best iteration."""
+    """Objective, train loss and validation loss of every iteration of the market fits at every C, and the iteration
+    with the smallest validation loss of each."""
     df, man = _features(spark, d)
-    _, sel = models.fit_logreg_group(df.cache(), man["market_full"], "market_full", c_grid=(1.0,), threshold=0.5)
-    from textsignal.functions.columns import indexed_explode
-    h = sel.select("feature_group", indexed_explode("objective_history", "iteration", "objective"))
-    from pyspark.sql import Window
-    best = F.min("objective").over(Window.partitionBy("feature_group"))
-    return h.select("*", (F.col("objective") == best).alias("is_best"))
+    rows, groups = models.array_features(df, man, GROUPS)
+    return newton.fit_grid(rows, groups).curves().drop("beta")
 
 
 TEXT_META = ["text_count", "avg_text_len", "max_text_len", "has_text"]
@@ -115,7 +111,7 @@ PCA_SIZES = (16, 32, 64)
 
 def _text_groups(spark, d):
     """The labelled event bars with daily text features, mean vectors and their train-fitted components, and
-    the manifest of the feature groups."""
+    positions of the feature groups in their array."""
     mf, man = market.market_full(fx.bars(spark, d))
     rows = splits.split_by_date(targets.direction_target(mf, 1), "date")
     rows = align.join_same_day(rows, align.daily_text(fx.news_by_asset(spark, d)))
@@ -126,27 +122,30 @@ def _text_groups(spark, d):
         "mean_vector", F.coalesce("mean_vector", F.array_repeat(F.lit(0.0), dim)))
     rows = materialize(rows)
     proj, _, kk = models.pca_embeddings(rows.withColumn("vector", F.col("mean_vector")), "vector", max(PCA_SIZES))
-    emb, pca = [f"emb_{i}" for i in range(dim)], [f"pca_{i}" for i in range(kk)]
-    frame = proj.select("*", *[F.col("mean_vector")[i].alias(c) for i, c in enumerate(emb)],
-                        *[F.col("pca")[i].alias(c) for i, c in enumerate(pca)]).drop("mean_vector", "pca")
     base = list(man["market_full"])
-    groups = {"market_full": base, "text_meta": TEXT_META, "market_full_text_meta": base + TEXT_META, "finbert_full": emb}
+    single = F.array(*[F.col(c).cast("double") for c in base + TEXT_META])
+    frame = proj.select("asset", "date", "split", "y", F.concat(single, "mean_vector", "pca").alias("features"))
+    market_at, start = list(range(len(base))), len(base) + len(TEXT_META)
+    meta, emb, pca = list(range(len(base), start)), list(range(start, start + dim)), list(range(start + dim, start + dim + kk))
+    groups = {"market_full": market_at, "text_meta": meta, "market_full_text_meta": market_at + meta, "finbert_full": emb}
     for k in PCA_SIZES:
         groups[f"finbert_pca_{k}"] = pca[:k]
-        groups[f"market_full_finbert_pca_{k}"] = base + pca[:k]
-        groups[f"market_full_finbert_pca_{k}_text_meta"] = base + pca[:k] + TEXT_META
+        groups[f"market_full_finbert_pca_{k}"] = market_at + pca[:k]
+        groups[f"market_full_finbert_pca_{k}_text_meta"] = market_at + pca[:k] + meta
     return frame, groups
 
 
 def _text_predictions(spark, d):
     frame, groups = _text_groups(spark, d)
-    preds, sel = models.ablation_predictions(frame, groups, list(groups))
+    frame = materialize(frame)
+    grid = newton.fit_grid(frame, groups)
     rows = frame.select("asset", "date", "split", F.col("y").alias("y_true"))
     cols = ["asset", "date", "feature_group", "y_true", "y_proba", "y_pred"]
+    preds = grid.predictions()
     for name, b in (("majority", metrics.majority_baseline(rows, ["asset"])),
                     ("previous_direction", metrics.previous_direction_baseline(rows, ["asset"]))):
         preds = preds.select(cols).unionByName(b.withColumn("feature_group", F.lit(name)).select(cols))
-    return preds, sel
+    return materialize(preds), grid.selection
 
 
 @register("predictions")
@@ -162,7 +161,7 @@ def text_ablation(spark, d):
     preds, sel = _text_predictions(spark, d)
     ev = materialize(metrics.evaluate(preds, ["feature_group"]))
     market_ba = ev.where("feature_group = 'market_full'").select("balanced_accuracy", "roc_auc").first()
-    return ev.join(F.broadcast(sel.drop("objective_history")), "feature_group", "left").select(
+    return ev.join(F.broadcast(sel), "feature_group", "left").select(
         "feature_group", "n_features", "selected_C", "selected_threshold", "val_balanced_accuracy", "tn", "fp", "fn", "tp",
         "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc",
         (F.col("balanced_accuracy") - F.lit(market_ba["balanced_accuracy"])).alias("delta_balanced_accuracy"),

@@ -35,6 +35,7 @@ def get_spark(cpus: int | str | None = None, shuffle_partitions: int | None = No
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
