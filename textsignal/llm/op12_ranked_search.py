@@ -12,7 +12,8 @@ first, and item:
   coordinates, or Cauchy-Schwarz on what is left of the vector, whichever is less), reach it;
 * the survivors are scored again exactly, in integers.
 
-The k-th best score starts from the globally longest vectors (one bounded task) and rises in every chunk.  Items are
+The k-th best score of all documents among the longest vectors of every chunk is the first threshold everywhere, and it
+rises further inside a chunk.  Items are
 handled in blocks of bounded bytes, whose terms are all that is kept of a document; each block meets all documents.
 
 Defined results: documents whose text is null or holds no term count for nothing and are never found, items without
@@ -37,8 +38,8 @@ from textsignal.llm.common import stash
 K = 10                     # documents of an item (fixed by the contract)
 ITEM_BYTES = 4 << 20       # text of the items of a block, about
 BUCKET = 2048              # documents of a norm bucket
-CHUNK = 2_000_000          # coordinates that a task holds at once, about
-FIRST = 4096               # longest vectors that give the first thresholds
+CHUNK = 1_000_000          # coordinates that a task holds at once, about
+FIRST = 512                # longest vectors of a chunk that give the first thresholds
 
 #: [^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+ (fixed by the contract) on UTF-8 bytes whose A-Z are lower-cased.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -64,7 +65,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int], doc_id: str, text
             found = terms(data)
             tf = Counter(map(number, found))
             tf.pop(None, None)
-            rows.append((len(found), list(tf), list(tf.values())))
+            rows.append((len(found), np.fromiter(tf.keys(), np.int32, len(tf)), np.fromiter(tf.values(), np.int64, len(tf))))
         return pd.DataFrame(rows, columns=["n", "term", "tf"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
@@ -88,16 +89,18 @@ class Search:
         return np.sqrt(np.bincount(row, weights=x.astype(float) ** 2, minlength=n_rows))
 
     def best(self, doc: np.ndarray, n: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray,
-             floors: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+             floors: np.ndarray, most: int | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(item, documents, scores) of the best k of a chunk that reach the item's floor; ``doc`` has a row
-        (nameless, id) per document."""
+        (nameless, id) per document.  ``most`` keeps to that many of the longest vectors."""
         x = self.coordinates(n, sizes, term, tf)
         row = np.repeat(np.arange(len(doc)), sizes)
         norm = self.norms(row, x, len(doc))
         longest = np.argsort(-norm, kind="stable")         # documents in order of their norm
         place = np.empty(len(doc), np.int64)
         place[longest] = np.arange(len(doc))
-        row, doc, norm = place[row], doc[longest], norm[longest]
+        row, doc, norm = place[row], doc[longest][:most], norm[longest][:most]
+        if most is not None:
+            term, x, row = term[row < most], x[row < most], row[row < most]
         order = np.lexsort((row, term, row // BUCKET))
         row, term, x = row[order], term[order], x[order]
         floors, kept = floors.copy(), {}
@@ -189,25 +192,18 @@ def search_block(docs: DataFrame, items: list[list[bytes]], doc_id: str, text: s
     own = [np.array([vocabulary[t] for t in ts], np.int64) for ts in items]
     shared = sc.broadcast(Search(own, weights, total["docs"], max(total["terms"], 1), k))
 
-    @F.pandas_udf("double")
-    def norm(n: pd.Series, term: pd.Series, tf: pd.Series) -> pd.Series:
-        sizes = term.map(len).to_numpy(np.int64)
-        x = shared.value.coordinates(n.to_numpy(np.int64), sizes, flat(term), flat(tf))
-        return pd.Series(shared.value.norms(np.repeat(np.arange(len(n)), sizes), x, len(n)))
-
-    def best(rows: DataFrame, floors: np.ndarray) -> DataFrame:
+    def best(floors: np.ndarray, most: int | None = None) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for chunk in chunks(batches):
-                for i, ids, score in shared.value.best(*chunk, floors):
+                for i, ids, score in shared.value.best(*chunk, floors, most):
                     yield pd.DataFrame({"item": i, "nameless": ids[:, 0] > 0, "doc_id": ids[:, 1], "score": score})
-        return rows.mapInPandas(run, "item int, nameless boolean, doc_id long, score long")
+        return found.mapInPandas(run, "item int, nameless boolean, doc_id long, score long")
 
-    longest = found.orderBy(norm("n", "term", "tf").desc()).limit(FIRST)
     floors = np.zeros(len(own), np.int64)
     nth = Window.partitionBy("item").orderBy(F.desc("score"))
-    for r in best(longest, floors).withColumn("r", F.row_number().over(nth)).filter(F.col("r") == k).collect():
+    for r in best(floors, FIRST).withColumn("r", F.row_number().over(nth)).filter(F.col("r") == k).collect():
         floors[r["item"]] = r["score"]                      # one row per item of the block
-    return best(found, floors)
+    return best(floors)
 
 
 def rank(docs: DataFrame, items: DataFrame, k: int = K, item_bytes: int = ITEM_BYTES, doc_id: str = "doc_id", text: str = "text",
