@@ -435,3 +435,46 @@ def test_mixing_does_not_clip_large_rates(spark):
     assert abs(n["tiny"] - 300_000) < 5 * math.sqrt(300_000)      # weight x budget / size, not 100,000
     assert abs(n["big"] - 300_000 / 99) < 5 * math.sqrt(300_000 / 99)
     assert out.filter("source = 'tiny'").select("mix_copy").distinct().count() == n["tiny"]
+
+
+def family(r, n, size, changes, chain=False):
+    """``n`` near copies of one text; in a chain each is a changed copy of the one before."""
+    word = lambda: "f%d" % r.randrange(10 ** 6)
+    base, out = [word() for _ in range(size)], []
+    for _ in range(n):
+        x = list(base)
+        for _ in range(r.randint(0, changes)):
+            x[r.randrange(size)] = word()
+        out.append(" ".join(x))
+        base = x if chain else base
+    return out
+
+
+@pytest.mark.parametrize("cell,pivots,best", [(8, 3, (1, 2, None)), (2048, 16, (1, 8, None))])
+def test_jaccard_in_cells_and_blocks(spark, monkeypatch, cell, pivots, best):
+    """Large regions: Voronoi cells, outer regions and blocks, rounds of candidates; families around the threshold and chains."""
+    monkeypatch.setattr(op6_jaccard_join, "CELL", cell)
+    monkeypatch.setattr(op6_jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(op6_jaccard_join, "BEST", best)
+    r = random.Random(21)
+    texts = family(r, 60, 60, 4) + family(r, 40, 80, 3, chain=True) + family(r, 50, 40, 6)
+    shared = " ".join(family(r, 1, 30, 0))
+    texts += [shared + " " + " ".join(family(r, 1, r.randint(3, 25), 0)) for _ in range(60)]      # one passage, other rests
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i]) for i in range(0, 60, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert listed(op6_jaccard_join.jaccard_components(d)) == sorted(brute.jaccard_components(rows), key=repr)
+
+
+def test_sketch_metric():
+    """A metric that never exceeds the Jaccard distance."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 5, 80, 300, 300, 60_000, 400_000)]
+    sets += [np.union1d(sets[3][:280], sets[4][:15]), sets[5][:50_000], np.union1d(sets[2], sets[0])]
+    k = np.stack([np.frombuffer(op6_jaccard_join.sketch(s), np.uint8) for s in sets])
+    n = np.array([len(s) for s in sets])
+    d = op6_jaccard_join.lows(k, n, k, n)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            assert d[i, j] <= 1 - common / (len(a) + len(b) - common) + 1e-12 and d[i, j] == d[j, i]
+    assert (d[:, None, :] <= d[:, :, None] + d[None].transpose(0, 1, 2) + 1e-12).all()

@@ -10,14 +10,21 @@ replicate everything everywhere.  The first pivots are therefore single shingles
 that any document within TAU must meet: the first ``size - ceil(3/4 size) + 1``.  A document is
 replicated to the regions of its window and nowhere else.  Regions with the same members are one.
 
-Inside a region the first member is the pivot.  Sketches (counters of shingles by leading bits) bound the
-distance from below, so they settle most pairs without their sets; for the others the distance to
-the pivot is computed exactly.  Members within TAU of it form its cell and are joined; regions that hold
-several components are joined again around STARS drawn pivots.  The others seek
-partners among themselves, and the boundary ones (up to 2 TAU from the pivot) in the cell as well:
-only members that no chain of found links joins yet, and only pairs that the triangle inequality leaves,
-``|d(x, p) - d(y, p)| <= TAU``, and the sketches allow, are compared exactly.  Links inside one found component can't change
-any component and are not sought.  Components come from alternating star steps.
+Sketches (counters of shingles by leading bits) carry a metric of their own: with ``x`` the larger of their L1
+distance and the difference of the sizes, ``2 x / (a + b + x)`` is a metric and never more than the Jaccard distance.
+All regions are split and searched in that metric, inside tasks that hold sketches only:
+
+* the members of a region within TAU of its first member are linked with it, if their sets confirm it;
+* a region with more than CELL members that still holds several components is split around drawn document pivots: a member
+  within RADIUS of its nearest pivot goes to that Voronoi cell; it, and every other member, is replicated to each further
+  cell within the triangle window (``d(x, p) <= RADIUS + TAU``, and for members with a cell of their own ``<= d(x, own
+  pivot) + 2 TAU``); what is near no pivot stays an outer region.  This recurs (DEPTH) while regions are larger than CELL;
+  a region that no pivot divides is compared in pairs of blocks of CELL members;
+* inside a cell members seek partners of other components, best bound first: one each, then BEST more, then all that the bound
+  allows.  The candidates are compared exactly by their sets; found links join components, and only pairs of different
+  components are sought further.  Links inside one found component can't change any component and are not sought.
+
+Components come from alternating star steps.
 
 Order.  Any order gives the same links.  It comes from counts over all documents of the shingles' leading
 32 bits, which tasks send packed and summed up; the HOT_LIST largest counts (a fixed bound) from FREQUENT
@@ -43,7 +50,11 @@ from textsignal.llm.textarrays import blocks, mixed, shingle_sets
 
 WORDS = 5              # fixed by the contract
 TAU = 0.25             # distance of a similarity of 0.75 (fixed by the contract)
-STARS = 2              # further pivots of a region before its remaining pairs are looked at
+CELL = 2048            # members of a region that one task compares
+PIVOTS = 16            # document pivots of a larger region
+RADIUS = 0.35          # largest distance from a cell's pivot to its own members
+DEPTH = 3              # levels of cells; larger regions are then compared in blocks
+BEST = (1, 8, None)    # partners that a member seeks in each round; the last round seeks all
 FREQUENT = 4
 HOT_LIST = 1 << 20
 SKETCH = 256           # counters of a set's sketch
@@ -238,19 +249,172 @@ def in_reach(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, low, possible): a lower bound of each pair's distance from the sketches, and whether it allows
-    a link.  The counters' differences add up to at most the symmetric difference ``x``, and the distance
-    is ``2 x / (a + b + x)``."""
-    side = lambda c: sketches.select(F.col("unit").alias(c), F.col("sketch").alias(f"k{c}"), F.col("n_shingles").alias(f"n{c}"))
+def lows(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """The sketch metric of all ``sketches`` against all ``others``: a lower bound of the Jaccard distance."""
+    x = np.empty((len(sizes), len(other_sizes)), np.int64)
+    step = max(1, (1 << 22) // max(1, others.size))
+    wide = others.astype(np.int16)
+    for lo in range(0, len(sizes), step):
+        x[lo:lo + step] = np.abs(sketches[lo:lo + step].astype(np.int16)[:, None] - wide[None]).sum(axis=2, dtype=np.int64)
+    x = np.maximum(x, np.abs(sizes[:, None] - other_sizes[None]))
+    return 2 * x / (sizes[:, None] + other_sizes[None] + x)
+
+
+def unpacked(raw) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SKETCH)
+
+
+PAIR = "a long, b long"
+
+
+def paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def around_first(members: DataFrame) -> DataFrame:
+    """Candidates between the first member of a region, its pivot, and the others; a task keeps no more than the pivot of the
+    region that it reads."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        region = unit = size = sketch = None
+        for b in batches:
+            k, sizes, units, regions = unpacked(b["sketch"]), b["size"].to_numpy(), b["unit"].to_numpy(), b["region"].to_numpy()
+            if region is not None:                # the pivot of the region that goes on
+                k, sizes = np.concatenate([sketch, k]), np.concatenate([size, sizes])
+                units, regions = np.concatenate([unit, units]), np.concatenate([region, regions])
+            starts = np.flatnonzero(np.concatenate([[True], regions[1:] != regions[:-1]]))
+            pivot = np.repeat(starts, np.diff(np.append(starts, len(units))))
+            x = np.concatenate([np.abs(k[lo:lo + 4096].astype(np.int16) - k[pivot[lo:lo + 4096]]).sum(axis=1, dtype=np.int64)
+                                for lo in range(0, len(k), 4096)])
+            x = np.maximum(x, np.abs(sizes - sizes[pivot]))
+            near = (7 * x <= sizes + sizes[pivot]) & (pivot != np.arange(len(units)))
+            if near.any():
+                yield paired([units[near]], [units[pivot[near]]])
+            last = slice(starts[-1], starts[-1] + 1)
+            region, unit, size, sketch = regions[last], units[last], sizes[last], k[last]
+
+    order = ["region", "unit"]
+    return members.select(*order, "size", "sketch").repartition("region").sortWithinPartitions(*order).mapInPandas(run, PAIR)
+
+
+def candidates(members: DataFrame, best: int | None) -> DataFrame:
+    """Candidates between members of different components in one cell, at least one of them at home there; each member gives its
+    ``best`` ones (all if None).  Members of the cell's largest component need no turn of their own."""
+    def pairs_of(k, sizes, units, comps, home, side):
+        _, of, counts = np.unique(comps, return_inverse=True, return_counts=True)
+        seek = np.flatnonzero(of != counts.argmax())
+        for lo in range(0, len(seek), 256):
+            at = seek[lo:lo + 256]
+            d = lows(k[at], sizes[at], k, sizes)
+            ok = (d <= TAU + 1e-9) & (of[at][:, None] != of[None]) & (home[at][:, None] | home[None])
+            ok &= (side[at][:, None] != side[None]) | (side[at] == 0)[:, None]      # sides 1 and 2: pairs across two blocks
+            if best is not None and len(units) > best:
+                d = np.where(ok, d, 2.0)
+                ok &= d <= np.partition(d, best - 1, axis=1)[:, best - 1:best]
+                ok &= np.cumsum(ok, axis=1) <= best
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield units[at[i]], units[j]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            k = [np.frombuffer(b"".join(p[c]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("ka", "kb")]
-            x, both = np.abs(k[0] - k[1]).sum(axis=1).astype(np.int64), (p["na"] + p["nb"]).to_numpy()
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "low": 2 * x / (both + x), "possible": 7 * x <= both})
+        rest, out, n = None, ([], []), 0
+        for b in _ended(batches):
+            if b is None:
+                now = rest
+            else:
+                now = [unpacked(b["sketch"]), *[b[c].to_numpy() for c in ("size", "unit", "component", "home", "side", "region")]]
+                now = now if rest is None else [np.concatenate(p) for p in zip(rest, now)]
+            if now is None:
+                break
+            region = now[-1]
+            edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+            whole = edges if b is None else edges[:-1]       # the last region may go on
+            for lo, hi in zip(whole[:-1].tolist(), whole[1:].tolist()):
+                for i, j in pairs_of(*[c[lo:hi] for c in now[:-1]]):
+                    out[0].append(i)
+                    out[1].append(j)
+                    n += len(i)
+            rest = [c[whole[-1]:] for c in now]
+            if n > 50_000:
+                yield paired(*out)
+                out, n = ([], []), 0
+        if n:
+            yield paired(*out)
+
+    return members.repartition("region").sortWithinPartitions("region").mapInPandas(run, PAIR)
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
+CELLS = "region long, unit long, size long, component long, sketch binary, home boolean"
+
+
+def cells(m: DataFrame) -> DataFrame:
+    """The members of regions of at most CELL members, with ``home`` and ``side``; larger regions are split into Voronoi cells, at last
+    into pairs of blocks."""
+    done, m = None, m.withColumn("home", F.lit(True))
+    for depth in range(DEPTH):
+        sizes = m.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        if not sizes.limit(1).count():
+            break
+        sizes = stash(sizes, "jaccard-large")
+        small = m.join(sizes, "region", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        m = stash(voronoi(m.join(sizes, "region"), depth), "jaccard-cells")
+    sizes = m.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    m = m.join(sizes, "region").withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).drop("n")
+    whole = m.filter("blocks = 1").drop("blocks").withColumn("side", F.lit(0))
+    block = F.pmod(F.xxhash64("unit", F.lit("block")), F.col("blocks"))
+    pairs = m.filter("blocks > 1").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    split = pairs.withColumn("region", key).withColumn("side", side).drop("own", "other", "blocks")
+    out = whole.unionByName(split)
+    return out if done is None else out.unionByName(done.withColumn("side", F.lit(0)))
+
+
+def voronoi(m: DataFrame, depth: int) -> DataFrame:
+    """The members (with ``n``, the size of their region) in the cells of about PIVOTS drawn pivots per region and the outer region."""
+    few = F.pmod(F.xxhash64("unit", "region", F.lit(depth)), F.greatest(F.lit(1), F.floor(F.col("n") / (2 * PIVOTS)))) == 0
+    drawn = m.filter(few & F.col("home")).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct(
+        "unit", "size", "sketch"))), 1, PIVOTS).alias("p"))             # about 2 PIVOTS are drawn
+    drawn = drawn.select("region", F.col("p.size").alias("p_size"), F.col("p.sketch").alias("p_sketch"),
+                         F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    m = m.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(8)).cast("int")).join(drawn, ["region", "salt"], "left").drop("salt", "n")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long, low double, possible boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for region, part in b.groupby("region"):
+                first = part.iloc[0]
+                frame = part[["region", "unit", "size", "component", "sketch", "home"]]
+                if first["p_size"] is None or not len(first["p_size"]):
+                    yield frame
+                    continue
+                d = lows(unpacked(part["sketch"]), part["size"].to_numpy(), unpacked(first["p_sketch"]), np.asarray(first["p_size"], np.int64))
+                near, own = d.min(axis=1), d.argmin(axis=1)
+                inside = near <= RADIUS
+                reach = np.where(inside, np.minimum(near + 2 * TAU, RADIUS + TAU), RADIUS + TAU) + 1e-9
+                names = [region_name(region, depth, j) for j in range(d.shape[1] + 1)]
+                outer = frame[~inside].assign(region=names[-1])
+                if len(outer):
+                    yield outer
+                for j in range(d.shape[1]):
+                    here = inside & (own == j)
+                    there = (d[:, j] <= reach) & ~here
+                    rows = frame[here | there]
+                    if len(rows):
+                        yield rows.assign(region=names[j], home=rows["home"].to_numpy() & here[here | there])
+
+    return m.mapInPandas(run, CELLS)
+
+
+def region_name(region: int, depth: int, j: int) -> int:
+    with np.errstate(over="ignore"):
+        x = mixed(np.array([region], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(depth * 1000 + j + 1))
+    return int(x.view(np.int64)[0])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,11 +443,6 @@ def linked(d: DataFrame) -> DataFrame:
     return d.filter(100 * F.col("common") >= 75 * F.col("both")).select("a", "b")
 
 
-def close(a, b):
-    """Sizes that allow a similarity of 3/4."""
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
-
-
 def labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
     label = joined.select(F.col("node").alias("unit"), "component")
     return members.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
@@ -302,12 +461,6 @@ def grown(joined: DataFrame, links: DataFrame) -> DataFrame:
     return components(stars.union(links))
 
 
-def lacking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Units of the pairs whose sets have not been read yet."""
-    wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    return wanted.join(sets.select("unit"), "unit", "left_anti")
-
-
 def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """(node, component) of all units that are linked with others."""
     n = buckets(docs)
@@ -322,48 +475,28 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
     sketches = counted.filter("sketch is not null").select("unit", "sketch", "n_shingles").dropDuplicates(["unit"])
     sketches = stash(sketches.join(members.select("unit").distinct(), "unit", "left_semi"), "jaccard-sketches")
 
-    others = members.filter("unit != pivot")
-    spokes = others.filter(close("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("unit").alias("b")).distinct()
-    spokes = stash(bounded(spokes, sketches), "jaccard-spokes")
-    near = spokes.filter("possible").select("a", "b")
-    sets = stash(sets_of(docs, near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()), "jaccard-sets")
-    to_pivot = stash(distances(near, sets), "jaccard-distances")
-    joined = components(linked(to_pivot))
-
-    # more pivots, one drawn in each region that still holds several components: a large group of near copies
-    # soon is one component, at as many comparisons as it has members
-    for star in range(STARS):
-        m = labelled(members, joined)
-        drawn = still_open(m).join(m, "region").groupBy("region").agg(F.min_by(
-            F.struct("unit", "size", "component"), F.xxhash64("unit", "region", F.lit(star))).alias("p"))
-        drawn = m.join(drawn, "region").filter((F.col("component") != F.col("p.component")) & close("size", F.col("p.size")))
-        pairs = drawn.select(F.least("unit", "p.unit").alias("a"), F.greatest("unit", "p.unit").alias("b")).distinct()
-        pairs = stash(bounded(pairs, sketches).filter("possible").select("a", "b"), "jaccard-star")
-        sets = sets.union(stash(sets_of(docs, lacking(pairs, sets)), "jaccard-sets"))
-        joined = grown(joined, linked(distances(pairs, sets)))
-
-    # the rest: members of regions that still hold several components, with bounds of their distance to
-    # the first pivot (both the distance itself where it is known)
-    m = labelled(others, joined)
-    known = spokes.join(to_pivot.select("a", "b", (1 - F.col("common") / F.col("both")).alias("d")), ["a", "b"], "left")
-    known = known.select(F.col("a").alias("pivot"), F.col("b").alias("unit"), "low", "d")
-    by_size = 1 - F.least("size", "pivot_size") / F.greatest("size", "pivot_size")
-    m = m.join(still_open(m), "region", "left_semi").join(known, ["pivot", "unit"], "left").select(
-        "region", "unit", "size", "component", F.coalesce("d", "low", by_size).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"))
-    m = stash(m, "jaccard-open")
-    slack = F.lit(TAU + 1e-9)
-    # members within TAU of the pivot are one component: only the others seek partners, among themselves
-    # and, if the triangle inequality lets them reach so far, among those
-    outer, inner = m.filter(F.col("hi") > TAU), m.filter(F.col("hi") <= TAU)
-    x = outer.toDF("region", "a", "sa", "ca", "la", "ha")
-    y = lambda d: d.toDF("region", "b", "sb", "cb", "lb", "hb")
-    allowed = ((F.col("ca") != F.col("cb")) & close("sa", "sb")
-               & (F.col("la") - F.col("hb") <= slack) & (F.col("lb") - F.col("ha") <= slack))
-    rest = x.join(y(outer), "region").filter((F.col("a") < F.col("b")) & allowed).select("a", "b").union(
-        x.filter(F.col("la") <= 2 * TAU + 1e-9).join(y(inner), "region").filter(allowed).select("a", "b")).distinct()
-    rest = stash(bounded(rest, sketches).filter("possible").select("a", "b"), "jaccard-rest")
-    sets = sets.union(sets_of(docs, lacking(rest, sets)))
-    return grown(joined, linked(distances(rest, sets)))
+    held = stash(members.select("region", "unit", "size").join(sketches.select("unit", "sketch"), "unit"), "jaccard-members")
+
+    sets = joined = checked = None
+    for best in ("first", *BEST):
+        if best == "first":
+            pairs = around_first(held)
+        else:
+            m = labelled(held, joined)
+            open_ = stash(still_open(m), "jaccard-open")
+            if not open_.limit(1).count():
+                break
+            m = m.join(open_, "region", "left_semi").select("region", "unit", "size", "component", "sketch")
+            pairs = candidates(cells(m), best)
+        pairs = pairs.distinct()
+        pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
+        fresh = stash(sets_of(docs, wanted if sets is None else wanted.join(sets.select("unit"), "unit", "left_anti")), "jaccard-sets")
+        sets = fresh if sets is None else sets.union(fresh)
+        links = linked(distances(pairs, sets))
+        joined = components(links) if joined is None else grown(joined, links)
+        checked = pairs if checked is None else checked.union(pairs)
+    return joined
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
