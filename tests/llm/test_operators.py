@@ -477,4 +477,38 @@ def test_sketch_metric():
         for j, b in enumerate(sets):
             common = len(np.intersect1d(a, b))
             assert d[i, j] <= 1 - common / (len(a) + len(b) - common) + 1e-12 and d[i, j] == d[j, i]
-    assert (d[:, None, :] <= d[:, :, None] + d[None].transpose(0, 1, 2) + 1e-12).all()
+    assert (d[:, None, :] <= d[:, :, None] + d[None] + 1e-12).all()
+
+
+CLASHES = ["unit", "rate", "row", "text_", "lang_", "mix_source", "mix_draw", "mix_count", "mix_copy", "mix_position", "mix_parts", "mix_cdf", "mix_salt",
+           "mix_u", "mix_id", "m_words", "m_text", "m_w", "m_kept", "m_lang", "m_source", "m_n_words", "hi_mean_word", "ratio", "bucket", "n", "jj_own",
+           "jj_id", "jj_unit", "jj_copies", "jj_doc", "component", "region", "sketch", "piece", "ids", "decoded", "n_words", "kept", "start", "secrets"]
+
+
+def test_no_name_of_the_input_clashes(spark):
+    """Every internal name as a column of the input: rows pass the stages as they came."""
+    plain = spark.createDataFrame([r[:5] for r in corpus()], T.StructType(SCHEMA.fields[:5]))
+    wide = plain.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("text"), F.lit("null"))).alias(c) for c in CLASHES])
+    own = plain.columns
+    ours = lambda df: sorted((tuple(r) for r in df.select(*own).collect()), key=repr)
+    for stage in (op8_quality.filter_documents, op6_jaccard_join.one_of_each, op1_mixing.mix, op10_secrets.redact):
+        out = stage(wide)
+        assert out.columns[:len(wide.columns)] == wide.columns
+        assert ours(out) == ours(stage(plain))
+        if stage is not op10_secrets.redact:
+            for r in out.collect():
+                assert all(r[c] == f"{c} {'null' if r.text is None else r.text}" for c in CLASHES)
+    mixed = op1_mixing.mix(wide)
+    assert mixed.columns[-2:] == ["mix_copy_", "mix_position_"] and mixed.select("mix_position_").distinct().count() > 1
+
+
+def test_long_words_and_many_numbers(spark):
+    """Personal data: shapes of whole words; spans that touch none before, in a text of very many numbers."""
+    assert op3_pii.shape("a" * 200 + "12" * 3) != op3_pii.shape("a" * 200)
+    text = " ".join(f"call {200 + i % 700}-555-{i % 9000 + 1000} now" for i in range(3000))
+    base, added = op3_pii.find([text], op3_pii.Crf(op3_pii.labelled_rows()))[0]
+    spans = sorted((s, e) for s, _, e in added)
+    assert len(added) > 1000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    taken = [(0, "phone", 12), (5, "card", 20), (30, "ip", 38)]
+    runs, labels = [[(18, 30), (38, 50)]], [np.array([4, 0])]
+    assert op3_pii.added_spans("x" * 60, runs, labels, taken) == []

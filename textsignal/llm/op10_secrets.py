@@ -12,6 +12,7 @@ contexts and values made by rule.  A candidate is a secret if the mean vote of t
 
 Defined results: null and empty texts have no candidates; whole texts are scanned; offsets are code
 points, end exclusive; repeated rows and null ids are kept; an empty table gives an empty result.
+The report reads no other column, whatever its name.
 ``redact`` keeps every document and all its columns, writes MASK over each secret and brings an integer
 ``n_chars`` column, where there is one, up to date; null texts stay null.
 """

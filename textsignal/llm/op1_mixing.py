@@ -17,7 +17,8 @@ Weights: by default ``size_s ** TEMPERATURE``, normalised, which lifts small sou
 Defined results: null texts count 0 bytes and are drawn like others; a null source is a source
 of its own (key ``None`` in a mapping); a source without any bytes has rate 0; rows with equal id and
 text share their draw but not their positions' copy numbers; an empty table gives an empty mixture.
-All columns of the input are kept as they are.
+All columns of the input are kept as they are; where it has a column ``mix_copy`` or ``mix_position`` already, the new one
+gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -95,22 +96,24 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, budg
     parts = F.when(F.col("rate") > MAX_RATE, F.ceil(F.col("rate") / PART_RATE)).otherwise(F.lit(1)).cast("int")
     table = table.withColumn("mix_parts", parts).select(
         "mix_source", "mix_parts", distribution(F.col("rate") / F.col("mix_parts")).alias("mix_cdf"))
-    d = docs.withColumn("mix_source", source_key(source)).withColumn(
-        "mix_draw", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    id_ = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    d = docs.select(F.struct("*").alias("row"), source_key(source).alias("mix_source"), id_.alias("mix_id"),
+                    F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("mix_draw"))
     if table.limit(broadcast_sources + 1).count() <= broadcast_sources:
         d = d.join(F.broadcast(table), "mix_source")
     else:
         d = d.withColumn("mix_salt", F.pmod(F.hash("mix_draw"), F.lit(SALTS)))
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         d = d.join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
-    u = unit(F.lit(seed), F.col(doc_id), F.col("mix_draw"))
+    u = unit(F.lit(seed), F.col("mix_id"), F.col("mix_draw"))
     reached = lambda u: F.size(F.filter("mix_cdf", lambda c: c <= u))
     more = F.aggregate(F.sequence(F.lit(2), F.col("mix_parts")), F.lit(0), lambda n, k: n + reached(
-        unit(F.lit(seed), F.col(doc_id), F.col("mix_draw"), F.lit("part"), k)))
+        unit(F.lit(seed), F.col("mix_id"), F.col("mix_draw"), F.lit("part"), k)))
     d = d.withColumn("mix_u", u).withColumn("mix_count", reached(F.col("mix_u")) + F.when(
-        F.col("mix_parts") > 1, more).otherwise(F.lit(0))).drop("mix_cdf", "mix_parts", "mix_source", "mix_u")
+        F.col("mix_parts") > 1, more).otherwise(F.lit(0))).select("row", "mix_id", "mix_draw", "mix_count")
     d = d.filter("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
-    position = F.md5(F.concat_ws("|", F.lit("position"), F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
-                                 F.col("mix_draw"), F.col("mix_copy")))
-    d = d.withColumn("mix_position", position).drop("mix_draw", "mix_count")
-    return d.repartition("mix_position").sortWithinPartitions("mix_position")
+    position = F.md5(F.concat_ws("|", F.lit("position"), F.lit(seed), F.col("mix_id"), F.col("mix_draw"), F.col("mix_copy")))
+    d = d.select("row", "mix_copy", position.alias("mix_position"))
+    d = d.repartition("mix_position").sortWithinPartitions("mix_position")
+    new = [c + "_" * next(i for i in range(len(docs.columns) + 1) if c + "_" * i not in docs.columns) for c in ("mix_copy", "mix_position")]
+    return d.select("row.*", F.col("mix_copy").alias(new[0]), F.col("mix_position").alias(new[1]))

@@ -29,7 +29,8 @@ squared) are added up in rounds of FAN groups and broadcast.
 
 Defined results: null and empty texts have one token, the end; a null id is training; ``base_score``
 and ``score`` are log10 probabilities; without training documents counts are 0 and the tables uniform;
-repeated rows count and are scored each; an empty table gives an empty result.  Words are 64-bit hashes.
+repeated rows count and are scored each; an empty table gives an empty result.  Other columns, whatever their names, are neither read nor returned.
+Words are 64-bit hashes.
 """
 
 from __future__ import annotations

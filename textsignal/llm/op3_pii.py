@@ -13,11 +13,13 @@ span (outer punctuation cut off); it is added if it overlaps no base span and pa
 for cards, parts for addresses, digits for phones).  Base spans always stay.
 
 Defined results: null and empty texts have no spans; whole texts are scanned; offsets are code points;
-repeated rows and null ids are kept; an empty table gives an empty result.
+repeated rows and null ids are kept; an empty table gives an empty result.  Other columns, whatever their
+names, are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -86,7 +88,7 @@ def in_order(span: tuple[int, str, int]):
 
 def shape(word: str) -> str:
     """Letter and digit runs as classes with sizes, e.g. ``9[3]-9[4]`` for 555-1234."""
-    s = re.sub(r"[0-9]+", lambda m: f"9[{min(len(m[0]), 20)}]", word[:120])
+    s = re.sub(r"[0-9]+", lambda m: f"9[{min(len(m[0]), 20)}]", word)
     return re.sub(r"[^\W\d_](?:[^\W\d_])*(?!\])", "a", s)
 
 
@@ -271,8 +273,19 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
 
 def added_spans(text: str, runs: list[list[tuple[int, int]]], labels: list[np.ndarray],
                 base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Runs of equal labels that pass their kind's check and touch no base span, nor each other."""
+    """Runs of equal labels that pass their kind's check and touch no base span, nor each other.  ``taken`` holds the covered places
+    as disjoint spans in order; base spans of different kinds may overlap and are merged there."""
     out: list[tuple[int, str, int]] = []
+    taken: list[tuple[int, int]] = []
+    for s, _, e in sorted(base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(e, taken[-1][1])
+        else:
+            taken.append((s, e))
+
+    def free(start: int, end: int) -> bool:
+        at = bisect.bisect_left(taken, (end,))          # the spans before ``at`` start before ``end``
+        return at == 0 or taken[at - 1][1] <= start
     for words, ys in zip(runs, labels):
         t = 0
         while t < len(ys):
@@ -286,8 +299,9 @@ def added_spans(text: str, runs: list[list[tuple[int, int]]], labels: list[np.nd
                 end, kind, digits = start + len(core), KINDS[y - 1], len(NUMERAL.findall(core))
                 fits = {"email": "@" in core[1:-1], "ip": is_address(core),
                         "card": 12 <= digits <= 19 and luhn("".join(NUMERAL.findall(core))), "phone": 9 <= digits <= 15}
-                if core and fits[kind] and all(end <= s or e <= start for s, _, e in [*base, *out]):
+                if core and fits[kind] and free(start, end):
                     out.append((start, kind, end))
+                    bisect.insort(taken, (start, end))
             t = u + 1
     return out
 

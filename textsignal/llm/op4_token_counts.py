@@ -16,7 +16,8 @@ stretch is cut into pieces that run in order, each entered with the state the pr
 maps have that one entry; ``prefix_scan`` then only adds up known counts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted one by one; ids may
-be null or repeat; an empty table gives an empty result.  Whole texts are counted.
+be null or repeat; an empty table gives an empty result.  Whole texts are counted.  Other columns, whatever their
+names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ Consecutive windows of a text with the same anchor form a run; its context is th
 Equal texts are handled once and joined back.  Contexts, windows and texts are identified by 64-bit
 hashes.  Defined results: null and empty texts have nothing to remove; a text shorter than 200 bytes never
 loses a byte; every copy of a repeated row loses its repeated bytes (no copy is spared); null ids are kept;
-an empty table gives an empty result.
+an empty table gives an empty result.  Other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -33,7 +33,8 @@ on go last, by count, so that a passage shared by many documents opens no large
 Defined results: null, empty and blank texts have no shingles and are linked with nothing, not
 even each other; a text of fewer than five words has the whole sequence as its shingle; repeated rows and
 equal texts share a component; a null id never names a component that has another id; an empty
-table gives an empty result.  Shingles and texts are identified by 64-bit hashes.
+table gives an empty result.  Other columns, whatever their names, are not read; ``one_of_each`` returns whole rows
+as they came.  Shingles and texts are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -527,10 +528,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     chosen = stash(best.select(F.col("x.doc_id").alias("jj_id"), F.col("x.unit").alias("jj_unit"),
                                F.col("x.copies").alias("jj_copies")), "jaccard-chosen")
     t = text_or_empty(text)
-    keyed = docs.withColumn("jj_own", F.xxhash64(t))
     blank = docs.filter(~t.rlike(WORD))
-    same = (F.col("jj_own") == F.col("jj_unit")) & F.col(doc_id).eqNullSafe(F.col("jj_id"))
-    one = keyed.join(chosen.filter("jj_copies = 1"), same, "left_semi").select(*docs.columns)
+    # whole rows beside the keys, so that no name of the input can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(t).alias("jj_own"), F.col(doc_id).alias("jj_doc"))
+    same = (F.col("jj_own") == F.col("jj_unit")) & F.col("jj_doc").eqNullSafe(F.col("jj_id"))
+    one = keyed.join(chosen.filter("jj_copies = 1"), same, "left_semi").select("row.*")
     again = keyed.join(chosen.filter("jj_copies > 1"), same, "left_semi").dropDuplicates(
-        ["jj_own", doc_id]).select(*docs.columns)      # repeated rows
+        ["jj_own", "jj_doc"]).select("row.*")      # repeated rows
     return one.union(again).union(blank)

@@ -144,6 +144,8 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The kept documents, with exactly the columns they came with."""
-    m = stash(measure(docs, text), "quality-documents")
-    return judge(m, lang, source).filter("m_kept").select(*docs.columns)
+    """The kept documents, with exactly the columns they came with: rows are carried whole beside the measures, so their names
+    can't clash with any of this module."""
+    own = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    m = stash(measure(own).drop("text"), "quality-documents")
+    return judge(m).filter("m_kept").select("row.*")

@@ -14,7 +14,8 @@ bounded size, each of which yields at most K rows per query; a ranking per query
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no
 part, neither do rows without an id.  Rows with equal id and vector count once.  Vectors are compared
 with those of their own length.  A query never meets rows of its own id.  Equal scores go to the smaller
-id.  A query without candidates gives no rows; an empty table gives an empty result.
+id.  A query without candidates gives no rows; an empty table gives an empty result.  Other
+columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
