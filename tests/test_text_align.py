@@ -99,3 +99,28 @@ def test_bootstrap_and_permutation_are_deterministic(spark):
     bh = {r.p_value: r.bh for r in adj}
     assert bh[0.01] == pytest.approx(0.04) and bh[0.03] == pytest.approx(0.0533333, rel=1e-4)
     assert bh[0.5] == pytest.approx(0.5)
+
+
+def test_records_over_lines_equal_records_in_rows(spark):
+    import random
+    from pyspark.sql import functions as F
+    r = random.Random(11)
+    kinds = ["context: date, a ,b", "Context:date,x", "date,p,q", "2024-01-02,1,2", "2024-01-03,1", "2024-01-03, 5 ,6 ", "2024-01-09,7,8", "bad-row,1,2",
+             "2024-13-01,1,2", "2024-01-01,x,2", "2024-01-02: text one", "2024-01-03:  other", "2024-01-03:no space", "", "  ", "free words", "2024-01-04,nan,1"]
+    rows = [(i, "\n".join(r.choice(kinds) for _ in range(r.randint(0, 9))), dt.date(2024, 1, 5)) for i in range(150)]
+    rows += [(150, None, dt.date(2024, 1, 5)), (151, "2024-01-02,1,2\n" * 14, dt.date(2024, 1, 5)), (152, "date,a\n" + "2024-01-02: t\n" * 3000 + "2024-01-01,1", dt.date(2024, 1, 5))]
+    df = spark.createDataFrame(rows, "id int, text string, decision_date date")
+    want = text.valid_rows(text.parse_records(df), "decision_date", 10)
+    lines = text.record_lines(df, "text", ["id", "decision_date"])
+    records, table = text.parse_lines(lines.drop("decision_date"), ["id"])
+    got = text.valid_row_lines(table.join(df.select("id", "decision_date"), "id"), ["id"], "decision_date", 10)
+    flat = want.select("id", F.posexplode("rows").alias("step", "r")).select("id", "step", "r.date", "r.nums")
+    assert sorted(str(tuple(x)) for x in flat.collect()) == sorted(str(tuple(x)) for x in got.select("id", "step", "row_date", "nums").collect())
+    heads = {x.id: x.header for x in records.collect()}
+    n_rows = {x.id: x["count"] for x in table.groupBy("id").count().collect()}
+    dated = {}
+    for x in text.text_lines(lines, ["id"]).collect():
+        dated.setdefault(x.id, []).append((x.pos, x.text_date, x.text))
+    for x in want.collect():
+        assert (x.header or []) == heads.get(x.id, []) and len(x.table_lines or []) == n_rows.get(x.id, 0)
+        assert [(t.date, t.text) for t in x.texts or []] == [t[1:] for t in sorted(dated.get(x.id, []))]

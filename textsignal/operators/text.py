@@ -136,15 +136,19 @@ def dated_lines(df: DataFrame, text_col: str, cashtag: str | Column | None = Non
                 keep: Sequence[str] = ()) -> DataFrame:
     """Text block -> one row per ``YYYY-MM-DD: text`` line (optionally only lines with the
     cashtag), with the line position.  Map-only: explode + regexp_extract."""
-    lines = df.select(*keep, indexed_explode(F.split(F.col(text_col), "\n"), "line_no", "line"))
+    lines = df.select(*keep, indexed_explode(F.split(F.col(text_col), "\n"), "pos", "line"))
+    return dated_line_rows(lines, keep, cashtag).withColumnRenamed("pos", "line_no")
+
+
+def dated_line_rows(lines: DataFrame, keep: Sequence[str], cashtag: str | Column | None = None) -> DataFrame:
+    """X1 over lines (keep, pos, line): (keep, pos, text_date, text)."""
     s = pystrip(F.col("line"))
-    x = lines.select(*keep, "line_no", F.regexp_extract(s, DATED_LINE, 1).alias("_d"),
-                     F.regexp_extract(s, DATED_LINE, 2).alias("text"))
+    x = lines.select(*keep, "pos", F.regexp_extract(s, DATED_LINE, 1).alias("_d"), F.regexp_extract(s, DATED_LINE, 2).alias("text"))
     x = x.where(F.col("_d") != "")
     if cashtag is not None:
         tag = F.lower(col_(cashtag)) if not isinstance(cashtag, str) else F.lit(cashtag.lower())
         x = x.where(F.contains(F.lower("text"), tag))
-    return x.select(*keep, "line_no", F.try_to_date("_d", "yyyy-MM-dd").alias("text_date"), "text")
+    return x.select(*keep, "pos", F.try_to_date("_d", "yyyy-MM-dd").alias("text_date"), "text")
 
 
 def decision_date(query: Column) -> Column:
@@ -233,6 +237,64 @@ def valid_rows(parsed: DataFrame, decision: str = "decision_date", max_days: int
                      F.coalesce(F.col("_w"), F.lit(0)).alias("n_numeric"))
 
 
+# ---------------------------------------------------------------- X1 / X3 / X4 over lines
+def record_lines(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, pos, line): one row per line of a text block.  The operators below take such lines, however they came about, so
+    that a record with very many lines is never one row."""
+    return df.select(*keep, indexed_explode(F.split(F.col(text_col), "\n"), "pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def classified(lines: DataFrame) -> DataFrame:
+    """The non-blank lines, stripped, with their kind: text, row, context, bare or other; a context line may be
+    one of the first two as well, so kinds are flags."""
+    s = lines.withColumn("line", pystrip(F.col("line"))).where(F.col("line") != "")
+    return s.withColumn("is_text", F.col("line").rlike(DATED_TEXT_STRICT)).withColumn("is_row", F.col("line").rlike(TABLE_ROW)).withColumn(
+        "is_ctx", F.lower("line").startswith("context:")).withColumn("is_bare", F.lower("line").startswith("date,"))
+
+
+def parse_lines(lines: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """X3 over lines: (records, table rows).  ``records``: keys, header, n_lines of the record's texts and the place of the first;
+    ``rows``: keys, pos, line of the table lines before it.  Text lines only enter partial aggregates (a count and the
+    smallest place); what is joined are the few header and table lines."""
+    keys, k = list(keys), classified(lines)
+    head = k.groupBy(*keys).agg(F.count_if("is_text").alias("n_texts"), F.min(F.when(F.col("is_text"), F.col("pos"))).alias("first_text"),
+                                F.max(F.when(F.col("is_ctx"), F.col("pos"))).alias("ctx_pos"),
+                                F.min(F.when(F.col("is_bare"), F.col("pos"))).alias("bare_pos"))
+    marks = k.where(F.col("is_ctx") | F.col("is_bare")).select(*keys, F.col("pos").alias("mark"), F.col("line").alias("head_line"))
+    head = head.withColumn("mark", F.coalesce("ctx_pos", "bare_pos")).join(marks, [*keys, "mark"], "left")
+    names = F.when(F.col("ctx_pos").isNotNull(), F.split(pystrip(F.regexp_extract("head_line", r"^[^:]*:(.*)$", 1)), ",")) \
+        .when(F.col("bare_pos").isNotNull(), F.split("head_line", ",")).otherwise(F.array().cast("array<string>"))
+    records = head.select(*keys, F.transform(names, lambda x: pystrip(x)).alias("header"), "n_texts", "first_text")
+    rows = k.where("is_row").select(*keys, "pos", "line").join(records, keys).where(
+        F.col("first_text").isNull() | (F.col("pos") < F.col("first_text")))
+    return records, rows.select(*keys, "pos", "line", "header")
+
+
+def text_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """X3 over lines: (keys, pos, text_date, text) of the dated text lines; the date as it is written."""
+    k = classified(lines).where("is_text")
+    return k.select(*keys, "pos", pystrip(F.regexp_extract("line", r"^([^:]*):", 1)).alias("text_date"),
+                    pystrip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("text"))
+
+
+def valid_row_lines(rows: DataFrame, keys: Sequence[str], decision: str, max_days: int = 10) -> DataFrame:
+    """X4 over lines: (keys, step, row_date, nums, n_numeric) of the last ``max_days`` valid table rows of each record.  The windows
+    hold one record's table rows."""
+    keys = list(keys)
+    parts = rows.withColumn("_p", F.transform(F.split("line", ","), lambda x: pystrip(x)))
+    ok = parts.select(*keys, "pos", "header", F.try_to_date(F.get("_p", F.lit(0)), "yyyy-MM-dd").alias("row_date"), F.size("_p").alias("arity"),
+                      F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda x: x.try_cast("double")).alias("nums"))
+    ok = ok.where((F.col("arity") >= 2) & F.col("row_date").isNotNull() & (F.col("row_date") <= F.col(decision))
+                  & F.forall("nums", lambda v: v.isNotNull()))
+    named = F.when((F.size("header") > 0) & (F.lower(F.get("header", F.lit(0))) == "date"), F.size("header") - 1)
+    first = F.first(F.size("nums")).over(Window.partitionBy(*keys).orderBy("pos"))     # no header: the first parsed row fixes the width
+    kept = ok.withColumn("n_numeric", F.coalesce(named, first)).where(F.size("nums") == F.col("n_numeric"))
+    late = Window.partitionBy(*keys).orderBy(F.desc("row_date"), F.desc("pos"))
+    kept = kept.withColumn("_back", F.row_number().over(late)).where(F.col("_back") <= max_days)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return kept.select(*keys, (n - F.col("_back")).cast("int").alias("step"), "row_date", "nums", "n_numeric")
+
+
 # ---------------------------------------------------------------- X9 / X10 / X11
 def _count_words(lower_text: Column, words: Sequence[str]) -> Column:
     alt = "|".join(re.escape(w.lower()) for w in words)

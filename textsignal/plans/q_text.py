@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textsignal.functions.columns import indexed_explode, word_pattern
 from textsignal.operators import align, text
+from textsignal.operators.prefix import running_before
 from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import rnd, round_cols
@@ -287,23 +288,28 @@ _DL = """
   FROM lines WHERE d <> '' AND contains(lower(text), '$' || asset)"""
 
 
-def _dated_lines(spark, d):
-    fr = fx.flare_raw(spark, d)
-    return text.dated_lines(fr, "text", cashtag=F.concat(F.lit("$"), F.col("asset")), keep=["asset", "date"])
+KEYS = ["asset", "date"]
+
+
+def _dated_lines(spark, d, numbered=False):
+    lines = fx.flare_lines(spark, d)
+    if numbered:      # the place of a line in its record, by ranges: one record may hold very many lines
+        lines = running_before(lines, KEYS, ["pos"], name="line_no").withColumn("pos", F.col("line_no")).drop("line_no")
+    return text.dated_line_rows(lines, KEYS, cashtag=F.concat(F.lit("$"), F.col("asset")))
 
 
 @register("dated_lines", with_views("SELECT * FROM dl", "flare_raw", extra={"lines": _LINES, "dl": _DL}))
 def dated_lines(spark, d):
     """X1: 'YYYY-MM-DD: text' lines with the record's cashtag, one row per line."""
-    return _dated_lines(spark, d).select("asset", "date", "line_no", "text_date", "text")
+    return _dated_lines(spark, d, numbered=True).select("asset", "date", F.col("pos").cast("int").alias("line_no"), "text_date", "text")
 
 
 @register("distinct_texts", with_views("""
 SELECT DISTINCT asset, text_date, md5(text) AS text_md5 FROM dl""", "flare_raw", extra={"lines": _LINES, "dl": _DL}))
 def distinct_texts(spark, d):
-    """Exact duplicate (date, text) pairs removed (the same news line recurs in 3 records)."""
-    dl = _dated_lines(spark, d).dropDuplicates(["asset", "text_date", "text"])
-    return dl.select("asset", "text_date", F.md5("text").alias("text_md5"))
+    """Exact duplicate (date, text) pairs removed (the same news line recurs in 3 records); texts are compared by their
+    hash, so only that is shuffled."""
+    return _dated_lines(spark, d).select("asset", "text_date", F.md5("text").alias("text_md5")).distinct()
 
 
 @register("decision_date", with_views(f"""
@@ -315,7 +321,7 @@ SELECT asset, date,
 FROM flare_raw""", "flare_raw"))
 def decision_date(spark, d):
     """X2 + P9 + P10: decision date from 'at YYYY-MM-DD', whole-word ticker test, cashtag test."""
-    fr = fx.flare_raw(spark, d)
+    fr = fx.flare_queries(spark, d)
     return fr.select("asset", "date", text.decision_date(F.col("query")).alias("decision_date"),
                      text.ticker_filter(F.col("query"), F.col("asset")).alias("ticker_match"),
                      F.contains(F.lower("query"), F.concat(F.lit("$"), F.col("asset"))).alias("cashtag_match"))
@@ -370,9 +376,12 @@ _REC = {
 }
 
 
-def _parsed(spark, d):
-    fr = fx.flare_raw(spark, d).withColumn("decision_date", text.decision_date(F.col("query")))
-    return text.valid_rows(text.parse_records(fr, "text"), "decision_date", 10)
+def _records(spark, d):
+    """(records with their decision date, table rows, lines) of the instruction records."""
+    lines = fx.flare_lines(spark, d)
+    records, rows = text.parse_lines(lines, KEYS)
+    asked = fx.flare_queries(spark, d).select(*KEYS, text.decision_date(F.col("query")).alias("decision_date"))
+    return records.join(asked, KEYS), rows.join(asked, KEYS), lines
 
 
 @register("record_parse", with_views("""
@@ -381,12 +390,14 @@ SELECT asset, date, array_to_string(header, '|') AS header_str, CAST(len(header)
        CAST(n_text_dates AS INTEGER) AS n_text_dates
 FROM rech""", "flare_raw", extra=_REC))
 def record_parse(spark, d):
-    """Header / table rows / dated texts of each instruction record (state rule in-row)."""
-    p = text.parse_records(fx.flare_raw(spark, d), "text")
-    return p.select("asset", "date", F.array_join("header", "|").alias("header_str"),
-                    F.size("header").alias("n_header"), F.size("table_lines").alias("n_table_lines"),
-                    F.size("texts").alias("n_texts"),
-                    F.size(F.array_distinct(F.transform("texts", lambda t: t["date"]))).alias("n_text_dates"))
+    """Header / table rows / dated texts of each instruction record."""
+    records, rows, lines = _records(spark, d)
+    n_rows = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_table_lines"))
+    dates = text.text_lines(lines, KEYS).groupBy(*KEYS, "text_date").agg(F.count(F.lit(1)).alias("n"))
+    n_dates = dates.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_text_dates"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("int").alias(c)
+    return records.join(n_rows, KEYS, "left").join(n_dates, KEYS, "left").select(
+        *KEYS, F.array_join("header", "|").alias("header_str"), F.size("header").alias("n_header"), n("n_table_lines"), n("n_texts"), n("n_text_dates"))
 
 
 @register("record_rows_valid", with_views(f"""
@@ -395,10 +406,9 @@ SELECT asset, date, CAST(least(m, 10) - rd AS INTEGER) AS step, row_date, CAST(l
 FROM kept WHERE rd <= 10""", "flare_raw", extra=_REC))
 def record_rows_valid(spark, d):
     """Valid table rows (date <= decision date, all numbers parse, arity = header), last 10."""
-    x = _parsed(spark, d).select("asset", "date", indexed_explode("rows", "step", "r"))
-    return x.select("asset", "date", "step", F.col("r.date").alias("row_date"),
-                    F.size("r.nums").alias("n_nums"),
-                    *[F.try_element_at("r.nums", F.lit(k + 1)).alias(f"num_{k}") for k in range(6)])
+    x = text.valid_row_lines(_records(spark, d)[1], KEYS, "decision_date", 10)
+    return x.select(*KEYS, "step", "row_date", F.size("nums").alias("n_nums"),
+                    *[F.get("nums", F.lit(k)).alias(f"num_{k}") for k in range(6)])
 
 
 @register("record_skip_counts", with_views("""
@@ -416,8 +426,11 @@ GROUP BY reason""", "flare_raw", "bars", extra={**_REC, "rs": """
 def record_skip_counts(spark, d):
     """X5 + J8: records skipped for no price row (anti-join), no numeric features, or a header that
     differs from the first usable record's header; the rest are kept."""
-    p = _parsed(spark, d).select("asset", "date", "decision_date", F.array_join("header", "|").alias("header_str"),
-                                 "n_numeric")
+    records, rows, _ = _records(spark, d)
+    width = text.valid_row_lines(rows, KEYS, "decision_date", 10).groupBy(*KEYS).agg(F.max("n_numeric").alias("_w"))
+    named = F.when((F.size("header") > 0) & (F.lower(F.get("header", F.lit(0))) == "date"), F.size("header") - 1)
+    p = records.join(width, KEYS, "left").select(*KEYS, "decision_date", F.array_join("header", "|").alias("header_str"),
+                                                 F.coalesce(named, "_w", F.lit(0)).alias("n_numeric"))
     bars = fx.bars(spark, d).select("asset", F.col("date").alias("decision_date"), F.lit(True).alias("has_price"))
     r = p.join(bars, ["asset", "decision_date"], "left").withColumn("has_price", F.coalesce("has_price", F.lit(False)))
     usable = r.where(F.col("has_price") & (F.col("n_numeric") > 0))
@@ -457,13 +470,13 @@ def record_texts(spark, d):
     """J9 + T14: per record, texts attached to the kept table rows of the same date, only when
     the row date is at least one day before the decision date (text lag 1); texts of dates
     without a table row are dropped (the reference behaviour), counted here."""
-    p = _parsed(spark, d)
-    cut = F.date_sub("decision_date", 1)
-    used = F.transform("rows", lambda r: F.when(r["date"] <= cut, F.size(F.filter(
-        "texts", lambda t: t["date"] == r["date"].cast("string")))).otherwise(0))
-    x = p.select("asset", "date", used.alias("u"))
-    return x.select("asset", "date", F.aggregate("u", F.lit(0), lambda a, v: a + v).alias("used_text_count"),
-                    F.size(F.filter("u", lambda v: v > 0)).alias("n_steps_with_text"))
+    records, rows, lines = _records(spark, d)
+    kept = text.valid_row_lines(rows, KEYS, "decision_date", 10).join(records.select(*KEYS, "decision_date"), KEYS)
+    usable = kept.where(F.col("row_date") <= F.date_sub("decision_date", 1)).select(*KEYS, F.col("row_date").cast("string").alias("text_date"))
+    found = text.text_lines(lines, KEYS).groupBy(*KEYS, "text_date").agg(F.count(F.lit(1)).alias("n"))
+    used = usable.join(found, [*KEYS, "text_date"]).groupBy(*KEYS).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("steps"))
+    return records.select(*KEYS).join(used, KEYS, "left").select(
+        *KEYS, F.coalesce("n", F.lit(0)).cast("int").alias("used_text_count"), F.coalesce("steps", F.lit(0)).cast("int").alias("n_steps_with_text"))
 
 
 @register("embed_texts", with_views(f"""
