@@ -42,11 +42,13 @@ from textsignal.llm.textarrays import _power, mixed
 
 LENGTH = 200            # fixed by the contract
 GRAM = 48               # bytes of an anchor
+STEP = (LENGTH - GRAM) // 4     # a window holds a stretch of GRAM + 3 STEP bytes that starts 0, 1, 2 or 3 STEP before its anchor
 SHARD_LIMIT = 4096      # open contexts of a gram that are sorted together
 SHARD_BYTES = 2 << 20   # contexts of a shard, about
 BATCH = 1 << 20         # bytes of texts that are worked on together
 _POS = np.uint64((1 << 21) - 1)
-RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("unit", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("times", "<u2")])
+RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("unit", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("times", "<u2"),
+                ("around", "<u4", (4,))])
 FOUND = "unit long, lo long, n long, gram long, hot boolean"
 
 
@@ -83,6 +85,22 @@ def runs_of(raw: list[bytes], units: np.ndarray, times: np.ndarray) -> np.ndarra
     content = mixed((total[last + LENGTH] - total[lo]) * down[lo])
     out["context"] = mixed(content + np.uint64(1000003) * (anchor[lo] - lo).astype(np.uint64) + (last - lo).astype(np.uint64))
     out["unit"], out["lo"], out["n"], out["times"] = units[text[lo]], lo - first[text[lo]], last - lo + 1, times[text[lo]]
+    p, begin, end = anchor[lo], first[text[lo]], first[text[lo] + 1]
+    for k in range(4):
+        a, b = p - k * STEP, p + GRAM + (3 - k) * STEP
+        there = (a >= begin) & (b <= end)                # 0: no window of this text reaches so far
+        a, b = np.where(there, a, 0), np.where(there, b, 0)
+        out["around"][:, k] = np.where(there, mixed((total[b] - total[a]) * down[a]) >> np.uint64(32) | np.uint64(1), 0)
+    return out
+
+
+def meets(gram: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Contexts with one of the stretches around their gram in common with another one."""
+    out = np.zeros(len(gram), bool)
+    for k in range(4):
+        key = gram.astype(np.uint64) << np.uint64(32) | around[:, k].astype(np.uint64)
+        _, group, counts = np.unique(key, return_inverse=True, return_counts=True)
+        out |= (counts[group] > 1) & (around[:, k] > 0)
     return out
 
 
@@ -166,6 +184,10 @@ def settle(n: int):
         contexts = np.bincount(gram, new)                    # of each gram
         unique = np.bincount(gram, new & ~repeated)
         is_open = new & (contexts[gram] > 1) & (unique[gram] > 0)
+        # contexts with a common window have one of the stretches around its gram in common, too
+        at = np.flatnonzero(is_open)
+        is_open[at] = meets(gram[at], r["around"][at])
+        contexts = np.bincount(gram, is_open)
         return pd.concat([table(r[repeated], False), table(r[is_open], True, contexts[gram][is_open] > SHARD_LIMIT)])
 
     return run
