@@ -135,7 +135,7 @@ def grid_rows(spark, d):
     """(rows, positions of the feature groups): the bars of every source with market and text features, computed once,
     labelled for every horizon and split by the dates of each cell."""
     scored = text.score_text(fx.events_norm(spark, d), "text", lexicon=fx.SENTIMENT_LEXICON)
-    scored = align.explode_assets(scored.select("asset_list", "event_date", "text_len", "sentiment"))
+    scored = materialize(align.explode_assets(scored.select("asset_list", "event_date", "text_len", "sentiment")))     # texts are scored once
     daily = align.daily_text(scored).join(align.daily_sentiment(scored).drop("n_texts"), ["asset", "date"])
     rows, groups = None, {}
     for source, b in (("events", fx.bars(spark, d)), ("lineitem", fx.bars_long(spark, d))):
