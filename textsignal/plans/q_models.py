@@ -10,6 +10,7 @@ from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import round_cols
 from textsignal.plans.views_sql import with_views
 from textsignal.session import materialize
+from textsignal.sources.tables import load
 
 GROUPS = ["prices_raw", "returns_rolling", "volume_rolling", "market_full"]
 
@@ -114,9 +115,12 @@ def _text_groups(spark, d):
     positions of the feature groups in their array."""
     mf, man = market.market_full(fx.bars(spark, d))
     rows = splits.split_by_date(targets.direction_target(mf, 1), "date")
-    rows = align.join_same_day(rows, align.daily_text(fx.news_by_asset(spark, d)))
-    by_asset = align.explode_assets(fx.text_emb(spark, d)).withColumnRenamed("event_date", "date")
-    vectors = align.daily_vector_mean(by_asset, ["asset", "date"])
+    # texts are read and tagged once; dates, lengths and assets of the tagged ones feed the counts and the vectors
+    tagged = materialize(fx.events_norm(spark, d).select("doc_id", "event_date", "text_len", "asset_list"))
+    rows = align.join_same_day(rows, align.daily_text(align.explode_assets(tagged)))
+    stored = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    by_asset = align.explode_assets(tagged.drop("text_len").join(stored, "doc_id")).withColumnRenamed("event_date", "date")
+    vectors = materialize(align.daily_vector_mean(by_asset, ["asset", "date"]))
     dim = vectors.agg(F.max(F.size("mean_vector"))).first()[0]
     rows = rows.join(vectors.drop("n_texts"), ["asset", "date"], "left").withColumn(
         "mean_vector", F.coalesce("mean_vector", F.array_repeat(F.lit(0.0), dim)))
