@@ -494,8 +494,11 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
         fresh = stash(sets_of(docs, wanted if sets is None else wanted.join(sets.select("unit"), "unit", "left_anti")), "jaccard-sets")
         sets = fresh if sets is None else sets.union(fresh)
-        links = linked(distances(pairs, sets))
-        joined = components(links) if joined is None else grown(joined, links)
+        links = stash(linked(distances(pairs, sets)), "jaccard-links")
+        if joined is None:
+            joined = components(links)
+        elif links.limit(1).count():             # else the components stay
+            joined = grown(joined, links)
         checked = pairs if checked is None else checked.union(pairs)
     return joined
 
