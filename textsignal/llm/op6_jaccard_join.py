@@ -60,6 +60,7 @@ FREQUENT = 4
 HOT_LIST = 1 << 20
 SKETCH = 256           # counters of a set's sketch
 PAIRED = 48            # up to this many members a region's pairs are checked by place
+FEW_UNITS = 4_000_000  # so many wanted units (64 MB) are broadcast, so that only their texts are shuffled; beyond, all texts are
 MORE = np.dtype([("key", "<u4"), ("n", "<u2")])
 ENTRY = np.dtype([("s", "<u8"), ("unit", "<i8"), ("size", "<u4"), ("place", "<u2")])
 
@@ -420,7 +421,9 @@ def region_name(region: int, depth: int, j: int) -> int:
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(unit, shingles) of the wanted units, read again from their texts."""
-    some = docs.select("unit", "text").join(wanted, "unit", "left_semi").dropDuplicates(["unit"])
+    wanted = stash(wanted, "jaccard-wanted")
+    few = wanted.count() <= FEW_UNITS
+    some = docs.select("unit", "text").join(F.broadcast(wanted) if few else wanted, "unit", "left_semi").dropDuplicates(["unit"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
