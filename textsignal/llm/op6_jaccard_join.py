@@ -419,11 +419,14 @@ def region_name(region: int, depth: int, j: int) -> int:
     return int(x.view(np.int64)[0])
 
 
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted units, which are broadcast where they are few, so that no other row is shuffled."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW_UNITS else wanted, "unit", "left_semi")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(unit, shingles) of the wanted units, read again from their texts."""
-    wanted = stash(wanted, "jaccard-wanted")
-    few = wanted.count() <= FEW_UNITS
-    some = docs.select("unit", "text").join(F.broadcast(wanted) if few else wanted, "unit", "left_semi").dropDuplicates(["unit"])
+    some = only(docs.select("unit", "text"), stash(wanted, "jaccard-wanted")).dropDuplicates(["unit"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -494,10 +497,10 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
             pairs = candidates(cells(m), best)
         pairs = pairs.distinct()
         pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
-        wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
+        wanted = stash(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct(), "jaccard-wanted")
         fresh = stash(sets_of(docs, wanted if sets is None else wanted.join(sets.select("unit"), "unit", "left_anti")), "jaccard-sets")
         sets = fresh if sets is None else sets.union(fresh)
-        links = stash(linked(distances(pairs, sets)), "jaccard-links")
+        links = stash(linked(distances(pairs, only(sets, wanted))), "jaccard-links")
         if joined is None:
             joined = components(links)
         elif links.limit(1).count():             # else the components stay
