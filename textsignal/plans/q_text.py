@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from textsignal.functions.columns import indexed_explode, word_pattern
 from textsignal.operators import align, text
-from textsignal.operators.prefix import running_before
 from textsignal.plans import fixtures as fx
 from textsignal.plans.registry import register
 from textsignal.plans.sql_lib import rnd, round_cols
@@ -292,9 +291,7 @@ KEYS = ["asset", "date"]
 
 
 def _dated_lines(spark, d, numbered=False):
-    lines = fx.flare_lines(spark, d)
-    if numbered:      # the place of a line in its record, by ranges: one record may hold very many lines
-        lines = running_before(lines, KEYS, ["pos"], name="line_no").withColumn("pos", F.col("line_no")).drop("line_no")
+    lines = fx.numbered_flare_lines(spark, d) if numbered else fx.flare_lines(spark, d)
     return text.dated_line_rows(lines, KEYS, cashtag=F.concat(F.lit("$"), F.col("asset")))
 
 
