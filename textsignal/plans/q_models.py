@@ -15,8 +15,13 @@ from textsignal.sources.tables import load
 GROUPS = ["prices_raw", "returns_rolling", "volume_rolling", "market_full"]
 
 
+def _bars_long(spark, d):
+    """The long bars, written once: fits pass over them many times, and each pass would aggregate all ticks again."""
+    return materialize(fx.bars_long(spark, d))
+
+
 def _features(spark, d):
-    mf, man = market.market_full(fx.bars_long(spark, d))
+    mf, man = market.market_full(_bars_long(spark, d))
     # target + date split on the feature frame itself (one bars aggregation, no join back)
     return splits.split_by_date(targets.direction_target(mf, 1), "date"), man
 
@@ -64,7 +69,7 @@ def arx_forecast(spark, d):
     """M14 + M15 + W12 + E8: direct 30-step forecast per asset, of levels or differences as its unit-root test decides, with the volume known at the origin
     as regressor (the long bars and the texts share no dates) and without; levels rebuilt by cumulative
     sums, beside the naive level."""
-    b = fx.bars_long(spark, d)
+    b = _bars_long(spark, d)
     plain = models.direct_forecast(b, 30, by_test=True).select("asset", "k", F.col("level_pred").alias("level_plain"))
     return models.direct_forecast(b, 30, exog="volume", by_test=True).join(plain, ["asset", "k"])
 
@@ -72,9 +77,9 @@ def arx_forecast(spark, d):
 @register("mlp_window")
 def mlp_window(spark, d):
     """M16 + W16: MLP on the flattened 10-row window of (close, volume); test metrics per asset."""
-    b = fx.bars_long(spark, d)
+    b = _bars_long(spark, d)
     seq = align.flatten_sequence(align.sequence_window(b, ["close", "volume"], 10), ["close", "volume"], 10)
-    lab = fx.labelled_bars_long(spark, d).select("asset", "date", "y", "split")
+    lab = fx.labelled_bars_long(spark, d, b).select("asset", "date", "y", "split")
     df = seq.join(lab, ["asset", "date"])
     cols = [c for c in seq.columns if c not in ("asset", "date")]
     p = models.window_mlp(df, cols)
