@@ -10,8 +10,9 @@ replicate everything everywhere.  The first pivots are therefore single shingles
 that any document within TAU must meet: the first ``size - ceil(3/4 size) + 1``.  A document is
 replicated to the regions of its window and nowhere else.  Regions with the same members are one.
 
-Sketches (counters of shingles by leading bits) carry a metric of their own: with ``x`` the larger of their L1
-distance and the difference of the sizes, ``2 x / (a + b + x)`` is a metric and never more than the Jaccard distance.
+Sketches (parities of the numbers of shingles by some of their bits) carry a metric of their own: with ``x`` the larger of their Hamming
+distance and the difference of the sizes, ``2 x / (a + b + x)`` is a metric and never more than the Jaccard distance: each bit
+that differs takes a shingle that only one set has.
 All regions are split and searched in that metric, inside tasks that hold sketches only:
 
 * the members of a region within TAU of its first member are linked with it, if their sets confirm it;
@@ -56,9 +57,10 @@ PIVOTS = 16            # document pivots of a larger region
 RADIUS = 0.35          # largest distance from a cell's pivot to its own members
 DEPTH = 3              # levels of cells; larger regions are then compared in blocks
 BEST = (1, 8, None)    # partners that a member seeks in each round; the last round seeks all
+HELD = 500_000         # shingles or entries that a task gathers before it packs them
 FREQUENT = 4
 HOT_LIST = 1 << 20
-SKETCH = 256           # counters of a set's sketch
+SKETCH = 256           # bytes of a set's sketch
 PAIRED = 48            # up to this many members a region's pairs are checked by place
 FEW_UNITS = 4_000_000  # so many wanted units (64 MB) are broadcast, so that only their texts are shuffled; beyond, all texts are
 MORE = np.dtype([("key", "<u4"), ("n", "<u2")])
@@ -73,7 +75,7 @@ def units_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def census(docs: DataFrame, n: int) -> DataFrame:
     """Rows (doc_id, unit, n_shingles, sketch) of all documents, and packed shingle counts for ``n``
-    buckets.  A sketch counts a set's shingles by their leading bits (up to 255 each); a task sends that
+    buckets.  A sketch holds the parities of the numbers of a set's shingles by some of their bits; a task sends that
     of equal texts once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -88,7 +90,7 @@ def census(docs: DataFrame, n: int) -> DataFrame:
                 kept += [sets[i] for i in fresh]
                 for i in fresh:
                     sketches[lo + i] = sketch(sets[i])
-                if sum(map(len, kept)) > 4_000_000:
+                if sum(map(len, kept)) > HELD:
                     yield _counts(kept, n)
                     kept = []
             yield pd.DataFrame({"doc_id": b["doc_id"], "unit": units, "n_shingles": sizes, "sketch": sketches}).assign(bucket=None, steps=None, more=None)
@@ -99,8 +101,9 @@ def census(docs: DataFrame, n: int) -> DataFrame:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    # the bits after those that order the windows' prefixes: what the documents of a region share there says nothing
+    counts = np.bincount(((shingles >> np.uint64(20)) % np.uint64(8 * SKETCH)).astype(np.int64), minlength=8 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 FAR = 65535            # a step that leads to no key
@@ -182,7 +185,7 @@ def entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], n: int) -> Data
                         e["s"], e["unit"], e["size"] = w, units[i], len(s)
                         e["place"] = np.minimum(np.arange(len(w)), 65535)
                         ready.append(e)
-                if sum(map(len, ready)) > 2_000_000:
+                if sum(map(len, ready)) > HELD:
                     yield packed(ready, n)
                     ready = []
         if ready:
@@ -254,16 +257,15 @@ def in_reach(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def lows(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
     """The sketch metric of all ``sketches`` against all ``others``: a lower bound of the Jaccard distance."""
     x = np.empty((len(sizes), len(other_sizes)), np.int64)
-    step = max(1, (1 << 22) // max(1, others.size))
-    wide = others.astype(np.int16)
+    step = max(1, (1 << 20) // max(1, others.size))
     for lo in range(0, len(sizes), step):
-        x[lo:lo + step] = np.abs(sketches[lo:lo + step].astype(np.int16)[:, None] - wide[None]).sum(axis=2, dtype=np.int64)
+        x[lo:lo + step] = np.bitwise_count(sketches[lo:lo + step, None] ^ others[None]).sum(axis=2, dtype=np.int64)
     x = np.maximum(x, np.abs(sizes[:, None] - other_sizes[None]))
     return 2 * x / (sizes[:, None] + other_sizes[None] + x)
 
 
 def unpacked(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(raw), np.uint64).reshape(-1, SKETCH // 8)
 
 
 PAIR = "a long, b long"
@@ -274,6 +276,12 @@ def paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def by_region(members: DataFrame) -> DataFrame:
+    """The members of each region in one task.  They are dealt by a hash of the region's name: a plain ``repartition("region")`` after a
+    join by region would be optimized away, and the join may then become a broadcast one that leaves the members where they are."""
+    return members.repartition(F.xxhash64("region"))
+
+
 def around_first(members: DataFrame) -> DataFrame:
     """Candidates between the first member of a region, its pivot, and the others; a task keeps no more than the pivot of the
     region that it reads."""
@@ -286,8 +294,7 @@ def around_first(members: DataFrame) -> DataFrame:
                 units, regions = np.concatenate([unit, units]), np.concatenate([region, regions])
             starts = np.flatnonzero(np.concatenate([[True], regions[1:] != regions[:-1]]))
             pivot = np.repeat(starts, np.diff(np.append(starts, len(units))))
-            x = np.concatenate([np.abs(k[lo:lo + 4096].astype(np.int16) - k[pivot[lo:lo + 4096]]).sum(axis=1, dtype=np.int64)
-                                for lo in range(0, len(k), 4096)])
+            x = np.bitwise_count(k ^ k[pivot]).sum(axis=1, dtype=np.int64)
             x = np.maximum(x, np.abs(sizes - sizes[pivot]))
             near = (7 * x <= sizes + sizes[pivot]) & (pivot != np.arange(len(units)))
             if near.any():
@@ -296,7 +303,7 @@ def around_first(members: DataFrame) -> DataFrame:
             region, unit, size, sketch = regions[last], units[last], sizes[last], k[last]
 
     order = ["region", "unit"]
-    return members.select(*order, "size", "sketch").repartition("region").sortWithinPartitions(*order).mapInPandas(run, PAIR)
+    return by_region(members.select(*order, "size", "sketch")).sortWithinPartitions(*order).mapInPandas(run, PAIR)
 
 
 def candidates(members: DataFrame, best: int | None) -> DataFrame:
@@ -343,7 +350,7 @@ def candidates(members: DataFrame, best: int | None) -> DataFrame:
         if n:
             yield paired(*out)
 
-    return members.repartition("region").sortWithinPartitions("region").mapInPandas(run, PAIR)
+    return by_region(members).sortWithinPartitions("region").mapInPandas(run, PAIR)
 
 
 def _ended(batches):
@@ -354,6 +361,11 @@ def _ended(batches):
 CELLS = "region long, unit long, size long, component long, sketch binary, home boolean"
 
 
+def single_cells(m: DataFrame) -> DataFrame:
+    """Regions that are one cell each."""
+    return m.withColumn("home", F.lit(True)).withColumn("side", F.lit(0))
+
+
 def cells(m: DataFrame) -> DataFrame:
     """The members of regions of at most CELL members, with ``home`` and ``side``; larger regions are split into Voronoi cells, at last
     into pairs of blocks."""
@@ -456,9 +468,9 @@ def labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def still_open(m: DataFrame) -> DataFrame:
-    """Regions whose members belong to several components."""
-    return m.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
-        "lo < hi").select("region")
+    """(region, n): regions whose ``n`` members belong to several components."""
+    return m.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter(
+        "lo < hi").select("region", "n")
 
 
 def grown(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -482,19 +494,21 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
     sketches = counted.filter("sketch is not null").select("unit", "sketch", "n_shingles").dropDuplicates(["unit"])
     sketches = stash(sketches.join(members.select("unit").distinct(), "unit", "left_semi"), "jaccard-sketches")
 
-    held = stash(members.select("region", "unit", "size").join(sketches.select("unit", "sketch"), "unit"), "jaccard-members")
+    sketches = sketches.select("unit", "sketch")
 
     sets = joined = checked = None
     for best in ("first", *BEST):
         if best == "first":
-            pairs = around_first(held)
+            pairs = around_first(members.select("region", "unit", "size").join(sketches, "unit"))
         else:
-            m = labelled(held, joined)
+            m = labelled(members.select("region", "unit", "size"), joined)
             open_ = stash(still_open(m), "jaccard-open")
-            if not open_.limit(1).count():
+            largest = open_.agg(F.max("n")).first()[0]
+            if largest is None:
                 break
-            m = m.join(open_, "region", "left_semi").select("region", "unit", "size", "component", "sketch")
-            pairs = candidates(cells(m), best)
+            # sketches come last, so that labels and open regions are found without moving them
+            m = m.join(open_, "region", "left_semi").join(sketches, "unit").select("region", "unit", "size", "component", "sketch")
+            pairs = candidates(cells(stash(m, "jaccard-open-members")) if largest > CELL else single_cells(m), best)
         pairs = pairs.distinct()
         pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
         wanted = stash(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct(), "jaccard-wanted")
