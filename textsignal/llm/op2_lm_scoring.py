@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from textsignal.llm.common import buckets, stash, text_or_empty
-from textsignal.llm.textarrays import blocks, mixed, word_hashes, word_spans
+from textsignal.llm.textarrays import blocks, mixed, word_spans
 
 MODULUS, HELD = 7, 2        # fixed by the contract
 SUBWORDS = 512
@@ -74,41 +74,80 @@ def subwords(path: str):
                              mergeable_ranks={k: v for k, v in ranks.items() if v < SUBWORDS})
 
 
-def ids_of(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The subword ids of all texts, each with its end, and the texts' first places (and the total).  Words
-    are spelt independently, so a block's distinct words are spelt once, in one call."""
+def spelt_blocks(texts: list[str], path: str):
+    """By block of texts: the hashes of its distinct words, which of them each word is, the texts' first words (and
+    the total), their subword ids, each text with its end, and the number of ids of each text.  Words are spelt
+    independently, so each distinct word is spelt once, those that are new in a block in one call."""
     encoding = subwords(path)
     spaced = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(SUBWORDS)])
-    out, sizes = [], []
+    known, where, sizes, spellings = np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64), np.zeros(0, np.int32)
     for lo, hi in blocks(texts):
         hashes, first, raw, starts, ends = word_spans(texts[lo:hi])
-        words, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-        spelt = b"".join([b" " + raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist())]).decode()
-        flat = np.append(encoding.encode_to_numpy(spelt).astype(np.int32), np.int32(SUBWORDS))
-        begin = np.append(np.flatnonzero(spaced[flat[:-1]]), [len(flat) - 1, len(flat)])   # the last is the end
+        words, word, at = distinct(hashes)
+        seen = np.searchsorted(known, words)
+        new = np.append(known, np.uint64(0))[seen] != words
+        new[seen == len(known)] = True
+        spelt = b"".join([b" " + raw[i:j] for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]).decode()
+        flat = encoding.encode_to_numpy(spelt).astype(np.int32)
+        begin = np.append(np.flatnonzero(spaced[flat]), len(flat))
+        known, where, sizes = (np.insert(x, seen[new], y) for x, y in (
+            (known, words[new]), (where, len(spellings) + begin[:-1]), (sizes, np.diff(begin))))
+        spellings = np.concatenate([spellings, flat])
+        own, flat = np.searchsorted(known, words), np.append(spellings, np.int32(SUBWORDS))    # the last is the end
+        begin, every = np.append(where[own], len(spellings)), np.append(sizes[own], 1)
         order = np.insert(word, first[1:], len(words))
-        length = np.diff(begin)[order]
+        length, begin = every[order], begin[order]
         upto = np.cumsum(length)
-        out.append(flat[np.repeat(begin[order] - (upto - length), length) + np.arange(upto[-1])])
-        sizes.append(np.diff(upto[first[1:] + np.arange(hi - lo)], prepend=0))
-    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        ids = flat[np.repeat(begin - (upto - length), length) + np.arange(upto[-1])]
+        yield words, word, first, ids, np.diff(upto[first[1:] + np.arange(hi - lo)], prepend=0)
+
+
+def firsts(sizes: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For targets at ``places``: the REACH ids before each, nearest first, and which of them exist."""
-    start = first[np.searchsorted(first, places, side="right") - 1]
-    at = places[:, None] - 1 - np.arange(REACH)
-    return ids[np.maximum(at, 0)], at >= start[:, None]
+def ids_of(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of all texts, each with its end, and the texts' first places (and the total)."""
+    *_, ids, sizes = zip(*spelt_blocks(texts, path))
+    return np.concatenate(ids), firsts(sizes)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, which of them each key is, and the place of the first of each."""
+    bits = max(len(keys) - 1, 0).bit_length()
+    if len(keys) and int(keys.max()) >> (63 - bits) == 0:        # key and place fit into one number: sorted without an index
+        both = np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys)))
+        kind, place, keys = keys.dtype, both & ((1 << bits) - 1), both >> bits
+        new = np.append(True, keys[1:] != keys[:-1])
+        which = np.empty(len(keys), np.int32)
+        which[place] = np.cumsum(new, dtype=np.int32) - 1
+        return keys[new].astype(kind), which, place[new]
+    words, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    return words, which, at
+
+
+def contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For targets at ``places``: the REACH ids before each, nearest first, one row for each distance."""
+    lo, n = int(places[0]) if len(places) else 0, len(places)
+    if lo >= REACH and int(places[-1]) - lo == n - 1:       # a range of places
+        return np.stack([ids[lo - 1 - k:lo - 1 - k + n] for k in range(REACH)])
+    return ids.take(np.maximum(places - 1 - np.arange(REACH)[:, None], 0))
 
 
 def pair_counts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Counts of (id, target): rows 0 of the nearest id, rows 1 of the farther ones; row 2 of targets."""
+    wide, size = SIZE + 1, 1 << 20
     out = np.zeros((3, SIZE * SIZE), np.int64)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for lag in range(1, REACH + 1):
-        same = text[lag:] == text[:-lag]
-        pairs = ids[:-lag][same].astype(np.int64) * SIZE + ids[lag:][same]
-        out[int(lag > 1)] += np.bincount(pairs, minlength=SIZE * SIZE)
+    # texts stand apart by REACH places of an id of its own, so that no pair crosses them
+    apart = np.full(len(ids) + REACH * len(first), SIZE, np.int16)
+    apart[np.arange(len(ids)) + np.repeat(REACH * np.arange(len(first) - 1), np.diff(first))] = ids
+    for lo in range(0, len(apart) - REACH, size):
+        some = apart[lo:lo + size + REACH].astype(np.int64)
+        n = len(some) - REACH
+        rows = some[:n] * wide
+        for lag in range(1, REACH + 1):
+            seen = np.bincount(rows + some[lag:lag + n], minlength=wide * wide)
+            out[int(lag > 1)] += seen.reshape(wide, wide)[:SIZE, :SIZE].ravel()
     out[2, :SIZE] = np.bincount(ids, minlength=SIZE)
     return out
 
@@ -133,7 +172,7 @@ def phrase_counts(ids: np.ndarray, first: np.ndarray, length: int) -> tuple[np.n
 
 
 def joined_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    keys, at, _ = distinct(np.concatenate([k for k, _ in parts]))
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
@@ -205,72 +244,114 @@ def start_parameters() -> dict[str, np.ndarray]:
             "bias": near, "sink": np.zeros(SIZE), "level2": level + 1, "level3": level + 2}
 
 
-def attend(logits: np.ndarray, exists: np.ndarray) -> np.ndarray:
-    """Softmax over the sink (first), the context places that exist and the phrases that do."""
-    logits[:, 1:][~exists] = -np.inf
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def mixture(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray, places: np.ndarray,
+class Lookup:
+    """What does not depend on the parameters, for all places of some texts: values and levels of the distinct
+    (phrase of three ids, target), which of them each place has, and how many ids (up to REACH) precede it."""
+
+    def __init__(self, model: tuple, ids: np.ndarray, first: np.ndarray, places: np.ndarray | None = None):
+        self.table, self.overall, books = model
+        keys = ids.astype(np.int64)
+        for k in (1, 2, 3):
+            keys[k:] += ids[:-k].astype(np.int64) * SIZE ** k
+        if places is not None:
+            keys = keys[places]
+        keys, self.at, _ = distinct(keys)
+        if places is None:
+            self.before = np.full(len(ids), REACH, np.int8)
+            for k in range(REACH):
+                self.before[(first[:-1] + k)[np.diff(first) > k]] = k
+        else:
+            self.before = np.minimum(places - first[np.searchsorted(first, places, side="right") - 1], REACH)
+        self.values = np.empty((len(keys), 4), np.float32)
+        self.levels = np.empty((len(keys), 2), np.int8)
+        for lo in range(0, len(keys), 1 << 18):
+            phrase, target = np.divmod(keys[lo:lo + (1 << 18)], SIZE)
+            v, level = self.values[lo:lo + (1 << 18)], self.levels[lo:lo + (1 << 18)]
+            v[:, 0] = self.overall[target]
+            v[:, 1] = self.table[0].ravel().take(phrase % SIZE * SIZE + target)
+            for k in (2, 3):
+                v[:, k], level[:, k - 2] = books[k].value(phrase % SIZE ** k, target, v[:, k - 1])
+
+
+def down(x: np.ndarray) -> np.ndarray:
+    """Sums of the columns, added up as numpy adds up a row of as many (so that roundings are those of a row)."""
+    total = ((x[0] + x[1]) + (x[2] + x[3])) + ((x[4] + x[5]) + (x[6] + x[7]))
+    for row in x[8:]:
+        total += row
+    return total
+
+
+def attend(logits: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Softmax, down each column, over the sink (first), the context places that exist and the phrases that do."""
+    short = np.flatnonzero(before < REACH)
+    if len(short):
+        there = np.arange(REACH)[:, None] < before[short]
+        exists = np.concatenate([np.ones((1, len(short)), bool), there, there[1:3]])
+        logits[:, short] = np.where(exists, logits[:, short], -np.inf)
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= down(logits)
+    return logits
+
+
+def mixture(p: dict[str, np.ndarray], model: tuple | Lookup, ids: np.ndarray, first: np.ndarray, places: np.ndarray,
             scores: np.ndarray | None = None):
-    """Attention, values of the targets, context of each place, what of it exists, levels of the phrases."""
-    table, overall, books = model
-    context, there = contexts(ids, first, places)
-    last, target = context[:, 0], ids[places]
-    exists = np.concatenate([there, there[:, 1:3]], axis=1)
-    logits = np.empty((len(places), REACH + 3), np.float32)
-    logits[:, 0] = p["sink"][last]
+    """Attention, values of the targets, places of their (last id, context id) in a square table, levels of the phrases.
+    ``model``: tables and phrases, or what was looked up for all places of ``ids``."""
+    known, at = (model, places) if isinstance(model, Lookup) else (Lookup(model, ids, first, places), slice(None))
     if scores is None:
-        logits[:, 1:REACH + 1] = np.einsum("md,mld->ml", p["query"][last], p["key"][context]) + p["bias"]
-    else:
-        logits[:, 1:REACH + 1] = scores.ravel().take(last[:, None] * SIZE + context) + p["bias"].astype(np.float32)
-    value = np.empty_like(logits)
-    value[:, 0] = overall[target]
-    value[:, 1] = table[0].ravel().take(last * SIZE + target)
-    value[:, 2:REACH + 1] = table[1].ravel().take(context[:, 1:] * SIZE + target[:, None])
-    phrase, levels = last.astype(np.int64), []
+        scores = (p["query"] @ p["key"].T).astype(np.float32)
+    context = contexts(ids, places)
+    last, target, key = context[0], ids.take(places), known.at[at]
+    pairs = context + last.astype(np.int64) * SIZE
+    level = known.levels.take(key, axis=0)
+    logits = np.empty((REACH + 3, len(places)), np.float32)
+    logits[0] = p["sink"].astype(np.float32).take(last)
+    np.add(scores.ravel().take(pairs), p["bias"].astype(np.float32)[:, None], out=logits[1:REACH + 1])
     for k in (2, 3):
-        phrase = phrase + context[:, k - 1].astype(np.int64) * SIZE ** (k - 1)
-        value[:, REACH + k - 1], level = books[k].value(phrase, target, value[:, 1 if k == 2 else REACH + 1])
-        logits[:, REACH + k - 1] = p[f"level{k}"][level]
-        levels.append(level)
-    return attend(logits, exists), value, context, exists, levels
+        logits[REACH + k - 1] = p[f"level{k}"].astype(np.float32).take(level[:, k - 2])
+    value = np.empty_like(logits)
+    one = known.values.take(key, axis=0)
+    value[0], value[1], value[REACH + 1], value[REACH + 2] = one.T
+    value[2:REACH + 1] = known.table[1].ravel().take(context[1:] * SIZE + target)
+    return attend(logits, known.before[at]).T, value.T, pairs, last, level
 
 
-def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict, others: dict | None = None) -> tuple[dict[str, np.ndarray], int]:
+def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict, others: dict | None = None,
+          pairs: list[np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], int]:
     """Parameters after one pass over a group's training texts, and the number of targets: all places of the
     texts before ``half`` under the values of the others, and the other way round (``counts`` and ``others``:
-    the phrases of the two halves; those of the others are counted where they are not given)."""
+    the phrases of the two halves; those of the others are counted where they are not given; ``pairs``: the pair
+    counts of the two halves, where the caller has them)."""
     p = start_parameters()
     if not 0 < half < len(first) - 1:
         return p, 0
     cut, power = first[half], {k: np.full_like(v, 1e-6) for k, v in p.items()}
     sides = (ids[:cut], first[:half + 1]), (ids[cut:], first[half:] - cut)
     others = others or {k: phrase_counts(*sides[1], k) for k in counts}
-    for (of, begin), (to, starts), phrases in ((*sides, counts), (*sides[::-1], others)):
-        model = (*values(pair_counts(of, begin)), {k: Phrases(k, *x) for k, x in phrases.items()})
+    pairs = pairs or [pair_counts(*side) for side in sides]
+    for pair, (to, starts), phrases in ((pairs[0], sides[1], counts), (pairs[1], sides[0], others)):
+        model = (*values(pair), {k: Phrases(k, *x) for k, x in phrases.items()})
         learn(p, power, model, to, starts)
     return p, len(ids)
 
 
 def learn(p: dict[str, np.ndarray], power: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray) -> None:
     """Gradient steps over all places, in random order."""
-    places = np.random.default_rng(SEED).permutation(len(ids))
+    known, places = Lookup(model, ids, first), np.random.default_rng(SEED).permutation(len(ids))
     for lo in range(0, len(places), STEPS_OF):
         some = np.sort(places[lo:lo + STEPS_OF])
-        a, v, context, exists, levels = mixture(p, model, ids, first, some, (p["query"] @ p["key"].T).astype(np.float32))
-        prob = (a * v).sum(axis=1, keepdims=True)
+        a, v, pairs, last, level = mixture(p, known, ids, first, some, (p["query"] @ p["key"].T).astype(np.float32))
+        a, v = a.T, v.T
+        prob = down(a * v)
         up = a * (v - prob) / prob / len(some)             # gradient of the mean log-likelihood in the logits
-        up[:, 1:][~exists] = 0
-        near, last, g = up[:, 1:REACH + 1], context[:, 0], {}
-        g["bias"] = near.sum(axis=0)
-        g["sink"] = np.bincount(last, up[:, 0], minlength=SIZE)
-        for k, level in zip((2, 3), levels):
-            g[f"level{k}"] = np.bincount(level, up[:, REACH + k - 1], minlength=LEVELS)
+        near, g = up[1:REACH + 1], {}
+        g["bias"] = np.ascontiguousarray(near.T).sum(axis=0)
+        g["sink"] = np.bincount(last, up[0], minlength=SIZE)
+        for k in (2, 3):
+            g[f"level{k}"] = np.bincount(level[:, k - 2], up[REACH + k - 1], minlength=LEVELS)
         # sums by (query id, key id) turn the gradients of queries and keys into two matrix products
-        pair = np.bincount((last[:, None].astype(np.int64) * SIZE + context).ravel(), near.ravel(),
-                           minlength=SIZE * SIZE).reshape(SIZE, SIZE)
+        pair = np.bincount(pairs.ravel(), near.ravel(), minlength=SIZE * SIZE).reshape(SIZE, SIZE)
         g["query"], g["key"] = pair @ p["key"], pair.T @ p["query"]
         for k in p:
             power[k] += g[k] ** 2
@@ -279,11 +360,11 @@ def learn(p: dict[str, np.ndarray], power: dict[str, np.ndarray], model: tuple,
 
 def score_ids(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    logs = np.empty(len(ids))
-    for lo in range(0, len(ids), 1 << 15):
-        places = np.arange(lo, min(lo + (1 << 15), len(ids)))
-        a, v, *_ = mixture(p, model, ids, first, places, scores)
-        logs[places] = np.log10((a * v).sum(axis=1).astype(np.float64))
+    logs, known = np.empty(len(ids)), Lookup(model, ids, first)
+    for lo in range(0, len(ids), 1 << 13):
+        places = np.arange(lo, min(lo + (1 << 13), len(ids)))
+        a, v, *_ = mixture(p, known, ids, first, places, scores)
+        logs[places] = np.log10(down((a * v).T).astype(np.float64))
     return np.add.reduceat(logs, first[:-1])
 
 
@@ -324,38 +405,40 @@ def learn_group(n: int, path: str):
     the phrases of its texts with training counts (kinds LENGTHS, by bucket)."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         texts, trains = group["text"].tolist(), ~group["held_out"].to_numpy(bool)
-        hashes, is_training = [], []
-        for lo, hi in blocks(texts):
-            h, first = word_hashes(texts[lo:hi])
-            hashes.append(h)
-            is_training.append(np.repeat(trains[lo:hi], np.diff(first)))
-        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(at, np.concatenate(is_training), minlength=len(words)).astype(np.uint32)
-        to = (mixed(words) % np.uint64(n)).astype(np.int64)
+        # halves by a hash of the text, equal in size, whatever order the rows arrive in
+        own = sorted((t for t, x in zip(texts, trains) if x), key=lambda t: (zlib.crc32(t.encode()), t))
+        asked, spelt, seen_words = [t for t, x in zip(texts, trains) if not x], [], []
+        for side in (own, asked):
+            ids, sizes = [], []
+            for words, word, _, some, size in spelt_blocks(side, path):
+                seen_words.append((words, np.bincount(word, minlength=len(words)) * (side is own)))
+                ids.append(some)
+                sizes.append(size)
+            spelt.append((np.concatenate(ids), firsts(sizes)) if ids else None)
+        words, at, _ = distinct(np.concatenate([w for w, _ in seen_words]))
+        counts = np.bincount(at, np.concatenate([c for _, c in seen_words]), minlength=len(words)).astype(np.uint32)
+        to = (mixed(words) % np.uint64(n)).astype(np.min_scalar_type(n))
         order = np.argsort(to, kind="stable")
         words, counts, to = words[order], counts[order], to[order]
         edge = np.searchsorted(to, np.arange(n + 1))
         out = [(0, int(b), words[i:j].tobytes(), counts[i:j].tobytes())
                for b, i, j in zip(range(n), edge[:-1], edge[1:]) if j > i]
-        # halves by a hash of the text, equal in size, whatever order the rows arrive in
-        own = sorted((t for t, x in zip(texts, trains) if x), key=lambda t: (zlib.crc32(t.encode()), t))
         total, parameters, targets = np.zeros((3, SIZE * SIZE), np.int64), start_parameters(), 0
         if own:
-            ids, first = ids_of(own, path)
-            total, half = pair_counts(ids, first), len(own) // 2
+            (ids, first), half = spelt[0], len(own) // 2
             cut = first[half]
             halves = {k: [phrase_counts(ids[:cut], first[:half + 1], k), phrase_counts(ids[cut:], first[half:] - cut, k)]
                       for k in LENGTHS}
-            parameters, targets = train(ids, first, half, *({k: x[i] for k, x in halves.items()} for i in (0, 1)))
-        asked = [t for t, x in zip(texts, trains) if not x]
-        held = ids_of(asked, path) if asked else None
+            pairs = [pair_counts(ids[:cut], first[:half + 1]), pair_counts(ids[cut:], first[half:] - cut)]
+            total = pairs[0] + pairs[1]
+            parameters, targets = train(ids, first, half, *({k: x[i] for k, x in halves.items()} for i in (0, 1)), pairs)
         for k in LENGTHS:
             parts = halves[k] if own else []
             if asked:
-                keys, _ = phrase_counts(*held, k)
+                keys, _ = phrase_counts(*spelt[1], k)
                 parts = [*parts, (keys, np.zeros(len(keys), np.int64))]
             keys, seen = joined_counts(parts)
-            to = (mixed((keys // SIZE).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+            to = (mixed((keys // SIZE).astype(np.uint64)) % np.uint64(n)).astype(np.min_scalar_type(n))
             order = np.argsort(to, kind="stable")
             keys, seen, to = keys[order], seen[order], to[order]
             edge = np.searchsorted(to, np.arange(n + 1))
@@ -371,7 +454,7 @@ def add_phrases(bucket: pd.DataFrame) -> pd.DataFrame:
     """Summed training counts of a bucket's phrases of one length, sent back to each group for its own: the
     (phrase, next id) pairs seen, their counts, the phrases seen, their sums and numbers of next ids."""
     sent = [np.cumsum(unpacked(a)) for a in bucket["a"]]
-    keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+    keys, at, _ = distinct(np.concatenate(sent))
     count = np.bincount(at, np.concatenate([unpacked(b) for b in bucket["b"]]), minlength=len(keys)).astype(np.int64)
     phrase, of = np.unique(keys // SIZE, return_inverse=True)
     total = np.bincount(of, count, minlength=len(phrase)).astype(np.int64)
@@ -451,16 +534,15 @@ def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         words, count = words[order], count[order]
         logs = np.log10((count + 1) / (total + v + 1))
         end = np.log10((ends + 1) / (total + v + 1))
-        texts, out = group["text"].tolist(), []
-        for lo, hi in blocks(texts):
-            h, first = word_hashes(texts[lo:hi])
-            at = np.searchsorted(words, h)
-            run_known = np.concatenate([[0], np.cumsum(count[at] > 0)])
-            ids, places = ids_of(texts[lo:hi], path)
+        out = []
+        for own, word, first, ids, sizes in spelt_blocks(group["text"].tolist(), path):
+            at = np.searchsorted(words, own)
+            log, places = logs[at][word], firsts([sizes])
+            run_known = np.concatenate([[0], np.cumsum((count[at] > 0)[word])])
             out.append(pd.DataFrame({
                 "n_tokens": np.diff(first) + 1, "n_known": run_known[first[1:]] - run_known[first[:-1]] + (ends > 0),
-                "base_score": [float(logs[at[i:j]].sum()) + end for i, j in zip(first[:-1], first[1:])],
-                "score": score_ids(p, model, ids, places, pairs), "n_subwords": np.diff(places)}))
+                "base_score": [float(log[i:j].sum()) + end for i, j in zip(first[:-1], first[1:])],
+                "score": score_ids(p, model, ids, places, pairs), "n_subwords": sizes}))
         scored = pd.concat(out, ignore_index=True) if out else pd.DataFrame(
             columns=["n_tokens", "n_known", "base_score", "score", "n_subwords"])
         return scored.assign(doc_id=group["doc_id"].to_numpy(), held_out=group["held_out"].to_numpy(), train_tokens=total)
