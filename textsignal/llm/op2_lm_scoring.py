@@ -37,10 +37,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textsignal.llm.common import buckets, stash, text_or_empty
@@ -56,8 +58,13 @@ PRIOR = (4.0, 40.0)         # weight of the overall distribution in the two tabl
 FAN = 16                    # groups that are added up at a time
 LENGTHS = (2, 3)            # of the phrases, in ids
 DISCOUNT = 0.75             # what smoothing takes from each count of a phrase
-LEVELS = 16                 # of the bias of a phrase
+LEVEL_BITS = 4
+LEVELS = 1 << LEVEL_BITS    # of the bias of a phrase
 SIZE = SUBWORDS + 1
+BITS = SIZE.bit_length()    # of an id
+TOGETHER = 63 // BITS       # ids that are read at a time
+AHEAD = REACH // TOGETHER * TOGETHER
+SCORED = 3                  # blocks of texts whose values are looked up together
 
 
 def default_ranks() -> str:
@@ -87,7 +94,7 @@ def spelt_blocks(texts: list[str], path: str):
         seen = np.searchsorted(known, words)
         new = np.append(known, np.uint64(0))[seen] != words
         new[seen == len(known)] = True
-        spelt = b"".join([b" " + raw[i:j] for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]).decode()
+        spelt = behind_spaces(raw, starts[at[new]], ends[at[new]])
         flat = encoding.encode_to_numpy(spelt).astype(np.int32)
         begin = np.append(np.flatnonzero(spaced[flat]), len(flat))
         known, where, sizes = (np.insert(x, seen[new], y) for x, y in (
@@ -102,6 +109,15 @@ def spelt_blocks(texts: list[str], path: str):
         yield words, word, first, ids, np.diff(upto[first[1:] + np.arange(hi - lo)], prepend=0)
 
 
+def behind_spaces(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The words of these bytes (each behind some byte), each behind a space."""
+    length = ends - starts + 1
+    upto = np.cumsum(length)
+    out = np.frombuffer(raw, np.uint8)[np.repeat(starts - 1 - (upto - length), length) + np.arange(length.sum())]
+    out[upto - length] = 32
+    return out.tobytes().decode()
+
+
 def firsts(sizes: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
@@ -114,40 +130,73 @@ def ids_of(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order, which of them each key is, and the place of the first of each."""
-    bits = max(len(keys) - 1, 0).bit_length()
-    if len(keys) and int(keys.max()) >> (63 - bits) == 0:        # key and place fit into one number: sorted without an index
-        both = np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys)))
-        kind, place, keys = keys.dtype, both & ((1 << bits) - 1), both >> bits
-        new = np.append(True, keys[1:] != keys[:-1])
+    if len(keys):
+        # key and place are sorted as one number, without an index; where both don't fit, by the key's leading bits
+        bits = (len(keys) - 1).bit_length()
+        drop = max(int(keys.max()).bit_length() + bits - 64, 0)
+        both = keys.astype(np.uint64)
+        both >>= np.uint64(drop)
+        both <<= np.uint64(bits)
+        both |= np.arange(len(keys), dtype=np.uint64)
+        both.sort()
+        place = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+        both >>= np.uint64(bits)
+        new = np.append(True, both[1:] != both[:-1])
         which = np.empty(len(keys), np.int32)
         which[place] = np.cumsum(new, dtype=np.int32) - 1
-        return keys[new].astype(kind), which, place[new]
+        new = np.flatnonzero(new)
+        at = place[new]
+        words = keys[at] if drop else both[new].astype(keys.dtype)
+        if drop == 0 or (words[which] == keys).all():       # no two keys share their leading bits
+            return words, which, at
     words, at, which = np.unique(keys, return_index=True, return_inverse=True)
     return words, which, at
 
 
-def contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For targets at ``places``: the REACH ids before each, nearest first, one row for each distance."""
-    lo, n = int(places[0]) if len(places) else 0, len(places)
-    if lo >= REACH and int(places[-1]) - lo == n - 1:       # a range of places
-        return np.stack([ids[lo - 1 - k:lo - 1 - k + n] for k in range(REACH)])
-    return ids.take(np.maximum(places - 1 - np.arange(REACH)[:, None], 0))
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys, and which of them each key is."""
+    new = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
+    return keys[new], np.cumsum(new) - 1
+
+
+def grams(ids: np.ndarray, base: int, n: int = 4) -> np.ndarray:
+    """Each id with the n - 1 before it, as one number to this base (those before the first are 0)."""
+    if n == 1:
+        return ids.astype(np.int64)
+    back = n - n // 2
+    out = grams(ids, base, back)
+    before = out if n % 2 == 0 else grams(ids, base, n // 2)
+    before = before[:max(len(ids) - back, 0)] * base ** back
+    out[back:] += before
+    return out
+
+
+def occurring(ids: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(ids, minlength=SIZE))
+
+
+def numbered(ids: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The ids as places in ``own``."""
+    place = np.zeros(SIZE, np.int16)
+    place[own] = np.arange(len(own))
+    return place[ids]
 
 
 def pair_counts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Counts of (id, target): rows 0 of the nearest id, rows 1 of the farther ones; row 2 of targets."""
-    wide, size = SIZE + 1, 1 << 20
-    out = np.zeros((3, SIZE * SIZE), np.int64)
-    # texts stand apart by REACH places of an id of its own, so that no pair crosses them
-    apart = np.full(len(ids) + REACH * len(first), SIZE, np.int16)
-    apart[np.arange(len(ids)) + np.repeat(REACH * np.arange(len(first) - 1), np.diff(first))] = ids
+    own = occurring(ids)
+    n, wide, size = len(own), len(own) + 1, 1 << 18
+    out, seen = np.zeros((3, SIZE * SIZE), np.int64), np.zeros((2, wide, wide), np.int64)
+    # texts stand apart by REACH places of a number of its own, so that no pair crosses them
+    apart = np.full(len(ids) + REACH * len(first), n, np.int16)
+    apart[np.arange(len(ids)) + np.repeat(REACH * np.arange(len(first) - 1), np.diff(first))] = numbered(ids, own)
     for lo in range(0, len(apart) - REACH, size):
         some = apart[lo:lo + size + REACH].astype(np.int64)
-        n = len(some) - REACH
-        rows = some[:n] * wide
+        rows = some[:-REACH] * wide
         for lag in range(1, REACH + 1):
-            seen = np.bincount(rows + some[lag:lag + n], minlength=wide * wide)
-            out[int(lag > 1)] += seen.reshape(wide, wide)[:SIZE, :SIZE].ravel()
+            seen[int(lag > 1)] += np.bincount(rows + some[lag:lag + len(rows)], minlength=wide * wide).reshape(wide, wide)
+    for k in (0, 1):
+        out[k].reshape(SIZE, SIZE)[np.ix_(own, own)] = seen[k, :n, :n]
     out[2, :SIZE] = np.bincount(ids, minlength=SIZE)
     return out
 
@@ -176,43 +225,38 @@ def joined_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
+def gram_counts(keys: np.ndarray, which: np.ndarray, first: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``phrase_counts`` of both lengths from the distinct ``grams`` and which of them each place has."""
+    early = [(first[:-1] + k)[np.diff(first) > k] for k in range(3)]      # places with k ids of their text before them
+    counts = np.bincount(which, minlength=len(keys)) - np.bincount(which[np.concatenate(early)], minlength=len(keys))
+    keys, counts, second = keys[counts > 0], counts[counts > 0], keys[which[early[2]]]
+    return {2: joined_counts([(keys % SIZE ** 3, counts), (second % SIZE ** 3, np.ones(len(second), np.int64))]),
+            3: (keys, counts)}
+
+
 class Places:
-    """A hash table from 64-bit keys to their places, probed in numpy rounds."""
+    """Places of keys among sorted ones."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.mask = keys, (1 << (2 * len(keys) + 8).bit_length()) - 1
-        self.slots = np.full(self.mask + 1, -1, np.int32)
-        left, at = np.arange(len(keys), dtype=np.int32), self.start(keys)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & self.mask
-
-    def start(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+        self.keys = keys
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys; -1 where there is none."""
-        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self.start(keys)
-        while len(left):
-            s = self.slots[at]
-            hit = s >= 0
-            hit[hit] = self.keys[s[hit]] == keys[left[hit]]
-            out[left[hit]] = s[hit]
-            on = (s >= 0) & ~hit
-            left, at = left[on], (at[on] + 1) & self.mask
-        return out
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys.take(at) == keys, at, -1)
 
 
 class Phrases:
     """Values of the phrases of one length: counts of the next ids, their sum and number by phrase."""
 
     def __init__(self, length: int, keys: np.ndarray, counts: np.ndarray, phrases: tuple | None = None):
-        """``phrases``: ids, sums and numbers of next ids, where ``keys`` are not all pairs of the phrases."""
+        """``keys``: sorted; ``phrases``: sorted ids, sums and numbers of next ids, where these are not all their pairs."""
         self.pairs, self.counts = Places(keys), counts.astype(np.float32)
         if phrases is None:
-            phrase, at = np.unique(keys // SIZE, return_inverse=True)
+            phrase, at = runs(keys // SIZE)
             phrases = phrase, np.bincount(at, counts, minlength=len(phrase)), np.bincount(at, minlength=len(phrase))
         phrase, total, kinds = phrases
         # where the phrase is two ids, their product is small enough for a plain table of places
@@ -246,31 +290,48 @@ def start_parameters() -> dict[str, np.ndarray]:
 
 class Lookup:
     """What does not depend on the parameters, for all places of some texts: values and levels of the distinct
-    (phrase of three ids, target), which of them each place has, and how many ids (up to REACH) precede it."""
-
-    def __init__(self, model: tuple, ids: np.ndarray, first: np.ndarray, places: np.ndarray | None = None):
-        self.table, self.overall, books = model
-        keys = ids.astype(np.int64)
-        for k in (1, 2, 3):
-            keys[k:] += ids[:-k].astype(np.int64) * SIZE ** k
-        if places is not None:
-            keys = keys[places]
-        keys, self.at, _ = distinct(keys)
+    (phrase of three ids, target), which of them each place has, how many ids (up to REACH) precede it, and the
+    ids around it.  With ``own``, the ids that occur, all of these are numbered among them, and the parameters that
+    are used with this are theirs alone.  ``found``: the distinct ``grams`` and which of them each place has."""
+
+    def __init__(self, model: tuple, ids: np.ndarray, first: np.ndarray, places: np.ndarray | None = None,
+                 found: tuple[np.ndarray, np.ndarray] | None = None, own: np.ndarray | None = None):
+        table, overall, books = model
+        self.size, self.far, self.overall, small = SIZE, table[1].ravel(), overall, ids
+        if own is not None:
+            self.size, self.far, self.overall, small = len(own), table[1][np.ix_(own, own)].ravel(), overall[own], numbered(ids, own)
+        self.around = grams(np.append(np.zeros(AHEAD, small.dtype), small), 1 << BITS, TOGETHER)
+        if found is None:
+            keys = grams(ids, SIZE)
+            found = distinct(keys if places is None else keys[places])
+        keys, self.at = found[:2]
         if places is None:
             self.before = np.full(len(ids), REACH, np.int8)
             for k in range(REACH):
                 self.before[(first[:-1] + k)[np.diff(first) > k]] = k
         else:
             self.before = np.minimum(places - first[np.searchsorted(first, places, side="right") - 1], REACH)
-        self.values = np.empty((len(keys), 4), np.float32)
-        self.levels = np.empty((len(keys), 2), np.int8)
+        self.values = np.empty((len(keys), 4), np.float32)      # of the nearest id, the two phrases, and both their levels
         for lo in range(0, len(keys), 1 << 18):
             phrase, target = np.divmod(keys[lo:lo + (1 << 18)], SIZE)
-            v, level = self.values[lo:lo + (1 << 18)], self.levels[lo:lo + (1 << 18)]
-            v[:, 0] = self.overall[target]
-            v[:, 1] = self.table[0].ravel().take(phrase % SIZE * SIZE + target)
-            for k in (2, 3):
-                v[:, k], level[:, k - 2] = books[k].value(phrase % SIZE ** k, target, v[:, k - 1])
+            v = self.values[lo:lo + (1 << 18)]
+            v[:, 0] = table[0].ravel().take(phrase % SIZE * SIZE + target)
+            v[:, 1], level = books[2].value(phrase % SIZE ** 2, target, v[:, 0])
+            v[:, 2], higher = books[3].value(phrase, target, v[:, 1])
+            v[:, 3] = level + LEVELS * higher
+
+    def window(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The REACH ids before each place, nearest first, one row for each distance, and the ids at the places."""
+        lo, n, backs = int(places[0]) if len(places) else 0, len(places), range(0, REACH + 1, TOGETHER)
+        if n and int(places[-1]) - lo == n - 1:              # a range of places
+            some = [self.around[lo + AHEAD - back:lo + AHEAD - back + n] for back in backs]
+        else:
+            some = [self.around.take(places + (AHEAD - back), mode="wrap") for back in backs]
+        out = np.empty((REACH + 1, n), np.int64)
+        for k in range(REACH + 1):
+            np.right_shift(some[k // TOGETHER], BITS * (k % TOGETHER), out=out[k])
+        out &= (1 << BITS) - 1
+        return out[1:], out[0]
 
 
 def down(x: np.ndarray) -> np.ndarray:
@@ -301,28 +362,33 @@ def mixture(p: dict[str, np.ndarray], model: tuple | Lookup, ids: np.ndarray, fi
     known, at = (model, places) if isinstance(model, Lookup) else (Lookup(model, ids, first, places), slice(None))
     if scores is None:
         scores = (p["query"] @ p["key"].T).astype(np.float32)
-    context = contexts(ids, places)
-    last, target, key = context[0], ids.take(places), known.at[at]
-    pairs = context + last.astype(np.int64) * SIZE
-    level = known.levels.take(key, axis=0)
+    context, target = known.window(places)
+    last, key = context[0].copy(), known.at[at] if isinstance(at, slice) else known.at.take(at)
+    pairs = context + last * known.size
+    one = known.values.take(key, axis=0)
+    level = one[:, 3].astype(np.int64)
+    level = np.stack((level & (LEVELS - 1), level >> LEVEL_BITS))
     logits = np.empty((REACH + 3, len(places)), np.float32)
     logits[0] = p["sink"].astype(np.float32).take(last)
-    np.add(scores.ravel().take(pairs), p["bias"].astype(np.float32)[:, None], out=logits[1:REACH + 1])
+    # all numbers are places in the tables: no bounds are checked
+    scores.ravel().take(pairs, mode="wrap", out=logits[1:REACH + 1])
+    logits[1:REACH + 1] += p["bias"].astype(np.float32)[:, None]
     for k in (2, 3):
-        logits[REACH + k - 1] = p[f"level{k}"].astype(np.float32).take(level[:, k - 2])
+        logits[REACH + k - 1] = p[f"level{k}"].astype(np.float32).take(level[k - 2])
     value = np.empty_like(logits)
-    one = known.values.take(key, axis=0)
-    value[0], value[1], value[REACH + 1], value[REACH + 2] = one.T
-    value[2:REACH + 1] = known.table[1].ravel().take(context[1:] * SIZE + target)
+    value[0], value[1], value[REACH + 1], value[REACH + 2] = known.overall.take(target), *one.T[:3]
+    context *= known.size
+    context += target
+    known.far.take(context[1:], mode="wrap", out=value[2:REACH + 1])
     return attend(logits, known.before[at]).T, value.T, pairs, last, level
 
 
 def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict, others: dict | None = None,
-          pairs: list[np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], int]:
+          pairs: list[np.ndarray] | None = None, found: list[tuple] | None = None) -> tuple[dict[str, np.ndarray], int]:
     """Parameters after one pass over a group's training texts, and the number of targets: all places of the
     texts before ``half`` under the values of the others, and the other way round (``counts`` and ``others``:
-    the phrases of the two halves; those of the others are counted where they are not given; ``pairs``: the pair
-    counts of the two halves, where the caller has them)."""
+    the phrases of the two halves; those of the others are counted where they are not given; ``pairs``, ``found``: the
+    pair counts and distinct ``grams`` of the two halves, where the caller has them)."""
     p = start_parameters()
     if not 0 < half < len(first) - 1:
         return p, 0
@@ -330,37 +396,56 @@ def train(ids: np.ndarray, first: np.ndarray, half: int, counts: dict, others: d
     sides = (ids[:cut], first[:half + 1]), (ids[cut:], first[half:] - cut)
     others = others or {k: phrase_counts(*sides[1], k) for k in counts}
     pairs = pairs or [pair_counts(*side) for side in sides]
-    for pair, (to, starts), phrases in ((pairs[0], sides[1], counts), (pairs[1], sides[0], others)):
+    found = found or [None, None]
+    for pair, (to, starts), phrases, keys in ((pairs[0], sides[1], counts, found[1]), (pairs[1], sides[0], others, found[0])):
         model = (*values(pair), {k: Phrases(k, *x) for k, x in phrases.items()})
-        learn(p, power, model, to, starts)
+        learn(p, power, model, to, starts, keys)
     return p, len(ids)
 
 
-def learn(p: dict[str, np.ndarray], power: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray) -> None:
-    """Gradient steps over all places, in random order."""
-    known, places = Lookup(model, ids, first), np.random.default_rng(SEED).permutation(len(ids))
+def narrowed(p: dict[str, np.ndarray], own: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters of some ids."""
+    return {k: v[own] if len(v) == SIZE else v for k, v in p.items()}
+
+
+def learn(p: dict[str, np.ndarray], power: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray,
+          found: tuple | None = None) -> None:
+    """Gradient steps over all places, in random order.  Those of ids that don't occur are 0, so that only the
+    parameters of the others take part."""
+    own = occurring(ids)
+    known, places = Lookup(model, ids, first, found=found, own=own), np.random.default_rng(SEED).permutation(len(ids))
+    every, p, n = (p, power), narrowed(p, own), len(own)
+    power = narrowed(power, own)
     for lo in range(0, len(places), STEPS_OF):
         some = np.sort(places[lo:lo + STEPS_OF])
         a, v, pairs, last, level = mixture(p, known, ids, first, some, (p["query"] @ p["key"].T).astype(np.float32))
         a, v = a.T, v.T
         prob = down(a * v)
-        up = a * (v - prob) / prob / len(some)             # gradient of the mean log-likelihood in the logits
+        up = v - prob                                       # gradient of the mean log-likelihood in the logits
+        up *= a
+        up /= prob
+        up /= len(some)
         near, g = up[1:REACH + 1], {}
-        g["bias"] = np.ascontiguousarray(near.T).sum(axis=0)
-        g["sink"] = np.bincount(last, up[0], minlength=SIZE)
+        g["bias"] = np.add.accumulate(near, axis=1)[:, -1]
+        g["sink"] = np.bincount(last, up[0], minlength=n)
         for k in (2, 3):
-            g[f"level{k}"] = np.bincount(level[:, k - 2], up[REACH + k - 1], minlength=LEVELS)
+            g[f"level{k}"] = np.bincount(level[k - 2], up[REACH + k - 1], minlength=LEVELS)
         # sums by (query id, key id) turn the gradients of queries and keys into two matrix products
-        pair = np.bincount(pairs.ravel(), near.ravel(), minlength=SIZE * SIZE).reshape(SIZE, SIZE)
+        pair = np.bincount(pairs.ravel(), near.ravel(), minlength=n * n).reshape(n, n)
         g["query"], g["key"] = pair @ p["key"], pair.T @ p["query"]
         for k in p:
             power[k] += g[k] ** 2
             p[k] += RATE * g[k] / np.sqrt(power[k])
+    for whole, part in zip(every, (p, power)):
+        for k, v in whole.items():
+            v[own if len(v) == SIZE else slice(None)] = part[k]
 
 
 def score_ids(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    logs, known = np.empty(len(ids)), Lookup(model, ids, first)
+    own = occurring(ids)
+    logs, known = np.empty(len(ids)), Lookup(model, ids, first, own=own)
+    p, scores = narrowed(p, own), scores[np.ix_(own, own)]
     for lo in range(0, len(ids), 1 << 13):
         places = np.arange(lo, min(lo + (1 << 13), len(ids)))
         a, v, *_ = mixture(p, known, ids, first, places, scores)
@@ -369,14 +454,18 @@ def score_ids(p: dict[str, np.ndarray], model: tuple, ids: np.ndarray, first: np
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """64-bit integers, by byte plane: those of small ones are nearly all zero."""
-    planes = np.ascontiguousarray(numbers.astype(np.int64)).view(np.uint8).reshape(-1, 8).T
-    return zlib.compress(planes.tobytes(), 1)
+    """Integers of up to 63 bits, none negative, by byte plane, without the planes above the largest."""
+    width = max(-(-int(numbers.max(initial=0)).bit_length() // 8), 1)
+    planes = np.ascontiguousarray(numbers.astype(np.int64)).view(np.uint8).reshape(-1, 8).T[:width]
+    return struct.pack("<BQ", width, len(numbers)) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    width, n = struct.unpack_from("<BQ", raw)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[9:], width * n, "zstd"), np.uint8).reshape(width, n).T
+    return out.view(np.int64).ravel()
 
 
 def squeeze(counts: np.ndarray, p: dict[str, np.ndarray], n: int) -> bytes:
@@ -407,14 +496,14 @@ def learn_group(n: int, path: str):
         texts, trains = group["text"].tolist(), ~group["held_out"].to_numpy(bool)
         # halves by a hash of the text, equal in size, whatever order the rows arrive in
         own = sorted((t for t, x in zip(texts, trains) if x), key=lambda t: (zlib.crc32(t.encode()), t))
-        asked, spelt, seen_words = [t for t, x in zip(texts, trains) if not x], [], []
-        for side in (own, asked):
-            ids, sizes = [], []
-            for words, word, _, some, size in spelt_blocks(side, path):
-                seen_words.append((words, np.bincount(word, minlength=len(words)) * (side is own)))
-                ids.append(some)
-                sizes.append(size)
-            spelt.append((np.concatenate(ids), firsts(sizes)) if ids else None)
+        asked, ids, sizes, seen_words, left = [t for t, x in zip(texts, trains) if not x], [], [], [], len(own)
+        for words, word, begin, some, size in spelt_blocks(own + asked, path):     # no word is spelt twice
+            seen_words.append((words, np.bincount(word[:begin[min(left, len(size))]], minlength=len(words))))
+            ids.append(some)
+            sizes.append(size)
+            left = max(left - len(size), 0)
+        ids, first = np.concatenate(ids), firsts(sizes)
+        end = first[len(own)]
         words, at, _ = distinct(np.concatenate([w for w, _ in seen_words]))
         counts = np.bincount(at, np.concatenate([c for _, c in seen_words]), minlength=len(words)).astype(np.uint32)
         to = (mixed(words) % np.uint64(n)).astype(np.min_scalar_type(n))
@@ -424,20 +513,21 @@ def learn_group(n: int, path: str):
         out = [(0, int(b), words[i:j].tobytes(), counts[i:j].tobytes())
                for b, i, j in zip(range(n), edge[:-1], edge[1:]) if j > i]
         total, parameters, targets = np.zeros((3, SIZE * SIZE), np.int64), start_parameters(), 0
+        parts = []
         if own:
-            (ids, first), half = spelt[0], len(own) // 2
+            half = len(own) // 2
             cut = first[half]
-            halves = {k: [phrase_counts(ids[:cut], first[:half + 1], k), phrase_counts(ids[cut:], first[half:] - cut, k)]
-                      for k in LENGTHS}
-            pairs = [pair_counts(ids[:cut], first[:half + 1]), pair_counts(ids[cut:], first[half:] - cut)]
+            sides = (ids[:cut], first[:half + 1]), (ids[cut:end], first[half:len(own) + 1] - cut)
+            found = [distinct(grams(to, SIZE))[:2] for to, _ in sides]
+            parts = [gram_counts(*keys, starts) for keys, (_, starts) in zip(found, sides)]
+            pairs = [pair_counts(*side) for side in sides]
             total = pairs[0] + pairs[1]
-            parameters, targets = train(ids, first, half, *({k: x[i] for k, x in halves.items()} for i in (0, 1)), pairs)
+            parameters, targets = train(ids[:end], first[:len(own) + 1], half, *parts, pairs, found)
+        if asked:
+            others = gram_counts(*distinct(grams(ids[end:], SIZE))[:2], first[len(own):] - end)
+            parts.append({k: (keys, np.zeros(len(keys), np.int64)) for k, (keys, _) in others.items()})
         for k in LENGTHS:
-            parts = halves[k] if own else []
-            if asked:
-                keys, _ = phrase_counts(*spelt[1], k)
-                parts = [*parts, (keys, np.zeros(len(keys), np.int64))]
-            keys, seen = joined_counts(parts)
+            keys, seen = joined_counts([x[k] for x in parts])
             to = (mixed((keys // SIZE).astype(np.uint64)) % np.uint64(n)).astype(np.min_scalar_type(n))
             order = np.argsort(to, kind="stable")
             keys, seen, to = keys[order], seen[order], to[order]
@@ -456,12 +546,12 @@ def add_phrases(bucket: pd.DataFrame) -> pd.DataFrame:
     sent = [np.cumsum(unpacked(a)) for a in bucket["a"]]
     keys, at, _ = distinct(np.concatenate(sent))
     count = np.bincount(at, np.concatenate([unpacked(b) for b in bucket["b"]]), minlength=len(keys)).astype(np.int64)
-    phrase, of = np.unique(keys // SIZE, return_inverse=True)
+    phrase, of = runs(keys // SIZE)
     total = np.bincount(of, count, minlength=len(phrase)).astype(np.int64)
     kinds = np.bincount(of, count > 0, minlength=len(phrase)).astype(np.int64)
     edge, rows = np.concatenate([[0], np.cumsum([len(x) for x in sent])]), []
     for g, i, j in zip(bucket["g"].tolist(), edge[:-1], edge[1:]):
-        pair, own = at[i:j][count[at[i:j]] > 0], np.unique(of[at[i:j]])
+        pair, own = at[i:j][count[at[i:j]] > 0], runs(of[at[i:j]])[0]
         own = own[total[own] > 0]
         rows.append((g, int(bucket["kind"].iloc[0]), packed(np.diff(keys[pair], prepend=0)), packed(count[pair]),
                      packed(np.diff(phrase[own], prepend=0)), packed(total[own]), packed(kinds[own])))
@@ -475,7 +565,9 @@ def known_phrases(known: pd.DataFrame) -> dict[int, Phrases]:
         rows = known[known["kind"] == k]
         keys, phrase = (np.concatenate([none, *[np.cumsum(unpacked(x)) for x in rows[c]]]) for c in "ac")
         count, total, kinds = (np.concatenate([none, *map(unpacked, rows[c])]) for c in "bde")
-        out[k] = Phrases(k, keys, count, (phrase, total, kinds))
+        keys, _, at = distinct(keys)                        # each is in one bucket
+        phrase, _, own = distinct(phrase)
+        out[k] = Phrases(k, keys, count[at], (phrase, total[own], kinds[own]))
     return out
 
 
@@ -534,18 +626,22 @@ def lm_scores(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         words, count = words[order], count[order]
         logs = np.log10((count + 1) / (total + v + 1))
         end = np.log10((ends + 1) / (total + v + 1))
-        out = []
+        out, spelt = [], []
         for own, word, first, ids, sizes in spelt_blocks(group["text"].tolist(), path):
             at = np.searchsorted(words, own)
-            log, places = logs[at][word], firsts([sizes])
+            log = logs[at][word]
+            spelt.append((ids.astype(np.int16), sizes))
             run_known = np.concatenate([[0], np.cumsum((count[at] > 0)[word])])
             out.append(pd.DataFrame({
                 "n_tokens": np.diff(first) + 1, "n_known": run_known[first[1:]] - run_known[first[:-1]] + (ends > 0),
                 "base_score": [float(log[i:j].sum()) + end for i, j in zip(first[:-1], first[1:])],
-                "score": score_ids(p, model, ids, places, pairs), "n_subwords": sizes}))
-        scored = pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            columns=["n_tokens", "n_known", "base_score", "score", "n_subwords"])
-        return scored.assign(doc_id=group["doc_id"].to_numpy(), held_out=group["held_out"].to_numpy(), train_tokens=total)
+                "n_subwords": sizes}))
+        scored = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "n_subwords"])
+        score = [np.zeros(0)]
+        for i in range(0, len(spelt), SCORED):
+            ids, sizes = zip(*spelt[i:i + SCORED])
+            score.append(score_ids(p, model, np.concatenate(ids), firsts(sizes), pairs))
+        return scored.assign(score=np.concatenate(score), doc_id=group["doc_id"].to_numpy(), held_out=group["held_out"].to_numpy(), train_tokens=total)
 
     own = counted.filter("g >= 0").select("g", F.lit(0).alias("kind"), "a", "b").unionByName(phrases, allowMissingColumns=True)
     out = d.groupBy("g").cogroup(own.groupBy("g")).applyInPandas(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-SPACE = np.zeros(256, bool)
-SPACE[[32, *range(9, 14)]] = True
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = []
 
@@ -37,12 +35,23 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndar
     raw = [t.encode().lower() for t in texts]
     joined = b" " + b" ".join(raw) + b" "
     data = np.frombuffer(joined, np.uint8)
-    gap = SPACE[data]
+    gap = data - np.uint8(9) < 5                    # tab to carriage return
+    gap |= data == 32
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    up, down = _power(len(data) + 1)
-    run = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])])
-    hashes = mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), 1 << 15)), len(starts)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):     # few words at a time, so that their sums stay at hand
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        up, down = _power(hi - lo + 1)
+        run = np.zeros(hi - lo + 1, np.uint64)
+        run[1:] = data[lo:hi]
+        run[1:] += np.uint64(1)
+        run[1:] *= up[:hi - lo]
+        np.cumsum(run, out=run)
+        begin = starts[i:j] - lo
+        hashes[i:j] = (run[ends[i:j] - lo] - run[begin]) * down[begin]
+    hashes = mixed(hashes + (ends - starts).astype(np.uint64))
     edges = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     return hashes, np.searchsorted(starts, edges + 1), joined, starts, ends
 
