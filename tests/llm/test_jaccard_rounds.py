@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from textsignal.llm import op6_jaccard_join as join
+from textsignal.llm import common, op6_jaccard_join as join
 
 
 def test_members_of_a_region_meet_after_a_join(spark):
@@ -31,3 +32,40 @@ def test_sketches_tell_unlinked_neighbours():
     k, n = join.unpacked([join.sketch(s) for s in sets]), np.array([len(s) for s in sets])
     d = join.lows(k, n, k, n)
     assert (d[~np.eye(len(sets), dtype=bool)] > 0.35).all() and (np.diag(d) == 0).all()
+
+
+def test_tasks_hold_few_texts_and_links_fill_few_files(spark, monkeypatch):
+    """Whole texts go to Python in small batches, and the session's width is as before; links do not leave a file per task."""
+    random.seed(5)
+    rows = []
+    for i in range(40):
+        words = [str(random.random()) for _ in range(60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:59] + ["end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    width = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, seen, files = spark.conf.get(width), {}, {}
+
+    def spy(df, name, *args, **more):
+        out = common.stash(df, name, *args, **more)
+        seen[name] = more.get("rows")
+        files.setdefault(name, len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(join, "stash", spy)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as where sets are many
+    try:
+        found = {r["doc_id"]: r["component_id"] for r in join.jaccard_components(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert found == {i: i - i % 2 for i in range(80)}
+    assert {seen[n] for n in ("jaccard-census", "jaccard-regions", "jaccard-sets")} == {common.TEXTS}
+    assert files["jaccard-links"] == 1
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    most = common.stash(spark.range(0, 3500, 1, 1).mapInPandas(sizes, "n long"), "batches", rows=common.TEXTS)
+    assert most.agg(F.max("n"), F.sum("n")).first() == (1000, 3500)
+    assert spark.conf.get(width) == old

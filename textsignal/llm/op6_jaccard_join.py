@@ -46,7 +46,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from textsignal.llm.common import WORD, buckets, stash, text_or_empty
+from textsignal.llm.common import TEXTS, WORD, buckets, stash, text_or_empty
 from textsignal.llm.components import components
 from textsignal.llm.textarrays import blocks, mixed, shingle_sets
 
@@ -437,8 +437,8 @@ def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(unit, shingles) of the wanted units, read again from their texts."""
-    some = only(docs.select("unit", "text"), stash(wanted, "jaccard-wanted")).dropDuplicates(["unit"])
+    """(unit, shingles) of the wanted units (a stashed table), read again from their texts."""
+    some = only(docs.select("unit", "text"), wanted).dropDuplicates(["unit"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -490,7 +490,7 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
     hot = keys[np.argsort(keys)], counts[np.argsort(keys)]
     found = entries(docs, hot, n).groupBy("bucket").applyInPandas(
         regions, "region long, unit long, size long, pivot long, pivot_size long")
-    members = stash(found.dropDuplicates(["region", "unit"]), "jaccard-regions")
+    members = stash(found.dropDuplicates(["region", "unit"]), "jaccard-regions", rows=TEXTS)
     sketches = counted.filter("sketch is not null").select("unit", "sketch", "n_shingles").dropDuplicates(["unit"])
     sketches = stash(sketches.join(members.select("unit").distinct(), "unit", "left_semi"), "jaccard-sketches")
 
@@ -512,9 +512,11 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
         wanted = stash(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct(), "jaccard-wanted")
-        fresh = stash(sets_of(docs, wanted if sets is None else wanted.join(sets.select("unit"), "unit", "left_anti")), "jaccard-sets")
+        new = wanted if sets is None else stash(wanted.join(sets.select("unit"), "unit", "left_anti"), "jaccard-new")
+        fresh = stash(sets_of(docs, new), "jaccard-sets", rows=TEXTS)
         sets = fresh if sets is None else sets.union(fresh)
-        links = stash(linked(distances(pairs, only(sets, wanted))), "jaccard-links")
+        # the links are few: gathered anew, they fill few files, not one for each task that compared sets
+        links = stash(linked(distances(pairs, only(sets, wanted))).repartition("a"), "jaccard-links")
         if joined is None:
             joined = components(links)
         elif links.limit(1).count():             # else the components stay
@@ -526,7 +528,7 @@ def unit_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, unit (of its text), n_shingles, component (a unit)."""
     units = units_of(docs, doc_id, text)
-    counted = stash(census(units, buckets(units)), "jaccard-census")
+    counted = stash(census(units, buckets(units)), "jaccard-census", rows=TEXTS)
     label = unit_components(units, counted).select(F.col("node").alias("unit"), "component")
     d = counted.filter("unit is not null").select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "unit", "n_shingles")
