@@ -20,7 +20,8 @@ All regions are split and searched in that metric, inside tasks that hold sketch
   within RADIUS of its nearest pivot goes to that Voronoi cell; it, and every other member, is replicated to each further
   cell within the triangle window (``d(x, p) <= RADIUS + TAU``, and for members with a cell of their own ``<= d(x, own
   pivot) + 2 TAU``); what is near no pivot stays an outer region.  This recurs (DEPTH) while regions are larger than CELL;
-  a region that no pivot divides is compared in pairs of blocks of CELL members;
+  a region that the pivots don't divide (near copies of one text: each is near every pivot, so that each cell would be the region
+  again) is not copied to cells, but compared in blocks: CELL members, and the members that seek partners in all blocks;
 * inside a cell members seek partners of other components, best bound first: one each, then BEST more, then all that the bound
   allows.  The candidates are compared exactly by their sets; found links join components, and only pairs of different
   components are sought further.  Links inside one found component can't change any component and are not sought.
@@ -56,6 +57,7 @@ CELL = 2048            # members of a region that one task compares
 PIVOTS = 16            # document pivots of a larger region
 RADIUS = 0.35          # largest distance from a cell's pivot to its own members
 DEPTH = 3              # levels of cells; larger regions are then compared in blocks
+SEEKING = 16_384       # members that seek partners in one block at once
 BEST = (1, 8, None)    # partners that a member seeks in each round; the last round seeks all
 HELD = 500_000         # shingles or entries that a task gathers before it packs them
 FREQUENT = 4
@@ -242,6 +244,8 @@ def in_reach(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     A pair that fails here is found in the region of its first common shingle, or is no link."""
     out = np.ones(len(e), bool)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for lo, m in zip(first[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
+        out[lo:lo + m] = in_reach_of_any(e["size"][lo:lo + m].astype(np.int64), e["place"][lo:lo + m])
     for m in np.unique(sizes[sizes <= PAIRED]):
         starts = first[sizes == m]
         for lo in range(0, len(starts), max(1, (1 << 20) // int(m * m))):
@@ -254,6 +258,22 @@ def in_reach(e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_reach_of_any(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``in_reach`` for one region of any size: by size, the members that one could pair with come first, and the largest of
+    their own limits tells if one of them could pair with it."""
+    order = np.argsort(size, kind="stable")
+    own = 3 * size[order]
+    limit = 7 * (size - place)[order] - own              # three times the largest partner
+    most = np.maximum.accumulate(limit)
+    second = np.maximum.accumulate(np.minimum(limit, np.concatenate([[np.iinfo(np.int64).min], most[:-1]])))
+    n = np.searchsorted(own, limit, side="right")
+    at = np.maximum(n - 1, 0)
+    other = np.where((own <= limit) & (limit == most[at]), second[at], most[at])   # of the others
+    out = np.empty(len(size), bool)
+    out[order] = (n > 0) & (other >= own)
+    return out
+
+
 def lows(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
     """The sketch metric of all ``sketches`` against all ``others``: a lower bound of the Jaccard distance."""
     x = np.empty((len(sizes), len(other_sizes)), np.int64)
@@ -308,22 +328,28 @@ def around_first(members: DataFrame) -> DataFrame:
 
 def candidates(members: DataFrame, best: int | None) -> DataFrame:
     """Candidates between members of different components in one cell, at least one of them at home there; each member gives its
-    ``best`` ones (all if None).  Members of the cell's largest component need no turn of their own."""
+    ``best`` ones (all if None).  Members of the cell's largest component need no turn of their own; in a block (side 1) the members
+    that seek come beside it (side 2)."""
     def pairs_of(k, sizes, units, comps, home, side):
-        _, of, counts = np.unique(comps, return_inverse=True, return_counts=True)
-        seek = np.flatnonzero(of != counts.argmax())
+        if side.any():
+            of, seek, there = comps, np.flatnonzero(side == 2), np.flatnonzero(side == 1)
+        else:
+            _, of, counts = np.unique(comps, return_inverse=True, return_counts=True)
+            seek, there = np.flatnonzero(of != counts.argmax()), np.arange(len(units))
+        seek, there = (x[np.argsort(sizes[x], kind="stable")] for x in (seek, there))
         for lo in range(0, len(seek), 256):
             at = seek[lo:lo + 256]
-            d = lows(k[at], sizes[at], k, sizes)
-            ok = (d <= TAU + 1e-9) & (of[at][:, None] != of[None]) & (home[at][:, None] | home[None])
-            ok &= (side[at][:, None] != side[None]) | (side[at] == 0)[:, None]      # sides 1 and 2: pairs across two blocks
-            if best is not None and len(units) > best:
+            near = slice(*np.searchsorted(sizes[there], [sizes[at[0]] * (1 - TAU) - 1, sizes[at[-1]] / (1 - TAU) + 1]))
+            to = there[near]                             # sizes of others are beyond TAU
+            d = lows(k[at], sizes[at], k[to], sizes[to])
+            ok = (d <= TAU + 1e-9) & (of[at][:, None] != of[to][None]) & (home[at][:, None] | home[to][None])
+            if best is not None and len(to) > best:
                 d = np.where(ok, d, 2.0)
                 ok &= d <= np.partition(d, best - 1, axis=1)[:, best - 1:best]
                 ok &= np.cumsum(ok, axis=1) <= best
             i, j = np.nonzero(ok)
             if len(i):
-                yield units[at[i]], units[j]
+                yield units[at[i]], units[to[j]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, out, n = None, ([], []), 0
@@ -359,6 +385,7 @@ def _ended(batches):
 
 
 CELLS = "region long, unit long, size long, component long, sketch binary, home boolean"
+MEMBER = ["region", "unit", "size", "component", "sketch", "home"]
 
 
 def single_cells(m: DataFrame) -> DataFrame:
@@ -367,68 +394,90 @@ def single_cells(m: DataFrame) -> DataFrame:
 
 
 def cells(m: DataFrame) -> DataFrame:
-    """The members of regions of at most CELL members, with ``home`` and ``side``; larger regions are split into Voronoi cells, at last
-    into pairs of blocks."""
-    done, m = None, m.withColumn("home", F.lit(True))
+    """The members of regions of at most CELL members, with ``home`` and ``side``; larger regions are split into Voronoi cells, and
+    what these don't divide into blocks."""
+    m = m.withColumn("home", F.lit(True))
+    small, large = [], []
     for depth in range(DEPTH):
         sizes = m.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        sizes = stash(sizes, "jaccard-large")
         if not sizes.limit(1).count():
             break
-        sizes = stash(sizes, "jaccard-large")
-        small = m.join(sizes, "region", "left_anti")
-        done = small if done is None else done.unionByName(small)
-        m = stash(voronoi(m.join(sizes, "region"), depth), "jaccard-cells")
-    sizes = m.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    m = m.join(sizes, "region").withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).drop("n")
-    whole = m.filter("blocks = 1").drop("blocks").withColumn("side", F.lit(0))
-    block = F.pmod(F.xxhash64("unit", F.lit("block")), F.col("blocks"))
-    pairs = m.filter("blocks > 1").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    split = pairs.withColumn("region", key).withColumn("side", side).drop("own", "other", "blocks")
-    out = whole.unionByName(split)
-    return out if done is None else out.unionByName(done.withColumn("side", F.lit(0)))
-
-
-def voronoi(m: DataFrame, depth: int) -> DataFrame:
-    """The members (with ``n``, the size of their region) in the cells of about PIVOTS drawn pivots per region and the outer region."""
+        small.append(m.join(sizes, "region", "left_anti"))
+        near = stash(near_pivots(m.join(sizes, "region"), depth), "jaccard-near")
+        split = stash(divided(near, sizes), "jaccard-divided")
+        large.append(near.join(split, "region", "left_anti").select(*MEMBER))
+        m = stash(voronoi(near.join(split, "region", "left_semi"), depth), "jaccard-cells")
+    large.append(m)
+    out = in_blocks(united(large))
+    return out if not small else out.unionByName(united(small).withColumn("side", F.lit(0)))
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def in_blocks(m: DataFrame) -> DataFrame:
+    """Regions of up to CELL members as they are (side 0).  Of a larger one each block holds about CELL of its members (side 1) and, at most
+    SEEKING at once, those outside the region's largest component, which seek partners there (side 2): other pairs are not sought."""
+    each = m.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    of = each.groupBy("region").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("seeking"),
+                                    F.max_by("component", F.struct("n", "component")).alias("largest")).filter(F.col("n") > CELL)
+    of = stash(of.select("region", "largest", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"),
+                         F.ceil(F.col("seeking") / SEEKING).cast("int").alias("turns")), "jaccard-blocks")
+    big = m.join(of.filter("turns > 0"), "region")
+    dealt = lambda name, into: F.pmod(F.xxhash64("unit", F.lit(name)), F.col(into)).cast("int")
+    every = lambda into: F.explode(F.sequence(F.lit(0), F.col(into) - 1))
+    there = big.withColumn("block", dealt("block", "blocks")).withColumn("turn", every("turns")).withColumn("side", F.lit(1))
+    seek = big.filter("component != largest").withColumn("turn", dealt("turn", "turns")).withColumn("block", every("blocks")).withColumn("side", F.lit(2))
+    split = there.unionByName(seek).withColumn("region", F.xxhash64("region", "block", "turn")).select(*MEMBER, "side")
+    return m.join(of, "region", "left_anti").withColumn("side", F.lit(0)).unionByName(split)
+
+
+def near_pivots(m: DataFrame, depth: int) -> DataFrame:
+    """The members (with ``n``, the size of their region), each with its ``own`` cell and all ``cells`` that it is replicated to: those of
+    about PIVOTS pivots drawn per region, and the outer region (-1)."""
     few = F.pmod(F.xxhash64("unit", "region", F.lit(depth)), F.greatest(F.lit(1), F.floor(F.col("n") / (2 * PIVOTS)))) == 0
     drawn = m.filter(few & F.col("home")).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct(
-        "unit", "size", "sketch"))), 1, PIVOTS).alias("p"))             # about 2 PIVOTS are drawn
-    drawn = drawn.select("region", F.col("p.size").alias("p_size"), F.col("p.sketch").alias("p_sketch"),
-                         F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    m = m.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(8)).cast("int")).join(drawn, ["region", "salt"], "left").drop("salt", "n")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for region, part in b.groupby("region"):
-                first = part.iloc[0]
-                frame = part[["region", "unit", "size", "component", "sketch", "home"]]
-                if first["p_size"] is None or not len(first["p_size"]):
-                    yield frame
-                    continue
-                d = lows(unpacked(part["sketch"]), part["size"].to_numpy(), unpacked(first["p_sketch"]), np.asarray(first["p_size"], np.int64))
-                near, own = d.min(axis=1), d.argmin(axis=1)
-                inside = near <= RADIUS
-                reach = np.where(inside, np.minimum(near + 2 * TAU, RADIUS + TAU), RADIUS + TAU) + 1e-9
-                names = [region_name(region, depth, j) for j in range(d.shape[1] + 1)]
-                outer = frame[~inside].assign(region=names[-1])
-                if len(outer):
-                    yield outer
-                for j in range(d.shape[1]):
-                    here = inside & (own == j)
-                    there = (d[:, j] <= reach) & ~here
-                    rows = frame[here | there]
-                    if len(rows):
-                        yield rows.assign(region=names[j], home=rows["home"].to_numpy() & here[here | there])
-
-    return m.mapInPandas(run, CELLS)
-
-
-def region_name(region: int, depth: int, j: int) -> int:
-    with np.errstate(over="ignore"):
-        x = mixed(np.array([region], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(depth * 1000 + j + 1))
-    return int(x.view(np.int64)[0])
+        "unit", "size", "sketch"))), 1, PIVOTS).alias("p"), F.first("n").alias("n"))             # about 2 PIVOTS are drawn
+    salts = F.ceil(F.col("n") / CELL)
+    drawn = drawn.select(F.col("region").alias("of"), F.col("p.size").alias("p_size"), F.col("p.sketch").alias("p_sketch"),
+                         F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("part"))
+    m = m.withColumn("salt", F.pmod(F.xxhash64("unit"), salts).cast("int"))
+
+    def run(part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        part = part[MEMBER]
+        if not len(part) or not len(pivots):
+            return part.assign(own=-1, cells=[[-1]] * len(part))
+        home, p = part["home"].to_numpy(bool), pivots.iloc[0]
+        d = lows(unpacked(part["sketch"]), part["size"].to_numpy(), unpacked(p["p_sketch"]), np.asarray(p["p_size"], np.int64))
+        near, own = d.min(axis=1), d.argmin(axis=1)
+        inside = near <= RADIUS
+        reach = np.where(inside, np.minimum(near + 2 * TAU, RADIUS + TAU), RADIUS + TAU) + 1e-9
+        # members that are at home elsewhere may have a partner in the outer region, which finds them nowhere else
+        outer = ~inside | (~home & (near > RADIUS - TAU - 1e-9))
+        at, cell = np.nonzero(np.column_stack([outer, d <= reach[:, None]]))
+        lists = np.split(cell - 1, np.cumsum(np.bincount(at, minlength=len(part)))[:-1])
+        return part.assign(own=np.where(inside, own, -1), cells=lists)
+
+    return m.groupBy("region", "salt").cogroup(drawn.groupBy("of", "part")).applyInPandas(run, CELLS + ", own int, cells array<int>")
+
+
+def divided(near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The regions whose cells hold at most half of their pairs, and so less than three rows of each member on average."""
+    each = near.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    after = each.groupBy("region").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+    return after.join(sizes, "region").filter(2 * F.col("pairs") <= F.col("n") * F.col("n").cast("double")).select("region")
+
+
+def voronoi(near: DataFrame, depth: int) -> DataFrame:
+    """The members in their cells: at home in their own one, or in the outer region if they have none."""
+    m = near.withColumn("cell", F.explode("cells"))
+    return m.withColumn("home", F.col("home") & (F.col("cell") == F.col("own"))).withColumn(
+        "region", F.xxhash64("region", F.lit(depth), "cell")).select(*MEMBER)
 
 
 def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
